@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, packing, pii, quality, sharding, topk
+from . import bpe_trie, ngram_join, packing, pii, quality, sharding, suffix_array, topk, unigram_lm
 from .common import small_batches, table
 
 #: Where the vocabulary file lies; a parameter, for the files are never copied.
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _joined(spans: Column) -> Column:
@@ -36,6 +37,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 4096))
 
@@ -66,6 +71,14 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM k WHERE n <= 5
 """
 
 
+def op8_unigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_lm.lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.passage_rows(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", bpe_trie.bpe_digests("text", public_tokenizers.path(VOCABULARY)).alias("e")).select("doc_id", "e.*")
@@ -75,9 +88,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op3_sharding": op3_sharding,
+        "op4_ngram_join": op4_ngram_join,
         "op5_packing": op5_packing,
         "op6_quality": op6_quality,
         "op7_topk": op7_topk,
+        "op8_unigram_lm": op8_unigram_lm,
+        "op9_suffix_array": op9_suffix_array,
         "op10_bpe": op10_bpe,
     }
 
