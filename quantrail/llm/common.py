@@ -28,15 +28,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one named in spark.checkpoint.dir. Only where that is unset (as in tests) a temporary one is made."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not checkpoints.isDefined():
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quantrail-"))
+        checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return (named or checkpoints.get()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns the stored rows, so that a lost executor costs no recomputation.
-
-    The folder is the one that the session names in spark.checkpoint.dir; only where that is unset (as in tests) a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantrail-"))
+    """Writes df to the shared folder and returns the stored rows, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

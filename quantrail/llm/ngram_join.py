@@ -186,7 +186,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row for each row of df: key, class_id (least key of its near-duplicate group), n_links (rows that it resembles), copy_key (equal n-gram sets)."""
+    """One row for each row of df: key, class_id (least key of its near-duplicate group), n_links (rows that it resembles), copy_key (equal n-gram sets), keeps (it is the least of its group), text_hash."""
     spark = df.sparkSession
     small_batches(spark)
     bands, rows = band_shape(similarity, recall)
@@ -216,8 +216,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    known = classes.select("key", "size", F.col("rep.doc").alias("doc")).join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    known = classes.select("key", "size", "rep").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("root", F.coalesce("root", "key"))
-    least = known.groupBy("root").agg(F.min("doc").alias("class_id"))
-    known = cut(known.join(least, "root").select("key", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return signed.select("doc", "key").join(known, "key").select(F.col("doc").alias(key), "class_id", "n_links", F.hex("key").alias("copy_key"))
+    least = known.groupBy("root").agg(F.min("rep").alias("least"))
+    known = cut(known.join(least, "root").select("key", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    out = signed.select("doc", "th", "key").join(known, "key")
+    return out.select(F.col("doc").alias(key), F.col("least.doc").alias("class_id"), "n_links", F.hex("key").alias("copy_key"), (F.struct("doc", "th") == F.col("least")).alias("keeps"), F.col("th").alias("text_hash"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """df without near duplicates: of each group the row with the least key (then text hash) stays; of its equal rows, one."""
+    found = near_duplicates(df, key, text, words, similarity, recall).filter("keeps")
+    named = F.xxhash64(F.col(f"`{key}`"))  # never null, so that null keys join
+    keep = cut(found.select(named.alias("__qt_named"), F.col("text_hash").alias("__qt_hash")).distinct())
+    rows = df.withColumns({"__qt_named": named, "__qt_hash": F.xxhash64(F.col(f"`{text}`"))})
+    rows = rows.join(keep, ["__qt_named", "__qt_hash"], "left_semi").dropDuplicates(["__qt_named", "__qt_hash"])
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, ngram_join, packing, pii, quality, sharding, suffix_array, topk, unigram_lm
+from . import bpe_trie, html_blocks, ngram_join, packing, pii, quality, sharding, suffix_array, topk, unigram_lm
 from .common import small_batches, table
 
 #: Where the vocabulary file lies; a parameter, for the files are never copied.
@@ -31,6 +31,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(_joined(first).cast("binary"), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"))
 
 
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(html_blocks.trained())  # of fixed size
+    return table(spark, sf_dir, "pages").select("page_id", "url", html_blocks.extracted("html", model).alias("x")).select("page_id", "url", "x.*")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
@@ -38,7 +44,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_key")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +93,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_html_blocks": op2_html_blocks,
         "op3_sharding": op3_sharding,
         "op4_ngram_join": op4_ngram_join,
         "op5_packing": op5_packing,
