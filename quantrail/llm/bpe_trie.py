@@ -29,8 +29,12 @@ from tokenizers import Tokenizer
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
-#: Bounds a worker's memory of words, in entries.
-WORDS_KEPT = 300_000
+#: Stands for the end of a word in the automaton; no byte symbol.
+MARK = "\n"
+#: Below this character, lower-casing and normal forms are those of single characters.
+PLAIN = "ƀ"
+#: Bounds a worker's memory of words, in entries of each of two generations.
+WORDS_KEPT = {"digest": 400_000, "bytes": 800_000}
 #: Text whose distinct words go into one trie, in characters; a longer text is one slice by itself.
 SLICE_CHARS = 2_000_000
 
@@ -76,18 +80,26 @@ class TrieEncoder:
                 self.split[c], self.rank[c] = (a, b), r
         self.fits: dict[tuple[int, int], bool] = {}
         whole = {i for i in self.vocab.values() if i not in self.split or self._pair(*self.split[i], top=self.rank[i])}
-        inner = {t: i for t, i in self.vocab.items() if i in whole and not t.endswith(self.end)}
+        # One automaton holds the tokens, those that end a word with a mark in place of the suffix.
+        tokens = {t: i for t, i in self.vocab.items() if i in whole}
+        tokens = {t[: -len(self.end)] + MARK if t.endswith(self.end) else t: i for t, i in tokens.items()}
+        self.longest = max(map(len, tokens))
         self.ends = ahocorasick.Automaton()
-        for t, i in inner.items():
+        for t, i in tokens.items():
             self.ends.add_word(t, (i, len(t)))
         self.ends.make_automaton()
-        self.final = {t[: -len(self.end)]: i for t, i in self.vocab.items() if i in whole and t.endswith(self.end)}
-        self.longest = max(map(len, [*inner, *self.final]))
-        self.known: dict[bytes, tuple[str, int, str]] = {}
-        self.ids: dict[str, list[int]] = {}
         number, token = {i: str(i) for i in self.token}, self.token
-        self.form = (lambda ids: array("I", ids).tobytes()) if form == "bytes" else lambda ids: (" ".join([number[i] for i in ids]), len(ids), " ".join([token[i] for i in ids]))
-        self.blank = False
+        if form == "bytes":
+            self.form, self.joined = lambda ids: array("I", ids).tobytes(), b"".join
+        else:
+            self.form = lambda ids: (" ".join([number[i] for i in ids]), len(ids), " ".join([token[i] for i in ids]))
+            self.joined = lambda parts: (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts]))
+        self.most = WORDS_KEPT[form]
+        self.none = self.form([])
+        self.blank = False  # whether some word had no tokens
+        self.known: dict[bytes, tuple[str, int, str] | bytes] = {}
+        self.older: dict[bytes, tuple[str, int, str] | bytes] = {}
+        self.pieces_known: dict[str, tuple[str, int, str] | bytes] = {}
 
     def _pair(self, a: int, b: int, top: int = 1 << 60) -> bool:
         """Whether no merge of rank below top crosses the border between the encodings a and b while they are built."""
@@ -115,33 +127,27 @@ class TrieEncoder:
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Token ids of sorted distinct words (in byte symbols), along the trie of their prefixes."""
-        ends, final, known, fits, longest = self.ends.iter, self.final.get, self.fits, self._fits, self.longest
+        ends, known, fits, longest = self.ends.iter, self.fits.get, self._fits, self.longest
         out, last, before = [], [], ""  # last[i]: the last token of the prefix of i + 1 symbols, and where it starts
         for word in words:
             n = len(word)
-            shared, most = 0, min(len(last), n - 1)
+            shared, most = 0, min(len(last), n)
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared:]
             at = shared
-            for end, (t, size) in ends(word, shared - longest if shared > longest else 0):  # at each end, the longest first
+            for end, (t, size) in ends(word + MARK, shared - longest if shared > longest else 0):  # at each end, the longest first
                 if end == at:
-                    if size > end:
-                        last.append((t, 0))
-                        at += 1
-                    else:
-                        pair = last[end - size][0], t
-                        good = known.get(pair)
-                        if good or good is None and fits(*pair):
-                            last.append((t, end - size + 1))
-                            at += 1
-            ids, i = [], n
-            for start in range(n - longest if n > longest else 0, n):
-                t = final(word[start:])
-                if t is not None and (not start or fits(last[start - 1][0], t)):
-                    ids.append(t)
-                    i = start
-                    break
+                    start = end - size + 1
+                    if start:
+                        a = last[start - 1][0]
+                        good = known((a, t))
+                        if not good and (good is not None or not fits(a, t)):
+                            continue
+                    last.append((t, start))
+                    at += 1
+            t, i = last.pop()  # the token of the mark
+            ids = [t]
             while i:
                 t, i = last[i - 1]
                 ids.append(t)
@@ -150,36 +156,58 @@ class TrieEncoder:
             before = word
         return out
 
+    def symbols_of(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+
     def words_of(self, part: str) -> list[str]:
         """The words, in byte symbols, that normalisation and pre-tokenisation make of a part without special tokens."""
-        plain = part.isascii()
-        if not part.isprintable() or not plain and max(part) >= "ƀ":
-            return [w for w, _ in self.rest.pre_tokenizer.pre_tokenize_str(self.rest.normalizer.normalize_str(part))]
-        part = part.lower()  # below U+0180 every character is its own normal form
-        found = [part] if part.isalpha() else [part[:-1], part[-1]] if part[:-1].isalpha() and part[-1] in ".,!?;:" else self.pieces(part)
-        return found if plain else [w.encode().decode("latin-1").translate(self.symbols) for w in found]
+        if part.isprintable() and (part.isascii() or max(part) < PLAIN):
+            return [self.symbols_of(w) for w in self.pieces(part.lower())]
+        return [w for w, _ in self.rest.pre_tokenizer.pre_tokenize_str(self.rest.normalizer.normalize_str(part))]
 
     def learn(self, words: set[bytes]) -> None:
-        """Makes all these words (runs without ASCII white space) known; forgets others when too many are."""
-        if len(self.known) > WORDS_KEPT:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        if len(self.ids) > WORDS_KEPT:
-            self.ids.clear()
-        parts: dict[bytes, list] = {}
-        for raw in words.difference(self.known):
+        """Makes all these words (runs without ASCII white space) known. Of other words a bounded number stays known, the latest."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        if len(self.pieces_known) > self.most:
+            self.pieces_known = {}
+        known, older, pieces, form, joined, special = self.known, self.older.get, self.pieces_known, self.form, self.joined, self.special_split
+        todo: list[tuple[bytes, list]] = []
+        fresh: set[str] = set()
+        for raw in words.difference(known):
+            if (got := older(raw)) is not None:
+                known[raw] = got
+                continue
             word = raw.decode()
-            if self.special_split and "<|" in word and (m := self.special_split.findall(word)):
-                rest = self.special_split.split(word)
-                parts[raw] = [x for a, b in zip(rest, [*m, None], strict=True) for x in ([*self.words_of(a)] if a else []) + ([self.special[b]] if b else [])]
+            if word.isascii() or max(word) < PLAIN:  # below U+0180 every character is its own normal form
+                low = word.lower()
+                if low.isalpha():
+                    found = [low if low.isascii() else self.symbols_of(low)]
+                elif low[-1] in ".,!?;:" and (core := low[:-1]).isalpha():
+                    found = [core if core.isascii() else self.symbols_of(core), low[-1]]
+                elif special and "<|" in word and (m := special.findall(word)):
+                    found = [x for a, b in zip(special.split(word), [*m, None], strict=True) for x in (self.words_of(a) if a else []) + ([self.special[b]] if b else [])]
+                else:
+                    found = self.words_of(word)
+            elif special and "<|" in word and (m := special.findall(word)):
+                found = [x for a, b in zip(special.split(word), [*m, None], strict=True) for x in (self.words_of(a) if a else []) + ([self.special[b]] if b else [])]
+            else:
+                found = self.words_of(word)
+            if len(found) == 1 and (got := pieces.get(found[0])) is not None:
+                known[raw] = got
+            else:
+                todo.append((raw, found))
+                fresh.update(found)
+        distinct = sorted([w for w in fresh if w not in pieces and not isinstance(w, int)])
+        pieces.update(zip(distinct, map(form, self.encode_sorted(distinct)), strict=True))
+        for raw, found in todo:
+            if len(found) == 2:
+                a, b = found
+                known[raw] = joined((pieces[a] if a.__class__ is str else form([a]), pieces[b] if b.__class__ is str else form([b])))
+            elif found:
+                known[raw] = joined([pieces[w] if w.__class__ is str else form([w]) for w in found])
             else:
-                parts[raw] = self.words_of(word)
-        ids, known, form = self.ids, self.known, self.form
-        distinct = sorted({w for found in parts.values() for w in found if w not in ids and not isinstance(w, int)})
-        ids.update(zip(distinct, self.encode_sorted(distinct), strict=True))
-        for raw, found in parts.items():
-            every = ids[found[0]] if len(found) == 1 and not isinstance(found[0], int) else [i for w in found for i in ([w] if isinstance(w, int) else ids[w])]
-            known[raw] = form(every)
-            self.blank |= not every
+                known[raw], self.blank = self.none, True
 
     def in_slices(self, texts: list[str | None]) -> Iterator[list[bytes]]:
         """The words of each text, all known. The trie is built over slices of texts with some SLICE_CHARS of text."""
