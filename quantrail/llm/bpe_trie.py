@@ -69,6 +69,7 @@ class TrieEncoder:
         self.pieces = regex.compile(pattern).findall
         self.special_split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.symbols = dict(enumerate(byte_symbols()))
+        self.symbols_but_line = {b: c for b, c in self.symbols.items() if b != 10}
         self.rank: dict[int, int] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -171,43 +172,52 @@ class TrieEncoder:
             self.known, self.older = {}, self.known
         if len(self.pieces_known) > self.most:
             self.pieces_known = {}
-        known, older, pieces, form, joined, special = self.known, self.older.get, self.pieces_known, self.form, self.joined, self.special_split
-        todo: list[tuple[bytes, list]] = []
-        fresh: set[str] = set()
+        known, older, pieces, form, joined = self.known, self.older.get, self.pieces_known, self.form, self.joined
+        raws: list[bytes] = []
         for raw in words.difference(known):
             if (got := older(raw)) is not None:
                 known[raw] = got
-                continue
-            word = raw.decode()
-            if word.isascii() or max(word) < PLAIN:  # below U+0180 every character is its own normal form
-                low = word.lower()
-                if low.isalpha():
-                    found = [low if low.isascii() else self.symbols_of(low)]
-                elif low[-1] in ".,!?;:" and (core := low[:-1]).isalpha():
-                    found = [core if core.isascii() else self.symbols_of(core), low[-1]]
-                elif special and "<|" in word and (m := special.findall(word)):
-                    found = [x for a, b in zip(special.split(word), [*m, None], strict=True) for x in (self.words_of(a) if a else []) + ([self.special[b]] if b else [])]
-                else:
-                    found = self.words_of(word)
-            elif special and "<|" in word and (m := special.findall(word)):
-                found = [x for a, b in zip(special.split(word), [*m, None], strict=True) for x in (self.words_of(a) if a else []) + ([self.special[b]] if b else [])]
             else:
-                found = self.words_of(word)
-            if len(found) == 1 and (got := pieces.get(found[0])) is not None:
-                known[raw] = got
+                raws.append(raw)
+        odd: list[tuple[bytes, list]] = []
+        text = b"\n".join(raws).decode()
+        if "<|" in text or not text.isascii() and max(text) >= PLAIN:
+            plain = []
+            for raw in raws:
+                word = raw.decode()
+                if self.special_split and "<|" in word and (m := self.special_split.findall(word)):
+                    odd.append((raw, [x for a, b in zip(self.special_split.split(word), [*m, None], strict=True) for x in (self.words_of(a) if a else []) + ([self.special[b]] if b else [])]))
+                elif not word.isascii() and max(word) >= PLAIN:
+                    odd.append((raw, self.words_of(word)))
+                else:
+                    plain.append(raw)
+            raws, text = plain, b"\n".join(plain).decode()
+        # Below U+0180 every character is its own normal form, so case and symbols change for all words at once.
+        low = text.lower()
+        shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.symbols_but_line)
+        one: list[tuple[bytes, str]] = []
+        two: list[tuple[bytes, str, str]] = []
+        get, tails = pieces.get, ".,!?;:"
+        for raw, word, piece in zip(raws, low.split("\n"), shown.split("\n"), strict=True) if raws else ():
+            if word.isalpha():
+                if (got := get(piece)) is not None:
+                    known[raw] = got
+                else:
+                    one.append((raw, piece))
+            elif word[-1] in tails and word[:-1].isalpha():
+                two.append((raw, piece[:-1], word[-1]))
             else:
-                todo.append((raw, found))
-                fresh.update(found)
-        distinct = sorted([w for w in fresh if w not in pieces and not isinstance(w, int)])
+                odd.append((raw, self.words_of(raw.decode())))
+        fresh = {p for _, p in one}
+        fresh.update([p for _, p, _ in two], tails, [w for _, found in odd for w in found if w.__class__ is str])
+        distinct = sorted(fresh.difference(pieces))
         pieces.update(zip(distinct, map(form, self.encode_sorted(distinct)), strict=True))
-        for raw, found in todo:
-            if len(found) == 2:
-                a, b = found
-                known[raw] = joined((pieces[a] if a.__class__ is str else form([a]), pieces[b] if b.__class__ is str else form([b])))
-            elif found:
-                known[raw] = joined([pieces[w] if w.__class__ is str else form([w]) for w in found])
-            else:
-                known[raw], self.blank = self.none, True
+        known.update([(raw, pieces[p]) for raw, p in one])
+        for raw, p, t in two:
+            known[raw] = joined((pieces[p], pieces[t]))
+        for raw, found in odd:
+            known[raw] = joined([pieces[w] if w.__class__ is str else form([w]) for w in found]) if found else self.none
+            self.blank |= not found
 
     def in_slices(self, texts: list[str | None]) -> Iterator[list[bytes]]:
         """The words of each text, all known. The trie is built over slices of texts with some SLICE_CHARS of text."""

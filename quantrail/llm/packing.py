@@ -103,7 +103,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[in
 def pack(pieces: DataFrame, capacity: int = 4096, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
     """pieces with sequence_id and offset. Needs a column length of 1..capacity; order only makes the numbering repeatable."""
     part, rank = F.col("__qt_part"), F.col("__qt_rank")
-    pieces = cut(pieces).withColumn("__qt_part", F.spark_partition_id())
+    pieces = cut(pieces.withColumn("__qt_part", F.spark_partition_id()))
     counts = cut(pieces.groupBy("length", "__qt_part").agg(F.count("*").alias("__qt_n")))
     by_length = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("__qt_n")).collect()}  # at most `capacity` rows
 

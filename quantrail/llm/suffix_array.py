@@ -32,9 +32,13 @@ RUN, WINDOW = 20, 32
 LEAST = RUN + WINDOW - 1
 
 PLACE = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("pos", T.IntegerType())]))
-REPEAT = T.StructType(
-    [T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()), T.StructField("first", T.BooleanType()), T.StructField("source", T.LongType())]
+RUN_AT = T.ArrayType(T.StructType([T.StructField(c, t) for c, t in (("h", T.LongType()), ("pos", T.IntegerType()), ("s", T.IntegerType()), ("e", T.IntegerType()))]))
+PASSAGE = T.ArrayType(
+    T.StructType(
+        [T.StructField(c, T.IntegerType()) for c in ("start_word", "end_word", "start", "end")] + [T.StructField("first", T.BooleanType()), T.StructField("source_id", T.LongType())]
+    )
 )
+WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
 def minimisers(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,103 +64,104 @@ def _kept(k: int, window: int):
 
 
 def _extended(k: int, window: int):
-    """Runs of k + window - 1 words that hold one of the given positions so that it is kept there."""
+    """Runs of k + window - 1 words around the given positions, with their code points; of a document with copies, all runs."""
 
-    @F.pandas_udf(PLACE)
-    def run(texts: pd.Series, places: pd.Series) -> pd.Series:
+    @F.pandas_udf(RUN_AT)
+    def run(texts: pd.Series, places: pd.Series, copied: pd.Series) -> pd.Series:
         least, out = k + window - 1, []
-        for t, found in zip(texts, places, strict=True):
+        for t, found, whole in zip(texts, places, copied, strict=True):
             h = runs(word_hashes(t), least)
-            at = np.unique(np.clip(np.asarray(found, np.int64)[:, None] - np.arange(window)[None, :], 0, len(h) - 1)) if len(h) else []
-            out.append([*zip(h[at].view(np.int64).tolist(), at.tolist(), strict=True)] if len(h) else [])
+            if not len(h):
+                out.append([])
+                continue
+            at = np.arange(len(h)) if whole else np.unique(np.clip(np.asarray(found, np.int64)[:, None] - np.arange(window)[None, :], 0, len(h) - 1))
+            spans = np.array([m.span() for m in WORD.finditer(t)], np.int32)
+            out.append([*zip(h[at].view(np.int64).tolist(), at.tolist(), spans[at, 0].tolist(), spans[at + least - 1, 1].tolist(), strict=True)])
         return pd.Series(out, dtype=object)
 
     return run
 
 
-def _passages(least: int):
-    """Unites runs, given as struct<pos, first, source> arrays, into passages: overlapping ones of equal standing."""
+def _whole(least: int):
+    """The one passage of a document that is a later copy of another: all its words, if they are enough."""
+
+    @F.pandas_udf(PASSAGE)
+    def run(texts: pd.Series, source: pd.Series) -> pd.Series:
+        out = []
+        for t, s in zip(texts, source, strict=True):
+            spans = [m.span() for m in WORD.finditer(t)]
+            out.append([(0, len(spans), spans[0][0], spans[-1][1], False, None if pd.isna(s) else int(s))] if len(spans) >= least else [])
+        return pd.Series(out, dtype=object)
 
-    @F.pandas_udf(T.ArrayType(REPEAT))
+    return run
+
+
+def _united(least: int):
+    """Unites runs into passages: overlapping ones of equal standing."""
+
+    @F.pandas_udf(PASSAGE)
     def run(found: pd.Series) -> pd.Series:
         out = []
         for rows in found:
             spans: list[list] = []
             for first in (True, False):
                 mine: list[list] = []
-                for r in sorted((r for r in rows if r["first"] is first), key=lambda r: r["pos"]):
+                for r in sorted((r for r in rows if bool(r["first"]) is first), key=lambda r: r["pos"]):
                     if mine and r["pos"] <= mine[-1][1]:
-                        mine[-1][1] = r["pos"] + least
+                        mine[-1][1], mine[-1][3] = r["pos"] + least, r["e"]
                     else:
-                        mine.append([r["pos"], r["pos"] + least, first, r["source"]])
+                        mine.append([r["pos"], r["pos"] + least, r["s"], r["e"], first, r["source"]])
                 spans += mine
-            out.append([tuple(s) for s in sorted(spans, key=lambda s: (s[0], s[2]))])
+            out.append([tuple(s) for s in sorted(spans, key=lambda s: (s[0], s[4]))])
         return pd.Series(out, dtype=object)
 
     return run
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = RUN, window: int = WINDOW) -> DataFrame:
-    """key, th (hash of the text), passages: array<struct<start_word, end_word, first, source>> for the documents that have any.
+    """key, text_hash, passages: array<struct<start_word, end_word, start, end, first, source_id>> for the documents that have any.
 
-    `first` marks runs of which this is the first copy; `source` is the key of the document with the first copy.
+    start and end are code points. `first` marks words of which this is the first copy; `source_id` is the key of the
+    document with the first copy.
     """
     small_batches(df.sparkSession)
-    docs = renamed(df, doc=key, text=text).withColumn("th", F.xxhash64("text"))
-    kept = docs.select("doc", "th", F.explode(_kept(k, window)("text")).alias("p")).select("doc", "th", "p.*")
-    kept = cut(kept)
-    # Neighbours in the sorted order: equal first runs. Rows of equal key and text are the same suffix.
-    shared = kept.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("a"), F.max(F.struct("doc", "th", "pos")).alias("b"))
-    shared = cut(shared.filter((F.col("n") > 1) & (F.col("a") != F.col("b"))).select("h"))
-    seeds = kept.join(shared, "h").select("doc", "th", "pos").distinct()
-    seeds = seeds.groupBy("doc", "th").agg(F.collect_list("pos").alias("places"))  # one document's positions
-    near = seeds.select(F.col("doc").alias("d"), F.col("th").alias("t"), "places")
-    around = docs.join(near, docs["doc"].eqNullSafe(near["d"]) & (docs["th"] == near["t"])).select("doc", "th", F.explode(_extended(k, window)("text", "places")).alias("p"))
-    around = cut(around.select("doc", "th", "p.*"))
-    best = around.groupBy("h").agg(F.min(F.struct("doc", "th", "pos")).alias("a"), F.max(F.struct("doc", "th", "pos")).alias("b"))
-    best = cut(best.filter(F.col("a") != F.col("b")).select("h", "a"))
-    runs_ = around.join(best, "h").select("doc", "th", "pos", (F.struct("doc", "th", "pos") == F.col("a")).alias("first"), F.col("a.doc").alias("source")).distinct()
-    return runs_.groupBy("doc", "th").agg(_to_passages(k + window - 1)).withColumnRenamed("doc", key)
-
+    least = k + window - 1
+    docs = renamed(df, doc=key, text=text).filter("text IS NOT NULL").withColumn("th", F.xxhash64("text"))
+    row = F.xxhash64("doc", "th", "pos")  # tells suffixes apart
+    # Of equal texts the one with the least key stands for the others.
+    equal = docs.groupBy("th").agg(F.min(F.struct("doc")).alias("a"), F.max(F.struct("doc")).alias("b")).filter(F.col("a") != F.col("b"))
+    equal = cut(equal.select("th", F.col("a.doc").alias("rep")))
+    copies = cut(docs.select("doc", "th").join(equal, "th").distinct())
+    later = copies.filter(~F.col("doc").eqNullSafe(F.col("rep"))).select(F.col("doc").alias("d"), F.col("th").alias("t"), "rep")
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
 
-def _to_passages(least: int) -> F.Column:
-    return _passages(least)(F.collect_list(F.struct("pos", "first", "source"))).alias("passages")
-
-
-WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-
-
-def word_spans(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in WORD.finditer(text)]
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def _offsets(texts: pd.Series, passages: pd.Series) -> pd.Series:
-    """Code points [start, end) of passages given in words."""
-    out = []
-    for t, found in zip(texts, passages, strict=True):
-        at = word_spans(t)
-        out.append([[at[p["start_word"]][0], at[p["end_word"] - 1][1]] for p in found])
-    return pd.Series(out, dtype=object)
-
-
-def _joined(df: DataFrame, found: DataFrame, key: str, text: str, how: str) -> DataFrame:
-    found = found.select(F.col(key).alias("__qt_key"), F.col("th").alias("__qt_th"), F.col("passages").alias("__qt_passages"))
-    return df.join(found, F.col(f"`{key}`").eqNullSafe(F.col("__qt_key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__qt_th")), how)
+    kept = docs.select("doc", "th", F.explode(_kept(k, window)("text")).alias("p")).select("doc", "th", "p.*")
+    kept = cut(kept.join(later, same, "left_anti"))
+    # Neighbours in the sorted order: equal first runs.
+    shared = kept.groupBy("h").agg(F.min(row).alias("a"), F.max(row).alias("b")).filter("a <> b").select("h")
+    seeds = kept.join(cut(shared), "h").select("doc", "th", "pos", F.lit(False).alias("copied"))
+    seeds = seeds.union(copies.filter(F.col("doc").eqNullSafe(F.col("rep"))).select("doc", "th", F.lit(0), F.lit(True)))
+    seeds = seeds.groupBy("doc", "th").agg(F.collect_set("pos").alias("places"), F.max("copied").alias("copied"))  # one document's positions
+    near = seeds.select(F.col("doc").alias("d"), F.col("th").alias("t"), "places", "copied")
+    around = docs.join(near, same).select("doc", "th", "copied", F.explode(_extended(k, window)("text", "places", "copied")).alias("p"))
+    around = cut(around.select("doc", "th", "copied", "p.*"))
+    best = around.groupBy("h").agg(F.min(row).alias("x"), F.max(row).alias("y"), F.max("copied").alias("copied"), F.min(F.struct("doc", "th", "pos")).alias("a"))
+    best = cut(best.filter("x <> y OR copied").select("h", "a"))
+    found = around.join(best, "h").select("doc", "th", "pos", "s", "e", (F.struct("doc", "th", "pos") == F.col("a")).alias("first"), F.col("a.doc").cast("long").alias("source"))
+    found = found.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "s", "e", "first", "source")).alias("found")).select("doc", "th", _united(least)("found").alias("passages"))
+    wholes = docs.join(later, same).dropDuplicates(["doc", "th"]).select("doc", "th", _whole(least)("text", F.col("rep").cast("long")).alias("passages")).filter(F.size("passages") > 0)
+    return found.union(wholes).select(F.col("doc").alias(key), F.col("th").alias("text_hash"), "passages")
 
 
 def passage_rows(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = RUN, window: int = WINDOW) -> DataFrame:
     """One row for each passage: key, start_word, end_word, start, end (code points), first, source_id."""
-    found = _joined(df, cut(repeated_passages(df, key, text, k, window)), key, text, "inner").dropDuplicates(["__qt_key", "__qt_th"])
-    rows = found.select(F.col(f"`{key}`").alias(key), F.explode(F.arrays_zip(F.col("__qt_passages").alias("p"), _offsets(F.col(f"`{text}`"), "__qt_passages").alias("o"))).alias("r"))
-    return rows.select(key, "r.p.start_word", "r.p.end_word", F.col("r.o")[0].alias("start"), F.col("r.o")[1].alias("end"), "r.p.first", F.col("r.p.source").alias("source_id"))
+    return repeated_passages(df, key, text, k, window).select(key, F.explode("passages").alias("p")).select(key, "p.*")
 
 
 def without_repeats(text: str, passages: list) -> str:
-    """The text without the words of later copies; what is left is joined as it stood."""
-    at, out, done = word_spans(text), [], 0
-    for p in sorted((p["start_word"], p["end_word"]) for p in passages if not p["first"]):
-        start, end = at[p[0]][0], at[p[1] - 1][1]
+    """The text without the words of later copies; what is left stays as it stood."""
+    out, done = [], 0
+    for start, end in sorted((p["start"], p["end"]) for p in passages if not p["first"]):
         out.append(text[done:start] if start > done else "")
         done = max(done, end)
     return "".join([*out, text[done:]])
@@ -169,5 +174,7 @@ def _cut_text(texts: pd.Series, passages: pd.Series) -> pd.Series:
 
 def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = RUN, window: int = WINDOW) -> DataFrame:
     """df, every row, with the later copies of repeated passages cut from its text."""
-    out = _joined(df, cut(repeated_passages(df, key, text, k, window)), key, text, "left")
+    found = cut(repeated_passages(df, key, text, k, window).filter(F.exists("passages", lambda p: ~p["first"])))
+    found = found.select(F.col(key).alias("__qt_key"), F.col("text_hash").alias("__qt_th"), F.col("passages").alias("__qt_passages"))
+    out = df.join(found, F.col(f"`{key}`").eqNullSafe(F.col("__qt_key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__qt_th")), "left")
     return out.withColumn(text, F.when(F.col("__qt_passages").isNull(), F.col(f"`{text}`")).otherwise(_cut_text(F.col(f"`{text}`"), "__qt_passages"))).select(*[F.col(f"`{c}`") for c in df.columns])
