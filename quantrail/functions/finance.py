@@ -16,7 +16,7 @@ def _c(x: Number) -> Column:
 
 
 def _div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
+    return F.try_divide(a, b)
 
 
 def _annuity(rate: Column, n: Column, due: Column) -> Column:
@@ -75,12 +75,12 @@ def levered_beta(beta: Number, debt_to_equity: Number, tax: Number) -> Column:
 def npv(rate: Number, cf: Column) -> Column:
     """Period 0 is not discounted. Horner's rule from the last period."""
     rate = _c(rate)
-    return F.aggregate(F.reverse(cf), F.lit(0.0), lambda a, v: a / (1 + rate) + v)
+    return F.aggregate(F.reverse(cf), F.lit(0.0), lambda a, v: F.try_divide(a, 1 + rate) + v)
 
 
 def npv_excel(rate: Number, cf: Column) -> Column:
     """The first value lies one period ahead."""
-    return npv(rate, cf) / (1 + _c(rate))
+    return F.try_divide(npv(rate, cf), 1 + _c(rate))
 
 
 def _has_both_signs(cf: Column) -> Column:
@@ -92,9 +92,9 @@ def irr(cf: Column, guess: float = 0.1, steps: int = 60) -> Column:
     start = F.struct(F.lit(guess).alias("r"), F.lit(1.0).alias("d"))
 
     def step(s: Column, _: Column) -> Column:
-        x = 1 / (1 + s["r"])  # value as a polynomial of the discount factor
+        x = F.try_divide(F.lit(1.0), 1 + s["r"])  # value as a polynomial of the discount factor
         both = F.aggregate(F.reverse(cf), F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("s")), lambda a, v: F.struct((a["v"] * x + v).alias("v"), (a["s"] * x + a["v"]).alias("s")))
-        change = F.when(both["s"] != 0, both["v"] / (-both["s"] * x * x)).otherwise(0.0)
+        change = F.coalesce(F.try_divide(both["v"], -both["s"] * x * x), F.lit(0.0))
         then = F.greatest(s["r"] - change, (s["r"] - 1) / 2)  # stays above -1
         return F.struct(F.coalesce(then, s["r"]).alias("r"), F.coalesce(F.abs(then - s["r"]), F.lit(1.0)).alias("d"))
 
@@ -106,12 +106,12 @@ def mirr(cf: Column, finance: Number, reinvest: Number) -> Column:
     n = F.size(cf) - 1
     out = npv(finance, F.transform(cf, lambda v: F.least(v, F.lit(0.0))))
     back = npv(reinvest, F.transform(cf, lambda v: F.greatest(v, F.lit(0.0)))) * F.pow(1 + _c(reinvest), n)
-    return F.when(_has_both_signs(cf), F.pow(back / -out, 1 / n) - 1)
+    return F.when(_has_both_signs(cf), F.pow(F.try_divide(back, -out), F.try_divide(F.lit(1.0), n)) - 1)
 
 
 def xnpv(rate: Number, cf: Column, days: Column) -> Column:
     """days: days since the first flow."""
-    return F.aggregate(F.zip_with(cf, days, lambda v, d: v / F.pow(1 + _c(rate), d / 365.0)), F.lit(0.0), lambda a, v: a + v)
+    return F.aggregate(F.zip_with(cf, days, lambda v, d: F.try_divide(v, F.pow(1 + _c(rate), d / 365.0))), F.lit(0.0), lambda a, v: a + v)
 
 
 def xirr(cf: Column, days: Column, guess: float = 0.1, steps: int = 60) -> Column:
@@ -119,8 +119,8 @@ def xirr(cf: Column, days: Column, guess: float = 0.1, steps: int = 60) -> Colum
 
     def step(s: Column, _: Column) -> Column:
         value = xnpv(s["r"], cf, days)
-        slope = F.aggregate(F.zip_with(cf, days, lambda v, d: -d / 365.0 * v / F.pow(1 + s["r"], d / 365.0 + 1)), F.lit(0.0), lambda a, v: a + v)
-        then = F.greatest(s["r"] - F.when(slope != 0, value / slope).otherwise(0.0), (s["r"] - 1) / 2)
+        slope = F.aggregate(F.zip_with(cf, days, lambda v, d: F.try_divide(-d / 365.0 * v, F.pow(1 + s["r"], d / 365.0 + 1))), F.lit(0.0), lambda a, v: a + v)
+        then = F.greatest(s["r"] - F.coalesce(F.try_divide(value, slope), F.lit(0.0)), (s["r"] - 1) / 2)
         return F.struct(then.alias("r"), F.abs(then - s["r"]).alias("d"))
 
     found = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, step)
@@ -134,19 +134,19 @@ def payback(cf: Column) -> Column:
     def step(s: Column, v: Column) -> Column:
         total = s["sum"] + v
         back = s["below"] & (total >= 0) & s["at"].isNull()
-        return F.struct(total.alias("sum"), (s["t"] + 1).alias("t"), (s["below"] | (total < 0)).alias("below"), F.when(back, s["t"] + -s["sum"] / v).otherwise(s["at"]).alias("at"))
+        return F.struct(total.alias("sum"), (s["t"] + 1).alias("t"), (s["below"] | (total < 0)).alias("below"), F.when(back, s["t"] + F.try_divide(-s["sum"], v)).otherwise(s["at"]).alias("at"))
 
     end = F.aggregate(cf, start, step)
     return F.when(~end["below"], 0.0).otherwise(F.coalesce(end["at"], F.lit(float("inf"))))
 
 
 def discounted(rate: Number, cf: Column) -> Column:
-    return F.transform(cf, lambda v, i: v / F.pow(1 + _c(rate), i))
+    return F.transform(cf, lambda v, i: F.try_divide(v, F.pow(1 + _c(rate), i)))
 
 
 def profitability(rate: Number, cf: Column) -> Column:
     """Present value of the later flows per unit of the first."""
-    return F.when(cf[0] < 0, (npv(rate, cf) - cf[0]) / -cf[0])
+    return F.when(cf[0] < 0, F.try_divide(npv(rate, cf) - cf[0], -cf[0]))
 
 
 def annuity_equivalent(rate: Number, cf: Column) -> Column:
@@ -231,7 +231,7 @@ def carried_tax(taxable: Column, rate: Number) -> Column:
 
 def break_even(fixed: Number, price: Number, variable: Number) -> Column:
     margin = _c(price) - _c(variable)
-    return F.when(margin > 0, _c(fixed) / margin).otherwise(float("inf"))
+    return F.when(margin > 0, F.try_divide(_c(fixed), margin)).otherwise(float("inf"))
 
 
 def scenario_summary(df: DataFrame, probability: str, value: str, by: list[str] | None = None) -> DataFrame:

@@ -39,11 +39,11 @@ def whole(x: Number) -> Column:
 
 
 def mod(x: Number, by: Number) -> Column:
-    return F.when(_c(by) != 0, _c(x) % _c(by))
+    return F.try_mod(_c(x), _c(by))
 
 
 def divide(a: Number, b: Number) -> Column:
-    return finite(F.when(_c(b) != 0, _c(a) / _c(b)))
+    return finite(F.try_divide(_c(a), _c(b)))
 
 
 def square_root(x: Number) -> Column:
@@ -52,7 +52,7 @@ def square_root(x: Number) -> Column:
 
 def log(x: Number, base: Number = 10) -> Column:
     x, base = _c(x), _c(base)
-    return finite(F.when((x > 0) & (base > 0) & (base != 1), F.ln(x) / F.ln(base)))
+    return finite(F.when((x > 0) & (base > 0) & (base != 1), F.try_divide(F.ln(x), F.ln(base))))
 
 
 def power(x: Number, y: Number) -> Column:

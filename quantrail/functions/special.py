@@ -19,7 +19,10 @@ _erf = np.vectorize(math.erf, otypes=[float])
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    return _lgamma(np.asarray(x, float))
+    x = np.asarray(x, float)
+    if x.size > 1 and (x == x.flat[0]).all():  # a parameter
+        return np.full(x.shape, math.lgamma(x.flat[0]))
+    return _lgamma(x)
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
@@ -56,7 +59,7 @@ def gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
                 d = 1 / np.where(np.abs(an * d + b) < 1e-300, 1e-300, an * d + b)
                 c = np.where(np.abs(b + an / c) < 1e-300, 1e-300, b + an / c)
                 h = h * d * c
-                if (np.abs(d * c - 1) < 1e-16).all():
+                if (np.abs(d * c - 1) < 1e-15).all():
                     break
             out[high] = np.where(np.isfinite(xl), 1 - front[high] * h, 1.0)
     return np.clip(out, 0, 1)
@@ -81,7 +84,7 @@ def beta_i(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 c = 1 + an / c
                 c = np.where(np.abs(c) < tiny, tiny, c)
                 h = h * d * c
-            if (np.abs(d * c - 1) < 1e-16).all():
+            if (np.abs(d * c - 1) < 1e-15).all():
                 break
         value = front * h / p
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(swap, 1 - value, value)))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as d
 from ..functions.distributions import Family
+from .ranking import cumulative
 
 
 def summary(df: DataFrame, value: str) -> dict[str, float]:
@@ -60,9 +61,7 @@ def fit(df: DataFrame, value: str) -> DataFrame:
     s = summary(df, value)
     found = candidates(df, value, s)
     spark = df.sparkSession
-    rows = df.select(F.col(value).cast("double").alias("x")).filter("x IS NOT NULL").groupBy("x").count()
-    order = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)  # distinct values of one variable
-    placed = rows.withColumn("upto", F.sum("count").over(order)).persist()
+    placed = cumulative(df.select(F.col(value).cast("double").alias("x")).filter(~F.isnan("x")), "x")
     aggs = []
     for name, (family, _) in found.items():
         aggs.append(F.sum(F.col("count") * F.expr(f"ln({family.pdf('x')})")).alias(f"ll_{name}"))
@@ -71,7 +70,6 @@ def fit(df: DataFrame, value: str) -> DataFrame:
         f = F.expr(cdf)
         aggs.append(F.max(F.greatest(F.col("upto") / s["n"] - f, f - (F.col("upto") - F.col("count")) / s["n"])).alias(f"ks_{name}"))
     r = placed.agg(*aggs).first() if aggs else None
-    placed.unpersist()
     out = [(n, k, r[f"ll_{n}"], r[f"ks_{n}"], s["n"]) for n, (_, k) in found.items()]
     df = spark.createDataFrame(out, "family string, k int, log_likelihood double, ks double, n long")
     return df.withColumns({"aic": 2 * F.col("k") - 2 * F.col("log_likelihood"), "bic": F.col("k") * F.ln(F.col("n").cast("double")) - 2 * F.col("log_likelihood")})

@@ -18,22 +18,21 @@ def lookup_exact(df: DataFrame, table: DataFrame, key: str, table_key: str, valu
 def lookup_below(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, name: str, parts: int = 64) -> DataFrame:
     """df with the value of the greatest table key of at most the row's key (a sorted lookup, or as-of join).
 
-    Rows of both sides are merged by key range: the last table value seen goes forward within a range, and from range to
-    range through one row for each range.
+    The distinct keys of both sides are merged in buckets between quantiles of the table's keys: the last value seen goes
+    forward within a bucket, and from bucket to bucket through one row for each. Rows meet their key's value by an equal join,
+    so a frequent key is one row of the merge. Table keys are expected to be distinct; the greatest value of equal ones wins.
     """
-    left = df.withColumns({"__key": F.col(key), "__side": F.lit(1), "__value": F.lit(None).cast(table.schema[value].dataType)})
-    right = table.filter(F.col(table_key).isNotNull()).select(F.col(table_key).alias("__key"), F.lit(0).alias("__side"), F.col(value).alias("__value"), F.lit(True).alias("__has"))
-    both = left.withColumn("__has", F.lit(False)).unionByName(right, allowMissingColumns=True)
-    both = both.repartitionByRange(parts, "__key", "__side").withColumn("__part", F.spark_partition_id())
-    upto = Window.partitionBy("__part").orderBy("__key", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.struct(F.col("__value").alias("v"))
-    filled = both.withColumn("__last", F.last(F.when(F.col("__has"), seen), ignorenulls=True).over(upto))
-    ends = both.filter("__has").groupBy("__part").agg(F.max_by(seen, "__key").alias("__end"))
-    parts_seen = both.select("__part").distinct().join(ends, "__part", "left")
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    carried = parts_seen.select("__part", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
-    out = filled.filter("__side = 1").join(F.broadcast(carried), "__part")
-    return out.select(*df.columns, F.coalesce("__last", "__before")["v"].alias(name))
+    right = table.filter(F.col(table_key).isNotNull()).groupBy(F.col(table_key).cast("double").alias("__key")).agg(F.max(F.struct(F.col(value).alias("v"))).alias("__seen"))
+    bounds = right.agg(F.percentile_approx("__key", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20 * parts)).first()[0] or []
+    left = df.select(F.col(key).cast("double").alias("__key")).filter("__key IS NOT NULL").distinct()
+    both = left.join(right, "__key", "full").withColumn("__part", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("__key"))))
+    upto = Window.partitionBy("__part").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("__last", F.last("__seen", ignorenulls=True).over(upto))
+    ends = both.groupBy("__part").agg(F.max(F.when(F.col("__seen").isNotNull(), F.struct("__key", "__seen")))["__seen"].alias("__end"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    carried = ends.select("__part", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    found = filled.join(F.broadcast(carried), "__part").select("__key", F.coalesce("__last", "__before")["v"].alias(name))
+    return df.join(found, F.col(key).cast("double") == F.col("__key"), "left").drop("__key")
 
 
 def conditional_totals(df: DataFrame, value: str, conditions: dict[str, Column]) -> DataFrame:

@@ -7,12 +7,14 @@ the same.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal
 from ..functions.random import uniform
 from ..plans.models import Model
+from ..sources.folders import cut
+from .ranking import places
 
 
 def uniforms(spark: SparkSession, trials: int, names: list[str], seed: int = 12345, method: str = "mc") -> DataFrame:
@@ -68,45 +70,39 @@ def nearest_correlation(m: np.ndarray, least: float = 1e-6, steps: int = 200) ->
     return y / np.outer(s, s)
 
 
-def _ranks(df: DataFrame, order: Column, name: str) -> DataFrame:
-    """df with the place of each row in the order, from 1 on, by ranges of it and windows within them."""
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = df.withColumn("__o", order).repartitionByRange(parts, "__o", "trial").withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").count()
-    before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each part
-    place = F.row_number().over(Window.partitionBy("__part").orderBy("__o", "trial"))
-    return ranged.withColumn("__place", place).join(before, "__part").withColumn(name, F.col("__place") + F.col("__before")).drop("__o", "__part", "__place", "__before")
-
-
 def rank_correlate(df: DataFrame, names: list[str], target: np.ndarray, trials: int, seed: int = 12345) -> DataFrame:
     """Reorders columns so that their rank correlations are near the target (Iman and Conover, 1982); marginals stay.
 
     Scores are normal quantiles of places in a hash order; their sample correlation is corrected by one aggregation. Values and
-    mixed scores meet by a join on rank.
+    mixed scores meet by a join on (column, place). Buckets of places are ranges of the hash, of the logistic curve of
+    a score, and of approximate quantiles of a column.
     """
     if len(names) < 2 or trials < 3:
         return df
+    k, blocks = len(names), max(1, min(4096, trials // 100_000))
     goal = nearest_correlation(2 * np.sin(np.pi / 6 * target))
-    scores = df.select("trial")
-    standard = normal(0, 1)
-    for i, n in enumerate(names):
-        place = _ranks(scores, uniform(seed, f"{n}#s", "trial"), "__k")
-        scores = place.withColumn("__u", F.col("__k") / F.lit(float(trials + 1))).withColumn(f"__s{i}", standard.sample("__u")).drop("__k", "__u")
-    k = len(names)
-    pairs = [F.corr(f"__s{i}", f"__s{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i)]
-    got = scores.agg(*pairs).first()
+    ids = df.select("trial", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
+    hashed = ids.withColumn("h", uniform(seed, F.concat(F.lit("#s"), F.col("i").cast("string")), "trial"))
+    placed = places(hashed, F.col("h"), F.floor(F.col("__v") * blocks), ["i"], "trial").withColumn("u", F.col("place") / F.lit(float(trials + 1)))
+    scored = placed.withColumn("s", normal(0, 1).sample("u")).groupBy("trial").agg(*[F.max(F.when(F.col("i") == i, F.col("s"))).alias(f"s{i}") for i in range(k)])
+    scores = cut(scored)
+    got = scores.agg(*[F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i)]).first()
     sample = np.eye(k)
     for i in range(k):
         for j in range(i):
             sample[i, j] = sample[j, i] = got[f"c{i}_{j}"]
     mix = np.linalg.cholesky(goal) @ np.linalg.inv(np.linalg.cholesky(nearest_correlation(sample)))
-    out = df.select("trial", *[c for c in df.columns if c not in names and c != "trial"])
-    for i, n in enumerate(names):
-        mixed = scores.select("trial", sum(F.col(f"__s{j}") * float(mix[i, j]) for j in range(k)).alias("__m"))
-        to = _ranks(mixed, F.col("__m"), "__k").select("trial", "__k")
-        values = _ranks(df.select(F.col("trial").alias("trial"), F.col(n).alias("__v")), F.col("__v"), "__k").select("__k", F.col("__v").alias(n))
-        out = out.join(to.join(values, "__k").drop("__k"), "trial")
-    return out
+    long = lambda rows, columns: rows.select("trial", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("v")) for i, c in enumerate(columns)])).alias("x")).select("trial", "x.*")
+    mixed = long(scores, [sum(F.col(f"s{j}") * float(mix[i, j]) for j in range(k)) for i in range(k)])
+    to = places(mixed, F.col("v"), F.floor(blocks / (1 + F.exp(-1.702 * F.col("__v")))), ["i"], "trial")
+    values = long(df, [F.col(n).cast("double") for n in names])
+    shares = [j / blocks for j in range(1, blocks)]
+    bounds = df.agg(*[F.percentile_approx(n, F.array(*map(F.lit, shares)), 20 * blocks) for n in names]).first() if shares else [[]] * k
+    bucket = F.coalesce(*[F.when(F.col("i") == i, F.size(F.filter(F.array(*map(F.lit, b)), lambda x: x < F.col("__v")))) for i, b in enumerate(bounds)]) if shares else F.lit(0)
+    sorted_ = places(values, F.col("v"), bucket, ["i"], "trial").withColumnRenamed("trial", "from")
+    sorted_ = sorted_.join(values.withColumnRenamed("trial", "from"), ["i", "from"])
+    new = to.join(sorted_.select("i", "place", "v"), ["i", "place"]).groupBy("trial").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
+    return df.select("trial", *[c for c in df.columns if c not in names and c != "trial"]).join(new, "trial")
 
 
 def simulate(spark: SparkSession, model: Model, trials: int, seed: int = 12345, method: str = "mc", correlate: bool = True) -> DataFrame:
@@ -115,6 +111,7 @@ def simulate(spark: SparkSession, model: Model, trials: int, seed: int = 12345,
     df = uniforms(spark, trials, [f"u_{n}" for n in names], seed, method)
     involved = [n for n in names if any(n in p[:2] for p in model.correlations)]
     if correlate and involved:
+        df = cut(df)
         df = rank_correlate(df, [f"u_{n}" for n in involved], correlation_matrix(involved, model.correlations), trials, seed)
     df = df.select("trial", *[f.sample(f"u_{n}").alias(n) for n, f in model.assumptions.items()])
     return model.evaluate(df)

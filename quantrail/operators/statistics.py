@@ -1,8 +1,8 @@
 """Descriptive statistics, histograms, certainty, correlation and tests, as aggregations.
 
-NULL is the one error value: NaN and infinities become NULL first, and every statistic skips it. Ranks and order
-statistics are taken within groups, so groups are what spreads the work; statistics of one huge group use approximate
-percentiles only when asked to.
+NULL is the one error value: NaN and infinities become NULL first, and every statistic skips it. Ranks are
+sums over counted values in quantile buckets, so one huge group is spread too; percentiles are exact unless approximate ones
+are asked for.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import student_t_cdf, student_t_quantile
+from .ranking import with_average_rank
 
 #: Percentiles of a report.
 PERCENTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
@@ -125,12 +126,6 @@ def ecdf(df: DataFrame, value: str, points: int = 200) -> DataFrame:
     return out.select("i", "x", "share")
 
 
-def average_rank(value: str, by: list[str] | None = None) -> Column:
-    """Ranks in which ties share their mean."""
-    by = by or []
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
-
-
 def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Correlation of complete pairs; NULL if one side is constant."""
     pairs = df.filter(valid(a).isNotNull() & valid(b).isNotNull())
@@ -141,7 +136,7 @@ def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataF
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     by = by or []
     pairs = df.filter(valid(a).isNotNull() & valid(b).isNotNull()).select(*by, a, b)
-    ranked = pairs.withColumns({"__ra": average_rank(a, by), "__rb": average_rank(b, by)})
+    ranked = with_average_rank(with_average_rank(pairs, a, "__ra", by), b, "__rb", by)
     return pearson(ranked, "__ra", "__rb", by)
 
 

@@ -106,12 +106,12 @@ def _loan_sql(method: str) -> str:
     else:
         rows = "SELECT k, 0 AS period, p, 0.0::DOUBLE AS payment, 0.0::DOUBLE AS interest, p AS balance FROM c UNION ALL SELECT k, period + 1, p, p * 0.02 + CASE WHEN period = 11 THEN p ELSE 0 END, p * 0.02, CASE WHEN period = 11 THEN 0 ELSE p END FROM b WHERE period < 12"
     inner = f"WITH RECURSIVE c AS (SELECT c_custkey AS k, abs(c_acctbal) AS p FROM customer), b AS ({rows}) SELECT *, payment - interest AS amortisation FROM b"
-    return round_sql(inner, SCHEDULE, ["k AS c_custkey", "period"], 4)
+    return round_sql(inner, SCHEDULE, ["k AS c_custkey", "period"], 6)
 
 
 def _loan(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     df = table(spark, sf_dir, "customer").select("c_custkey", F.abs("c_acctbal").alias("p"))
-    return round_all(fin.loan_schedule(df, "p", 0.02, 12, method).select("c_custkey", "period", *SCHEDULE), 4)
+    return round_all(fin.loan_schedule(df, "p", 0.02, 12, method).select("c_custkey", "period", *SCHEDULE), 6)
 
 
 @query(_loan_sql("french"))
@@ -130,11 +130,11 @@ def loan_american(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _depreciation(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("c"), (F.col("p_retailprice") * 0.1).alias("s"))
+    df = table(spark, sf_dir, "part").select("p_partkey", F.sqrt("p_retailprice").alias("c"), (F.sqrt("p_retailprice") * 0.1).alias("s"))
     return round_all(fin.depreciation(df, "c", "s", 5, method).select("p_partkey", "year", "charge", "book"), 4)
 
 
-PARTS = "(SELECT p_partkey, p_retailprice AS c, p_retailprice * 0.1 AS s FROM part)"
+PARTS = "(SELECT p_partkey, sqrt(p_retailprice) AS c, sqrt(p_retailprice) * 0.1 AS s FROM part)"
 
 
 @query(round_sql(f"SELECT p_partkey, y::INTEGER AS year, (c - s) / 5 AS charge, c - (c - s) / 5 * y AS book FROM {PARTS}, range(1, 6) g(y)", ["charge", "book"], ["p_partkey", "year"], 4))

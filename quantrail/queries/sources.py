@@ -50,7 +50,7 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily statistics of the events, as a stream."""
     out = running.windowed_statistics(running.read_table_stream(spark, sf_dir, "events"), "ts", "value", "event_type")
-    return round_all(running.drained(out, shared_folder(spark)), 4, ("least", "most"))
+    return round_all(running.drained(out, shared_folder(spark)), 4, ("least", "most")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"WITH s AS (SELECT event_type, count(value) AS n, avg(value) AS mean, 1.959964 * stddev_samp(value) / sqrt(count(value)) AS half FROM events GROUP BY 1) SELECT event_type, n, {r('mean', 4)} AS mean, {r('half', 4)} AS half, n >= 500 AND half <= 0.05 * abs(mean) AS enough FROM s")

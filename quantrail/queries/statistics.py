@@ -32,15 +32,15 @@ def describe_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(st.describe(df, "x", ["event_type"]), 5)
 
 
-@query(f"SELECT p / 100.0::DOUBLE AS p, {r('quantile_cont(o_totalprice, list_value(' + ', '.join(f'{p / 100}' for p in range(1, 100)) + '))[p]', 3)} AS value FROM orders, range(1, 100) t(p) GROUP BY p")
+@query(f"SELECT p / 100.0::DOUBLE AS p, {r('quantile_cont(o_totalprice, list_value(' + ', '.join(f'{p / 100}' for p in range(1, 100)) + '))[p]', 6)} AS value FROM orders, range(1, 100) t(p) GROUP BY p")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 99 percentiles of a report, interpolated."""
     shares = [p / 100 for p in range(1, 100)]
     got = table(spark, sf_dir, "orders").agg(F.percentile("o_totalprice", F.array(*[F.lit(p) for p in shares])).alias("v"))
-    return got.select(F.posexplode("v").alias("i", "v")).select(((F.col("i") + 1) / 100.0).alias("p"), rounded("v", 3).alias("value"))
+    return got.select(F.posexplode("v").alias("i", "v")).select(((F.col("i") + 1) / 100.0).alias("p"), rounded("v", 6).alias("value"))
 
 
-@query("SELECT l_returnflag, min(x) AS mode, max(c) AS times FROM (SELECT l_returnflag, l_quantity AS x, count(*) AS c, max(count(*)) OVER (PARTITION BY l_returnflag) AS m FROM lineitem GROUP BY ALL) WHERE c = m GROUP BY l_returnflag")
+@query("WITH k AS (SELECT l_returnflag, l_quantity AS x, count(*) AS c FROM lineitem GROUP BY l_returnflag, l_quantity), m AS (SELECT *, max(c) OVER (PARTITION BY l_returnflag) AS m FROM k) SELECT l_returnflag, min(x) AS mode, max(c) AS times FROM m WHERE c = m GROUP BY l_returnflag")
 def mode_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.mode(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"])
 
@@ -133,7 +133,7 @@ def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH u AS (SELECT rep::INTEGER AS replicate, value, (('0x' || substr(md5('1|pois' || rep || '|' || event_id), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM events, range(20) t(rep)),
-p(k, share) AS (SELECT k, exp(-1.0::DOUBLE) / factorial(k) FROM range(12) t(k)), c AS (SELECT k, sum(share) OVER (ORDER BY k) AS upto FROM p),
+p(k, share) AS (SELECT k, exp(-1.0::DOUBLE) / factorial(k::INTEGER)::DOUBLE FROM range(12) t(k)), c AS (SELECT k, sum(share) OVER (ORDER BY k) AS upto FROM p),
 w AS (SELECT replicate, value, (SELECT count(*) FROM c WHERE u > upto) AS weight FROM u)
 SELECT replicate, {r('sum(weight * value) / sum(weight)', 4)} AS estimate FROM w WHERE weight > 0 GROUP BY replicate""")
 def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
     """A Parquet table of a folder as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})  # event times need a zone
 
 
 def windowed_statistics(stream: DataFrame, time: str, value: str, by: str, length: str = "1 day", late: str = "2 days") -> DataFrame:
