@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Longest input a Python worker holds at a time, in rows of an Arrow batch.
 BATCH_ROWS = 1024
+#: The same where a row of text becomes many rows.
+FEW_ROWS = 256
 
 #: Column names that operators use inside; a user column of such a name is never read or overwritten.
 PREFIX = "__qt_"
@@ -22,11 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Texts can be very long, so Arrow batches hold few rows; never raises a smaller setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, renamed, small_batches
+from .common import FEW_ROWS, cut, renamed, small_batches
 from .words import mixed, runs, word_hashes
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -30,6 +30,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 MOST_HASHES = 80
 #: n-grams in a block of a bucket, about.
 BLOCK = 400_000
+#: What a member of a bucket weighs besides its n-grams: a block has at most BLOCK / MEMBER members, which bounds its matrix of pairs.
+MEMBER = 200
 
 SIGNED = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -188,14 +190,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row for each row of df: key, class_id (least key of its near-duplicate group), n_links (rows that it resembles), copy_key (equal n-gram sets), keeps (it is the least of its group), text_hash."""
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, FEW_ROWS)
     bands, rows = band_shape(similarity, recall)
     docs = renamed(df, doc=key, text=text).withColumn("th", F.xxhash64("text"))
     signed = cut(docs.select("doc", "th", _signer(words, bands, rows)("text").alias("s")).select("doc", "th", "s.*"))
     classes = cut(signed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
     placed = classes.filter("n > 0").select("key", "n", F.posexplode("bands").alias("band", "h"))
-    buckets = placed.groupBy("band", "h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.sum(F.col("n").cast("long")).alias("weight")).filter("c > 1")
+    buckets = placed.groupBy("band", "h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.sum((F.col("n") + MEMBER).cast("long")).alias("weight")).filter("c > 1")
     # Buckets of equal members, known by count and two hashes, count once, as the one of the least band.
     buckets = cut(buckets.groupBy("c", "x", "y").agg(F.min(F.struct("band", "h")).alias("b"), F.first("weight").alias("weight")).select("b.*", "weight"))
     members = cut(placed.join(buckets, ["band", "h"]).select("key", "band", "h", "weight"))

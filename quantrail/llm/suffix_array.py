@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, renamed, small_batches
+from .common import FEW_ROWS, cut, renamed, small_batches
 from .words import runs, word_hashes
 
 #: Words of a run, and windows of runs: passages of 51 words or more are found.
@@ -124,7 +124,7 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", k:
     start and end are code points. `first` marks words of which this is the first copy; `source_id` is the key of the
     document with the first copy.
     """
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, FEW_ROWS)
     least = k + window - 1
     docs = renamed(df, doc=key, text=text).filter("text IS NOT NULL").withColumn("th", F.xxhash64("text"))
     row = F.xxhash64("doc", "th", "pos")  # tells suffixes apart

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Bounds a worker's memory of words, in entries.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
