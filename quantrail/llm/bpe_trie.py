@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .common import remembers, works
+
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 #: Stands for the end of a word in the automaton; no byte symbol.
@@ -247,10 +249,14 @@ class TrieEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+_encoder = functools.lru_cache(maxsize=2)(TrieEncoder)
+remembers("bpe", _encoder.cache_clear)
+
+
 def encoder(path: str, form: str = "digest") -> TrieEncoder:
     """One encoder for each worker process."""
-    return TrieEncoder(path, form)
+    works("bpe")
+    return _encoder(path, form)
 
 
 def bpe_digests(text: Column | str, path: str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,26 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+_memory: dict[str, Callable[[], None]] = {}
+_working = ""
+
+
+def remembers(operator: str, clear: Callable[[], None]) -> None:
+    """Says how a worker forgets what an operator keeps between batches."""
+    _memory[operator] = clear
+
+
+def works(operator: str) -> None:
+    """Python workers serve one stage after another; one holds the memory of its present operator alone."""
+    global _working
+    if _working != operator:
+        for other, clear in _memory.items():
+            if other != operator:
+                clear()
+        gc.collect()
+        _working = operator
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one named in spark.checkpoint.dir. Only where that is unset (as in tests) a temporary one is made."""
     named = spark.conf.get("spark.checkpoint.dir", None)

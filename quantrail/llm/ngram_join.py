@@ -197,10 +197,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     classes = cut(signed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
     placed = classes.filter("n > 0").select("key", "n", F.posexplode("bands").alias("band", "h"))
-    buckets = placed.groupBy("band", "h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.sum((F.col("n") + MEMBER).cast("long")).alias("weight")).filter("c > 1")
+    # Most buckets hold one class: a count alone leaves them out before anything else is added up.
+    several = placed.groupBy("band", "h").agg(F.count("*").alias("c")).filter("c > 1").select("band", "h")
+    met = cut(placed.join(several, ["band", "h"]))
+    buckets = met.groupBy("band", "h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.sum((F.col("n") + MEMBER).cast("long")).alias("weight"))
     # Buckets of equal members, known by count and two hashes, count once, as the one of the least band.
     buckets = cut(buckets.groupBy("c", "x", "y").agg(F.min(F.struct("band", "h")).alias("b"), F.first("weight").alias("weight")).select("b.*", "weight"))
-    members = cut(placed.join(buckets, ["band", "h"]).select("key", "band", "h", "weight"))
+    members = cut(met.join(buckets, ["band", "h"]).select("key", "band", "h", "weight"))
 
     wanted = members.select("key").distinct().join(classes, "key").select("key", "rep.doc", "rep.th", "size", "bands")
     texts = wanted.join(docs, wanted["doc"].eqNullSafe(docs["doc"]) & (wanted["th"] == docs["th"]))

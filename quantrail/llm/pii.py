@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import works
+
 #: Kinds in the order in which spans of equal start are listed. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 
@@ -141,6 +143,7 @@ def redacted(text: str, spans: list) -> str:
 
 @F.pandas_udf(T.StringType())
 def _redact(texts: pd.Series) -> pd.Series:
+    works("pii")
     return pd.Series([t if t is None else redacted(t, find(t)) for t in texts], dtype=object)
 
 

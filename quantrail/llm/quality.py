@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, renamed, small_batches
+from .common import ASCII_SPACE, renamed, small_batches, works
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -160,6 +160,7 @@ def quality_stats(text: Column, forest: Forest | None = None) -> Column:
 
     @F.pandas_udf(STATS)
     def run(texts: pd.Series) -> pd.DataFrame:
+        works("quality")
         rows = [document_stats(t) for t in texts]
         out = pd.DataFrame([r[0] for r in rows], columns=list(COUNTS))
         x = np.array([r[1] for r in rows]).reshape(-1, len(FEATURES))

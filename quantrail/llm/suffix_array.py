@@ -70,7 +70,7 @@ def _extended(k: int, window: int):
     def run(texts: pd.Series, places: pd.Series, copied: pd.Series) -> pd.Series:
         least, out = k + window - 1, []
         for t, found, whole in zip(texts, places, copied, strict=True):
-            h = runs(word_hashes(t), least)
+            h = runs(word_hashes(t), least) if whole or len(found) else ()
             if not len(h):
                 out.append([])
                 continue
@@ -83,13 +83,13 @@ def _extended(k: int, window: int):
 
 
 def _whole(least: int):
-    """The one passage of a document that is a later copy of another: all its words, if they are enough."""
+    """The one passage of a document that is a later copy of another: all its words, if they are enough. Other documents: none."""
 
     @F.pandas_udf(PASSAGE)
-    def run(texts: pd.Series, source: pd.Series) -> pd.Series:
+    def run(texts: pd.Series, source: pd.Series, later: pd.Series) -> pd.Series:
         out = []
-        for t, s in zip(texts, source, strict=True):
-            spans = [m.span() for m in WORD.finditer(t)]
+        for t, s, copy in zip(texts, source, later, strict=True):
+            spans = [m.span() for m in WORD.finditer(t)] if copy else []
             out.append([(0, len(spans), spans[0][0], spans[-1][1], False, None if pd.isna(s) else int(s))] if len(spans) >= least else [])
         return pd.Series(out, dtype=object)
 
@@ -142,14 +142,17 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", k:
     seeds = kept.join(cut(shared), "h").select("doc", "th", "pos", F.lit(False).alias("copied"))
     seeds = seeds.union(copies.filter(F.col("doc").eqNullSafe(F.col("rep"))).select("doc", "th", F.lit(0), F.lit(True)))
     seeds = seeds.groupBy("doc", "th").agg(F.collect_set("pos").alias("places"), F.max("copied").alias("copied"))  # one document's positions
-    near = seeds.select(F.col("doc").alias("d"), F.col("th").alias("t"), "places", "copied")
-    around = docs.join(near, same).select("doc", "th", "copied", F.explode(_extended(k, window)("text", "places", "copied")).alias("p"))
-    around = cut(around.select("doc", "th", "copied", "p.*"))
+    near = seeds.select(F.col("doc").alias("d"), F.col("th").alias("t"), "places", "copied", F.lit(None).cast(later.schema["rep"].dataType).alias("rep"), F.lit(False).alias("later"))
+    # Texts move once: to the seeds of their documents, or to the copies that later ones are of.
+    wanted = near.union(later.select("d", "t", F.array().cast("array<int>"), F.lit(False), "rep", F.lit(True)))
+    read = docs.join(wanted, same).select("doc", "th", "copied", _extended(k, window)("text", "places", "copied").alias("runs"), _whole(least)("text", F.col("rep").cast("long"), "later").alias("passages"))
+    read = cut(read)
+    around = read.select("doc", "th", "copied", F.explode("runs").alias("p")).select("doc", "th", "copied", "p.*")
     best = around.groupBy("h").agg(F.min(row).alias("x"), F.max(row).alias("y"), F.max("copied").alias("copied"), F.min(F.struct("doc", "th", "pos")).alias("a"))
     best = cut(best.filter("x <> y OR copied").select("h", "a"))
     found = around.join(best, "h").select("doc", "th", "pos", "s", "e", (F.struct("doc", "th", "pos") == F.col("a")).alias("first"), F.col("a.doc").cast("long").alias("source"))
     found = found.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "s", "e", "first", "source")).alias("found")).select("doc", "th", _united(least)("found").alias("passages"))
-    wholes = docs.join(later, same).dropDuplicates(["doc", "th"]).select("doc", "th", _whole(least)("text", F.col("rep").cast("long")).alias("passages")).filter(F.size("passages") > 0)
+    wholes = read.filter(F.size("passages") > 0).select("doc", "th", "passages").dropDuplicates(["doc", "th"])
     return found.union(wholes).select(F.col("doc").alias(key), F.col("th").alias("text_hash"), "passages")
 
 

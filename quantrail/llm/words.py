@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import remembers, works
+
 #: Bounds a worker's memory of words, in entries.
 WORDS_KEPT = 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -19,11 +21,14 @@ class _Hashes(dict):
         return got
 
 
-_hash = _Hashes().__getitem__
+_known = _Hashes()
+_hash = _known.__getitem__
+remembers("words", _known.clear)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """One hash for each word, a run without ASCII white space."""
+    works("words")
     words = (text or "").encode("utf-8", "surrogatepass").split()
     return np.fromiter(map(_hash, words), np.uint64, len(words))
 
