@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.distributions import normal
 from ..functions.random import uniform
 
-UP = Window.partitionBy("path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+
+def _total(move: Column) -> Column:
+    """The sum of a path's moves so far."""
+    return F.sum(move).over(Window.partitionBy("path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
 
 
 def shocks(spark: SparkSession, paths: int, steps: int, seed: int, name: str = "z") -> DataFrame:
@@ -27,7 +30,7 @@ def _with_start(df: DataFrame, start: float, paths: int) -> DataFrame:
 def gbm(spark: SparkSession, start: float, drift: float, volatility: float, dt: float, steps: int, paths: int, seed: int = 1) -> DataFrame:
     """Geometric Brownian motion, exact."""
     move = F.lit((drift - volatility**2 / 2) * dt) + F.lit(volatility * math.sqrt(dt)) * F.col("z")
-    return _with_start(shocks(spark, paths, steps, seed).withColumn("value", F.lit(float(start)) * F.exp(F.sum(move).over(UP))), start, paths)
+    return _with_start(shocks(spark, paths, steps, seed).withColumn("value", F.lit(float(start)) * F.exp(_total(move))), start, paths)
 
 
 def jump_diffusion(spark: SparkSession, start: float, drift: float, volatility: float, rate: float, jump_mean: float, jump_sd: float, dt: float, steps: int, paths: int, seed: int = 1) -> DataFrame:
@@ -45,7 +48,7 @@ def jump_diffusion(spark: SparkSession, start: float, drift: float, volatility:
     df = df.withColumn("__n", count).withColumn("__j", F.expr(normal(0, 1).quantile("__v")))
     mean = math.exp(jump_mean + jump_sd**2 / 2) - 1
     move = F.lit((drift - volatility**2 / 2 - rate * mean) * dt) + F.lit(volatility * math.sqrt(dt)) * F.col("z") + F.col("__n") * jump_mean + F.sqrt(F.col("__n").cast("double")) * jump_sd * F.col("__j")
-    return _with_start(df.withColumn("value", F.lit(float(start)) * F.exp(F.sum(move).over(UP))), start, paths)
+    return _with_start(df.withColumn("value", F.lit(float(start)) * F.exp(_total(move))), start, paths)
 
 
 def ornstein_uhlenbeck(spark: SparkSession, start: float, mean: float, speed: float, volatility: float, dt: float, steps: int, paths: int, seed: int = 1) -> DataFrame:
