@@ -40,7 +40,7 @@ ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 CONTAINERS = frozenset("ul ol dl table div section article aside nav main header footer form body blockquote".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"'<]++|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"'<]++|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)

@@ -90,6 +90,13 @@ def test_html_odd_pages():
     assert [b.text for b in html_blocks.blocks_of("<p>a &amp;\n b<br>c<script>x</script><li>d")] == ["a & b c", "d"]
 
 
+def test_html_custom_elements_are_no_raw_ones():
+    for name in ("svg-icon", "video-player", "title-bar", "select-menu", "style-guide", "object-view", "template-x"):
+        page = f'<article><{name} name="x">in</{name}><p>First paragraph.</p><p>Second.</p></article><svg><text>no</text></svg>'
+        assert [b.text for b in html_blocks.blocks_of(page)] == ["in", "First paragraph.", "Second."]
+    assert [b.text for b in html_blocks.blocks_of("<svg/><p>a<SCRIPT\nsrc=x>no</script></p><style>no</style>b")] == ["a", "b"]
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
