@@ -6,7 +6,8 @@ hashed words and a few numbers, and labels every block from the context of the w
 on pages made by html_pages with known labels.
 
 Defined results: a null or empty page has the empty text; unclosed tags, comments and quotes end with the page;
-repeated rows get equal results; extra columns pass through; nothing is dropped or capped within a kept block.
+repeated rows get equal results; extra columns pass through; nothing is dropped or capped within a kept block but the
+content of RAW elements, which don't end a block.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ PATHS, WORDS, PATH_SIZE, WORD_SIZE, NUMBERS, UNITS = 2048, 1024, 16, 8, 8, 16
 #: Pages scored at a time.
 GROUP = 64
 
-#: Fixed values of HTML: elements without text of their own, elements that end a block, elements without an end tag.
-RAW = "script|style|textarea|title|noscript|iframe|template|svg|math|object|select|canvas|audio|video"
+#: Fixed values of HTML: elements without text of their own, those of them that take no room on the page, elements that end a block, elements without an end tag.
+RAW = "script|style|textarea|title|noscript|iframe|template|svg|object|select|canvas|audio|video"
+UNSEEN = frozenset("script style title noscript template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -105,8 +107,9 @@ def blocks_of(page: str | None) -> list[Block]:
         at = m.end()
         name = m["tag"]
         if name is None:
-            if m["raw"]:
-                flush()
+            # A raw element stands in a line of text, so the block goes on behind it.
+            if m["raw"] and held and m["raw"].lower() not in UNSEEN:
+                held.append(" ")
             continue
         name = name.lower()
         if name in BLOCKS:

@@ -97,6 +97,13 @@ def test_html_custom_elements_are_no_raw_ones():
     assert [b.text for b in html_blocks.blocks_of("<svg/><p>a<SCRIPT\nsrc=x>no</script></p><style>no</style>b")] == ["a", "b"]
 
 
+def test_html_blocks_go_on_behind_raw_elements():
+    of = lambda page: [b.text for b in html_blocks.blocks_of(page)]
+    assert of("<p>foo <script>x</script> bar <math>x=1</math> end</p>") == ["foo bar x=1 end"]
+    assert of("<p>fo<script>x</script>o<svg><path/></svg>bar <select><option>no</select>end<style>p{}</style><p>next") == ["foo bar end", "next"]
+    assert of("<p>let <math><mi>y</mi><mo>&lt;</mo><mn>2</mn></math> be</p><script>no</script>") == ["let y<2 be"]
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
