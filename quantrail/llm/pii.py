@@ -132,12 +132,12 @@ def pii_spans(text: Column | str) -> Column:
 
 
 def redacted(text: str, spans: list) -> str:
-    """The text with each span replaced by its kind; of overlapping spans the one that starts first wins, then the longest."""
+    """The text with each span replaced by its kind; overlapping spans are masked as one, by the kind that starts first, then the longest."""
     out, at = [], 0
     for s in sorted(spans, key=lambda s: (s[1], -s[2])):
         if s[1] >= at:
             out += [text[at : s[1]], f"<{s[0].upper()}>"]
-            at = s[2]
+        at = max(at, s[2])
     return "".join([*out, text[at:]])
 
 

@@ -75,6 +75,23 @@ def test_pii_kinds_and_redaction():
     assert pii.redacted(text, pii.find(text)) == "IBAN <IBAN> and DE89 3704 0044 0532 0130 01, mail <EMAIL>"
 
 
+def test_pii_redaction_of_overlapping_spans(spark):
+    known = {
+        "ip 10.0.0.0 4111111111111111 end": "ip <IP> end",
+        "call +1 555 123 4567bob@x.com now": "call <PHONE> now",
+        "+1 555 123 4567bob@x.com, a@b.co": "<PHONE>, <EMAIL>",
+    }
+    for text in known:
+        found = pii.find(text)
+        assert any(a[1] < b[1] < a[2] < b[2] for a in found for b in found)
+    rows = spark.createDataFrame([(t,) for t in known], "text string")
+    assert {r.text for r in pii.redact(rows).collect()} == set(known.values())
+    # chains, spans inside others and spans that touch
+    assert pii.redacted("abcdefghij", [("ip", 0, 3, 1.0), ("card", 2, 5, 1.0), ("phone", 4, 7, 1.0)]) == "<IP>hij"
+    assert pii.redacted("abcdefghij", [("ip", 0, 8, 1.0), ("card", 2, 4, 1.0), ("phone", 7, 9, 1.0)]) == "<IP>j"
+    assert pii.redacted("abcdefghij", [("ip", 0, 3, 1.0), ("card", 3, 5, 1.0)]) == "<IP><CARD>fghij"
+
+
 def test_html_held_out_pages():
     model, right, total = html_blocks.trained(), 0, 0
     for page, labels in html_pages.training_pages(200, seed=2):
