@@ -6,19 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import uniform
+from ..sources.folders import cut
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with i, the place from 0 in the order of key: the place in a range of keys plus the rows of earlier ranges."""
+    dealt = rows.repartitionByRange(key).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(key).withColumn("__row", F.monotonically_increasing_id())
+    dealt = cut(dealt)  # ranges are sampled anew in each job
+    parts = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    before = parts.select("__part", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return dealt.join(F.broadcast(before), "__part").withColumn("i", F.col("__row") - F.col("__first") + F.col("__before")).drop("__part", "__row", "__first", "__before")
 
 
 def bootstrap(df: DataFrame, value: str, key: str, statistic: Column, replicates: int = 200, seed: int = 1) -> DataFrame:
     """replicate, estimate: resamples of the full size with replacement. statistic aggregates the column x.
 
-    For samples whose replicates fit a cluster's shuffle; poisson_bootstrap needs none of the rows to move.
+    Rows are numbered by ranges of the key, so no task holds the table; replicates times its rows are shuffled, which
+    poisson_weights needs not.
     """
-    rows = df.select(F.col(value).alias("x"), F.col(key).alias("k")).filter("x IS NOT NULL")
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k")) - 1)  # a sample, not a table
-    n = numbered.count()
+    rows = numbered(df.select(F.col(value).alias("x"), F.col(key).alias("k")).filter("x IS NOT NULL"), "k")
+    n = rows.count()
     spark = df.sparkSession
-    draws = spark.range(replicates * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), F.floor(uniform(seed, "boot", "id") * n).cast("int").alias("i"))
-    return draws.join(numbered, "i").groupBy("replicate").agg(statistic.alias("estimate"))
+    draws = spark.range(replicates * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), F.floor(uniform(seed, "boot", "id") * n).cast("long").alias("i"))
+    return draws.join(rows, "i").groupBy("replicate").agg(statistic.alias("estimate"))
 
 
 def poisson_weights(df: DataFrame, key: str, replicates: int, seed: int = 1) -> DataFrame:

@@ -146,6 +146,17 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.interval(bootstrap_means(spark, sf_dir))
 
 
+@query()
+def bootstrap_means_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over every event; bootstrap_means and bootstrap_interval are over user 13 alone, as their SQL is."""
+    return round_all(resampling.bootstrap(table(spark, sf_dir, "events"), "value", "event_id", F.avg("x"), 200))
+
+
+@query()
+def bootstrap_interval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.interval(bootstrap_means_whole(spark, sf_dir))
+
+
 @query(f"SELECT count(*) AS n, {r('avg(p_retailprice)', 4)} AS mean, {r('stddev_pop(p_retailprice)', 4)} AS sd, {r('avg(ln(p_retailprice))')} AS log, {r('var_pop(ln(p_retailprice))', 8)} AS logvar, {r('1 / avg(p_retailprice)', 9)} AS rate, {r('median(p_retailprice)', 4)} AS median FROM part")
 def fit_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sufficient statistics that the maximum likelihood estimates come from."""

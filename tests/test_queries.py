@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from quantrail.operators import resampling
 from quantrail.queries import QUERIES, SQL
 
 
@@ -48,3 +51,30 @@ def test_optimum_is_that_of_the_whole_grid(spark, sf_dir):
 
 def test_rank_correlation_reaches_its_target(spark, sf_dir):
     assert abs(QUERIES["rank_correlation"](spark, sf_dir).first()["r"] - 0.6) < 0.03
+
+
+def resampled(x, replicates):
+    n, at = len(x), lambda d: ((int(hashlib.md5(f"1|boot|{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52)
+    return {k: sum(x[int(at(d) * n)] for d in range(k * n, (k + 1) * n)) / n for k in range(replicates)}
+
+
+def test_bootstrap_numbers_ranges_of_rows(spark):
+    """Rows in several ranges, out of order and with nulls."""
+    df = spark.range(999, -1, -1).selectExpr("id AS k", "CASE WHEN id % 7 > 0 THEN cos(id) END AS v").repartition(5)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        places = resampling.numbered(df.filter("v IS NOT NULL"), "k")
+    finally:
+        spark.conf.unset(setting)
+    rows = sorted(places.collect(), key=lambda r: r.k)
+    assert [r.i for r in rows] == list(range(len(rows)))
+    got = {r.replicate: r.estimate for r in resampling.bootstrap(df, "v", "k", F.avg("x"), 3).collect()}
+    assert got == pytest.approx(resampled([r.v for r in rows], 3))
+
+
+def test_bootstrap_of_every_event(spark, duck, sf_dir):
+    x = [v for (v,) in duck.execute("SELECT value FROM events WHERE value IS NOT NULL ORDER BY event_id").fetchall()]
+    got = {r.replicate: r.estimate for r in QUERIES["bootstrap_means_whole"](spark, sf_dir).collect()}
+    known = resampled(x, 200)
+    assert got == pytest.approx(known, abs=1e-6)
