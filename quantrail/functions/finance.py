@@ -87,8 +87,30 @@ def _has_both_signs(cf: Column) -> Column:
     return F.exists(cf, lambda v: v > 0) & F.exists(cf, lambda v: v < 0)
 
 
+def all_irrs(cf: Column) -> Column:
+    """Every rate from -0.99 to 10 at which the value changes its sign, rising: a grid (steps of 0.0005, from 1 on 0.005) finds them, bisection refines them."""
+    grid = F.concat(F.transform(F.sequence(F.lit(0), F.lit(3979)), lambda i: i * 0.0005 - 0.99), F.transform(F.sequence(F.lit(0), F.lit(1800)), lambda i: 1 + i * 0.005))
+    points = F.transform(grid, lambda x: F.struct(x.alias("x"), npv(x, cf).alias("f")))
+    pairs = F.zip_with(F.slice(points, 1, 5780), F.slice(points, 2, 5780), lambda a, b: F.struct(a["x"].alias("lo"), a["f"].alias("f"), b["x"].alias("hi"), b["f"].alias("g")))
+    held = F.filter(pairs, lambda p: (p["f"] == 0) | (F.signum(p["f"]) * F.signum(p["g"]) < 0) | ((p["g"] == 0) & (p["hi"] >= 10)))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        below = F.signum(npv(mid, cf)) == F.signum(s["f"])
+        return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), s["f"].alias("f"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
+
+    def root(p: Column) -> Column:
+        start = F.struct(p["lo"].alias("lo"), p["f"].alias("f"), p["hi"].alias("hi"))
+        return F.when(p["f"] == 0, p["lo"]).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2))
+
+    return F.when(_has_both_signs(cf), F.transform(held, root)).otherwise(F.array().cast("array<double>"))
+
+
 def irr(cf: Column, guess: float = 0.1, steps: int = 60) -> Column:
-    """Newton's method on value and slope, both by Horner's rule; NULL without a change of sign or where it does not settle."""
+    """Newton's method on value and slope, both by Horner's rule; where it does not settle on a root, the one of all_irrs nearest to guess.
+
+    NULL without a change of sign or a root.
+    """
     start = F.struct(F.lit(guess).alias("r"), F.lit(1.0).alias("d"))
 
     def step(s: Column, _: Column) -> Column:
@@ -99,7 +121,10 @@ def irr(cf: Column, guess: float = 0.1, steps: int = 60) -> Column:
         return F.struct(F.coalesce(then, s["r"]).alias("r"), F.coalesce(F.abs(then - s["r"]), F.lit(1.0)).alias("d"))
 
     found = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, step)
-    return F.when(_has_both_signs(cf) & (found["d"] < 1e-9) & ~F.isnan(found["r"]), found["r"])
+    scale = F.array_max(F.transform(cf, F.abs))
+    settled = (found["d"] < 1e-9) & ~F.isnan(found["r"]) & (F.abs(npv(found["r"], cf)) <= scale * 1e-6)
+    nearest = F.array_min(F.transform(all_irrs(cf), lambda r: F.struct(F.abs(r - guess).alias("d"), r.alias("r"))))["r"]
+    return F.when(_has_both_signs(cf), F.when(settled, found["r"]).otherwise(nearest))
 
 
 def mirr(cf: Column, finance: Number, reinvest: Number) -> Column:

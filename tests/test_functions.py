@@ -25,6 +25,20 @@ def test_cash_flows(spark):
     assert one(spark, a=finance.irr(F.array(F.lit(1.0), F.lit(2.0)))) == [None]
 
 
+@pytest.mark.parametrize("flows", [(-230, 90, -230, 10, 30), (-50, 30, -230, 10), (90, -20, -50, 200, -20)])
+def test_irr_where_newton_does_not_settle(spark, flows):
+    cf = F.array(*[F.lit(float(v)) for v in flows])
+    rate, rates = one(spark, a=finance.irr(cf), b=finance.all_irrs(cf))
+    assert rate in rates
+    assert all(abs(sum(v / (1 + r) ** t for t, v in enumerate(flows))) < 1e-3 for r in rates)
+
+
+def test_all_irrs(spark):
+    cf = F.array(*[F.lit(float(v)) for v in (-100, 230, -132)])
+    rates, none = one(spark, a=finance.all_irrs(cf), b=finance.all_irrs(F.array(F.lit(1.0), F.lit(2.0))))
+    assert rates == pytest.approx([0.1, 0.2], abs=1e-9) and none == []
+
+
 def test_errors_spread(spark):
     none = F.lit(None).cast("double")
     assert one(spark, a=sheet.divide(1, 0), b=sheet.smallest(F.lit(1.0), none), c=sheet.some(F.lit(True), none.isNull() & F.lit(None).cast("boolean")), d=sheet.square_root(-1), e=sheet.log(0), f=sheet.power(0, -1), g=sheet.mod(-7, 3), h=sheet.whole(-2.7)) == [None, None, None, None, None, None, -1.0, -2.0]
