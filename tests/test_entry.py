@@ -1,11 +1,30 @@
 from __future__ import annotations
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+ROOT = Path(__file__).resolve().parent.parent
+
+
+def run(code: str, cwd: Path) -> str:
+    done = subprocess.run([sys.executable, "-c", code], cwd=cwd, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    return done.stdout
+
 
 def test_imports_without_a_session():
-    root = Path(__file__).resolve().parent.parent
-    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries().keys() >= e.oracle_sql().keys()"], cwd=root, capture_output=True, text=True)
-    assert run.returncode == 0, run.stderr
+    run("import __spark_entry__ as e; assert e.queries().keys() >= e.oracle_sql().keys()", ROOT)
+
+
+def test_the_rest_stands_without_the_training_data_operators(tmp_path):
+    """With their folders gone, with and without the pipeline, every other query is still there."""
+    from quantrail.queries import QUERIES
+
+    there = tmp_path / "repo"
+    shutil.copytree(ROOT, there, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; e.oracle_sql(); print(*sorted(e.queries()))"
+    assert run(code, there).split() == sorted(QUERIES)
+    (there / "corpus_pipeline.py").unlink(missing_ok=True)
+    assert run(code, there).split() == sorted(QUERIES)
