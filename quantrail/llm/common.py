@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_hot as join_hot  # for the operators here
+
 #: Longest input a Python worker holds at a time, in rows of an Arrow batch.
 BATCH_ROWS = 1024
 #: The same where a row of text becomes many rows.
@@ -54,10 +58,12 @@ def works(operator: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one named in spark.checkpoint.dir. Only where that is unset (as in tests) a temporary one is made."""
+    """The folder that all executors share: the one named in spark.checkpoint.dir. Where that is unset, a session on one machine gets a temporary one, and a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not checkpoints.isDefined():
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quantrail-"))
         checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
     return (named or checkpoints.get()).rstrip("/")
@@ -66,20 +72,82 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so that a lost executor costs no recomputation.
 
-    Columns are compressed, and Spark knows the size of what it reads. Tables stay until forget() is called.
+    Columns are compressed, and Spark knows the size of what it reads. A table stays until discard(), the end of within() or
+    forget() deletes it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quantrail-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    for paths in _scopes:
+        paths.append(path)
+    return out
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """df, if every evaluation deals its rows to partitions alike, as a plain scan of files does; otherwise df cut."""
+    nodes = [line.lstrip(" :+-") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    return df if all(n.startswith(("Project", "Filter", "Relation")) for n in nodes if n) else cut(df)
+
+
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes cut tables whose last reader is written."""
+    for df in tables:
+        _delete(df.sparkSession, df._cut_path)
+
+
+@contextlib.contextmanager
+def within(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables cut meanwhile: for a job whose result is written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this application has cut; for the end of a job, when its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quantrail-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/quantrail-{spark.sparkContext.applicationId}")
+
+
+#: Bits of a sieve: a thousand rows of 4 KB, whatever it holds.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(keys: DataFrame, column: str) -> DataFrame:
+    """A bitmap of the hashes of some keys, of fixed size, cut: what it lacks is not among them, what it has may be."""
+    place = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)) + 1
+    found = keys.select(F.bitmap_bucket_number(place).alias("__qt_bucket"), F.bitmap_bit_position(place).alias("__qt_bit"))
+    return cut(found.groupBy("__qt_bucket").agg(F.bitmap_construct_agg("__qt_bit").alias("__qt_bits")))
+
+
+def sifted(rows: DataFrame, column: str, by: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the sieve, rows whose key is not): so texts that no one asks for are not shuffled. rows is read twice."""
+    place = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)) + 1
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__qt_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), bit % 8)) % 2 == 1, F.lit(False))
+    marked = rows.join(F.broadcast(by), F.bitmap_bucket_number(place) == F.col("__qt_bucket"), "left").withColumn("__qt_there", there)  # at most SIEVE_BITS / 32768 rows
+    return tuple(marked.filter(c).drop("__qt_bucket", "__qt_bits", "__qt_there") for c in (F.col("__qt_there"), ~F.col("__qt_there")))
 
 
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under inner names: extra columns of the input cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+def refuse(df: DataFrame, *names: str) -> None:
+    """Raises an error if df has a column of a result's name, which would be overwritten."""
+    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"rename these columns first, for the result has columns of that name: {sorted(clash)}")
