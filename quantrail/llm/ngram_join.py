@@ -12,6 +12,7 @@ n words has one n-gram, all its words; repeated rows are copies; null keys are k
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FEW_ROWS, cut, renamed, small_batches
+from .common import FEW_ROWS, cut, discard, join_hot, renamed, sieve, sifted, small_batches
 from .words import mixed, runs, word_hashes
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -161,29 +162,26 @@ def _linked(rows: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"key": pa.array([o[0] for o in out], pa.binary()), "links": pa.array([o[1] for o in out], pa.int64()), "other": pa.array([o[2] for o in out], pa.binary())})
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (the least node of its component) for edges (a, b), by alternating large and small stars (Kiveris et al., 2014)."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node of its component) for edges (a, b), by alternating large and small stars (Kiveris et al., 2014), until nothing changes.
+
+    The middle of a large star is a frequent key: its least neighbour is found by partial minima and sent to its edges by join_hot.
+    """
     edges = cut(edges.filter("a <> b").distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    before = state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    before, now = None, state(edges)
+    while now != before and now[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.distinct())
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+        large = cut(join_hot(both, least, ["a"], "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct())
+        nearest = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = join_hot(large, nearest, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").union(nearest.select("a", F.col("m").alias("b")))
+        old, edges = edges, cut(small.distinct())
+        discard(old, least, large, nearest)
+        before, now = now, state(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
@@ -198,16 +196,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     placed = classes.filter("n > 0").select("key", "n", F.posexplode("bands").alias("band", "h"))
     # Most buckets hold one class: a count alone leaves them out before anything else is added up.
-    several = placed.groupBy("band", "h").agg(F.count("*").alias("c")).filter("c > 1").select("band", "h")
-    met = cut(placed.join(several, ["band", "h"]))
+    several = cut(placed.groupBy("band", "h").agg(F.count("*").alias("c")).filter("c > 1"))
+    met = cut(join_hot(placed, several, ["band", "h"], "c"))
     buckets = met.groupBy("band", "h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.sum((F.col("n") + MEMBER).cast("long")).alias("weight"))
     # Buckets of equal members, known by count and two hashes, count once, as the one of the least band.
-    buckets = cut(buckets.groupBy("c", "x", "y").agg(F.min(F.struct("band", "h")).alias("b"), F.first("weight").alias("weight")).select("b.*", "weight"))
-    members = cut(met.join(buckets, ["band", "h"]).select("key", "band", "h", "weight"))
+    buckets = cut(buckets.groupBy("c", "x", "y").agg(F.min(F.struct("band", "h")).alias("b"), F.first("weight").alias("weight")).select("b.*", "weight", "c"))
+    members = cut(join_hot(met, buckets, ["band", "h"], "c").select("key", "band", "h", "weight"))
+    discard(several, met, buckets)
 
-    wanted = members.select("key").distinct().join(classes, "key").select("key", "rep.doc", "rep.th", "size", "bands")
-    texts = wanted.join(docs, wanted["doc"].eqNullSafe(docs["doc"]) & (wanted["th"] == docs["th"]))
-    sets = texts.select("key", "size", "bands", _grams_of(words)(docs["text"]).alias("grams")).dropDuplicates(["key"])
+    wanted = cut(members.select("key").distinct().join(classes, "key").select("key", "rep.doc", "rep.th", "size", "bands"))
+    few, _ = sifted(docs, "th", sieve(wanted, "th"))
+    texts = wanted.join(few, wanted["doc"].eqNullSafe(few["doc"]) & (wanted["th"] == few["th"]))
+    sets = texts.select("key", "size", "bands", _grams_of(words)(few["text"]).alias("grams")).dropDuplicates(["key"])
 
     total = members.agg(F.sum("weight"), F.count("*")).first()
     # Small buckets share groups of about BLOCK n-grams; each pair of blocks of a large one has its own.
@@ -222,18 +222,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
     known = classes.select("key", "size", "rep").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    known = known.withColumn("root", F.coalesce("root", "key"))
-    least = known.groupBy("root").agg(F.min("rep").alias("least"))
-    known = cut(known.join(least, "root").select("key", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    out = signed.select("doc", "th", "key").join(known, "key")
+    known = cut(known.withColumn("root", F.coalesce("root", "key")))
+    discard(members, found)
+    least = cut(known.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("n")))
+    done = cut(join_hot(known, least, ["root"], "n").select("key", "size", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    discard(classes, known, least)
+    # A third of all rows can be copies of one text: its class then goes to them, not they to it.
+    out = join_hot(signed.select("doc", "th", "key"), done, ["key"], "size")
     return out.select(F.col("doc").alias(key), F.col("least.doc").alias("class_id"), "n_links", F.hex("key").alias("copy_key"), (F.struct("doc", "th") == F.col("least")).alias("keeps"), F.col("th").alias("text_hash"))
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """df without near duplicates: of each group the row with the least key (then text hash) stays; of its equal rows, one."""
-    found = near_duplicates(df, key, text, words, similarity, recall).filter("keeps")
+    found = near_duplicates(df, key, text, words, similarity, recall)
     named = F.xxhash64(F.col(f"`{key}`"))  # never null, so that null keys join
-    keep = cut(found.select(named.alias("__qt_named"), F.col("text_hash").alias("__qt_hash")).distinct())
-    rows = df.withColumns({"__qt_named": named, "__qt_hash": F.xxhash64(F.col(f"`{text}`"))})
-    rows = rows.join(keep, ["__qt_named", "__qt_hash"], "left_semi").dropDuplicates(["__qt_named", "__qt_hash"])
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+    marks = found.groupBy(named.alias("__qt_named"), F.col("text_hash").alias("__qt_hash")).agg(F.max("keeps").alias("__qt_keeps"), F.count("*").alias("__qt_n"))
+    # Rows that stay as they are need no join: only those that go, and repeated rows, are looked up.
+    special = cut(marks.filter("NOT __qt_keeps OR __qt_n > 1"))
+    both = F.xxhash64("__qt_named", "__qt_hash")
+    rows = df.withColumns({"__qt_named": named, "__qt_hash": F.xxhash64(F.col(f"`{text}`"))}).withColumn("__qt_both", both)
+    some, rest = sifted(rows, "__qt_both", sieve(special.select(both.alias("__qt_both")), "__qt_both"))
+    again = special.filter("__qt_keeps")
+    once = some.join(special.select("__qt_named", "__qt_hash"), ["__qt_named", "__qt_hash"], "left_anti")
+    several = some.join(again.select("__qt_named", "__qt_hash"), ["__qt_named", "__qt_hash"], "left_semi").dropDuplicates(["__qt_named", "__qt_hash"])
+    return functools.reduce(DataFrame.union, [d.select(*[F.col(f"`{c}`") for c in df.columns]) for d in (rest, once, several)])
