@@ -27,7 +27,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"""\b(?:token|secret|password|api_?key|access_?key)\x20?[=:]\x20?["']([A-Za-z0-9_+/=-]{16,128})["']""", re.I)
+SECRET = re.compile(r"""\b(?:token|secret|password|api_?key|access_?key)\x20?[=:]\x20?["']([A-Za-z0-9_+/=-]{16,})["']""", re.I)
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: Words near a span that raise the score of its kind.

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, renamed, small_batches, works
+from .common import ASCII_SPACE, refuse, renamed, small_batches, works
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -184,7 +184,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", te
 
 
 def judge(df: DataFrame, forest: Forest | None, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """df with COUNTS, base_failed and kept."""
+    """df with COUNTS, base_failed and kept. Columns of these names are refused, not overwritten."""
+    refuse(df, *COUNTS, "base_failed", "kept")
     small_batches(df.sparkSession)
     s = "__qt_stats"
     out = df.withColumn(s, quality_stats(F.col(f"`{text}`"), forest))

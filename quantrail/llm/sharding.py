@@ -5,6 +5,8 @@ move; the last move below the count is the key's shard. No ring table is kept, a
 itself. Unsigned 64-bit arithmetic is done on two 32-bit halves, for signed longs would overflow.
 
 Defined results: a null key is a key of its own; equal keys share a shard, whose slots stay gapless; a null text has no bytes.
+A column named shard, grown_shard or slot is refused, not overwritten. A key that moved more than MOVES times would raise an
+error; it moves about ln(shards) times.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import refuse, repeatable
+
 #: Fixed value: the multiplier of the generator in the published algorithm (Lamping and Veach, 2014).
 MULTIPLIER = 2862933555777941757
 HIGH, LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
@@ -63,8 +67,9 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
     A slot is the row's place in its part of the input plus the rows of that shard in earlier parts. Rows are dealt
     by part and shard, so a group is never larger than a part, whatever key is frequent.
     """
+    refuse(df, "shard", "grown_shard", "slot")
     hashed = key_hash(F.col(f"`{key}`"))
-    df = df.select("*", F.spark_partition_id().alias("__qt_part"), F.monotonically_increasing_id().alias("__qt_row"), hashed.alias("__qt_hash"))
+    df = repeatable(df).select("*", F.spark_partition_id().alias("__qt_part"), F.monotonically_increasing_id().alias("__qt_row"), hashed.alias("__qt_hash"))
     df = df.withColumns({"shard": jump_shard(F.col("__qt_hash"), shards), "grown_shard": jump_shard(F.col("__qt_hash"), shards + 1)})
     counts = df.groupBy("shard", "__qt_part").agg(F.count("*").alias("__qt_n"))
     earlier = Window.partitionBy("shard").orderBy("__qt_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -75,6 +75,11 @@ def test_pii_kinds_and_redaction():
     assert pii.redacted(text, pii.find(text)) == "IBAN <IBAN> and DE89 3704 0044 0532 0130 01, mail <EMAIL>"
 
 
+def test_pii_of_a_long_secret():
+    for n in (16, 128, 129, 5000):
+        assert [(k, b - a) for k, a, b, _ in pii.find(f'api_key = "{"aB3" * n}"'[: n + 11] + '"')] == [("secret", n)]
+
+
 def test_pii_redaction_of_overlapping_spans(spark):
     known = {
         "ip 10.0.0.0 4111111111111111 end": "ip <IP> end",
@@ -244,6 +249,24 @@ def test_topk_of_odd_vectors(spark):
     assert topk.top_k(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_topk_threshold_prunes_and_copies_rank(spark, parts):
+    """Frequent equal vectors, ties, signs and uneven lengths; of all pairs of other vectors few are collected."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=int(rng.integers(5, 9)))]) for i in range(400)]
+    rows = [(i, rows[7][1] if i % 3 == 0 else v) for i, v in rows] + [(50, rows[50][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = [(i, [math.floor(256 * x) for x in e]) for i, e in rows]
+    want = Counter()
+    for at, (q, e) in enumerate(v):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(e, o, strict=False)), i) for j, (i, o) in enumerate(v) if j != at)[:5]
+            want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(scores))
+    assert Counter(tuple(r) for r in topk.top_k(df, parts=parts).collect()) == want
+    _, vectors, found = topk.search(df, parts=parts)
+    assert found.count() < 0.2 * vectors.filter("asked > 0").count() * vectors.count()
+
+
 def test_lattice_sums_over_all_segmentations():
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     weights = np.log(np.random.default_rng(3).dirichlet(np.ones(model.get_piece_size())))
@@ -260,6 +283,78 @@ def test_lattice_sums_over_all_segmentations():
     assert math.isfinite(lattice.log_probability("𝕏퟿"))
 
 
+def segmentations(text, ids):
+    """All ways to cut a text into pieces."""
+    if not text:
+        yield []
+    for n in range(1, len(text) + 1):
+        if text[:n] in ids:
+            for rest in segmentations(text[n:], ids):
+                yield [ids[text[:n]], *rest]
+
+
+def test_expected_counts_of_pieces():
+    """A word's count, shared among all its segmentations, with and without logarithms."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    weights = np.log(np.random.default_rng(3).dirichlet(np.ones(model.get_piece_size())))
+    ids = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
+    for word in ("the", "house", "zzq"):
+        found = [*segmentations("▁" + word, ids)]
+        p = np.array([math.exp(sum(weights[i] for i in f)) for f in found])
+        want = Counter()
+        for f, x in zip(found, p / p.sum(), strict=True):
+            for i in f:
+                want[i] += 7 * x
+        for length in (unigram_lm.PLAIN_LENGTH, 0):
+            shares = unigram_lm.Shares(model, weights)
+            shares.add(word, 7) if length else shares_by_logarithms(shares, word, 7)
+            got = {i: c for i, c in enumerate(shares.total) if c > 1e-300}
+            assert got == pytest.approx({i: c for i, c in want.items() if c > 1e-300}, rel=1e-6)
+    odd = unigram_lm.Shares(model, weights)
+    odd.add("a𝕏" * 150, 2)
+    assert sum(odd.total[i] for i in odd.byte_ids.values()) == pytest.approx(2 * 150 * len("𝕏".encode()))
+
+
+def shares_by_logarithms(shares, word, count, monkey=unigram_lm):
+    plain = monkey.PLAIN_LENGTH
+    monkey.PLAIN_LENGTH = 0
+    try:
+        shares.add(word, count)
+    finally:
+        monkey.PLAIN_LENGTH = plain
+
+
+def test_lm_scores_of_documents(spark):
+    """Weights after a round of expectation-maximisation and scores over all segmentations, by brute force."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
+    texts = ["the cat sat", "The hat the mat", "rats eat", "", None, "a cat ate the oats and tea", "zest"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    held = {i: __import__("zlib").crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    words = {i: (t or "").lower().split() for i, t in rows}
+    c = Counter(w for i in words if not held[i] for w in words[i])
+    ends = sum(not h for h in held.values())
+
+    def weights_of(counts):
+        counts[model.eos_id()] += ends
+        return np.log((counts + 0.5) / (counts.sum() + 0.5 * len(counts)))
+
+    counts = np.zeros(model.get_piece_size())
+    for w, n in c.items():
+        np.add.at(counts, model.encode(w), n)
+    weights = weights_of(counts)
+    counts = np.zeros(model.get_piece_size())
+    for w, n in c.items():
+        found = [*segmentations("▁" + w, ids)]
+        p = np.array([math.exp(sum(weights[i] for i in f)) for f in found])
+        for f, x in zip(found, p / p.sum(), strict=True):
+            np.add.at(counts, f, n * x)
+    weights = weights_of(counts)
+    want = {i: (sum(math.log(sum(math.exp(sum(weights[x] for x in f)) for f in segmentations("▁" + w, ids))) for w in words[i]) + weights[model.eos_id()]) / math.log(10) for i in words}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.score for r in unigram_lm.lm_scores(df, public_tokenizers.path("piece_bpe_32k.model")).collect()} == pytest.approx(want, rel=1e-6)
+
+
 def test_lm_base_scores(spark, sf_dir, docs):
     import zlib
 
@@ -295,6 +390,35 @@ def test_passages(spark, sf_dir, docs):
     assert got == want
 
 
+@pytest.mark.parametrize("group", [1, 4])
+def test_wide_groups_give_the_same_passages(spark, sf_dir, group):
+    """Groups over the bound, and those at the borders of ranges, are compared another way."""
+    docs = common.table(spark, sf_dir, "documents")
+    docs = docs.union(docs.limit(50)).repartition(7)  # repeated rows too
+    rows = lambda n: {(r.doc_id, r.text_hash, str(r.passages)) for r in suffix_array.repeated_passages(docs, group=n).collect()}
+    assert rows(group) == rows(suffix_array.GROUP)
+
+
+def test_frequent_keys_join_alike(spark):
+    left = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").filter("k % 2 = 1")
+    assert sorted(common.join_hot(left, right, ["k"], "n").collect()) == sorted(left.filter("k % 2 = 1").collect())
+
+
+def test_a_sieve_loses_no_key(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 10 > 0 THEN id END AS k", "id AS v")
+    some, rest = common.sifted(rows, "k", common.sieve(rows.filter("v % 7 = 0"), "k"))
+    assert {r.v for r in some.collect()} >= {v for v in range(5000) if v % 7 == 0 or v % 10 == 0}
+    assert rest.count() + some.count() == 5000 and some.count() < 1300
+    assert common.sifted(rows, "k", common.sieve(rows.filter("false"), "k"))[1].count() == 5000
+
+
+def test_components_of_long_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)]
+    got = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1400), 1000)}
+
+
 def test_cut_repeats(spark):
     p = " ".join(f"p{i}" for i in range(60))
     df = spark.createDataFrame([(1, f"a {p} b"), (2, f"c {p} d"), (3, p), (4, p), (5, "short"), (6, None)], "doc_id long, text string")
@@ -329,6 +453,13 @@ def test_odd_documents(spark, odd):
     assert suffix_array.cut_repeats(odd).count() == n
 
 
+def test_result_names_are_refused_not_overwritten(odd):
+    with pytest.raises(ValueError, match="shard"):
+        sharding.shard(odd, 8)
+    with pytest.raises(ValueError, match="kept"):
+        quality.judge(odd, None)
+
+
 def test_empty_documents(spark, odd):
     none = odd.filter("false")
     assert ngram_join.near_duplicates(none).count() == 0
