@@ -1,12 +1,14 @@
 """Distributions with closed-form quantiles, as expressions that Spark SQL and DuckDB both read.
 
-A family has a quantile in `u`, a cumulative function and a density in `x`, and its mean and variance. Parameters are numbers
-and become literals. Quantiles of `u` outside the unit interval are null. The other families are in numeric.py.
+A family has a quantile in `u`, a cumulative function, a survival function and a density in `x`, and its mean and variance.
+Parameters are numbers and become literals. Quantiles of `u` outside the unit interval are null, at its ends those of the support.
+The other families are in numeric.py; they have the same columns.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,8 +30,24 @@ TAIL = (
 )
 
 
+#: Rational approximations of the error function (Cody, 1969), highest power first: near 0, to 4, beyond.
+ERF_NEAR = (
+    (1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+    (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+)
+ERFC_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+ERFC_FAR = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+
+
 def num(x: float) -> str:
     """A double literal for both engines."""
+    x = float(x)
     return f"CAST({x!r} AS DOUBLE)" if math.isfinite(x) else f"CAST('{x}' AS DOUBLE)"
 
 
@@ -53,26 +71,64 @@ def normal_quantile(u: str) -> str:
     return f"(CASE WHEN abs({q}) <= {num(0.425)} THEN {near} WHEN {u} < {num(0.5)} THEN -{far} ELSE {far} END)"
 
 
+def erfc(x: str) -> str:
+    """The complementary error function, to about 1e-13 of its value."""
+    a, z = f"abs({x})", f"(1 / ({x} * {x}))"
+    far = f"(exp(-{x} * {x}) * ({num(1 / math.sqrt(math.pi))} - {z} * {ratio(z, ERFC_FAR)}) / {a})"
+    tail = f"(CASE WHEN {a} <= 4 THEN exp(-{x} * {x}) * {ratio(a, ERFC_MIDDLE)} ELSE {far} END)"
+    return f"(CASE WHEN {a} <= {num(0.46875)} THEN 1 - {x} * {ratio(f'({x} * {x})', ERF_NEAR)} WHEN {x} > 0 THEN {tail} ELSE 2 - {tail} END)"
+
+
+def normal_cdf(z: str) -> str:
+    return f"({num(0.5)} * {erfc(f'(-({z}) * {num(math.sqrt(0.5))})')})"
+
+
+def normal_survival(z: str) -> str:
+    return f"({num(0.5)} * {erfc(f'(({z}) * {num(math.sqrt(0.5))})')})"
+
+
 @dataclass(frozen=True)
 class Family:
-    """Expressions of a distribution; cdf and pdf are None where they have no elementary form."""
+    """Expressions of a distribution; survival and upper (the quantile of a survival share) are the precise ones of the upper tail, where a family has them."""
 
     quantile: Callable[[str], str]
-    cdf: Callable[[str], str] | None
-    pdf: Callable[[str], str] | None
+    cdf: Callable[[str], str]
+    pdf: Callable[[str], str]
     mean: float
     variance: float
     low: float = -math.inf
     high: float = math.inf
     discrete: bool = False
+    survival: Callable[[str], str] | None = None
+    upper: Callable[[str], str] | None = None
 
     def quantile_sql(self, u: str) -> str:
-        return f"(CASE WHEN {u} <= 0 OR {u} >= 1 THEN NULL ELSE {self.quantile(u)} END)"
+        low, high = (num(float(e)) if math.isfinite(e) else "NULL" for e in (self.low, self.high))
+        return f"(CASE WHEN {u} > 0 AND {u} < 1 THEN {self.quantile(u)} WHEN {u} = 0 THEN {low} WHEN {u} = 1 THEN {high} END)"
+
+    def survival_sql(self, x: str) -> str:
+        return self.survival(x) if self.survival else f"(1 - {self.cdf(x)})"
+
+    def upper_sql(self, q: str) -> str:
+        return self.upper(q) if self.upper else self.quantile(f"(1 - {q})")
 
     def sample(self, u: str) -> Column:
         """The quantile at the named column of uniform numbers."""
         return F.expr(self.quantile_sql(u))
 
+    def cdf_column(self, x: str) -> Column:
+        return F.expr(self.cdf(x))
+
+    def survival_column(self, x: str) -> Column:
+        return F.expr(self.survival_sql(x))
+
+    def pdf_column(self, x: str) -> Column:
+        return F.expr(self.pdf(x))
+
+    def log_pdf_column(self, x: str) -> Column:
+        """Minus infinity where the density is 0."""
+        return F.coalesce(F.ln(F.expr(self.pdf(x))), F.when(F.col(x).isNotNull(), F.lit(-math.inf)))
+
 
 def check(ok: bool, message: str) -> None:
     if not ok:
@@ -81,7 +137,16 @@ def check(ok: bool, message: str) -> None:
 
 def normal(mean: float, sd: float) -> Family:
     check(sd > 0, "sd must be positive")
-    return Family(lambda u: f"({num(mean)} + {num(sd)} * {normal_quantile(u)})", None, lambda x: f"(exp(-0.5 * power(({x} - {num(mean)}) / {num(sd)}, 2)) / {num(sd * math.sqrt(2 * math.pi))})", mean, sd * sd)
+    z = lambda x: f"(({x} - {num(mean)}) / {num(sd)})"
+    return Family(
+        lambda u: f"({num(mean)} + {num(sd)} * {normal_quantile(u)})",
+        lambda x: normal_cdf(z(x)),
+        lambda x: f"(exp(-0.5 * power({z(x)}, 2)) / {num(sd * math.sqrt(2 * math.pi))})",
+        mean,
+        sd * sd,
+        survival=lambda x: normal_survival(z(x)),
+        upper=lambda q: f"({num(mean)} - {num(sd)} * {normal_quantile(q)})",
+    )
 
 
 def lognormal(mean: float, sd: float) -> Family:
@@ -90,7 +155,8 @@ def lognormal(mean: float, sd: float) -> Family:
     s2 = math.log1p((sd / mean) ** 2)
     mu, s = math.log(mean) - s2 / 2, math.sqrt(s2)
     pdf = lambda x: f"(CASE WHEN {x} > 0 THEN exp(-0.5 * power((ln({x}) - {num(mu)}) / {num(s)}, 2)) / ({x} * {num(s * math.sqrt(2 * math.pi))}) ELSE 0 END)"
-    return Family(lambda u: f"exp({num(mu)} + {num(s)} * {normal_quantile(u)})", None, pdf, mean, sd * sd, 0.0)
+    side = lambda of, none: lambda x: f"(CASE WHEN {x} > 0 THEN {of(f'((ln({x}) - {num(mu)}) / {num(s)})')} ELSE {num(none)} END)"
+    return Family(lambda u: f"exp({num(mu)} + {num(s)} * {normal_quantile(u)})", side(normal_cdf, 0.0), pdf, mean, sd * sd, 0.0, survival=side(normal_survival, 1.0), upper=lambda q: f"exp({num(mu)} - {num(s)} * {normal_quantile(q)})")
 
 
 def _clipped(inside: Callable[[str], str], low: float, high: float) -> Callable[[str], str]:
@@ -121,7 +187,7 @@ def triangular(low: float, mode: float, high: float) -> Family:
 
 def exponential(rate: float) -> Family:
     check(rate > 0, "rate must be positive")
-    return Family(lambda u: f"(-ln(1 - {u}) / {num(rate)})", lambda x: f"(CASE WHEN {x} <= 0 THEN {num(0.0)} ELSE 1 - exp(-{num(rate)} * {x}) END)", lambda x: f"(CASE WHEN {x} < 0 THEN {num(0.0)} ELSE {num(rate)} * exp(-{num(rate)} * {x}) END)", 1 / rate, 1 / rate**2, 0.0)
+    return Family(lambda u: f"(-ln(1 - {u}) / {num(rate)})", lambda x: f"(CASE WHEN {x} <= 0 THEN {num(0.0)} ELSE 1 - exp(-{num(rate)} * {x}) END)", lambda x: f"(CASE WHEN {x} < 0 THEN {num(0.0)} ELSE {num(rate)} * exp(-{num(rate)} * {x}) END)", 1 / rate, 1 / rate**2, 0.0, survival=lambda x: f"(CASE WHEN {x} <= 0 THEN {num(1.0)} ELSE exp(-{num(rate)} * {x}) END)", upper=lambda q: f"(-ln({q}) / {num(rate)})")
 
 
 def weibull(shape: float, scale: float, location: float = 0.0) -> Family:
@@ -135,13 +201,15 @@ def weibull(shape: float, scale: float, location: float = 0.0) -> Family:
         location + scale * g1,
         scale**2 * (g2 - g1 * g1),
         location,
+        survival=lambda x: f"(CASE WHEN {x} <= {num(location)} THEN {num(1.0)} ELSE exp(-power({z(x)}, {num(shape)})) END)",
+        upper=lambda q: f"({num(location)} + {num(scale)} * power(-ln({q}), {num(1 / shape)}))",
     )
 
 
 def logistic(mean: float, scale: float) -> Family:
     check(scale > 0, "scale must be positive")
     e = lambda x: f"exp(-({x} - {num(mean)}) / {num(scale)})"
-    return Family(lambda u: f"({num(mean)} + {num(scale)} * (ln({u}) - ln(1 - {u})))", lambda x: f"(1 / (1 + {e(x)}))", lambda x: f"({e(x)} / ({num(scale)} * power(1 + {e(x)}, 2)))", mean, (math.pi * scale) ** 2 / 3)
+    return Family(lambda u: f"({num(mean)} + {num(scale)} * (ln({u}) - ln(1 - {u})))", lambda x: f"(1 / (1 + {e(x)}))", lambda x: f"({e(x)} / ({num(scale)} * power(1 + {e(x)}, 2)))", mean, (math.pi * scale) ** 2 / 3, survival=lambda x: f"({e(x)} / (1 + {e(x)}))", upper=lambda q: f"({num(mean)} - {num(scale)} * (ln({q}) - ln(1 - {q})))")
 
 
 def cauchy(location: float, scale: float) -> Family:
@@ -179,6 +247,8 @@ def pareto(shape: float, scale: float) -> Family:
         shape * scale / (shape - 1) if shape > 1 else math.inf,
         shape * scale**2 / ((shape - 1) ** 2 * (shape - 2)) if shape > 2 else math.inf,
         scale,
+        survival=lambda x: f"(CASE WHEN {x} <= {num(scale)} THEN {num(1.0)} ELSE power({num(scale)} / {x}, {num(shape)}) END)",
+        upper=lambda q: f"({num(scale)} * power({q}, {num(-1 / shape)}))",
     )
 
 
@@ -286,6 +356,18 @@ def discrete_uniform(low: int, high: int) -> Family:
     )
 
 
+def _lookup(x: str, keys: list[float], values: list[float], strict: bool) -> str:
+    """values at how many sorted keys lie below x (or at it, unless strict): nested halves, so that a table of n keys is log2(n) comparisons deep."""
+
+    def half(lo: int, hi: int) -> str:
+        if lo == hi:
+            return num(values[lo])
+        mid = (lo + hi) // 2
+        return f"(CASE WHEN {x} {'<=' if strict else '<'} {num(keys[mid])} THEN {half(lo, mid)} ELSE {half(mid + 1, hi)} END)"
+
+    return half(0, len(keys))
+
+
 def weighted(values: list[float], weights: list[float]) -> Family:
     """A finite table: duplicates are merged, weights normalised."""
     table: dict[float, float] = {}
@@ -294,40 +376,115 @@ def weighted(values: list[float], weights: list[float]) -> Family:
         if w:
             table[float(v)] = table.get(float(v), 0.0) + w
     check(bool(table), "a positive weight is needed")
-    total, at, steps = sum(table.values()), 0.0, []
-    for v in sorted(table):
-        at += table[v] / total
-        steps.append((v, at))
+    total, keys, sums = sum(table.values()), sorted(table), [0.0]
+    for v in keys:
+        sums.append(sums[-1] + table[v] / total)
+    sums[-1] = 1.0
     mean = sum(v * w for v, w in table.items()) / total
-    q = lambda u: "(CASE " + " ".join(f"WHEN {u} <= {num(c)} THEN {num(v)}" for v, c in steps[:-1]) + f" ELSE {num(steps[-1][0])} END)" if len(steps) > 1 else num(steps[0][0])
-    cdf = lambda x: "(CASE " + " ".join(f"WHEN {x} < {num(v)} THEN {num(c)}" for (v, _), c in zip(steps, [0.0, *[c for _, c in steps]], strict=False)) + f" ELSE {num(1.0)} END)"
-    pdf = lambda x: "(CASE " + " ".join(f"WHEN {x} = {num(v)} THEN {num(w / total)}" for v, w in table.items()) + f" ELSE {num(0.0)} END)"
-    return Family(q, cdf, pdf, mean, sum(w * (v - mean) ** 2 for v, w in table.items()) / total, steps[0][0], steps[-1][0], True)
+    return Family(
+        lambda u: _lookup(u, sums[1:-1], keys, True),
+        lambda x: _lookup(x, keys, sums, False),
+        lambda x: f"(CASE WHEN {x} = {_lookup(x, keys[1:], keys, False)} THEN {_lookup(x, keys[1:], [table[v] / total for v in keys], False)} ELSE {num(0.0)} END)",
+        mean,
+        sum(w * (v - mean) ** 2 for v, w in table.items()) / total,
+        keys[0],
+        keys[-1],
+        True,
+    )
 
 
 def empirical(values: list[float]) -> Family:
-    """Interpolates linearly between the sorted values."""
+    """Interpolates linearly between the sorted values; the density is constant between two values, infinite at repeated ones."""
     v = sorted(map(float, values))
     check(bool(v), "values are needed")
-    n, mean = len(v), sum(v) / len(v)
+    n = len(v)
     if n == 1:
         return fixed(v[0])
-    steps = [(i / (n - 1), v[i], (v[i + 1] - v[i]) * (n - 1)) for i in range(n - 1)]
-    q = lambda u: "(CASE " + " ".join(f"WHEN {u} <= {num((i + 1) / (n - 1))} THEN {num(a)} + ({u} - {num(p)}) * {num(s)}" for i, (p, a, s) in enumerate(steps)) + f" ELSE {num(v[-1])} END)"
-    cdf = _clipped(lambda x: "(CASE " + " ".join(f"WHEN {x} < {num(v[i + 1])} THEN {num(p)} + ({x} - {num(a)}) / {num(s)}" for i, (p, a, s) in enumerate(steps) if s) + f" ELSE {num(1.0)} END)", v[0], v[-1])
+    slope = [(v[i + 1] - v[i]) * (n - 1) for i in range(n - 1)]
+    ends = [(i + 1) / (n - 1) for i in range(n - 2)]
+    base = [v[i] - slope[i] * (i / (n - 1)) for i in range(n - 1)]
+    keep = [i for i in range(n - 1) if slope[i]]  # steps with room
+    twice = {v[i] for i in range(n - 1) if not slope[i]}
+    inner = [v[i + 1] for i in keep[:-1]]
+    rise = [1 / slope[i] for i in keep] or [0.0]
+    start = [i / (n - 1) - v[i] / slope[i] for i in keep] or [0.0]
+    cdf = _clipped(lambda x: f"({_lookup(x, inner, start, False)} + {x} * {_lookup(x, inner, rise, False)})", v[0], v[-1])
+    cdf_top = lambda x: f"(CASE WHEN {x} >= {num(v[-1])} THEN {num(1.0)} ELSE {cdf(x)} END)"
+    density = _inside(lambda x: _lookup(x, inner, rise, False), v[0], v[-1])
+    pdf = (lambda x: f"(CASE WHEN {x} IN ({', '.join(map(num, sorted(twice)))}) THEN {num(math.inf)} ELSE {density(x)} END)") if twice else density
     second = sum((v[i] ** 2 + v[i] * v[i + 1] + v[i + 1] ** 2) / 3 for i in range(n - 1)) / (n - 1)
     mean = sum((v[i] + v[i + 1]) / 2 for i in range(n - 1)) / (n - 1)
-    return Family(q, cdf, None, mean, second - mean**2, v[0], v[-1])
+    return Family(lambda u: f"({_lookup(u, ends, base, True)} + {u} * {_lookup(u, ends, slope, True)})", cdf_top, pdf, mean, second - mean**2, v[0], v[-1])
 
 
 def fixed(value: float) -> Family:
     return Family(lambda _: num(float(value)), lambda x: f"(CASE WHEN {x} < {num(float(value))} THEN {num(0.0)} ELSE {num(1.0)} END)", lambda x: f"(CASE WHEN {x} = {num(float(value))} THEN {num(1.0)} ELSE {num(0.0)} END)", value, 0.0, value, value, True)
 
 
-def truncated(base: Family, below: float, above: float) -> Family:
-    """base on u rescaled between the shares below its bounds; base needs the shares, given as numbers in [0, 1]."""
-    check(0 <= below < above <= 1, "the range holds no probability")
-    return Family(lambda u: base.quantile(f"({num(below)} + {u} * {num(above - below)})"), None, None, math.nan, math.nan, base.low, base.high, base.discrete)
+#: How an expression of this module reads in Python; a CASE becomes a call with its conditions and values as functions.
+_PYTHON = (
+    (r"CAST\('?([^' ]+)'? AS DOUBLE\)", r"float('\1')"),
+    (r"\bCASE WHEN\b", "_case(lambda: ("),
+    (r"\b(WHEN|THEN)\b", "), lambda: ("),
+    (r"\bELSE\b", "), lambda: True, lambda: ("),
+    (r"\bEND\b", "))"),
+    (r"\bAND\b", "and"),
+    (r"\bOR\b", "or"),
+    (r"\bIN\b", "in"),
+    (r"\bNULL\b", "None"),
+    (r"<>", "!="),
+    (r"(?<![<>!=])=(?!=)", "=="),
+)
+
+
+def _case(*steps: Callable[[], object]) -> object:
+    return next((value() for when, value in zip(steps[::2], steps[1::2], strict=True) if when()), None)
+
+
+def value(expression: str) -> float:
+    """A constant expression as a number, on the driver."""
+    for pattern, by in _PYTHON:
+        expression = re.sub(pattern, by, expression)
+    names = {n: getattr(math, n) for n in ("exp", "sqrt", "sin", "asin", "atan", "tan", "floor", "ceil")}
+    names |= {"_case": _case, "float": float, "abs": abs, "ln": math.log, "power": pow, "greatest": max, "least": min, "__builtins__": {}}
+    return float(eval(expression, names))  # noqa: S307 - an expression of this module
+
+
+def truncated(base: Family, low: float | None = None, high: float | None = None) -> Family:
+    """base between bounds, which belong to it. Moments are those of operators.fitting.moments.
+
+    Where the lower bound is above the median, shares are those of the upper tail, which keep their digits.
+    """
+    a, b = (base.low if low is None else max(float(low), base.low)), (base.high if high is None else min(float(high), base.high))
+    check(a <= b and (a < b or base.discrete), "the range holds no probability")
+    at = value(base.pdf(num(a))) if base.discrete else 0.0
+    late = math.isfinite(a) and value(base.cdf(num(a))) > 0.5
+    # Shares beside the range, of the lower tail, or of the upper tail where the range lies in it.
+    side = base.survival_sql if late else base.cdf
+    first = (value(side(num(a))) + (at if late else -at)) if math.isfinite(a) else float(late)
+    last = value(side(num(b))) if math.isfinite(b) else float(not late)
+    mass = abs(last - first)
+    check(mass > 0, "the range holds no probability")
+    within = lambda x: f"least(greatest({x}, {num(a)}), {num(b)})"
+    inverse = base.upper_sql if late else base.quantile
+
+    def share(x: str, upper: bool) -> str:
+        part = f"abs({side(x)} - {num(last if upper else first)}) / {num(mass)}"
+        edge = "<" if base.discrete else "<="
+        return f"(CASE WHEN {x} {edge} {num(a)} THEN {num(float(upper))} WHEN {x} >= {num(b)} THEN {num(float(not upper))} ELSE least({part}, {num(1.0)}) END)"
+
+    return Family(
+        lambda u: within(inverse(f"({num(first)} + {u} * {num(last - first)})")),
+        lambda x: share(x, False),
+        lambda x: f"(CASE WHEN {x} < {num(a)} OR {x} > {num(b)} THEN {num(0.0)} ELSE {base.pdf(x)} / {num(mass)} END)",
+        math.nan,
+        math.nan,
+        a,
+        b,
+        base.discrete,
+        lambda x: share(x, True),
+        lambda q: within(inverse(f"({num(last)} - {q} * {num(last - first)})")),
+    )
 
 
 #: One example of each family, used by the catalogue query and the tests.

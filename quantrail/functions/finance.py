@@ -5,6 +5,9 @@ Cash flows are array columns from period 0. NULL is the error value: impossible
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +75,63 @@ def levered_beta(beta: Number, debt_to_equity: Number, tax: Number) -> Column:
     return _c(beta) * (1 + (1 - _c(tax)) * _c(debt_to_equity))
 
 
+def ipmt(rate: Number, period: Number, n: Number, present: Number, future: Number = 0, due: Number = 0) -> Column:
+    """The interest part of a payment; of payments at the start of a period the first has none."""
+    rate, period, present, due = map(_c, (rate, period, present, due))
+    level = pmt(rate, n, present, future, due)
+    owed = fv(rate, period - 1, level, present, due)
+    interest = F.when(due == 1, F.when(period == 1, 0.0).otherwise((fv(rate, period - 2, level, present, due) - level) * rate)).otherwise(owed * rate)
+    return F.when((period >= 1) & (period <= _c(n)), interest)
+
+
+def ppmt(rate: Number, period: Number, n: Number, present: Number, future: Number = 0, due: Number = 0) -> Column:
+    return pmt(rate, n, present, future, due) - ipmt(rate, period, n, present, future, due)
+
+
+def rate(n: Number, payment: Number, present: Number, future: Number = 0, due: Number = 0, guess: float = 0.1, steps: int = 60) -> Column:
+    """The rate of an annuity, by secant steps; NULL where they don't settle."""
+    n, payment, present, future, due = map(_c, (n, payment, present, future, due))
+    value = lambda r: fv(r, n, payment, present, due) - future
+    start = F.struct(F.lit(guess * 0.9 + 1e-6).alias("a"), F.lit(guess).alias("b"), F.lit(1.0).alias("d"))
+
+    def step(s: Column, _: Column) -> Column:
+        fa, fb = value(s["a"]), value(s["b"])
+        move = F.coalesce(F.try_divide(fb * (s["b"] - s["a"]), fb - fa), F.lit(0.0))
+        return F.struct(s["b"].alias("a"), F.greatest(s["b"] - move, (s["b"] - 1) / 2).alias("b"), F.abs(move).alias("d"))
+
+    found = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, step)
+    scale = F.abs(present) + F.abs(future) + F.abs(payment * n)
+    return F.when((found["d"] < 1e-9) & (F.abs(value(found["b"])) <= 1e-6 * scale), found["b"])
+
+
+def cumulative_interest(rate_: Number, n: int, present: Number, first: int, last: int, due: int = 0) -> Column:
+    return sum((ipmt(rate_, t, n, present, 0, due) for t in range(first + 1, last + 1)), ipmt(rate_, first, n, present, 0, due))
+
+
+def cumulative_principal(rate_: Number, n: int, present: Number, first: int, last: int, due: int = 0) -> Column:
+    return sum((ppmt(rate_, t, n, present, 0, due) for t in range(first + 1, last + 1)), ppmt(rate_, first, n, present, 0, due))
+
+
+def level_principal_interest(rate_: Number, period: Number, n: Number, present: Number) -> Column:
+    """ISPMT: interest where the principal is repaid in equal parts; periods from 0."""
+    return -_c(present) * _c(rate_) * (1 - _div(_c(period), _c(n)))
+
+
+def scheduled_value(principal: Number, rates: Column) -> Column:
+    return F.aggregate(rates, _c(principal), lambda a, r: a * (1 + r))
+
+
+def duration(rate_: Number, present: Number, future: Number) -> Column:
+    """PDURATION: periods until a value is reached."""
+    r, a, b = map(_c, (rate_, present, future))
+    return F.when((r > 0) & (a > 0) & (b > 0), (F.ln(b) - F.ln(a)) / F.ln(1 + r))
+
+
+def growth_rate(n: Number, present: Number, future: Number) -> Column:
+    """RRI: the rate that grows one value into another."""
+    return F.when(_c(n) > 0, F.pow(_div(_c(future), _c(present)), 1 / _c(n)) - 1)
+
+
 def npv(rate: Number, cf: Column) -> Column:
     """Period 0 is not discounted. Horner's rule from the last period."""
     rate = _c(rate)
@@ -87,23 +147,32 @@ def _has_both_signs(cf: Column) -> Column:
     return F.exists(cf, lambda v: v > 0) & F.exists(cf, lambda v: v < 0)
 
 
-def all_irrs(cf: Column) -> Column:
-    """Every rate from -0.99 to 10 at which the value changes its sign, rising: a grid (steps of 0.0005, from 1 on 0.005) finds them, bisection refines them."""
+def _roots(value: Callable[[Column], Column]) -> Column:
+    """Every rate from -0.99 to 10 at which value(rate) changes its sign, rising: a grid (steps of 0.0005, from 1 on 0.005) finds them, bisection refines them."""
     grid = F.concat(F.transform(F.sequence(F.lit(0), F.lit(3979)), lambda i: i * 0.0005 - 0.99), F.transform(F.sequence(F.lit(0), F.lit(1800)), lambda i: 1 + i * 0.005))
-    points = F.transform(grid, lambda x: F.struct(x.alias("x"), npv(x, cf).alias("f")))
+    points = F.transform(grid, lambda x: F.struct(x.alias("x"), value(x).alias("f")))
     pairs = F.zip_with(F.slice(points, 1, 5780), F.slice(points, 2, 5780), lambda a, b: F.struct(a["x"].alias("lo"), a["f"].alias("f"), b["x"].alias("hi"), b["f"].alias("g")))
     held = F.filter(pairs, lambda p: (p["f"] == 0) | (F.signum(p["f"]) * F.signum(p["g"]) < 0) | ((p["g"] == 0) & (p["hi"] >= 10)))
 
     def halve(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
-        below = F.signum(npv(mid, cf)) == F.signum(s["f"])
+        below = F.signum(value(mid)) == F.signum(s["f"])
         return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), s["f"].alias("f"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
 
     def root(p: Column) -> Column:
         start = F.struct(p["lo"].alias("lo"), p["f"].alias("f"), p["hi"].alias("hi"))
         return F.when(p["f"] == 0, p["lo"]).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2))
 
-    return F.when(_has_both_signs(cf), F.transform(held, root)).otherwise(F.array().cast("array<double>"))
+    return F.transform(held, root)
+
+
+def all_irrs(cf: Column) -> Column:
+    """Every internal rate from -0.99 to 10, rising; none without a change of sign."""
+    return F.when(_has_both_signs(cf), _roots(lambda r: npv(r, cf))).otherwise(F.array().cast("array<double>"))
+
+
+def _nearest(roots: Column, guess: float) -> Column:
+    return F.array_min(F.transform(roots, lambda r: F.struct(F.abs(r - guess).alias("d"), r.alias("r"))))["r"]
 
 
 def irr(cf: Column, guess: float = 0.1, steps: int = 60) -> Column:
@@ -123,8 +192,7 @@ def irr(cf: Column, guess: float = 0.1, steps: int = 60) -> Column:
     found = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, step)
     scale = F.array_max(F.transform(cf, F.abs))
     settled = (found["d"] < 1e-9) & ~F.isnan(found["r"]) & (F.abs(npv(found["r"], cf)) <= scale * 1e-6)
-    nearest = F.array_min(F.transform(all_irrs(cf), lambda r: F.struct(F.abs(r - guess).alias("d"), r.alias("r"))))["r"]
-    return F.when(_has_both_signs(cf), F.when(settled, found["r"]).otherwise(nearest))
+    return F.when(_has_both_signs(cf), F.when(settled, found["r"]).otherwise(_nearest(all_irrs(cf), guess)))
 
 
 def mirr(cf: Column, finance: Number, reinvest: Number) -> Column:
@@ -140,6 +208,7 @@ def xnpv(rate: Number, cf: Column, days: Column) -> Column:
 
 
 def xirr(cf: Column, days: Column, guess: float = 0.1, steps: int = 60) -> Column:
+    """As irr, for flows on days: Newton's method, else the root of the grid nearest to guess."""
     start = F.struct(F.lit(guess).alias("r"), F.lit(1.0).alias("d"))
 
     def step(s: Column, _: Column) -> Column:
@@ -149,7 +218,9 @@ def xirr(cf: Column, days: Column, guess: float = 0.1, steps: int = 60) -> Colum
         return F.struct(then.alias("r"), F.abs(then - s["r"]).alias("d"))
 
     found = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, step)
-    return F.when(_has_both_signs(cf) & (found["d"] < 1e-9), found["r"])
+    scale = F.array_max(F.transform(cf, F.abs))
+    settled = (found["d"] < 1e-9) & ~F.isnan(found["r"]) & (F.abs(xnpv(found["r"], cf, days)) <= scale * 1e-6)
+    return F.when(_has_both_signs(cf), F.when(settled, found["r"]).otherwise(_nearest(_roots(lambda r: xnpv(r, cf, days)), guess)))
 
 
 def payback(cf: Column) -> Column:
@@ -170,8 +241,8 @@ def discounted(rate: Number, cf: Column) -> Column:
 
 
 def profitability(rate: Number, cf: Column) -> Column:
-    """Present value of the later flows per unit of the first."""
-    return F.when(cf[0] < 0, F.try_divide(npv(rate, cf) - cf[0], -cf[0]))
+    """Present value of the later flows per unit of the first, whatever its sign. NULL if that is 0."""
+    return F.try_divide(npv(rate, cf) - cf[0], F.abs(cf[0]))
 
 
 def annuity_equivalent(rate: Number, cf: Column) -> Column:
@@ -214,12 +285,9 @@ def loan_schedule(df: DataFrame, principal: str, rate: Number, periods: int, met
     return out.withColumn("payment", F.col("interest") + F.col("amortisation"))
 
 
-def depreciation(df: DataFrame, cost: str, salvage: str, life: int, method: str = "straight_line") -> DataFrame:
-    """df with a row for each year: year, charge, book.
-
-    Straight line, sum of years, declining balance (rate to three places), and double declining with a change to straight line.
-    """
-    c, s, n, t = F.col(cost), F.col(salvage), F.lit(float(life)), F.col("year")
+def charges_of(c: Column, s: Column, life: int, method: str, units: list[float] | None = None) -> Column:
+    """The charges of each year of life, as an array."""
+    n = F.lit(float(life))
     years = F.array(*[F.lit(i) for i in range(1, life + 1)])
     if method == "straight_line":
         charges = F.transform(years, lambda _: (c - s) / n)
@@ -236,9 +304,22 @@ def depreciation(df: DataFrame, cost: str, salvage: str, life: int, method: str
             return F.struct((a["book"] - charge).alias("book"), F.concat(a["charges"], F.array(charge)).alias("charges"))
 
         charges = F.aggregate(years, start, step)["charges"]
+    elif method == "units":
+        total = sum(units or [])
+        charges = F.array(*[(c - s) * (u / total) for u in units or []])
     else:
         raise ValueError(f"unknown method {method}")
-    out = df.withColumn("__c", charges).select("*", F.posexplode("__c").alias("__i", "charge")).withColumn("year", F.col("__i") + 1)
+    return charges
+
+
+def depreciation(df: DataFrame, cost: str, salvage: str, life: int, method: str = "straight_line", units: list[float] | None = None) -> DataFrame:
+    """df with a row for each year: year, charge, book.
+
+    Straight line, sum of years, declining balance (rate to three places), double declining with a change to straight line, and
+    by units (those of each year).
+    """
+    c, s, t = F.col(cost), F.col(salvage), F.col("year")
+    out = df.withColumn("__c", charges_of(c, s, life, method, units)).select("*", F.posexplode("__c").alias("__i", "charge")).withColumn("year", F.col("__i") + 1)
     book = c - F.aggregate(F.slice(F.col("__c"), F.lit(1), t), F.lit(0.0), lambda a, v: a + v)
     return out.withColumn("book", book).drop("__c", "__i")
 
@@ -254,6 +335,61 @@ def carried_tax(taxable: Column, rate: Number) -> Column:
     return F.aggregate(taxable, start, step)["tax"]
 
 
+def _balance(p: Column, r: Column, n: float, t: Column, method: str) -> Column:
+    """What is owed after period t of n."""
+    if method == "french":
+        level = -pmt(r, n, p)
+        grown = F.pow(1 + r, t)
+        left = F.when(r == 0, p - level * t).otherwise(p * grown - level * (grown - 1) / r)
+    else:
+        left = {"german": p * (1 - t / n), "american": p}[method]
+    return F.when(t >= n, 0.0).otherwise(left)
+
+
+def project_cash_flow(df: DataFrame, horizon: int, life: int, method: str = "straight_line", loan: tuple[str, int] | None = None) -> DataFrame:
+    """df with an array, from period 0 to the horizon, for each line of a project's cash flow.
+
+    df has investment, working_capital, salvage, tax, and the arrays units, price, variable_cost and fixed_costs from period 1
+    on, of which the last value goes on; with a loan (method, periods) also loan and loan_rate. Costs and outlays are negative.
+    Assets lose their whole value over `life`; salvage is taxed on its gain over book value. Losses are carried forward. What is
+    owed beyond the horizon is repaid there; the shield is what interest saves in taxes.
+    """
+    periods, tax, zero = F.sequence(F.lit(0), F.lit(horizon)), F.col("tax"), F.lit(0.0)
+    each = lambda f: F.transform(periods, lambda t: F.when(t == 0, 0.0).otherwise(f(t)).cast("double"))
+    at = lambda name, t: F.element_at(F.col(name), F.least(t, F.size(name)))
+    only = lambda first, last: F.transform(periods, lambda t: (F.when(t == 0, first).otherwise(zero) + F.when(t == horizon, last).otherwise(zero)).cast("double"))
+    plus = lambda *names: functools.reduce(lambda a, b: F.zip_with(a, F.col(b), lambda x, y: x + y), names[1:], F.col(names[0]))
+    taxes = lambda base: F.concat(F.array(zero), F.transform(carried_tax(F.slice(base, 2, horizon), tax), lambda x: -x))
+    charges = charges_of(F.col("investment").cast("double"), F.lit(0.0), life, method)
+    df = df.withColumn("__charges", charges)
+    charge = lambda t: F.coalesce(F.try_element_at("__charges", t), zero)
+    df = df.withColumns({
+        "revenue": each(lambda t: at("units", t) * at("price", t)),
+        "variable_costs": each(lambda t: -at("units", t) * at("variable_cost", t)),
+        "fixed_cost": each(lambda t: -at("fixed_costs", t)),
+        "depreciation": each(lambda t: -charge(t)),
+    })
+    df = df.withColumn("ebt", plus("revenue", "variable_costs", "fixed_cost", "depreciation"))
+    df = df.withColumn("taxes", taxes(F.col("ebt"))).withColumn("net_income", plus("ebt", "taxes"))
+    book = F.greatest(zero, F.col("investment") + F.aggregate("depreciation", zero, lambda a, v: a + v))
+    df = df.withColumns({
+        "add_back": F.transform("depreciation", lambda v: -v),
+        "investments": only(-F.col("investment"), zero),
+        "working": only(-F.col("working_capital"), F.col("working_capital")),
+        "salvages": only(zero, F.col("salvage")),
+        "salvage_tax": only(zero, -tax * (F.col("salvage") - book)),
+    })
+    df = df.withColumn("free_cash_flow", plus("net_income", "add_back", "investments", "working", "salvages", "salvage_tax"))
+    if loan:
+        p, r, (how, n) = F.col("loan").cast("double"), F.col("loan_rate"), loan
+        owed = lambda t: _balance(p, r, float(n), t, how)
+        df = df.withColumns({"proceeds": only(p, zero), "interest": each(lambda t: -owed(t - 1) * r), "repayment": each(lambda t: owed(t) - owed(t - 1) - F.when(t == horizon, owed(t)).otherwise(zero))})
+        df = df.withColumn("__levered", taxes(plus("ebt", "interest")))
+        df = df.withColumn("shield", F.zip_with("__levered", "taxes", lambda x, y: x - y)).drop("__levered")
+        df = df.withColumn("equity_cash_flow", plus("free_cash_flow", "proceeds", "interest", "shield", "repayment"))
+    return df.drop("__charges")
+
+
 def break_even(fixed: Number, price: Number, variable: Number) -> Column:
     margin = _c(price) - _c(variable)
     return F.when(margin > 0, F.try_divide(_c(fixed), margin)).otherwise(float("inf"))

@@ -115,3 +115,138 @@ def product(items: Column) -> Column:
 
 def sum_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+# Functions of a range, given as an array of numbers; its NULLs are empty cells.
+
+
+def _known(items: Column) -> Column:
+    return F.filter(items, lambda x: x.isNotNull())
+
+
+def total(items: Column) -> Column:
+    return F.aggregate(_known(items), F.lit(0.0), lambda a, x: a + x)
+
+
+def sum_squares(items: Column) -> Column:
+    return total(F.transform(items, lambda x: x * x))
+
+
+def average(items: Column) -> Column:
+    return F.try_divide(total(items), F.size(_known(items)).cast("double"))
+
+
+def squared_deviations(items: Column) -> Column:
+    mean = average(items)
+    return total(F.transform(items, lambda x: (x - mean) * (x - mean)))
+
+
+def variance(items: Column, sample: bool = True) -> Column:
+    n = F.size(_known(items))
+    return F.when(n > (1 if sample else 0), squared_deviations(items) / (n - (1 if sample else 0)))
+
+
+def deviation(items: Column, sample: bool = True) -> Column:
+    return F.sqrt(variance(items, sample))
+
+
+def mean_deviation(items: Column) -> Column:
+    mean = average(items)
+    return average(F.transform(items, lambda x: F.abs(x - mean)))
+
+
+def geometric_mean(items: Column) -> Column:
+    return F.when(~F.exists(_known(items), lambda x: x <= 0), F.exp(average(F.transform(items, F.ln))))
+
+
+def harmonic_mean(items: Column) -> Column:
+    return F.when(~F.exists(_known(items), lambda x: x <= 0), F.try_divide(F.lit(1.0), average(F.transform(items, lambda x: 1 / x))))
+
+
+def smallest_of(items: Column, k: int = 1) -> Column:
+    return F.get(F.array_sort(_known(items)), F.lit(k - 1))
+
+
+def largest_of(items: Column, k: int = 1) -> Column:
+    return F.get(F.sort_array(_known(items), asc=False), F.lit(k - 1))
+
+
+def percentile(items: Column, share: float, inclusive: bool = True) -> Column:
+    """PERCENTILE.INC, or PERCENTILE.EXC: NULL outside its range."""
+    v = F.array_sort(_known(items))
+    n = F.size(v)
+    h = (n - 1) * F.lit(share) if inclusive else (n + 1) * F.lit(share) - 1
+    low = F.floor(h).cast("int")
+    a = F.get(v, low)
+    value = a + (F.coalesce(F.get(v, low + 1), a) - a) * (h - low)
+    return F.when((n > 0) & (h >= 0) & (h <= n - 1), value)
+
+
+def median(items: Column) -> Column:
+    return percentile(items, 0.5)
+
+
+def covariance(a: Column, b: Column, sample: bool = False) -> Column:
+    """Of two arrays without gaps."""
+    ma, mb, n = average(a), average(b), F.size(a) - (1 if sample else 0)
+    return F.try_divide(total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb))), n.cast("double"))
+
+
+def slope(y: Column, x: Column) -> Column:
+    return F.try_divide(covariance(x, y), covariance(x, x))
+
+
+def intercept(y: Column, x: Column) -> Column:
+    return average(y) - slope(y, x) * average(x)
+
+
+def correlation(a: Column, b: Column) -> Column:
+    return F.try_divide(covariance(a, b), F.sqrt(covariance(a, a) * covariance(b, b)))
+
+
+def line_error(y: Column, x: Column) -> Column:
+    """STEYX: the standard error of y about its line."""
+    n = F.size(x)
+    rest = F.greatest(F.lit(0.0), covariance(y, y) - slope(y, x) * covariance(x, y)) * n
+    return F.when(n > 2, F.sqrt(rest / (n - 2)))
+
+
+def multiple(x: Number, by: Number, how: str = "round") -> Column:
+    """The nearest multiple (round), or the one above (up) or below (down)."""
+    q = divide(x, by)
+    return {"round": round_half(q), "up": F.ceil(q), "down": F.floor(q)}[how] * _c(by)
+
+
+def quotient(a: Number, b: Number) -> Column:
+    return whole(divide(a, b))
+
+
+def factorial(n: Number) -> Column:
+    k = F.floor(_c(n))
+    return F.when((k >= 0) & (k <= 170), F.aggregate(F.sequence(F.lit(0), F.greatest(k, F.lit(0)).cast("int")), F.lit(1.0), lambda a, i: a * F.greatest(i, F.lit(1))))
+
+
+def combinations(n: Number, k: Number) -> Column:
+    a, b = F.floor(_c(n)), F.floor(_c(k))
+    steps = F.sequence(F.lit(0), F.greatest(F.least(b, a - b), F.lit(0)).cast("int"))
+    return F.when((b >= 0) & (a >= b), F.aggregate(steps, F.lit(1.0), lambda s, i: F.when(i == 0, s).otherwise(F.floor(s * (a - i + 1) / i + 0.5).cast("double"))))
+
+
+def odd_one(*items: Column) -> Column:
+    """XOR: whether an odd number of conditions holds; an error spreads."""
+    return F.when(_all_known(items), sum((x.cast("int") for x in items[1:]), items[0].cast("int")) % 2 == 1)
+
+
+def first_true(*pairs: tuple[Column, Number]) -> Column:
+    """IFS: the value of the first condition that holds; NULL without one, or behind an error."""
+    out = F.lit(None).cast("double")
+    for condition, then in reversed(pairs):
+        out = branch(condition, then, out)
+    return out
+
+
+def switch(x: Column, *cases: tuple[object, Number], other: Number | None = None) -> Column:
+    out = F.lit(None).cast("double") if other is None else _c(other)
+    for known, then in reversed(cases):
+        out = F.when(x == F.lit(known), _c(then)).otherwise(out)
+    return F.when(x.isNotNull(), out)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.models import Model
+from ..sources.folders import cut
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ def expected(model: Model, samples: DataFrame, variables: list[Variable], statis
 
     statistic is an aggregate expression; a candidate whose constraint expression is positive is worse by that much and infeasible.
     """
-    samples = samples.persist()
+    samples = cut(samples)
     spark = samples.sparkSession
     memory: dict[tuple, float] = {}
 

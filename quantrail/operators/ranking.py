@@ -9,30 +9,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import cut
+from .joins import join_hot
+
 #: Buckets of a group's values.
 PARTS = 64
 
 
-def cumulative(df: DataFrame, value: str, by: list[str] | None = None, parts: int = PARTS) -> DataFrame:
-    """by, value, count, upto: how many rows have each distinct value, and how many have at most it. Nulls are left out."""
+def cumulative(df: DataFrame, value: str, by: list[str] | None = None, parts: int = PARTS, weight: str | None = None) -> DataFrame:
+    """by, value, count, upto, n: how many rows have each distinct value, how many have at most it, and how many there are. Nulls are left out.
+
+    With a weight, each row stands for so many.
+    """
     by = by or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("count"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("count"))
     bounds = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20 * parts).alias("__b"))
     placed = counts.join(bounds, by) if by else counts.crossJoin(F.broadcast(bounds))  # without groups, one row
     placed = placed.withColumn("__bucket", F.size(F.filter("__b", lambda b: b < F.col(value)))).drop("__b")
     sums = placed.groupBy(*by, "__bucket").agg(F.sum("count").alias("__n"))
-    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `parts` rows of a group
-    before = sums.select(*by, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    group = Window.partitionBy(*by)  # at most `parts` rows of a group
+    earlier = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(group).alias("n"))
     within = Window.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumn("__sum", F.sum("count").over(within)).join(before, [*by, "__bucket"])
-    return out.select(*by, value, "count", (F.col("__sum") + F.col("__before")).alias("upto"))
+    return out.select(*by, value, "count", (F.col("__sum") + F.col("__before")).alias("upto"), "n")
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float] | tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """by, p (an array, one entry for each share): exact and interpolated (PERCENTILE.INC), from counted values, so no task holds a group."""
+    placed = cumulative(df, value, by)
+    n = F.col("n").cast("double")
+    aggs = [F.max(n).alias("__n")]
+    for i, p in enumerate(shares):
+        at = F.floor((n - 1) * p)
+        aggs += [F.min(F.when(F.col("upto") > at + k, F.col(value))).alias(f"__{i}_{k}") for k in (0, 1)]
+    found = placed.groupBy(*(by or [])).agg(*aggs)
+
+    def between(i: int, p: float) -> Column:
+        h = (F.col("__n") - 1) * p
+        low = F.col(f"__{i}_0")
+        return low + (F.coalesce(F.col(f"__{i}_1"), low) - low) * (h - F.floor(h))
+
+    return found.select(*(by or []), F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("p"))
+
+
+def average_rank() -> Column:
+    """The rank of a value of cumulative(), shared by its ties."""
+    return F.col("upto") - (F.col("count") - 1) / 2.0
 
 
 def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
     """df with ranks in which ties share their mean; rows without a value have none."""
     by = by or []
-    ranks = cumulative(df, value, by).select(*by, value, (F.col("upto") - (F.col("count") - 1) / 2.0).alias(name))
-    return df.join(ranks, [*by, value], "left")
+    ranks = cut(cumulative(df, value, by).select(*by, value, average_rank().alias(name), "count"))
+    rest = df.filter(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double"))
+    for b in by:
+        ranks = ranks.filter(F.col(b).isNotNull())
+    return join_hot(df, ranks, [*by, value], "count").unionByName(rest)
 
 
 def places(rows: DataFrame, value: Column, bucket: Column, by: list[str], key: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import beta_i, student_cdf, student_quantile
+from ..functions.special import f_pq, student_pq, student_quantile
 
 
 @dataclass(frozen=True)
@@ -74,12 +74,12 @@ def solve(n: int, full: np.ndarray, names: list[str], chosen: list[int], interce
     errors = sigma * np.sqrt(np.diag(inverse))
     t = beta / errors
     half = student_quantile(np.array([(1 + level) / 2]), np.array([float(dof)]))[0] * errors
-    f = (sst - sse) / max(k, 1) / (sse / dof)
+    f = (sst - sse) / max(k, 1) / (sse / dof) if k else np.nan
     inner = full[np.ix_([c + 1 for c in chosen], [c + 1 for c in chosen])] - np.outer(full[0, [c + 1 for c in chosen]], full[0, [c + 1 for c in chosen]]) / n
     s = np.sqrt(np.diag(inner))
     vif = np.diag(np.linalg.inv(inner / np.outer(s, s))) if len(chosen) else np.zeros(0)
     return Fit(
-        (["(intercept)"] if intercept else []) + [names[c] for c in chosen], beta, errors, t, 2 * (1 - student_cdf(np.abs(t), float(dof))), beta - half, beta + half, n, float(1 - sse / sst), float(1 - (sse / dof) / (sst / (n - intercept))), float(sigma), float(f), float(1 - beta_i(k * f / (k * f + dof), k / 2, dof / 2)) if k else float("nan"), vif, inverse,
+        (["(intercept)"] if intercept else []) + [names[c] for c in chosen], beta, errors, t, 2 * student_pq(np.abs(t), float(dof))[1], beta - half, beta + half, n, float(1 - sse / sst), float(1 - (sse / dof) / (sst / (n - intercept))), float(sigma), float(f), float(f_pq(f, float(k), float(dof))[1]) if k else float("nan"), vif, inverse,
     )
 
 
@@ -88,8 +88,11 @@ def ols(df: DataFrame, y: str, x: list[str], intercept: bool = True, level: floa
     return solve(n, full, x, [*range(len(x))], intercept, level)
 
 
-def stepwise(df: DataFrame, y: str, x: list[str], enter: float = 0.05, remove: float = 0.1) -> Fit | None:
-    """Adds the regressor of least p below `enter`, drops that of largest p above `remove`; all steps share one pass over the data."""
+def stepwise(df: DataFrame, y: str, x: list[str], enter: float = 0.05, remove: float = 0.1) -> Fit:
+    """Adds the regressor of least p below `enter`, drops that of largest p above `remove`; all steps share one pass over the data.
+
+    If none enters, the fit is that of the intercept alone.
+    """
     n, full = moments(df, y, x)
     chosen: list[int] = []
     for _ in range(4 * len(x) + 4):
@@ -104,7 +107,7 @@ def stepwise(df: DataFrame, y: str, x: list[str], enter: float = 0.05, remove: f
             moved = True
         if not moved:
             break
-    return solve(n, full, x, chosen) if chosen else None
+    return solve(n, full, x, chosen)
 
 
 def durbin_watson(df: DataFrame, residual: str, t: str, by: list[str]) -> DataFrame:

@@ -37,10 +37,10 @@ def poisson_weights(df: DataFrame, key: str, replicates: int, seed: int = 1) ->
     out = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     u = uniform(seed, F.concat(F.lit("pois"), F.col("replicate").cast("string")), F.col(key))
     share, total, steps = 0.36787944117144233, 0.0, []
-    for k in range(0, 12):
+    while share > 1e-17:  # u has 52 bits: no draw lies beyond
         total += share
         steps.append(total)
-        share /= k + 1
+        share /= len(steps)
     weight = F.lit(len(steps))
     for k in range(len(steps) - 1, -1, -1):
         weight = F.when(u <= steps[k], k).otherwise(weight)

@@ -6,39 +6,38 @@ the same.
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import normal
+from ..functions.distributions import CENTRE, SHOULDER, TAIL, normal
 from ..functions.random import uniform
 from ..plans.models import Model
 from ..sources.folders import cut
 from .ranking import places
 
 
-def uniforms(spark: SparkSession, trials: int, names: list[str], seed: int = 12345, method: str = "mc") -> DataFrame:
+def uniforms(spark: SparkSession, trials: int, names: list[str], seed: int = 12345, method: str = "mc", mixed: dict[str, Column] | None = None) -> DataFrame:
     """trial and one uniform column for each name.
 
-    With "lhs" each column has one draw in each of `trials` strata. Its permutation is the order of a hash, found by
-    hash range: the range of a hash gives the block, and a window within a block the place.
+    With "lhs" each column has one draw in each of `trials` strata. Its permutation is the order of a hash, or of the given
+    number between 0 and 1 (mixed), found by ranges: the range of the number gives the block, and a window within a block the place.
     """
     base = spark.range(trials).withColumnRenamed("id", "trial")
     if method == "mc":
         return base.select("trial", *[uniform(seed, n, "trial").alias(n) for n in names])
-    long = base.select("trial", F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
-    return lhs(long, trials, seed).groupBy("trial").pivot("name", names).agg(F.first("u"))
+    orders = {n: (mixed or {}).get(n, uniform(seed, f"{n}#o", "trial")) for n in names}
+    long = base.select("trial", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), o.alias("h")) for n, o in orders.items()])).alias("o")).select("trial", "o.*")
+    return lhs(long, trials, seed).groupBy("trial").agg(*[F.max(F.when(F.col("name") == n, F.col("u"))).alias(n) for n in names])
 
 
 def lhs(long: DataFrame, trials: int, seed: int) -> DataFrame:
-    """trial, name, u for rows (trial, name): u lies in the stratum that the hash order gives the trial."""
+    """trial, name, u for rows (trial, name, h): u lies in the stratum that the order of h gives the trial. A stratum's draw is the same whichever trial has it."""
     blocks = max(1, trials // 100_000)
-    long = long.withColumn("h", uniform(seed, F.concat(F.col("name"), F.lit("#o")), "trial")).withColumn("block", F.floor(F.col("h") * blocks).cast("int"))
-    before = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = long.groupBy("name", "block").count().select("name", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("name", "block").orderBy("h", "trial")) - 1
-    ranked = long.withColumn("place", place).join(sizes, ["name", "block"])
-    return ranked.select("trial", "name", ((F.col("place") + F.col("before") + uniform(seed, F.concat(F.col("name"), F.lit("#j")), "trial")) / trials).alias("u"))
+    placed = places(long.withColumn("h", F.coalesce("h", F.lit(0.0))), F.col("h"), F.least(F.floor(F.col("__v") * blocks), F.lit(blocks - 1)).cast("int"), ["name"], "trial")
+    return placed.select("trial", "name", ((F.col("place") - 1 + uniform(seed, F.concat(F.col("name"), F.lit("#j")), F.col("place"))) / trials).alias("u"))
 
 
 def correlation_matrix(names: list[str], pairs: list[tuple[str, str, float]]) -> np.ndarray:
@@ -70,31 +69,57 @@ def nearest_correlation(m: np.ndarray, least: float = 1e-6, steps: int = 200) ->
     return y / np.outer(s, s)
 
 
-def rank_correlate(df: DataFrame, names: list[str], target: np.ndarray, trials: int, seed: int = 12345) -> DataFrame:
-    """Reorders columns so that their rank correlations are near the target (Iman and Conover, 1982); marginals stay.
+def mixed_scores(spark: SparkSession, k: int, target: np.ndarray, trials: int, seed: int) -> list[Column]:
+    """For each of k columns a normal score of the column trial; over 0 .. trials - 1 they have the correlations of the target.
 
-    Scores are normal quantiles of places in a hash order; their sample correlation is corrected by one aggregation. Values and
-    mixed scores meet by a join on (column, place). Buckets of places are ranges of the hash, of the logistic curve of
-    a score, and of approximate quantiles of a column.
+    Independent scores are hashed; their sample correlation, one small aggregation, is taken out before the target's is put in.
     """
-    if len(names) < 2 or trials < 3:
-        return df
-    k, blocks = len(names), max(1, min(4096, trials // 100_000))
     goal = nearest_correlation(2 * np.sin(np.pi / 6 * target))
-    ids = df.select("trial", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
-    hashed = ids.withColumn("h", uniform(seed, F.concat(F.lit("#s"), F.col("i").cast("string")), "trial"))
-    placed = places(hashed, F.col("h"), F.floor(F.col("__v") * blocks), ["i"], "trial").withColumn("u", F.col("place") / F.lit(float(trials + 1)))
-    scored = placed.withColumn("s", normal(0, 1).sample("u")).groupBy("trial").agg(*[F.max(F.when(F.col("i") == i, F.col("s"))).alias(f"s{i}") for i in range(k)])
-    scores = cut(scored)
-    got = scores.agg(*[F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i)]).first()
+    scores = [F.expr(normal(0, 1).quantile(f"__u{i}")) for i in range(k)]
+    hashed = [uniform(seed, f"#s{i}", "trial").alias(f"__u{i}") for i in range(k)]
+    rows = spark.range(trials).withColumnRenamed("id", "trial").select(*hashed).select(*[s.alias(f"s{i}") for i, s in enumerate(scores)])
+    got = rows.agg(*[F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i)]).first()
     sample = np.eye(k)
     for i in range(k):
         for j in range(i):
             sample[i, j] = sample[j, i] = got[f"c{i}_{j}"]
     mix = np.linalg.cholesky(goal) @ np.linalg.inv(np.linalg.cholesky(nearest_correlation(sample)))
+    plain = [F.transform(F.array(uniform(seed, f"#s{i}", "trial")), lambda u: _normal_of(u))[0] for i in range(k)]
+    return [sum((plain[j] * float(mix[i, j]) for j in range(1, k)), plain[0] * float(mix[i, 0])) for i in range(k)]
+
+
+def _normal_of(u: Column) -> Column:
+    """The normal quantile of a column that is not a name."""
+    q = u - 0.5
+    r = F.sqrt(-F.ln(F.when(u < 0.5, u).otherwise(1 - u)))
+
+    def of(x: Column, pair: tuple[tuple[float, ...], tuple[float, ...]]) -> Column:
+        top, low = F.lit(pair[0][0]), F.lit(pair[1][0])
+        for a, b in zip(pair[0][1:], pair[1][1:], strict=True):
+            top, low = top * x + a, low * x + b
+        return top / low
+
+    far = F.when(r <= 5, of(r - 1.6, SHOULDER)).otherwise(of(r - 5, TAIL))
+    return F.when(F.abs(q) <= 0.425, q * of(0.180625 - q * q, CENTRE)).when(q < 0, -far).otherwise(far)
+
+
+def _unit(score: Column) -> Column:
+    """A rising map of a normal score into (0, 1), nearly uniform."""
+    return 1 / (1 + F.exp(-1.702 * score))
+
+
+def rank_correlate(df: DataFrame, names: list[str], target: np.ndarray, trials: int, seed: int = 12345) -> DataFrame:
+    """Reorders columns so that their rank correlations are near the target (Iman and Conover, 1982); marginals stay.
+
+    Values and mixed scores meet by a join on (column, place). Buckets of places are ranges of a score's near-uniform map, and of
+    approximate quantiles of a column.
+    """
+    if len(names) < 2 or trials < 3:
+        return df
+    k, blocks = len(names), max(1, min(4096, trials // 100_000))
     long = lambda rows, columns: rows.select("trial", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("v")) for i, c in enumerate(columns)])).alias("x")).select("trial", "x.*")
-    mixed = long(scores, [sum(F.col(f"s{j}") * float(mix[i, j]) for j in range(k)) for i in range(k)])
-    to = places(mixed, F.col("v"), F.floor(blocks / (1 + F.exp(-1.702 * F.col("__v")))), ["i"], "trial")
+    mixed = long(df.select("trial"), mixed_scores(df.sparkSession, k, target, trials, seed))
+    to = places(mixed, F.col("v"), F.least(F.floor(blocks * _unit(F.col("__v"))), F.lit(blocks - 1)), ["i"], "trial")
     values = long(df, [F.col(n).cast("double") for n in names])
     shares = [j / blocks for j in range(1, blocks)]
     bounds = df.agg(*[F.percentile_approx(n, F.array(*map(F.lit, shares)), 20 * blocks) for n in names]).first() if shares else [[]] * k
@@ -105,16 +130,25 @@ def rank_correlate(df: DataFrame, names: list[str], target: np.ndarray, trials:
     return df.select("trial", *[c for c in df.columns if c not in names and c != "trial"]).join(new, "trial")
 
 
-def simulate(spark: SparkSession, model: Model, trials: int, seed: int = 12345, method: str = "mc", correlate: bool = True) -> DataFrame:
-    """trial, the sampled inputs and every cell of the model."""
+def simulate(spark: SparkSession, model: Model, trials: int, seed: int | None = 12345, method: str = "mc", correlate: bool = True) -> DataFrame:
+    """trial, the sampled inputs and every cell of the model. Without a seed one is drawn; it is the column seed of every row.
+
+    With Latin hypercube sampling, correlated inputs take their strata in the order of mixed scores, so no values are moved afterwards.
+    """
+    drawn = secrets.randbelow(2**31) if seed is None else seed
     names = [*model.assumptions]
-    df = uniforms(spark, trials, [f"u_{n}" for n in names], seed, method)
-    involved = [n for n in names if any(n in p[:2] for p in model.correlations)]
-    if correlate and involved:
-        df = cut(df)
-        df = rank_correlate(df, [f"u_{n}" for n in involved], correlation_matrix(involved, model.correlations), trials, seed)
+    involved = [n for n in names if any(n in p[:2] for p in model.correlations)] if correlate and trials >= 3 else []
+    target = correlation_matrix(involved, model.correlations)
+    if method == "lhs" and involved:
+        mixed = {f"u_{n}": _unit(s) for n, s in zip(involved, mixed_scores(spark, len(involved), target, trials, drawn), strict=True)}
+        df = uniforms(spark, trials, [f"u_{n}" for n in names], drawn, method, mixed)
+    else:
+        df = uniforms(spark, trials, [f"u_{n}" for n in names], drawn, method)
+        if involved:
+            df = rank_correlate(cut(df), [f"u_{n}" for n in involved], target, trials, drawn)
     df = df.select("trial", *[f.sample(f"u_{n}").alias(n) for n, f in model.assumptions.items()])
-    return model.evaluate(df)
+    done = model.evaluate(df)
+    return done if seed is not None else done.withColumn("seed", F.lit(drawn))
 
 
 def stop_trial(df: DataFrame, output: str, relative: float, z: float = 1.959964, every: int = 250, least: int = 500) -> DataFrame:

@@ -7,11 +7,16 @@ are asked for.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import student_t_cdf, student_t_quantile
-from .ranking import with_average_rank
+from ..functions.special import student_t_quantile, student_t_tail
+from ..sources.folders import cut
+from .joins import join_hot
+from .ranking import average_rank, cumulative
+from .ranking import percentiles as shares_of
 
 #: Percentiles of a report.
 PERCENTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
@@ -34,11 +39,9 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None, percentiles
     are exact and interpolated (PERCENTILE.INC) unless an accuracy for approximate ones is given.
     """
     x = valid(value)
-    n = F.count(x).cast("double")
-    shares = F.array(*[F.lit(p) for p in percentiles])
-    at = F.percentile(x, shares) if accuracy is None else F.percentile_approx(x, shares, accuracy)
+    n, by = F.count(x).cast("double"), by or []
     g1, g2 = F.skewness(x), F.kurtosis(x)
-    out = df.groupBy(*(by or [])).agg(
+    out = df.groupBy(*by).agg(
         F.count(x).alias("n"),
         F.count(F.when(x.isNull(), 1)).alias("errors"),
         F.avg(x).alias("mean"),
@@ -47,8 +50,14 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None, percentiles
         F.when((n > 3) & (F.var_pop(x) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurt"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
-        at.alias("__p"),
+        *([F.percentile_approx(x, F.array(*map(F.lit, percentiles)), accuracy).alias("__p")] if accuracy else []),
     )
+    if not accuracy:
+        exact = shares_of(df.select(*by, x.cast("double").alias("__x")), "__x", percentiles, by).withColumnRenamed("p", "__p")
+        for b in by:
+            exact = exact.withColumnRenamed(b, f"__{b}")
+        same = functools.reduce(lambda s, t: s & t, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]) if by else F.lit(True)
+        out = out.join(exact, same, "left").drop(*[f"__{b}" for b in by])  # a row for each group
     out = out.withColumns({"var": F.col("sd") * F.col("sd"), "cv": ratio(F.col("sd"), F.abs("mean")), "range": F.col("max") - F.col("min")})
     return out.withColumns({f"p{round(p * 100):02d}": F.col("__p")[i] for i, p in enumerate(percentiles)}).drop("__p")
 
@@ -77,10 +86,13 @@ def histogram(df: DataFrame, value: str, by: list[str] | None = None, bins: int
     by = by or []
     x = valid(value)
     rows = df.select(*by, x.alias("__x")).filter("__x IS NOT NULL")
-    s = rows.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.percentile("__x", F.array(F.lit(0.25), F.lit(0.75))).alias("__q"), F.min((F.col("__x") == F.floor("__x")).cast("int")).alias("__whole"))
+    s = rows.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.min((F.col("__x") == F.floor("__x")).cast("int")).alias("__whole"))
+    if bins is None:
+        quarters = shares_of(rows, "__x", (0.25, 0.75), by).withColumnRenamed("p", "__q")
+        s = s.join(quarters, by) if by else s.crossJoin(quarters)  # a row for each group
     n, span = F.col("__n").cast("double"), F.col("__hi") - F.col("__lo")
-    iqr = F.col("__q")[1] - F.col("__q")[0]
     if bins is None:
+        iqr = F.col("__q")[1] - F.col("__q")[0]
         sturges = F.ceil(F.log2(n)) + 1
         rule = F.when(iqr > 0, F.ceil(span / (2 * iqr / F.pow(n, F.lit(1 / 3))) - 1e-9)).otherwise(sturges)
         k = F.greatest(F.lit(10), F.least(F.lit(100), rule.cast("int")))
@@ -88,13 +100,15 @@ def histogram(df: DataFrame, value: str, by: list[str] | None = None, bins: int
     else:
         k, unit = F.lit(bins), F.lit(False)
     s = s.withColumn("__unit", unit)
-    s = s.withColumns({"__k": F.when(span == 0, 1).when(F.col("__unit"), span + 1).otherwise(k).cast("int"), "__from": F.when(F.col("__unit") | (span == 0), F.col("__lo") - 0.5).otherwise(F.col("__lo"))})
-    s = s.withColumn("__w", F.when(F.col("__unit") | (span == 0), 1.0).otherwise(span / F.col("__k")))
-    s = s.select(*by, "__n", "__k", "__from", "__w")
+    # A constant has one bin, half a per cent of it to each side.
+    side = F.when(F.col("__lo") == 0, 0.5).otherwise(F.abs("__lo") * 0.005)
+    s = s.withColumns({"__k": F.when(span == 0, 1).when(F.col("__unit"), span + 1).otherwise(k).cast("int"), "__from": F.when(span == 0, F.col("__lo") - side).when(F.col("__unit"), F.col("__lo") - 0.5).otherwise(F.col("__lo"))})
+    s = s.withColumn("__w", F.when(span == 0, 2 * side).when(F.col("__unit"), 1.0).otherwise(span / F.col("__k")))
+    s = cut(s.select(*by, "__n", "__k", "__from", "__w", F.col("__n").alias("__rows")))
     place = F.least(F.floor((F.col("__x") - F.col("__from")) / F.col("__w")), F.col("__k") - 1).cast("int")
-    joined = rows.join(F.broadcast(s), by) if by else rows.crossJoin(F.broadcast(s))  # s has a row for each group of the report
+    joined = join_hot(rows, s, by, "__rows") if by else rows.crossJoin(F.broadcast(s))  # without groups, one row
     counts = joined.groupBy(*by, place.alias("bin")).agg(F.count("*").alias("count"))
-    every = s.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    every = s.drop("__rows").withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     out = every.join(counts, [*by, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     up = Window.partitionBy(*by).orderBy("bin")
     return out.select(
@@ -134,14 +148,36 @@ def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataF
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    by = by or []
-    pairs = df.filter(valid(a).isNotNull() & valid(b).isNotNull()).select(*by, a, b)
-    ranked = with_average_rank(with_average_rank(pairs, a, "__ra", by), b, "__rb", by)
-    return pearson(ranked, "__ra", "__rb", by)
+    """Correlation of average ranks of complete pairs.
 
-
-def welch(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
-    """Welch's t, its degrees of freedom and two-sided p for the means of two groups."""
+    Pairs are counted first. Ranks of b are looked up for them, and summed by value of a before a's ranks are needed, so a column of
+    few values is never a join key of many rows.
+    """
+    by = by or []
+    pairs = df.filter(valid(a).isNotNull() & valid(b).isNotNull())
+    for c in by:
+        pairs = pairs.filter(F.col(c).isNotNull())
+    pairs = cut(pairs.groupBy(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__o")).agg(F.count("*").alias("__c")))
+    ranks = cut(cumulative(pairs, "__o", by, weight="__c").select(*by, "__o", average_rank().alias("__rb"), "count"))
+    ranked = join_hot(pairs, ranks, [*by, "__o"], "count")
+    return _rank_correlation(ranked, by)
+
+
+def _rank_correlation(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, r for rows of __a, __rb (rank of the other side) and __c (how many there are)."""
+    c, rb = F.col("__c"), F.col("__rb")
+    sums = cut(ranked.groupBy(*by, "__a").agg(F.sum("__c").alias("__c"), F.sum(c * rb).alias("__s"), F.sum(c * rb * rb).alias("__q")))
+    ranks = cumulative(sums, "__a", by, weight="__c").select(*by, "__a", average_rank().alias("__ra"))
+    ra = F.col("__ra")
+    t = sums.join(ranks, [*by, "__a"]).groupBy(*by).agg(F.sum(c).alias("n"), F.sum(c * ra).alias("x"), F.sum(c * ra * ra).alias("xx"), F.sum("__s").alias("y"), F.sum("__q").alias("yy"), F.sum(ra * F.col("__s")).alias("xy"))
+    n = F.col("n").cast("double")
+    vx, vy = n * F.col("xx") - F.col("x") * F.col("x"), n * F.col("yy") - F.col("y") * F.col("y")
+    r = (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(vx * vy)
+    return t.select(*by, "n", F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+
+
+def welch(df: DataFrame, value: str, group: str, first: str, second: str, level: float = 0.95) -> DataFrame:
+    """Welch's t, its degrees of freedom, two-sided p, and the interval of the difference of the means of two groups."""
     x = valid(value)
 
     def side(name: str, key: str) -> list[Column]:
@@ -150,10 +186,14 @@ def welch(df: DataFrame, value: str, group: str, first: str, second: str) -> Dat
 
     s = df.agg(*side("a", first), *side("b", second))
     a, b = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    t = F.when(a + b > 0, (F.col("ma") - F.col("mb")) / F.sqrt(a + b))
-    dof = F.when(a + b > 0, (a + b) * (a + b) / (a * a / (F.col("na") - 1) + b * b / (F.col("nb") - 1)))
-    s = s.filter("na > 1 AND nb > 1").select(t.alias("t"), dof.alias("df"))
-    return s.withColumn("p", 2 * (1 - student_t_cdf(F.abs("t"), F.col("df"))))
+    gap = F.col("ma") - F.col("mb")
+    # Two constant groups: equal means leave no doubt, others no chance.
+    t = F.when(a + b > 0, gap / F.sqrt(a + b)).when(gap == 0, 0.0).otherwise(F.signum(gap) * float("inf"))
+    dof = F.when(a + b > 0, (a + b) * (a + b) / (a * a / (F.col("na") - 1) + b * b / (F.col("nb") - 1))).otherwise(F.col("na") + F.col("nb") - 2)
+    s = s.filter("na > 1 AND nb > 1").select(t.alias("t"), dof.alias("df"), gap.alias("difference"), F.sqrt(a + b).alias("error"))
+    s = s.withColumn("p", 2 * student_t_tail(F.abs("t"), F.col("df")))
+    half = student_t_quantile(F.lit((1 + level) / 2), F.col("df")) * F.col("error")
+    return s.select("t", "df", "p", "difference", (F.col("difference") - half).alias("low"), (F.col("difference") + half).alias("high"))
 
 
 def overlay(df: DataFrame, value: str, group: str, bins: int = 20) -> DataFrame:
@@ -166,9 +206,19 @@ def overlay(df: DataFrame, value: str, group: str, bins: int = 20) -> DataFrame:
 
 
 def sensitivity(df: DataFrame, inputs: list[str], output: str) -> DataFrame:
-    """input, rho (rank correlation with the output), share of the summed squares; constant inputs have rho 0."""
-    rows = df.filter(valid(output).isNotNull()).select(output, *inputs)
-    long = rows.select(F.col(output).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("input"), F.col(c).cast("double").alias("x")) for c in inputs])).alias("i")).select("y", "i.*")
-    rho = spearman(long, "x", "y", ["input"]).select("input", F.coalesce("r", F.lit(0.0)).alias("rho"))
+    """input, rho (rank correlation with the output over complete pairs), share of the summed squares; constant inputs have rho 0.
+
+    The output is ranked once for all inputs without gaps.
+    """
+    rows = df.filter(valid(output).isNotNull()).select(F.col(output).cast("double").alias("__y"), *[valid(F.col(c).cast("double")).alias(c) for c in inputs])
+    gaps = rows.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in inputs]).first().asDict()
+    full = [c for c in inputs if not gaps[c]]
+    out = [spearman(rows, c, "__y").select(F.lit(c).alias("input"), "r") for c in inputs if gaps[c]]
+    if full:
+        ranks = cut(cumulative(rows, "__y").select("__y", average_rank().alias("__rb"), "count"))
+        ranked = join_hot(rows, ranks, ["__y"], "count")
+        long = ranked.select("__rb", F.lit(1).alias("__c"), F.explode(F.array(*[F.struct(F.lit(c).alias("input"), F.col(c).alias("__a")) for c in full])).alias("i")).select("i.*", "__rb", "__c")
+        out.append(_rank_correlation(long, ["input"]).select("input", "r"))
+    rho = functools.reduce(DataFrame.union, out).select("input", F.coalesce("r", F.lit(0.0)).alias("rho"))
     total = F.sum(F.col("rho") * F.col("rho")).over(Window.partitionBy())  # a row for each input
     return rho.withColumn("share", F.when(total > 0, F.col("rho") * F.col("rho") / total).otherwise(0.0))

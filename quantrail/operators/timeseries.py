@@ -5,13 +5,17 @@ A series is the rows of a key, ordered by an integer period. Groups that go to P
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import normal_score
+from ..functions.special import chi_square_tail, normal_cdf
+
 
 def _order(by: list[str], t: str) -> Window:
     return Window.partitionBy(*by).orderBy(t)
@@ -66,10 +70,10 @@ def acf(df: DataFrame, y: str, t: str, lags: int, by: list[str]) -> DataFrame:
 
 
 def ljung_box(df: DataFrame, y: str, t: str, lags: int, by: list[str]) -> DataFrame:
-    """q, lags: the portmanteau statistic."""
+    """q, lags, p_value: the portmanteau statistic."""
     n = df.groupBy(*by).agg(F.count("*").cast("double").alias("n"))
     r = acf(df, y, t, lags, by).filter("lag > 0").join(n, by)
-    return r.groupBy(*by).agg((F.first("n") * (F.first("n") + 2) * F.sum(F.col("r") * F.col("r") / (F.col("n") - F.col("lag")))).alias("q"), F.lit(lags).alias("lags"))
+    return r.groupBy(*by).agg((F.first("n") * (F.first("n") + 2) * F.sum(F.col("r") * F.col("r") / (F.col("n") - F.col("lag")))).alias("q"), F.lit(lags).alias("lags")).withColumn("p_value", chi_square_tail(F.col("q"), F.col("lags").cast("double")))
 
 
 def error_metrics(df: DataFrame, actual: str, fitted: str, t: str, by: list[str]) -> DataFrame:
@@ -114,30 +118,87 @@ def ses(df: DataFrame, y: str, t: str, by: list[str], alpha: float) -> DataFrame
     return series.select(*by, fold.alias("level"))
 
 
-# Smoothing and ARIMA need an optimiser for each series.
-
-
-def holt_winters_path(y: np.ndarray, alpha: float, beta: float, gamma: float, period: int, phi: float = 1.0, multiplicative: bool = False) -> tuple[np.ndarray, float, float, np.ndarray]:
-    """Fitted values, level, trend and seasonal indices; period 0 means none, gamma and beta 0 switch parts off."""
-    m = max(period, 1)
-    if period:
-        level, slope = y[:m].mean(), (y[m : 2 * m].mean() - y[:m].mean()) / m if beta else 0.0
-        season = list(y[:m] / level if multiplicative else y[:m] - level)
-    else:
-        k = min(10, len(y))
-        slope, level = (np.polyfit(np.arange(1, k + 1), y[:k], 1) if beta and k > 1 else (0.0, y[0]))
-        season = [1.0 if multiplicative else 0.0]
-    fitted = np.empty(len(y))
-    for i, v in enumerate(y):
-        s = season[i % m]
-        base = level + phi * slope
-        fitted[i] = base * s if multiplicative else base + s
-        before = level
-        level = alpha * (v / s if multiplicative else v - s) + (1 - alpha) * base
-        slope = beta * (level - before) + (1 - beta) * phi * slope if beta else phi * slope
-        if period:
-            season[i % m] = gamma * (v / level if multiplicative else v - level) + (1 - gamma) * s
-    return fitted, level, slope, np.array(season)
+# Smoothing, ARIMA and unit-root tests need an optimiser or small regressions for each series.
+
+
+def centred(y: np.ndarray, m: int) -> np.ndarray:
+    """Mean over a period around each value, of two means for an even one; NaN at the ends."""
+    w = np.full(m, 1 / m) if m % 2 else np.append(np.append(0.5, np.ones(m - 1)), 0.5) / m
+    out = np.full(len(y), np.nan)
+    if len(y) >= len(w):
+        half = len(w) // 2
+        out[half : len(y) - half] = np.convolve(y, w, "valid")
+    return out
+
+
+@dataclass(frozen=True)
+class Smoother:
+    """Exponential smoothing in its error-correction form; period 0: no season."""
+
+    trended: bool = False
+    damped: bool = False
+    period: int = 0
+    multiplicative: bool = False
+
+    def start(self, y: np.ndarray) -> tuple[float, float, np.ndarray]:
+        """Level and slope of a line through the first values, and seasonal indices from their centred means."""
+        line = lambda v: np.polyfit(np.arange(1, len(v) + 1), v, 1)[::-1] if len(v) > 1 else (v[0], 0.0)
+        if not self.period:
+            if not self.trended:
+                return float(y[0]), 0.0, np.zeros(1)
+            level, slope = line(y[:10])
+            return float(level), float(slope), np.zeros(1)
+        m, none = self.period, 1.0 if self.multiplicative else 0.0
+        head = y[: max(2 * m, 10)]
+        base = centred(head, m)
+        raw = head / base if self.multiplicative else head - base
+        phase, known = np.arange(len(head)) % m, np.isfinite(raw)
+        season = np.array([raw[known & (phase == j)].mean() if (known & (phase == j)).any() else none for j in range(m)])
+        season = season / season.mean() if self.multiplicative else season - season.mean()
+        level, slope = line(head / season[phase] if self.multiplicative else head - season[phase])
+        return float(level), float(slope) if self.trended else 0.0, season
+
+    def run(self, y: np.ndarray, alpha: float, beta: float, gamma: float, phi: float) -> tuple[np.ndarray, float, float, np.ndarray]:
+        """Fitted values, and the states after the last one."""
+        level, slope, season = self.start(y)
+        season, m = season.copy(), max(self.period, 1)
+        phi = phi if self.trended else 0.0
+        fitted = np.empty(len(y))
+        for i, v in enumerate(y):
+            base, s = level + phi * slope, season[i % m]
+            fitted[i] = base * s if self.multiplicative else base + s
+            error = v - fitted[i]
+            gain = error / s if self.multiplicative else error
+            level, slope = base + alpha * gain, phi * slope + alpha * beta * gain
+            if self.period:
+                season[i % m] = s + gamma * (error / base if self.multiplicative else error)
+        return fitted, level, slope, season
+
+    def parameters(self, z: np.ndarray) -> tuple[float, float, float, float]:
+        u = _unit(z)
+        return float(u[0]), float(u[1]) if self.trended else 0.0, float(u[2]) if self.period else 0.0, 0.8 + 0.18 * float(u[3]) if self.damped else 1.0
+
+    def fit(self, y: np.ndarray) -> tuple[float, float, float, float]:
+        def error(z: np.ndarray) -> float:
+            with np.errstate(all="ignore"):
+                sse = float(np.sum((y - self.run(y, *self.parameters(z))[0]) ** 2))
+            return sse if np.isfinite(sse) else 1e300
+
+        starts = [nelder_mead(error, np.array([np.log(a / (1 - a)), -2.0, -2.0, 1.0])) for a in (0.2, 0.5, 0.8)]
+        return self.parameters(min(starts, key=error))
+
+    def forecast(self, y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fitted values, forecasts and their standard deviations (those of the linear model with the same parameters)."""
+        alpha, beta, gamma, phi = self.fit(y)
+        fitted, level, slope, season = self.run(y, alpha, beta, gamma, phi)
+        step = np.cumsum(phi ** np.arange(1, horizon + 1)) if self.trended else np.zeros(horizon)
+        s = season[(len(y) + np.arange(horizon)) % len(season)]
+        base = level + slope * step
+        j = np.arange(1, horizon)
+        c = alpha * (1 + beta * step[: horizon - 1]) + (gamma * (j % self.period == 0) if self.period else 0.0)
+        free = len(y) - 1 - self.trended - bool(self.period) - self.damped
+        sigma = np.sqrt(np.sum((y - fitted) ** 2) / max(1, free))
+        return fitted, base * s if self.multiplicative else base + s, sigma * np.sqrt(1 + np.append(0.0, np.cumsum(c * c)))
 
 
 def nelder_mead(f, x: np.ndarray, steps: int = 200, size: float = 0.1) -> np.ndarray:
@@ -175,61 +236,191 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return 1e-4 + (1 - 2e-4) / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _smooth(y: np.ndarray, model: str, period: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    seasonal, trended = model.startswith("hw"), model != "ses"
-    mul = model == "hw_multiplicative"
+def stationary(z: np.ndarray) -> np.ndarray:
+    """Coefficients of a stationary autoregression from free numbers, by way of its partial autocorrelations: every one can be reached."""
+    out = np.zeros(0)
+    for r in np.tanh(z):
+        out = np.append(out - r * out[::-1], r)
+    return out
+
+
+class Arma:
+    """A zero-mean ARMA process in state-space form; its exact likelihood by the Kalman filter."""
+
+    def __init__(self, ar: np.ndarray, ma: np.ndarray):
+        self.ar, self.ma = ar, ma
+        r = self.r = max(len(ar), len(ma) + 1)
+        self.move = np.zeros((r, r))
+        self.move[: len(ar), 0] = ar
+        self.move[:-1, 1:] = np.eye(r - 1)
+        self.shock = np.append(np.append(1.0, ma), np.zeros(r - 1 - len(ma)))
+        noise = np.outer(self.shock, self.shock)
+        self.spread = np.linalg.solve(np.eye(r * r) - np.kron(self.move, self.move), noise.ravel()).reshape(r, r)
+
+    def filter(self, w: np.ndarray) -> tuple[float, float, np.ndarray]:
+        """Variance of the shocks, log-likelihood with it put in, and the state ahead of the last value."""
+        a, p, noise = np.zeros(self.r), self.spread, np.outer(self.shock, self.shock)
+        square, log, steady = 0.0, 0.0, False
+        for v in w:
+            f = p[0, 0]
+            error = v - a[0]
+            square += error * error / f
+            log += np.log(f)
+            gain = p[:, 0] / f
+            a = self.move @ (a + gain * error)
+            if not steady:
+                after = self.move @ (p - np.outer(gain, p[0])) @ self.move.T + noise
+                steady, p = bool(np.abs(after - p).max() < 1e-12), after
+        n = len(w)
+        variance = max(square / n, 1e-300)
+        return variance, -0.5 * (n * np.log(2 * np.pi * variance) + log + n), a
+
+    def weights(self, count: int) -> np.ndarray:
+        """How much a shock moves the next values."""
+        out, state = [], self.shock
+        for _ in range(count):
+            out.append(state[0])
+            state = self.move @ state
+        return np.array(out)
+
+
+def arima(y: np.ndarray, p: int, d: int, q: int, horizon: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forecasts, standard deviations and AIC by exact maximum likelihood, with a mean (d = 0) or drift (d = 1)."""
+    w = np.diff(y, d) if d else y
+    mean = float(w.mean()) if d < 2 else 0.0
+    scale = float(w.std()) or 1.0
+    x = (w - mean) / scale
 
-    def path(z: np.ndarray):
-        p = _unit(z)
-        return holt_winters_path(y, p[0], p[1] if trended else 0.0, p[2] if seasonal else 0.0, period if seasonal else 0, 0.8 + 0.18 * p[-1] if model == "damped" else 1.0, mul)
+    def model(z: np.ndarray) -> Arma:
+        return Arma(stationary(z[:p]), -stationary(z[p:]))
 
-    z = nelder_mead(lambda z: float(np.sum((y - path(z)[0]) ** 2)), np.array([0.0, -2.0, -1.0, 1.0]))
-    fitted, level, slope, season = path(z)
-    phi = 0.8 + 0.18 * _unit(z)[-1] if model == "damped" else 1.0
-    steps = np.cumsum(phi ** np.arange(1, horizon + 1))
-    base = level + slope * steps
-    s = season[(len(y) + np.arange(horizon)) % len(season)]
-    return fitted, base * s if mul else base + s
+    z = nelder_mead(lambda z: -model(z).filter(x)[1], np.zeros(p + q), 150, 0.3) if p + q else np.zeros(0)
+    best = model(z)
+    variance, log, state = best.filter(x)
+    out = []
+    for _ in range(horizon):
+        out.append(state[0])
+        state = best.move @ state
+    out, weights = np.array(out) * scale + mean, best.weights(horizon)
+    for i in reversed(range(d)):
+        out, weights = np.diff(y, i)[-1] + np.cumsum(out), np.cumsum(weights)
+    return out, scale * np.sqrt(variance * np.cumsum(weights**2)), 2 * (p + q + 1 + (d < 2)) - 2 * (log - len(x) * np.log(scale))
+
+
+def mackinnon_p(tau: float) -> float:
+    """P of the Dickey-Fuller statistic with a constant."""
+    if not np.isfinite(tau):
+        return float("nan")
+    #: Response surface of MacKinnon (1994), its ends and its powers from 0 on.
+    if tau > 2.74 or tau < -18.83:
+        return float(tau > 0)
+    powers = (2.1659, 1.4412, 0.038269) if tau <= -1.61 else (1.7339, 0.93202, -0.12745, -0.010368)
+    return float(normal_cdf(np.array(sum(c * tau**i for i, c in enumerate(powers)))))
+
+
+def dickey_fuller(y: np.ndarray) -> tuple[float, float, int]:
+    """Statistic, p and lags of the augmented test with a constant; lags by AIC on a common sample. NaN for fewer than 8 values or a constant."""
+    n = len(y)
+    if n < 8 or np.ptp(y) == 0:
+        return float("nan"), float("nan"), 0
+    most = max(0, min(int(12 * (n / 100) ** 0.25), (n - 1) // 3 - 1))
+    dy = np.diff(y)
+
+    def regression(lags: int, start: int) -> tuple[float, float]:
+        x = np.column_stack([np.ones(len(dy) - start), y[start:-1], *[dy[start - i : len(dy) - i] for i in range(1, lags + 1)]])
+        v = dy[start:]
+        q, r = np.linalg.qr(x)
+        beta = np.linalg.solve(r, q.T @ v)
+        sse = float(np.sum((v - x @ beta) ** 2))
+        inverse = np.linalg.inv(r)
+        error = np.sqrt(sse / (len(v) - x.shape[1]) * (inverse[1] @ inverse[1]))
+        return float(beta[1] / error), len(v) * np.log(max(sse, 1e-300) / len(v)) + 2 * x.shape[1]
+
+    try:
+        lags = min(range(most + 1), key=lambda k: regression(k, most)[1])
+        tau = regression(lags, lags)[0]
+    except np.linalg.LinAlgError:
+        return float("nan"), float("nan"), 0
+    return tau, mackinnon_p(tau), lags
+
+
+def auto_arima(y: np.ndarray, horizon: int, most: tuple[int, int, int] = (3, 2, 3)) -> tuple[np.ndarray, np.ndarray, float]:
+    """The order of least AIC; differences are taken until the unit-root test rejects."""
+    d = 0
+    while d < most[1] and not dickey_fuller(np.diff(y, d) if d else y)[1] < 0.05 and np.ptp(np.diff(y, d)) > 0:
+        d += 1
+    found = [arima(y, p, d, q, horizon) for p in range(most[0] + 1) for q in range(most[2] + 1) if p + q < len(y) // 4]
+    return min(found, key=lambda f: f[2] if np.isfinite(f[0]).all() else np.inf)
+
+
+def adf(df: DataFrame, y: str, t: str, by: list[str]) -> DataFrame:
+    """by, statistic, p, lags of the augmented Dickey-Fuller test of each series."""
+    return _by_series(df, y, t, by, lambda v: pd.DataFrame([dickey_fuller(v)], columns=["statistic", "p", "lags"]), "statistic double, p double, lags int")
+
+
+def seasons(df: DataFrame, y: str, t: str, by: list[str], most: int = 24) -> DataFrame:
+    """by, period, strength: lags from 2 on at which the autocorrelations of the detrended series peak above 1.96 / sqrt(n)."""
+
+    def run(v: np.ndarray) -> pd.DataFrame:
+        n = len(v)
+        top = max(2, min(most, n // 2))
+        e = v - np.polyval(np.polyfit(np.arange(n), v, 1), np.arange(n)) if n > 1 else v * 0
+        e = e - e.mean()
+        size = float(e @ e)
+        r = np.array([float(e[k:] @ e[: n - k]) / size for k in range(min(top + 2, n))]) if size > 0 else np.zeros(1)
+        after = lambda k: r[k + 1] if k + 1 < len(r) else -np.inf
+        found = [(k, float(r[k])) for k in range(2, min(top + 1, len(r))) if n >= 6 and r[k] > r[k - 1] and r[k] >= after(k) and r[k] > 1.96 / np.sqrt(n)]
+        return pd.DataFrame(found, columns=["period", "strength"])
+
+    return _by_series(df, y, t, by, run, "period int, strength double")
+
+
+def _by_series(df: DataFrame, y: str, t: str, by: list[str], f: Callable[[np.ndarray], pd.DataFrame], columns: str) -> DataFrame:
+    kinds = dict(df.dtypes)
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = f(group.sort_values(t)[y].to_numpy(float))
+        for i, b in enumerate(by):
+            out.insert(i, b, group[b].iloc[0])
+        return out
 
-def _arma(y: np.ndarray, p: int, q: int, d: int, horizon: int) -> tuple[np.ndarray, float]:
-    """ARIMA by conditional least squares: long autoregression for start values, then a simplex; forecast and AIC."""
-    w = np.diff(y, d) if d else y
-    mean = w.mean()
-    w = w - mean
-    n, k = len(w), max(p, q)
-
-    def residuals(z: np.ndarray) -> np.ndarray:
-        ar, ma, e = np.tanh(z[:p]), np.tanh(z[p:]), np.zeros(n)
-        for t in range(k, n):
-            e[t] = w[t] - ar @ w[t - p : t][::-1] - ma @ e[t - q : t][::-1]
-        return e
-
-    z = nelder_mead(lambda z: float(np.sum(residuals(z)[k:] ** 2)), np.zeros(p + q), 120) if p + q else np.zeros(0)
-    e = residuals(z)
-    sse = max(float(np.sum(e[k:] ** 2)), 1e-300)
-    ar, ma = np.tanh(z[:p]), np.tanh(z[p:])
-    w, e = [*w], [*e]
-    for _ in range(horizon):
-        w.append(float(ar @ np.array(w[len(w) - p :])[::-1] + ma @ np.array(e[len(e) - q :])[::-1]))
-        e.append(0.0)
-    out = np.array(w[n:]) + mean
-    tails = [np.diff(y, i)[-1] for i in range(d)]
-    for last in reversed(tails):
-        out = last + np.cumsum(out)
-    return out, (n - k) * np.log(sse / (n - k)) + 2 * (p + q + 2)
+    return df.select(*by, t, F.col(y).cast("double").alias(y)).filter(F.col(y).isNotNull()).groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", " + columns)
+
+
+def polynomial_trend(df: DataFrame, y: str, t: str, by: list[str], degree: int = 2) -> DataFrame:
+    """by, coefficients (from the constant on, in periods 1, 2, ...) and r2: power sums are aggregated, a small system is solved for each series."""
+    n = F.count("*").over(Window.partitionBy(*by))
+    rows = df.select(*by, F.col(y).cast("double").alias("__y"), F.row_number().over(_order(by, t)).cast("double").alias("__i"), n.cast("double").alias("__n"))
+    u = (2 * F.col("__i") - F.col("__n") - 1) / F.col("__n")  # between -1 and 1, which keeps the system well conditioned
+    sums = [F.sum(F.pow(u, k)) for k in range(2 * degree + 1)] + [F.sum(F.col("__y") * F.pow(u, k)) for k in range(degree + 1)]
+    s = rows.groupBy(*by).agg(F.array(*sums).alias("s"), F.max("__n").alias("n"), F.sum(F.col("__y") * F.col("__y")).alias("yy"))
+
+    @F.pandas_udf("coefficients array<double>, r2 double")
+    def solve(s: pd.Series, n: pd.Series, yy: pd.Series) -> pd.DataFrame:
+        out = []
+        for sums, count, square in zip(s, n, yy, strict=True):
+            a = np.array([[sums[i + j] for j in range(degree + 1)] for i in range(degree + 1)])
+            b = np.array(sums[2 * degree + 1 :])
+            c = np.linalg.lstsq(a, b, rcond=None)[0]
+            total = square - b[0] ** 2 / count
+            line = np.polynomial.Polynomial([-(count + 1) / count, 2 / count])
+            out.append((np.polynomial.Polynomial(c)(line).coef.tolist(), 1 - (square - float(c @ b)) / total if total > 0 else None))
+        return pd.DataFrame(out, columns=["coefficients", "r2"])
+
+    return s.withColumn("f", solve("s", "n", "yy")).select(*by, "f.*")
 
 
 MODELS = ("naive", "ses", "holt", "damped", "hw_additive", "hw_multiplicative", "arima")
 
 
-def _forecast(y: np.ndarray, model: str, period: int, horizon: int) -> np.ndarray:
+def _forecast(y: np.ndarray, model: str, period: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forecasts and their standard deviations."""
     if model == "naive":
-        return np.full(horizon, y[-1])
+        return np.full(horizon, y[-1]), np.sqrt(np.mean(np.diff(y) ** 2) * np.arange(1, horizon + 1))
     if model == "arima":
-        d = 1 if np.std(np.diff(y)) < np.std(y) else 0
-        return min((_arma(y, p, q, d, horizon) for p in range(3) for q in range(3)), key=lambda r: r[1])[0]
-    return _smooth(y, model, period, horizon)[1]
+        return auto_arima(y, horizon, (2, 1, 2))[:2]
+    seasonal = model.startswith("hw")
+    return Smoother(model != "ses", model == "damped", period if seasonal else 0, model == "hw_multiplicative").forecast(y, horizon)[1:]
 
 
 def usable(y: np.ndarray, model: str, period: int) -> bool:
@@ -238,24 +429,33 @@ def usable(y: np.ndarray, model: str, period: int) -> bool:
     return len(y) >= (8 if model == "arima" else 3)
 
 
-def forecast(df: DataFrame, y: str, t: str, by: str, horizon: int, period: int = 0, models: tuple[str, ...] = MODELS) -> DataFrame:
-    """by, model, rmse, step, value: each model's holdout error (last fifth) and its forecast from the whole series.
+#: Levels of forecast intervals.
+LEVELS = (0.8, 0.95)
+
+
+def forecast(df: DataFrame, y: str, t: str, by: str, horizon: int, period: int = 0, models: tuple[str, ...] = MODELS, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """by, model, rmse, step, value, and low and high for each level: each model's holdout error (last fifth) and its forecast from the whole series.
 
     Series and models are exploded, so that a task fits one model to one series.
     """
+    if any(not 0.5 <= v <= 0.999 for v in levels):
+        raise ValueError("levels lie between 0.5 and 0.999")
     rows = df.select(F.col(by).alias("key"), F.col(t).alias("t"), F.col(y).cast("double").alias("y")).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    names = [f"{side}{round(100 * v)}" for v in sorted(set(levels)) for side in ("low", "high")]
+    scores = [float(normal_score(np.array((1 + v) / 2))) * sign for v in sorted(set(levels)) for sign in (-1, 1)]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         values, model = group.sort_values("t").y.to_numpy(), group.model.iloc[0]
         hold = max(1, len(values) // 5)
         if not usable(values[:-hold], model, period):
-            return pd.DataFrame({"key": [], "model": [], "rmse": [], "step": [], "value": []})
-        rmse = float(np.sqrt(np.mean((values[-hold:] - _forecast(values[:-hold], model, period, hold)) ** 2)))
-        out = _forecast(values, model, period, horizon)
-        return pd.DataFrame({"key": group.key.iloc[0], "model": model, "rmse": rmse, "step": np.arange(1, horizon + 1), "value": out})
+            return pd.DataFrame({c: [] for c in ("key", "model", "rmse", "step", "value", *names)})
+        rmse = float(np.sqrt(np.mean((values[-hold:] - _forecast(values[:-hold], model, period, hold)[0]) ** 2)))
+        out, sd = _forecast(values, model, period, horizon)
+        sides = {n: out + z * sd for n, z in zip(names, scores, strict=True)}
+        return pd.DataFrame({"key": group.key.iloc[0], "model": model, "rmse": rmse, "step": np.arange(1, horizon + 1), "value": out} | sides)
 
     kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key", "model").applyInPandas(run, f"key {kind}, model string, rmse double, step int, value double").withColumnRenamed("key", by)
+    return rows.groupBy("key", "model").applyInPandas(run, f"key {kind}, model string, rmse double, step int, value double, {', '.join(f'{n} double' for n in names)}").withColumnRenamed("key", by)
 
 
 def best_forecast(forecasts: DataFrame, by: str) -> DataFrame:

@@ -5,6 +5,7 @@ Expressions are SQL that Spark and DuckDB both read. An input that a frame lacks
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -31,7 +32,13 @@ class Model:
 
     def evaluate(self, df: DataFrame) -> DataFrame:
         """df with every cell of the model; a level is one projection."""
-        df = df.withColumns({k: F.lit(float(v)) for k, v in self.inputs.items() if k not in df.columns})
+        missing = {k: float(v) for k, v in self.inputs.items() if k not in df.columns}
+        if len(missing) == len(self.inputs):
+            # Base values alone: as one row of data, for as literals every level would be unfolded into the next.
+            base = df.sparkSession.createDataFrame([tuple(missing.values())], ", ".join(f"{k} double" for k in missing))
+            df = df.crossJoin(F.broadcast(base))
+        else:
+            df = df.withColumns({k: F.lit(v) for k, v in missing.items()})
         for level in self.levels:
             df = df.withColumns({k: F.expr(e) for k, e in level.items()})
         return df
@@ -57,8 +64,20 @@ def discounted_sum(rate: str, flows: list[str]) -> str:
     return out
 
 
+def internal_rate(flows: list[str], name: str = "irr", steps: int = 16) -> Levels:
+    """Levels that end in the internal rate of return: Newton's method on the discount factor. NULL where it does not settle on a root."""
+    value = lambda x: functools.reduce(lambda out, f: f"({f} + {out} * {x})", reversed(flows[:-1]), flows[-1])
+    slopes = [f"{t} * {f}" for t, f in enumerate(flows)][1:]
+    slope = lambda x: functools.reduce(lambda out, f: f"({f} + {out} * {x})", reversed(slopes[:-1]), slopes[-1])
+    step = lambda x: f"CASE WHEN {slope(x)} <> 0 THEN {x} - {value(x)} / {slope(x)} END"
+    levels: Levels = [{f"{name}_x0": num(1 / 1.1)}]
+    levels += [{f"{name}_x{i + 1}": step(f"{name}_x{i}")} for i in range(steps)]
+    last, scale = f"{name}_x{steps}", f"({' + '.join(f'abs({f})' for f in flows)})"
+    return [*levels, {name: f"CASE WHEN {last} > 0 AND abs({value(last)}) <= {num(1e-9)} * {scale} THEN 1 / {last} - 1 END"}]
+
+
 def project() -> Model:
-    """Five-year investment: units, price, costs, investment and rate are uncertain; net present value."""
+    """Five-year investment: units, price, costs, investment and rate are uncertain; net present value and internal rate."""
     years = range(1, 6)
     inputs = dict(units=10000, growth=0.05, price=26, unit_cost=12, fixed_cost=60000, investment=250000, life=5, salvage=25000, tax=0.25, working=0.1, rate=0.12, inflation=0.03)
     one = {f"q{t}": f"units * {_power('1 + growth', t - 1)}" for t in years} | {f"up{t}": _power("1 + inflation", t - 1) for t in years} | {f"dep{t}": f"CASE WHEN {t} <= life THEN (investment - salvage) / life ELSE {num(0.0)} END" for t in years}
@@ -71,9 +90,9 @@ def project() -> Model:
     return Model(
         "project",
         inputs,
-        [one, two, three, four, five, six, seven],
-        ["npv"],
-        {"units": d.normal(10000, 1500), "price": d.normal(26, 2), "unit_cost": numeric.pert(10.5, 12, 15), "investment": d.triangular(220000, 250000, 310000), "rate": d.uniform(0.1, 0.14)},
+        [one, two, three, four, five, six, seven, *internal_rate([f"fcf{t}" for t in range(6)])],
+        ["npv", "irr"],
+        {"units": d.truncated(d.normal(10000, 1500), 0), "price": d.truncated(d.normal(26, 2), 0), "unit_cost": numeric.pert(10.5, 12, 15), "investment": d.triangular(220000, 250000, 310000), "rate": d.uniform(0.1, 0.14)},
         correlations=[("price", "units", -0.5)],
     )
 
@@ -123,12 +142,12 @@ def launch() -> Model:
             {"success": f"CASE WHEN npv > 0 THEN {num(1.0)} ELSE {num(0.0)} END"},
         ],
         ["npv", "success"],
-        {"approval": d.bernoulli(0.7), "development": d.triangular(400000, 500000, 700000), "distributors": numeric.binomial(20, 0.4), "units": d.normal(2500, 500), "price": numeric.pert(34, 40, 44)},
+        {"approval": d.bernoulli(0.7), "development": d.triangular(400000, 500000, 700000), "distributors": numeric.binomial(20, 0.4), "units": d.truncated(d.normal(2500, 500), 0), "price": numeric.pert(34, 40, 44)},
     )
 
 
 def loan() -> Model:
-    """Leveraged purchase: equity value and the least debt-service cover."""
+    """Leveraged purchase: equity value, its internal rate and the least debt-service cover."""
     years = range(1, 6)
     levels: Levels = [{"debt": "investment * debt_share", "interest_rate": "base_rate + spread"}, {"level": "debt * interest_rate / (1 - power(1 + interest_rate, -term))", "b0": "debt"}]
     for t in years:
@@ -140,9 +159,9 @@ def loan() -> Model:
     return Model(
         "loan",
         dict(investment=500000, debt_share=0.6, base_rate=0.08, spread=0.03, term=5, ebitda=160000, growth=0.03, tax=0.25, equity_rate=0.15),
-        levels,
-        ["npv", "least_cover"],
-        {"base_rate": d.normal(0.08, 0.015), "ebitda": d.normal(160000, 25000), "growth": d.triangular(-0.02, 0.03, 0.07)},
+        [*levels, *internal_rate([f"f{t}" for t in range(6)])],
+        ["npv", "irr", "least_cover"],
+        {"base_rate": d.truncated(d.normal(0.08, 0.015), 0.02, 0.16), "ebitda": d.normal(160000, 25000), "growth": d.triangular(-0.02, 0.03, 0.07)},
         correlations=[("base_rate", "ebitda", -0.3)],
     )
 

@@ -1,49 +1,36 @@
-"""Queries of time series over monthly order totals.
-
-Each query is there twice: under its name over the six full years before 2001, as its SQL is, and as NAME_whole over every order.
-"""
+"""Queries of time series over the monthly totals of every order."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import timeseries as ts
 from .common import QUERIES, SQL, query, r, round_all, rounded, table
 
-MONTHLY = "(SELECT o_orderpriority AS p, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS t, sum(o_totalprice) / 1000000 AS y FROM orders WHERE o_orderdate < '2001-01-01' GROUP BY ALL)"
-
-
-#: The same over every order.
-WHOLE = MONTHLY.replace(" WHERE o_orderdate < '2001-01-01'", "")
-BEFORE = "2001-01-01"
+MONTHLY = "(SELECT o_orderpriority AS p, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS t, sum(o_totalprice) / 1000000 AS y FROM orders GROUP BY ALL)"
 
 
-def monthly(spark: SparkSession, sf_dir: str, before: str | None) -> DataFrame:
-    """p, t, y: monthly totals of each priority, of orders before a date or of all."""
-    o = table(spark, sf_dir, "orders")
-    if before:
-        o = o.filter(F.col("o_orderdate") < before)
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p, t, y: monthly totals of each priority."""
     t = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
-    return o.groupBy(F.col("o_orderpriority").alias("p"), t.cast("long").alias("t")).agg((F.sum("o_totalprice") / 1000000).alias("y"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("p"), t.cast("long").alias("t")).agg((F.sum("o_totalprice") / 1000000).alias("y"))
 
 
 W = "(PARTITION BY p ORDER BY t)"
 
 
 @query(f"SELECT p, t, {r('y')} AS y, {r('CASE WHEN row_number() OVER w > 6 THEN avg(y) OVER (PARTITION BY p ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) END')} AS fitted FROM {MONTHLY} WINDOW w AS {W}")
-def moving_average(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    return round_all(ts.moving_average(monthly(spark, sf_dir, before), "y", "t", 6, ["p"]))
+def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(ts.moving_average(monthly(spark, sf_dir), "y", "t", 6, ["p"]))
 
 
 CENTRED = f"SELECT *, CASE WHEN i > 6 AND i <= n - 6 THEN (sum(y) OVER (PARTITION BY p ORDER BY t ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) + sum(y) OVER (PARTITION BY p ORDER BY t ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 24 END AS trend FROM (SELECT *, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY p) AS n FROM {MONTHLY})"
 
 
 @query(f"SELECT p, t, {r('y')} AS y, {r('trend')} AS trend FROM ({CENTRED})")
-def centred_average(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    return round_all(ts.centred_average(monthly(spark, sf_dir, before), "y", "t", 12, ["p"]))
+def centred_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(ts.centred_average(monthly(spark, sf_dir), "y", "t", 12, ["p"]))
 
 
 def _decompose_sql(mul: bool) -> str:
@@ -53,8 +40,8 @@ def _decompose_sql(mul: bool) -> str:
 
 
 def _decompose(kind: str):
-    def run(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-        return round_all(ts.decompose(monthly(spark, sf_dir, before), "y", "t", 12, ["p"], kind).select("p", "t", "seasonal", "residual"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return round_all(ts.decompose(monthly(spark, sf_dir), "y", "t", 12, ["p"], kind).select("p", "t", "seasonal", "residual"))
 
     QUERIES[f"decompose_{kind}"] = run
     SQL[f"decompose_{kind}"] = _decompose_sql(kind == "multiplicative")
@@ -65,40 +52,40 @@ for _kind in ("additive", "multiplicative"):
 
 
 @query(f"SELECT p, t, {r('d2')} AS y FROM (SELECT p, t, d - lag(d) OVER {W} AS d2 FROM (SELECT p, t, y - lag(y) OVER {W} AS d FROM {MONTHLY})) WHERE d2 IS NOT NULL")
-def differences(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    return round_all(ts.difference(monthly(spark, sf_dir, before), "y", "t", ["p"], 2))
+def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(ts.difference(monthly(spark, sf_dir), "y", "t", ["p"], 2))
 
 
 ACF = f"(WITH e AS (SELECT p, row_number() OVER {W} AS i, y - avg(y) OVER (PARTITION BY p) AS e FROM {MONTHLY}), v AS (SELECT p, sum(e * e) AS v, count(*) AS n FROM e GROUP BY p) SELECT a.p, k::INTEGER AS lag, any_value(n) AS n, sum(a.e * b.e) / any_value(v) AS r FROM e a, e b, v, range(13) g(k) WHERE a.p = b.p AND a.p = v.p AND a.i = b.i + k GROUP BY a.p, k)"
 
 
 @query(f"SELECT p, lag, {r('r')} AS r FROM {ACF}")
-def autocorrelations(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    return round_all(ts.acf(monthly(spark, sf_dir, before), "y", "t", 12, ["p"]))
+def autocorrelations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(ts.acf(monthly(spark, sf_dir), "y", "t", 12, ["p"]))
 
 
 @query(f"SELECT p, {r('any_value(n) * (any_value(n) + 2) * sum(r * r / (n - lag))', 4)} AS q, 12 AS lags FROM {ACF} WHERE lag > 0 GROUP BY p")
-def ljung_box(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    return round_all(ts.ljung_box(monthly(spark, sf_dir, before), "y", "t", 12, ["p"]), 4)
+def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(ts.ljung_box(monthly(spark, sf_dir), "y", "t", 12, ["p"]).select("p", "q", "lags"), 4)
 
 
 @query()
-def partial_autocorrelations(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    return ts.pacf(ts.acf(monthly(spark, sf_dir, before), "y", "t", 12, ["p"]), ["p"])
+def partial_autocorrelations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.pacf(ts.acf(monthly(spark, sf_dir), "y", "t", 12, ["p"]), ["p"])
 
 
 @query(f"""
 WITH f AS (SELECT p, t, y AS a, avg(y) OVER (PARTITION BY p ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS f, row_number() OVER {W} AS i FROM {MONTHLY}), c AS (SELECT *, a - f AS e, lag(a) OVER {W} AS b FROM f WHERE i > 6)
 SELECT p, {r('avg(abs(e))')} AS mae, {r('avg(e * e)')} AS mse, {r('avg(abs(e / a))')} AS mape, {r('avg(2 * abs(e) / (abs(a) + abs(f)))')} AS smape, {r('sqrt(avg(e * e))')} AS rmse,
   {r('sqrt(sum(power(e / b, 2)) / sum(power((a - b) / b, 2)))')} AS theil_u, {r('1 - sum(e * e) / (var_pop(a) * count(*))')} AS r2 FROM c GROUP BY p""")
-def forecast_errors(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    fitted = ts.moving_average(monthly(spark, sf_dir, before), "y", "t", 6, ["p"])
+def forecast_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = ts.moving_average(monthly(spark, sf_dir), "y", "t", 6, ["p"])
     return round_all(ts.error_metrics(fitted, "y", "fitted", "t", ["p"]))
 
 
 def _trend(kind: str, u: str, v: str, back: bool) -> None:
-    def run(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-        return round_all(ts.trend(monthly(spark, sf_dir, before), "y", "t", ["p"], kind))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return round_all(ts.trend(monthly(spark, sf_dir), "y", "t", ["p"], kind))
 
     a = "exp(regr_intercept(v, u))" if back else "regr_intercept(v, u)"
     QUERIES[f"trend_{kind}"] = run
@@ -112,21 +99,22 @@ _trend("power", "ln(i)", "ln(y)", True)
 
 
 @query(f"SELECT p, {r('sum(y * CASE WHEN i = 1 THEN power(0.7::DOUBLE, n - 1) ELSE 0.3 * power(0.7::DOUBLE, n - i) END)')} AS level FROM (SELECT p, y, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY p) AS n FROM {MONTHLY}) GROUP BY p")
-def smoothed_level(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    return round_all(ts.ses(monthly(spark, sf_dir, before), "y", "t", ["p"], 0.3))
+def smoothed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(ts.ses(monthly(spark, sf_dir), "y", "t", ["p"], 0.3))
 
 
 @query()
-def forecasts(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    return ts.forecast(monthly(spark, sf_dir, before), "y", "t", "p", 6, 12)
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.forecast(monthly(spark, sf_dir), "y", "t", "p", 6, 12)
 
 
 @query()
-def forecast_best(spark: SparkSession, sf_dir: str, before: str | None = BEFORE) -> DataFrame:
-    return ts.best_forecast(ts.forecast(monthly(spark, sf_dir, before), "y", "t", "p", 6, 12), "p").select("p", "model", rounded("rmse", 9).alias("rmse"), "step", "value")
+def forecast_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.best_forecast(ts.forecast(monthly(spark, sf_dir), "y", "t", "p", 6, 12), "p").select("p", "model", rounded("rmse", 9).alias("rmse"), "step", "value")
 
 
+# Earlier names of the same queries.
 for _name in [k for k, f in QUERIES.items() if f.__module__ == __name__]:
-    QUERIES[f"{_name}_whole"] = functools.partial(QUERIES[_name], before=None)
+    QUERIES[f"{_name}_whole"] = QUERIES[_name]
     if _name in SQL:
-        SQL[f"{_name}_whole"] = SQL[_name].replace(MONTHLY, WHOLE)
+        SQL[f"{_name}_whole"] = SQL[_name]

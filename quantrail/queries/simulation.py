@@ -63,8 +63,9 @@ def uniforms_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lhs_sql() -> str:
-    of = lambda n: f"(row_number() OVER (ORDER BY {uniform_sql(12345, n + '#o', 'id')}, id) - 1 + {uniform_sql(12345, n + '#j', 'id')}) / {TRIALS}"
-    return f"SELECT id AS trial, {r(of('a'), 9)} AS a, {r(of('b'), 9)} AS b FROM range({TRIALS}) t(id)"
+    place = lambda n: f"row_number() OVER (ORDER BY {uniform_sql(12345, n + '#o', 'id')}, id) AS p{n}"
+    of = lambda n: f"(p{n} - 1 + {uniform_sql(12345, n + '#j', f'p{n}')}) / {TRIALS}"
+    return f"SELECT trial, {r(of('a'), 9)} AS a, {r(of('b'), 9)} AS b FROM (SELECT id AS trial, {place('a')}, {place('b')} FROM range({TRIALS}) t(id))"
 
 
 @query(_lhs_sql())
@@ -73,7 +74,7 @@ def uniforms_lhs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _family_rows(f: d.Family) -> tuple[str, str, str]:
-    return f.quantile_sql("u"), f.cdf("x") if f.cdf else "CAST(NULL AS DOUBLE)", f.pdf("x") if f.pdf else "CAST(NULL AS DOUBLE)"
+    return f.quantile_sql("u"), f.cdf("x"), f.pdf("x")
 
 
 def _catalogue_sql(trials: int = 300) -> str:
@@ -100,17 +101,17 @@ def distributions_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def distributions_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantile and cumulative share of the families without closed forms."""
+    """Quantile, both tails and density of the families without closed forms."""
     out = None
     for name, make in numeric.EXAMPLES.items():
         f = make()
         one = spark.range(300).select(F.col("id").alias("trial"), uniform(12345, name, "id").alias("u")).withColumn("x", f.sample("u"))
-        one = one.select(F.lit(name).alias("family"), "trial", "x", f.cdf_column("x").alias("cdf"), F.lit(float(f.mean)).alias("mean"))
+        one = one.select(F.lit(name).alias("family"), "trial", "x", f.cdf_column("x").alias("cdf"), f.survival_column("x").alias("survival"), f.pdf_column("x").alias("pdf"), F.lit(float(f.mean)).alias("mean"))
         out = one if out is None else out.union(one)
     return out
 
 
-TRUNCATED = d.truncated(d.exponential(0.25), 0.2, 0.9)
+TRUNCATED = d.truncated(d.normal(10, 2), 7, 12)
 
 
 @query(f"SELECT trial, {r(TRUNCATED.quantile_sql('a'))} AS x FROM ({_trials(['a'], TRIALS)})")
@@ -125,15 +126,16 @@ def _grid(m: Model) -> dict[str, str]:
 
 def _model_query(name: str, m: Model):
     keep = m.outputs
+    digits = {o: 6 if o == "irr" else 3 for o in keep}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         u = sampling.uniforms(spark, 500, [f"u_{n}" for n in _grid(m)])
         done = m.evaluate(u.select("trial", *[F.expr(e).alias(n) for n, e in _grid(m).items()]))
-        return done.select("trial", *[rounded(F.col(o).cast("double"), 3).alias(o) for o in keep])
+        return done.select("trial", *[rounded(F.col(o).cast("double"), digits[o]).alias(o) for o in keep])
 
     inner = f"(SELECT trial, {', '.join(f'{e} AS {n}' for n, e in _grid(m).items())} FROM ({_trials([f'u_{n}' for n in _grid(m)], 500)}))"
     QUERIES[f"model_{name}"] = run
-    SQL[f"model_{name}"] = f"SELECT trial, {', '.join(f'{r(o, 3)} AS {o}' for o in keep)} FROM ({m.sql(inner, [*_grid(m)])})"
+    SQL[f"model_{name}"] = f"SELECT trial, {', '.join(f'{r(o, digits[o])} AS {o}' for o in keep)} FROM ({m.sql(inner, [*_grid(m)])})"
 
 
 for _name, _make in MODELS.items():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..sources.folders import shared_folder
 from ..streaming import running
 from .common import query, r, round_all, rounded, table
 
+#: Customers of a workbook; a sheet of the format holds 1,048,576 rows.
+BOOK_ROWS = 500
 
 @query(f"SELECT p_partkey, {r('p_retailprice * CASE p_partkey % 4 WHEN 1 THEN -1 WHEN 2 THEN 0.01::DOUBLE ELSE 1 END', 5)} AS number FROM part")
 def locale_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,27 +27,29 @@ def locale_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_acctbal AS balance, c_nationkey = 3 AS home FROM customer")
 def delimited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written with semicolons and decimal commas, and read with found separators and types."""
-    path = f"{shared_folder(spark)}/delimited-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = f"{shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
     text = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.translate(F.format_number("c_acctbal", 2), ",.", ".,").alias("balance"), F.when(F.col("c_nationkey") == 3, "TRUE").otherwise("FALSE").alias("home"))
-    text.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    text.write.option("sep", ";").option("header", True).csv(path)
     df = delimited.read_delimited(spark, path)
     return df.select(F.col("key").cast("long").alias("c_custkey"), "balance", "home")
 
 
 @query("SELECT c_nationkey::VARCHAR AS sheet, c_custkey, c_acctbal, c_name FROM customer")
 def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as workbooks of a sheet for each nation, written and read again."""
-    path = f"{shared_folder(spark)}/workbooks-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    """Customers as workbooks of a sheet for each nation, written and read again; a book holds a bounded range of customers."""
+    path = f"{shared_folder(spark)}/workbooks-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "customer")
-    base = [F.concat(F.lit("book"), (F.col("c_nationkey") % 4).cast("string")).alias("path"), F.col("c_nationkey").cast("string").alias("sheet"), (F.col("c_custkey") + 1).cast("int").alias("row")]
+    block, nation = F.floor(F.col("c_custkey") / BOOK_ROWS), F.col("c_nationkey").cast("string")
+    base = [F.concat_ws("-", F.lit("book"), F.col("c_nationkey") % 4, block).alias("path"), nation.alias("sheet"), (F.col("c_custkey") % BOOK_ROWS + 1).cast("int").alias("row"), block.alias("block")]
     none = lambda t: F.lit(None).cast(t)
     numbers = rows.select(*base, F.lit(1).alias("col"), F.col("c_acctbal").alias("number"), none("string").alias("text"), none("boolean").alias("truth"), none("string").alias("error"), none("string").alias("formula"))
     texts = rows.select(*base, F.lit(2).alias("col"), none("double").alias("number"), F.col("c_name").alias("text"), none("boolean").alias("truth"), none("string").alias("error"), none("string").alias("formula"))
-    books = workbooks.to_workbooks(numbers.union(texts))
-    books.write.mode("overwrite").parquet(path)
+    books = workbooks.to_workbooks(numbers.union(texts).drop("block"))
+    books.write.parquet(path)
     read = spark.read.parquet(path).mapInPandas(workbooks.cells_in, workbooks.CELLS)
-    cells = read.groupBy("sheet", "row").agg(F.max("number").alias("c_acctbal"), F.max("text").alias("c_name"))
-    return cells.select("sheet", (F.col("row") - 1).cast("long").alias("c_custkey"), "c_acctbal", "c_name")
+    cells = read.groupBy("path", "sheet", "row").agg(F.max("number").alias("c_acctbal"), F.max("text").alias("c_name"))
+    key = F.element_at(F.split("path", "-"), -1).cast("long") * BOOK_ROWS + F.col("row") - 1
+    return cells.select("sheet", key.cast("long").alias("c_custkey"), "c_acctbal", "c_name")
 
 
 @query(f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(value) AS n, {r('avg(value)', 4)} AS mean, {r('stddev_samp(value)', 4)} AS sd, min(value) AS least, max(value) AS most FROM events GROUP BY ALL")

@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as d
-from ..operators import fitting, lookup, regression, resampling
+from ..operators import fitting, lookup, ranking, regression, resampling
 from ..operators import statistics as st
-from .common import query, r, round_all, round_sql, rounded, table
+from .common import QUERIES, SQL, query, r, round_all, round_sql, rounded, table
 
 DESCRIBED = ["mean", "sd", "skew", "kurt", "min", "max", "var", "cv", "range", "p05", "p10", "p25", "p50", "p75", "p90", "p95"]
 
 
+def _percentile(x: str, p: float) -> str:
+    """PERCENTILE.INC from order statistics, by the same formula as ranking.percentiles."""
+    v, h = f"list({x} ORDER BY {x}) FILTER ({x} IS NOT NULL)", f"((count({x}) - 1)::DOUBLE * {p}::DOUBLE)"
+    at = lambda k: f"({v})[floor({h})::BIGINT + {k}]"
+    return f"({at(1)} + (coalesce({at(2)}, {at(1)}) - {at(1)}) * ({h} - floor({h})))"
+
+
 def _describe_sql(source: str, x: str, by: str) -> str:
     return f"""
     SELECT {by}, count({x}) AS n, count(*) - count({x}) AS errors, avg({x}) AS mean, stddev_samp({x}) AS sd, skewness({x}) AS skew, kurtosis({x}) AS kurt, min({x}) AS min, max({x}) AS max,
       var_samp({x}) AS var, stddev_samp({x}) / abs(avg({x})) AS cv, max({x}) - min({x}) AS range,
-      {', '.join(f'quantile_cont({x}, {p / 100}) AS p{p:02d}' for p in (5, 10, 25, 50, 75, 90, 95))}
+      {', '.join(f'{_percentile(x, p / 100)} AS p{p:02d}' for p in (5, 10, 25, 50, 75, 90, 95))}
     FROM {source} GROUP BY {by}"""
 
 
@@ -36,8 +43,8 @@ def describe_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 99 percentiles of a report, interpolated."""
     shares = [p / 100 for p in range(1, 100)]
-    got = table(spark, sf_dir, "orders").agg(F.percentile("o_totalprice", F.array(*[F.lit(p) for p in shares])).alias("v"))
-    return got.select(F.posexplode("v").alias("i", "v")).select(((F.col("i") + 1) / 100.0).alias("p"), rounded("v", 6).alias("value"))
+    got = ranking.percentiles(table(spark, sf_dir, "orders"), "o_totalprice", shares)
+    return got.select(F.posexplode("p").alias("i", "v")).select(((F.col("i") + 1) / 100.0).alias("p"), rounded("v", 6).alias("value"))
 
 
 @query("WITH k AS (SELECT l_returnflag, l_quantity AS x, count(*) AS c FROM lineitem GROUP BY l_returnflag, l_quantity), m AS (SELECT *, max(c) OVER (PARTITION BY l_returnflag) AS m FROM k) SELECT l_returnflag, min(x) AS mode, max(c) AS times FROM m WHERE c = m GROUP BY l_returnflag")
@@ -109,7 +116,7 @@ def welch_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def welch_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.welch(table(spark, sf_dir, "events"), "value", "event_type", "click", "error")
+    return st.welch(table(spark, sf_dir, "events"), "value", "event_type", "click", "error").select("t", "df", "p")
 
 
 @query()
@@ -122,18 +129,21 @@ def overlay_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(st.overlay(table(spark, sf_dir, "events"), "value", "event_type"))
 
 
-@query(f"""
-WITH s AS (SELECT value AS x, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events WHERE user_id = 13), n AS (SELECT count(*) AS n FROM s),
+BOOTSTRAP = f"""
+WITH s AS (SELECT value AS x, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events WHERE value IS NOT NULL), n AS (SELECT count(*) AS n FROM s),
 h AS (SELECT floor(id / n)::INTEGER AS replicate, floor(((('0x' || substr(md5('1|boot|' || id), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0) * n)::INTEGER AS i FROM n, range(0, 200 * (SELECT n FROM n)) t(id))
-SELECT replicate, {r('avg(x)')} AS estimate FROM h JOIN s USING (i) GROUP BY replicate""")
+SELECT replicate, {r('avg(x)')} AS estimate FROM h JOIN s USING (i) GROUP BY replicate"""
+
+
+@query(BOOTSTRAP)
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = table(spark, sf_dir, "events").filter("user_id = 13")
-    return round_all(resampling.bootstrap(sample, "value", "event_id", F.avg("x"), 200))
+    """Over every event."""
+    return round_all(resampling.bootstrap(table(spark, sf_dir, "events"), "value", "event_id", F.avg("x"), 200))
 
 
 @query(f"""
 WITH u AS (SELECT rep::INTEGER AS replicate, value, (('0x' || substr(md5('1|pois' || rep || '|' || event_id), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM events, range(20) t(rep)),
-p(k, share) AS (SELECT k, exp(-1.0::DOUBLE) / factorial(k::INTEGER)::DOUBLE FROM range(12) t(k)), c AS (SELECT k, sum(share) OVER (ORDER BY k) AS upto FROM p),
+p(k, share) AS (SELECT k, exp(-1.0::DOUBLE) / factorial(k::INTEGER)::DOUBLE FROM range(19) t(k)), c AS (SELECT k, sum(share) OVER (ORDER BY k) AS upto FROM p),
 w AS (SELECT replicate, value, (SELECT count(*) FROM c WHERE u > upto) AS weight FROM u)
 SELECT replicate, {r('sum(weight * value) / sum(weight)', 4)} AS estimate FROM w WHERE weight > 0 GROUP BY replicate""")
 def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,20 +151,14 @@ def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("replicate").agg(rounded(F.sum(F.col("weight") * F.col("value")) / F.sum("weight"), 4).alias("estimate"))
 
 
-@query()
+@query(f"WITH b AS ({BOOTSTRAP}) SELECT {r('avg(estimate)', 9)} AS estimate, {r('quantile_cont(estimate, 0.025)', 9)} AS low, {r('quantile_cont(estimate, 0.975)', 9)} AS high FROM b")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.interval(bootstrap_means(spark, sf_dir))
-
+    return round_all(resampling.interval(bootstrap_means(spark, sf_dir)), 9)
 
-@query()
-def bootstrap_means_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over every event; bootstrap_means and bootstrap_interval are over user 13 alone, as their SQL is."""
-    return round_all(resampling.bootstrap(table(spark, sf_dir, "events"), "value", "event_id", F.avg("x"), 200))
 
-
-@query()
-def bootstrap_interval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.interval(bootstrap_means_whole(spark, sf_dir))
+# Earlier names of the same queries.
+for _name in ("bootstrap_means", "bootstrap_interval"):
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
 
 
 @query(f"SELECT count(*) AS n, {r('avg(p_retailprice)', 4)} AS mean, {r('stddev_pop(p_retailprice)', 4)} AS sd, {r('avg(ln(p_retailprice))')} AS log, {r('var_pop(ln(p_retailprice))', 8)} AS logvar, {r('1 / avg(p_retailprice)', 9)} AS rate, {r('median(p_retailprice)', 4)} AS median FROM part")
@@ -172,7 +176,7 @@ def fit_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH b AS (SELECT least(floor((1 - exp(-0.02::DOUBLE * value)) * 12), 11)::INTEGER AS bin, count(*) AS c FROM events GROUP BY ALL) SELECT {r('sum(c * c) * 12.0::DOUBLE / sum(c) - sum(c)', 3)} AS statistic, 12 AS bins, sum(c)::BIGINT AS n FROM b")
 def chi_square_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_all(fitting.chi_square(table(spark, sf_dir, "events"), "value", d.exponential(0.02), 12), 3)
+    return round_all(fitting.chi_square(table(spark, sf_dir, "events"), "value", d.exponential(0.02), 12).select("statistic", "bins", "n"), 3)
 
 
 @query(f"""
@@ -185,6 +189,21 @@ def regression_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.table(spark, f).select("term", rounded("coefficient", 3).alias("coefficient"))
 
 
+ERRORS = f"""
+WITH m AS (SELECT count(*) AS n, covar_pop(l_quantity, l_quantity) * count(*) AS aa, covar_pop(l_discount, l_discount) * count(*) AS bb, covar_pop(l_quantity, l_discount) * count(*) AS ab, covar_pop(l_quantity, l_extendedprice) * count(*) AS ay,
+  covar_pop(l_discount, l_extendedprice) * count(*) AS byy, covar_pop(l_extendedprice, l_extendedprice) * count(*) AS yy FROM lineitem),
+c AS (SELECT *, aa * bb - ab * ab AS d, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS b1, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM m),
+s AS (SELECT *, (yy - b1 * ay - b2 * byy) / (n - 3) AS s2 FROM c)
+SELECT 'l_quantity' AS term, {r('sqrt(s2 * bb / d)', 4)} AS error, {r('b1 / sqrt(s2 * bb / d)', 4)} AS t FROM s UNION ALL SELECT 'l_discount', {r('sqrt(s2 * aa / d)', 4)}, {r('b2 / sqrt(s2 * aa / d)', 4)} FROM s"""
+
+
+@query(ERRORS)
+def regression_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard errors and t of both slopes."""
+    fit = regression.ols(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
+    return round_all(regression.table(spark, fit).filter("term <> '(intercept)'").select("term", "error", "t"), 4)
+
+
 @query()
 def regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.table(spark, regression.ols(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]))
@@ -192,8 +211,9 @@ def regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def regression_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = regression.stepwise(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
-    return regression.table(spark, fit) if fit else spark.createDataFrame([], "term string, coefficient double, error double, t double, p double, low double, high double")
+    """Net price from quantity, discount, tax and gross price: those that matter enter."""
+    df = table(spark, sf_dir, "lineitem").withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return regression.table(spark, regression.stepwise(df, "net", ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]))
 
 
 @query(f"SELECT event_type, {r('sum(s * s) / sum(e * e)')} AS dw FROM (SELECT event_type, e, e - lag(e) OVER (PARTITION BY event_type ORDER BY event_id) AS s FROM (SELECT event_type, event_id, value - avg(value) OVER (PARTITION BY event_type) AS e FROM events)) GROUP BY event_type")

@@ -17,6 +17,8 @@ CELLS = "path string, sheet string, row int, col int, number double, text string
 #: Namespaces of the file format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: A string literal, which stays, or the prefix of newer functions, which goes.
+PREFIX = re.compile(r'("(?:[^"]|"")*")|_xlfn\.')
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 
 
@@ -54,7 +56,7 @@ def cells_of(content: bytes) -> Iterator[tuple]:
                 text = "".join(t.text or "" for t in c.iter(f"{MAIN}t")) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value if kind == "str" else None
                 number = float(value) if kind == "n" and value else None
                 if value is not None or text or formula:
-                    formula = None if formula is None else formula.replace("_xlfn.", "")
+                    formula = None if formula is None else PREFIX.sub(r"\1", formula)
                     yield (sheet.get("name"), *place(c.get("r")), number, text, value == "1" if kind == "b" else None, value if kind == "e" else None, formula)
                 c.clear()
 

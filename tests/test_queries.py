@@ -38,7 +38,7 @@ def test_against_sql(spark, duck, sf_dir, name):
     assert got == ordered(known.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys() - {"regression_stepwise"}))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
@@ -73,16 +73,9 @@ def test_bootstrap_numbers_ranges_of_rows(spark):
     assert got == pytest.approx(resampled([r.v for r in rows], 3))
 
 
-def test_bootstrap_of_every_event(spark, duck, sf_dir):
-    x = [v for (v,) in duck.execute("SELECT value FROM events WHERE value IS NOT NULL ORDER BY event_id").fetchall()]
-    got = {r.replicate: r.estimate for r in QUERIES["bootstrap_means_whole"](spark, sf_dir).collect()}
-    known = resampled(x, 200)
-    assert got == pytest.approx(known, abs=1e-6)
-
-
 def test_series_of_every_order(spark, duck, sf_dir):
     """Months after 2000 are in the series, and their totals are those of the table."""
     total, late = duck.execute("SELECT sum(o_totalprice), count(*) FILTER (o_orderdate >= '2001-01-01') FROM orders").fetchone()
-    rows = QUERIES["moving_average_whole"](spark, sf_dir).collect()
+    rows = QUERIES["moving_average"](spark, sf_dir).collect()
     assert late > 0 and max(r.t for r in rows) > 72
     assert sum(r.y for r in rows) == pytest.approx(total / 1e6, rel=1e-6)
