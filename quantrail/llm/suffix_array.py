@@ -5,8 +5,8 @@ with the least hash. Two copies of a passage of at least `least` = window + k -
 
 Sort and compare: the kept suffixes are range-partitioned and sorted by the name of their first k words, then text, place
 and document, and each is compared with its neighbours. One without a neighbour that begins alike is dropped. Ties are part of
-the order, so a beginning that a third of the corpus shares is spread over many ranges. Suffixes at the border of a range,
-and groups too large for a worker, are marked wide.
+the order, so a beginning that a third of the corpus shares is spread over many ranges; the groups at the borders of ranges,
+two for each range, are counted afterwards. Groups too large for a worker are marked wide.
 
 Extend: a suffix and its neighbours are extended left and right, to the runs of `least` words for which its position was
 selected. Copies of a run have selected the same position, so they are in the same group of neighbours: a group is sorted
@@ -41,7 +41,7 @@ from .words import runs, word_hashes
 RUN, WINDOW = 12, 40
 LEAST = RUN + WINDOW - 1
 #: Suffixes of one group that a worker compares in memory; a larger group is wide.
-GROUP = 500
+GROUP = 20_000
 #: Runs that a worker compares at a time, about.
 COMPARED = 2_000_000
 
@@ -100,14 +100,15 @@ def _neighbours(most: int):
     Of exact copies of a text, neighbours at the same place, the first stands for all. At most `most` rows and a batch are held.
     """
 
-    def marked(rows: pa.Table, keep: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def marked(rows: pa.Table, keep: np.ndarray, wide: np.ndarray, border: np.ndarray) -> Iterator[pa.RecordBatch]:
         if keep.any():
-            out = rows.select(["doc", "th", "place"]).append_column("wide", pa.array(wide)).filter(pa.array(keep))
+            name = pc.if_else(pa.array(border), rows.column("name"), pa.scalar(None, pa.int64()))
+            out = rows.select(["doc", "th", "place"]).append_column("wide", pa.array(wide)).append_column("border", name).filter(pa.array(keep))
             yield from out.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the group that may go on
-        border, sent = True, False  # whether it is wide so far, as the first group of a range is; whether its first row was put out before
+        first, large = True, False  # whether it is the first of the range; whether it is known to be large
         for batch in itertools.chain(batches, [None]):
             parts = [*([held] if held is not None else []), *([pa.Table.from_batches([batch])] if batch is not None else [])]
             rows = pa.concat_tables(parts).combine_chunks() if parts else None
@@ -115,21 +116,24 @@ def _neighbours(most: int):
                 continue
             equal = np.append(False, _same(rows.column("name")))
             copy = equal & np.append(False, _same(rows.column("th")) & _same(rows.column("place")))
-            copy[0] = sent
             group = np.cumsum(~equal) - 1
             sizes = np.bincount(group)
-            wide = (sizes > most)[group] | (border & (group == 0))
+            end = group == group[-1]
+            wide = (sizes > most)[group] | (large & (group == 0))
+            border = (first & (group == 0)) | (end if batch is None else False)
+            keep = ~copy & (border | wide | (sizes > 1)[group])
             if batch is None:
-                yield from marked(rows, ~copy & (wide | (sizes > 1)[group] | (group == group[-1])), wide | (group == group[-1]))
+                yield from marked(rows, keep, wide, border)
                 break
-            yield from marked(rows, ~copy & (group < group[-1]) & (wide | (sizes > 1)[group]), wide)
-            held = rows.filter(pa.array(group == group[-1]))
+            yield from marked(rows, keep & ~end, wide, border)
+            held = rows.filter(pa.array(end))
             if group[-1]:
-                border = sent = False
+                first = large = False
             if len(held) > most:
-                end = group == group[-1]
-                yield from marked(held, ~copy[end], np.ones(len(held), bool))
-                held, border, sent = held.slice(len(held) - 1), True, True
+                # All but the last row go; that one tells the border, if the group reaches it, that the group is large.
+                size = len(held) - 1
+                yield from marked(held.slice(0, size), ~copy[end][:size], np.ones(size, bool), np.full(size, first))
+                held, large = held.slice(size), True
 
     return run
 
@@ -245,12 +249,15 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     kept = cut(docs.mapInArrow(_kept(k, window, doc_type), f"name long, th long, place long, {doc}"))
     order = ["name", "th", "place", "doc"]
-    seeds = cut(kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(group), f"{doc}, th long, place long, wide boolean"))
+    seeds = cut(kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(group), f"{doc}, th long, place long, wide boolean, border long"))
     discard(kept)
+    # A group that a border cuts is wide if one of its parts is, or all together are too large: two names for each range.
+    sizes = seeds.filter("border IS NOT NULL").groupBy("border").agg((F.max("wide") | (F.count("*") > group)).alias("far"))
 
     of = copies.select(F.col("doc").alias("d"), F.col("th").alias("t"), "rep")
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-    places = seeds.groupBy("doc", "th").agg(F.collect_set(F.struct("place", "wide")).alias("places"))  # one document's
+    marks = seeds.join(F.broadcast(sizes), "border", "left").withColumn("wide", F.coalesce("far", "wide"))
+    places = marks.groupBy("doc", "th").agg(F.collect_set(F.struct("place", "wide")).alias("places"))  # one document's
     places = places.join(of, same, "left").filter("d IS NULL AND t IS NULL OR d <=> rep")
     places = places.select(F.col("doc").alias("d"), F.col("th").alias("t"), "places", F.col("t").isNotNull().alias("copied"))
     places = cut(places)
