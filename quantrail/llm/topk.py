@@ -8,7 +8,7 @@ Phase one gathers, for each query, the k best entries of every local list; these
 safe cutoff, for k rows reach it. Phase two sends the cutoff to every list, which collects its entries that reach an even
 share of it: a row that stays below the share in every list stays below the cutoff. An entry is sufficient only if its local
 score, with the most that the other parts' lengths allow, can reach the cutoff. Phase three resolves the remaining scores of
-collected rows exactly, by looking the rows up.
+collected rows exactly: the pairs, not the vectors, go back to the lists that have not sent them.
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows without an id take no part;
 missing trailing components count as zero; ties go to the smaller id; repeated rows are rows of their own.
@@ -114,14 +114,23 @@ def _met(f, _key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     return f(queries, rows.rename(columns={"crow": "row", "cv": "v", "csize": "size"}))
 
 
-def resolved(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """pairs (row, other) with their exact score. A vector that is near to many others is looked up by join_hot."""
-    pairs = cut(pairs.select("row", "other").distinct())
-    found = pairs
-    for name, v in (("row", "qv"), ("other", "ov")):
-        many = cut(pairs.groupBy(name).agg(F.count("*").alias("n")).join(vectors.select(F.col("row").alias(name), F.col("v").alias(v)), name))
-        found = join_hot(found, many, [name], "n")
-    return found.select("row", "other", inner_product(F.col("qv"), F.col("ov")).alias("score"))
+def remaining(pairs: pd.DataFrame, slices: pd.DataFrame) -> pd.DataFrame:
+    """Phase three in a block: the local scores of the pairs that a list has not sent, by looking their rows up."""
+    queries, rows = (slices[slices.side == side] for side in (0, 1))
+    width = max(map(len, slices.v), default=0)
+    at = [pd.Index(t.row).get_indexer(pairs[c]) for t, c in ((queries, "row"), (rows, "other"))]
+    a, b = matrix(queries.v, width), matrix(rows.v, width)
+    most = max(1, int(np.abs(a).max(initial=0))) * max(1, int(np.abs(b).max(initial=0))) * max(1, width)
+    if most >= 1 << 62:
+        a, b = a.astype(object), b.astype(object)
+    local = [(a[at[0][i : i + 50_000]] * b[at[1][i : i + 50_000]]).sum(axis=1) for i in range(0, len(pairs), 50_000)]
+    return pairs[["row", "other", "part"]].assign(local=np.concatenate(local).astype(np.int64) if local else np.zeros(0, np.int64))
+
+
+def _looked_up(_key, pairs: pd.DataFrame, slices: pd.DataFrame) -> pd.DataFrame:
+    if not len(pairs):
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("row", "other", "part", "local")})
+    return remaining(pairs, slices)
 
 
 def search(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, parts: int = PARTS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -144,15 +153,29 @@ def search(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vect
     placed = cutting.withColumn("crb", block(row_blocks)).withColumn("cqb", every_one(query_blocks))
     placed = placed.select("cqb", "crb", F.col("part").alias("cpart"), F.col("row").alias("crow"), F.col("v").alias("cv"), F.col("size").alias("csize"))
 
+    schema = "row long, other long, part int, local long"
+
     def meet(queries: DataFrame, f) -> DataFrame:
-        return queries.groupBy("part", "qb", "rb").cogroup(placed.groupBy("cpart", "cqb", "crb")).applyInPandas(partial(_met, f), "row long, other long, part int, local long")
+        return queries.groupBy("part", "qb", "rb").cogroup(placed.groupBy("cpart", "cqb", "crb")).applyInPandas(partial(_met, f), schema)
+
+    asked = queries.select("part", "qb", "rb", "row", "v", F.lit(0).alias("side"))
+    slices = asked.union(placed.select("cpart", "cqb", "crb", "crow", "cv", F.lit(1)))
+
+    def exact(entries: DataFrame) -> DataFrame:
+        """row, other, score of pairs that some list has sent: the other lists' local scores are looked up where both rows lie."""
+        entries = cut(entries)
+        sent = entries.groupBy("row", "other").agg(F.collect_set("part").alias("parts"))  # a few parts
+        missing = sent.select("row", "other", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(parts - 1)), "parts")).alias("part"))
+        missing = missing.withColumns({"qb": block(query_blocks), "rb": F.pmod(F.xxhash64("other"), F.lit(row_blocks)).cast("int")})
+        got = missing.groupBy("part", "qb", "rb").cogroup(slices.groupBy("part", "qb", "rb")).applyInPandas(_looked_up, schema)
+        return entries.select("row", "other", "local").union(got.select("row", "other", "local")).groupBy("row", "other").agg(F.sum("local").alias("score"))
 
     best = meet(queries, partial(heads, k=k)).withColumn("n", F.row_number().over(Window.partitionBy("row", "part").orderBy(F.desc("local"), "other"))).filter(F.col("n") <= k)
-    known = resolved(best, vectors).withColumn("n", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score")))).filter(F.col("n") == k)
+    known = exact(best.drop("n")).withColumn("n", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score")))).filter(F.col("n") == k)
     cutoffs = cut(known.select("row", F.col("score").alias("cutoff")))
     # A query with fewer than k other vectors has no cutoff and takes them all.
     asking = queries.join(cutoffs, "row", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(NONE).cast("long")))
-    found = resolved(meet(asking, partial(sufficient, parts=parts)), vectors).join(cutoffs, "row", "left").filter("cutoff IS NULL OR score >= cutoff").drop("cutoff")
+    found = exact(meet(asking, partial(sufficient, parts=parts))).join(cutoffs, "row", "left").filter("cutoff IS NULL OR score >= cutoff").drop("cutoff")
     return rows, vectors, cut(found)
 
 
