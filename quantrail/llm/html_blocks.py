@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 #: Hash sizes and vector lengths of path parts and words; units of each direction.
 PATHS, WORDS, PATH_SIZE, WORD_SIZE, NUMBERS, UNITS = 2048, 1024, 16, 8, 8, 16
-#: Pages scored at a time.
-GROUP = 64
+#: Pages scored at a time, at most, and blocks of a group with its padding; a page of more blocks is a group by itself.
+GROUP, CELLS = 64, 100_000
+#: Steps of a sequence whose inputs are multiplied at a time.
+STRIDE = 4096
 
 #: Fixed values of HTML: elements without text of their own, those of them that take no room on the page, elements that end a block, elements without an end tag.
 RAW = "script|style|textarea|title|noscript|iframe|template|svg|object|select|canvas|audio|video"
@@ -130,8 +132,7 @@ def blocks_of(page: str | None) -> list[Block]:
                         break
                     if stack[i][0] in CONTAINERS:
                         break
-            if not m["rest"].endswith("/"):
-                stack.append((name, _parts(name, m["rest"])))
+            stack.append((name, _parts(name, m["rest"])))  # a slash at the end of a tag means nothing in HTML
         if name == "a":
             links = 0 if m["close"] else 1
     if at < len(page):
@@ -181,11 +182,13 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: list
     """States of an LSTM over x (pages, blocks, size); keep collects what the backward pass needs."""
     pages, steps, _ = x.shape
     units = u.shape[0]
-    z = (x.reshape(-1, x.shape[2]) @ w + b).reshape(pages, steps, -1)
     h, c = np.zeros((pages, units)), np.zeros((pages, units))
     out = np.empty((pages, steps, units))
     for t in range(steps):
-        a = z[:, t] + h @ u
+        if t % STRIDE == 0:
+            part = x[:, t : t + STRIDE]
+            z = (part.reshape(-1, x.shape[2]) @ w + b).reshape(pages, part.shape[1], -1)
+        a = z[:, t % STRIDE] + h @ u
         gates = sigmoid(a[:, : 3 * units])
         i, f, o = gates[:, :units], gates[:, units : 2 * units], gates[:, 2 * units :]
         g = np.tanh(a[:, 3 * units :])
@@ -216,8 +219,12 @@ def main_probability(pages: list[tuple], model: dict[str, np.ndarray]) -> list[n
     """For each page's features, the probability of each block that it is main text."""
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if len(p[2])), key=lambda i: len(pages[i][2]))
-    for at in range(0, len(order), GROUP):
-        group = order[at : at + GROUP]
+    groups: list[list[int]] = []
+    for i in order:  # from the shortest on, so a page pads none that are much shorter
+        if not groups or len(groups[-1]) == GROUP or (len(groups[-1]) + 1) * len(pages[i][2]) > CELLS:
+            groups.append([])
+        groups[-1].append(i)
+    for group in groups:
         x, lengths = padded([pages[i] for i in group], model)
         ahead = lstm(x, model["w0"], model["u0"], model["b0"])
         back = turned(lstm(turned(x, lengths), model["w1"], model["u1"], model["b1"]), lengths)

@@ -108,10 +108,49 @@ def test_html_held_out_pages():
 
 
 def test_html_odd_pages():
-    assert html_blocks.main_texts([None, "", "<!-- <p>x", "<p"], html_blocks.trained())[:3] == ["", "", ""]
+    assert html_blocks.main_texts([None, "", "<!-- <p>x"], html_blocks.trained()) == ["", "", ""]
+    assert html_blocks.main_texts(["<p"], html_blocks.trained())[0] in ("", "<p")  # no tag: text, if main
     assert [b.text for b in html_blocks.blocks_of("<p>a &amp;\n b<br>c<script>x</script><li>d")] == ["a & b c", "d"]
 
 
+def article_of(page):
+    """The text of a page of the table, whose main text is its one article, by plain patterns."""
+    import html
+
+    parts = re.split(r"</?(?:h[1-6]|p|li|ul|ol|div|blockquote|pre|table|tr|td|section)\b[^>]*>", re.search(r"<article>(.*?)</article>", page, re.S)[1])
+    parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in parts]
+    return "\n".join(p for p in parts if p)
+
+
+def test_html_pages_of_the_table(spark, sf_dir):
+    pages = {r.page_id: r for r in common.table(spark, sf_dir, "pages").collect()}
+    rows = queries.op2_html_blocks(spark, sf_dir).collect()
+    assert len(rows) == len(pages) >= 50
+    for r in rows:
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, article_of(pages[r.page_id].html), len(r.text))
+
+
+def test_html_of_odd_tables(spark):
+    """Nulls, empty pages, repeated rows, a page of very many blocks, clashing names, no rows."""
+    long = "<article>" + "".join(f"<p>Paragraph number {i} of a long article, with words enough.</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, None, "t"), (2, "", "t"), (3, "<article><p>One sentence of text.</p><p>Two.</p></article>", "t"), (3, "<article><p>One sentence of text.</p><p>Two.</p></article>", "t"), (4, long, "t")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    model = spark.sparkContext.broadcast(html_blocks.trained())
+    got = [tuple(r) for r in df.select("page_id", html_blocks.extracted("html", model).alias("x")).select("page_id", "x.*").orderBy("page_id").collect()]
+    assert got[:2] == [(1, "", 0), (2, "", 0)] and got[2] == got[3]
+    assert got[4][1].count("\n") == 19_999
+    assert df.filter("false").select(html_blocks.extracted("html", model).alias("x")).count() == 0
+    assert [b.text for b in html_blocks.blocks_of("<div/>a<p><a href=/x/>b</a></p>")] == ["a", "b"]
+
+
+def test_html_groups_are_bounded(monkeypatch):
+    pages = [p for p, _ in html_pages.training_pages(40, seed=5)]
+    known = html_blocks.main_texts(pages, html_blocks.trained())
+    monkeypatch.setattr(html_blocks, "CELLS", 50)
+    monkeypatch.setattr(html_blocks, "STRIDE", 3)
+    assert html_blocks.main_texts(pages, html_blocks.trained()) == known
+
+
 def test_html_custom_elements_are_no_raw_ones():
     for name in ("svg-icon", "video-player", "title-bar", "select-menu", "style-guide", "object-view", "template-x"):
         page = f'<article><{name} name="x">in</{name}><p>First paragraph.</p><p>Second.</p></article><svg><text>no</text></svg>'
