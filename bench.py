@@ -17,7 +17,7 @@ from quantrail.sources.folders import cut
 
 NAMES = ("npv_of_revenue", "describe_prices", "histogram_25", "spearman_by_flag", "sensitivity_of_price", "regression_coefficients", "cash_flow_indicators", "internal_rate", "loan_french", "autocorrelations", "forecast_errors", "optimise_inventory", "process_gbm", "conditional_totals", "lookup_below", "fit_ranking")
 #: Trials of the published workload.
-TRIALS = (100_000, 1_000_000)
+TRIALS = (100_000,)
 
 
 def project(spark: SparkSession, trials: int) -> list[DataFrame]:
