@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_trie import encoder
-from .common import cut, small_batches
+from .common import cut, refuse, small_batches
 
 PIECES = T.ArrayType(
     T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -100,8 +100,14 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[in
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
-    """pieces with sequence_id and offset. Needs a column length of 1..capacity; order only makes the numbering repeatable."""
+def pack(pieces: DataFrame, capacity: int = 4096, order: tuple[str, ...] = ()) -> DataFrame:
+    """pieces with sequence_id and offset. Needs a column length of 1..capacity; order (all other columns unless given) only makes the numbering repeatable.
+
+    Columns named sequence_id or offset are refused. Of what Spark may choose to broadcast, `before` has a row for each length in each
+    part of the input; the plan's runs saturate below 1 MB.
+    """
+    refuse(pieces, "sequence_id", "offset")
+    order = order or tuple(c for c in pieces.columns if c != "length")
     part, rank = F.col("__qt_part"), F.col("__qt_rank")
     pieces = cut(pieces.withColumn("__qt_part", F.spark_partition_id()))
     counts = cut(pieces.groupBy("length", "__qt_part").agg(F.count("*").alias("__qt_n")))

@@ -508,6 +508,40 @@ def test_empty_documents(spark, odd):
     assert sharding.shard(none.drop("shard"), 8).count() == 0
 
 
+def test_pii_query_by_brute_force(spark, sf_dir, odd, docs):
+    """Counts of the base kinds and all spans; null, empty and long texts, repeated rows, no rows."""
+    known = dict(docs)
+    for r in queries.op1_pii(spark, sf_dir).collect():
+        base = spans(known[r.doc_id]).split(",")
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s.startswith(f"{k}:") for s in base) for k in ("email", "ip", "card", "phone"))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in pii.find(known[r.doc_id]))
+    rows = odd.select("text", pii.pii_spans("text").alias("s")).collect()
+    assert [[tuple(x) for x in r.s] for r in rows] == [pii.find(r.text) for r in rows]
+    assert odd.filter("false").select(pii.pii_spans("text")).count() == 0 and pii.redact(odd.filter("false")).count() == 0
+
+
+def test_pieces_of_another_key(spark):
+    df = spark.createDataFrame([("b", "some words here"), ("a", None)], "name string, body string")
+    got = packing.pack(packing.token_pieces(df, public_tokenizers.path("word_bpe_49k.json"), 8, key="name", text="body"), 8)
+    assert got.columns == ["name", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and {r.name for r in got.collect()} == {"a", "b"}
+
+
+def test_pipeline_stages_on_odd_and_empty_documents(spark, sf_dir, odd):
+    """Each stage on nulls, empty, long and equal texts, repeated rows and clashing names keeps the columns; texts are as by plain code."""
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", F.lit(1).alias("__row"), F.lit("k").alias("key"))
+    stages = dict(corpus_pipeline.STAGES)
+    plain = {"personal_data": lambda t: pii.redacted(t, pii.find(t))}
+    for name, stage in stages.items():
+        for rows in (docs, docs.filter("false")):
+            got = stage(spark, rows, sf_dir)
+            if name != "packed":
+                assert got.columns == docs.columns
+            out = got.collect()
+            assert len(out) == 0 if rows is not docs else len(out) > 0 or name == "quality_rules"
+            if name in plain and rows is docs:
+                assert sorted(r.text for r in out if r.text is not None) == sorted(plain[name](r.text) for r in docs.collect() if r.text is not None)
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage on all that the one before kept, held against the operators' own results."""
     docs = common.table(spark, sf_dir, "documents")
