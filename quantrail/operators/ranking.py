@@ -6,6 +6,8 @@ before they are dealt, so a frequent value is one row.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +61,11 @@ def average_rank() -> Column:
 
 
 def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """df with ranks in which ties share their mean; rows without a value have none."""
+    """df with ranks in which ties share their mean; rows without a value or a group have none."""
     by = by or []
     ranks = cut(cumulative(df, value, by).select(*by, value, average_rank().alias(name), "count"))
-    rest = df.filter(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double"))
-    for b in by:
-        ranks = ranks.filter(F.col(b).isNotNull())
+    gap = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (value, *by)])
+    rest = df.filter(gap).withColumn(name, F.lit(None).cast("double"))
     return join_hot(df, ranks, [*by, value], "count").unionByName(rest)
 
 
