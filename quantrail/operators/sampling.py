@@ -146,7 +146,8 @@ def simulate(spark: SparkSession, model: Model, trials: int, seed: int | None =
         df = uniforms(spark, trials, [f"u_{n}" for n in names], drawn, method)
         if involved:
             df = rank_correlate(cut(df), [f"u_{n}" for n in involved], target, trials, drawn)
-    df = df.select("trial", *[f.sample(f"u_{n}").alias(n) for n, f in model.assumptions.items()])
+    # Inputs are written once: their quantiles and the model's cells in one projection would be more code than a compiled stage takes.
+    df = cut(df.select("trial", *[f.sample(f"u_{n}").alias(n) for n, f in model.assumptions.items()]))
     done = model.evaluate(df)
     return done if seed is not None else done.withColumn("seed", F.lit(drawn))
 
