@@ -17,6 +17,8 @@ from quantrail.llm import ngram_join, packing, pii, quality, suffix_array
 from quantrail.llm.common import shared_folder, table, within
 
 CAPACITY = 4096
+#: Words that a worker of the last stage remembers: fewer than in the query alone, for workers come here with the memory of earlier stages.
+WORDS = 300_000
 
 
 def _with_text(docs: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences: one row for each piece of a document."""
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY))
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, most=WORDS))
 
 
 STAGES = [

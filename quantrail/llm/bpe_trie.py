@@ -56,8 +56,8 @@ def byte_symbols() -> list[str]:
 class TrieEncoder:
     """A tokenizer file with word-end BPE, its merges as a table of splits, and a bounded memory of encoded words."""
 
-    def __init__(self, path: str, form: str = "digest"):
-        """form: what is remembered of a word, its parts of the digests or its ids as bytes (4 each, little-endian)."""
+    def __init__(self, path: str, form: str = "digest", most: int | None = None):
+        """form: what is remembered of a word, its parts of the digests or its ids as bytes (4 each, little-endian); most: of how many words, WORDS_KEPT unless given."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -97,7 +97,7 @@ class TrieEncoder:
         else:
             self.form = lambda ids: (" ".join([number[i] for i in ids]), len(ids), " ".join([token[i] for i in ids]))
             self.joined = lambda parts: (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts]))
-        self.most = WORDS_KEPT[form]
+        self.most = most or WORDS_KEPT[form]
         self.none = self.form([])
         self.blank = False  # whether some word had no tokens
         self.known: dict[bytes, tuple[str, int, str] | bytes] = {}
@@ -253,10 +253,10 @@ _encoder = functools.lru_cache(maxsize=2)(TrieEncoder)
 remembers("bpe", _encoder.cache_clear)
 
 
-def encoder(path: str, form: str = "digest") -> TrieEncoder:
+def encoder(path: str, form: str = "digest", most: int | None = None) -> TrieEncoder:
     """One encoder for each worker process."""
     works("bpe")
-    return _encoder(path, form)
+    return _encoder(path, form, most)
 
 
 def bpe_digests(text: Column | str, path: str) -> Column:
