@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import delimited, workbooks
-from ..sources.folders import shared_folder
+from ..sources.folders import own_folder
 from ..streaming import running
 from .common import query, r, round_all, rounded, table
 
@@ -27,7 +27,7 @@ def locale_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_acctbal AS balance, c_nationkey = 3 AS home FROM customer")
 def delimited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written with semicolons and decimal commas, and read with found separators and types."""
-    path = f"{shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/delimited-{uuid.uuid4().hex}"
     text = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.translate(F.format_number("c_acctbal", 2), ",.", ".,").alias("balance"), F.when(F.col("c_nationkey") == 3, "TRUE").otherwise("FALSE").alias("home"))
     text.write.option("sep", ";").option("header", True).csv(path)
     df = delimited.read_delimited(spark, path)
@@ -37,7 +37,7 @@ def delimited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_nationkey::VARCHAR AS sheet, c_custkey, c_acctbal, c_name FROM customer")
 def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as workbooks of a sheet for each nation, written and read again; a book holds a bounded range of customers."""
-    path = f"{shared_folder(spark)}/workbooks-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/workbooks-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "customer")
     block, nation = F.floor(F.col("c_custkey") / BOOK_ROWS), F.col("c_nationkey").cast("string")
     base = [F.concat_ws("-", F.lit("book"), F.col("c_nationkey") % 4, block).alias("path"), nation.alias("sheet"), (F.col("c_custkey") % BOOK_ROWS + 1).cast("int").alias("row"), block.alias("block")]
@@ -56,10 +56,10 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily statistics of the events, as a stream."""
     out = running.windowed_statistics(running.read_table_stream(spark, sf_dir, "events"), "ts", "value", "event_type")
-    return round_all(running.drained(out, shared_folder(spark)), 4, ("least", "most")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return round_all(running.drained(out, own_folder(spark)), 4, ("least", "most")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"WITH s AS (SELECT event_type, count(value) AS n, avg(value) AS mean, 1.959964 * stddev_samp(value) / sqrt(count(value)) AS half FROM events GROUP BY 1) SELECT event_type, n, {r('mean', 4)} AS mean, {r('half', 4)} AS half, n >= 500 AND half <= 0.05 * abs(mean) AS enough FROM s")
 def stream_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = running.precision(running.read_table_stream(spark, sf_dir, "events"), "value", "event_type")
-    return round_all(running.drained(out, shared_folder(spark)), 4)
+    return round_all(running.drained(out, own_folder(spark)), 4)

@@ -28,3 +28,11 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
     assert run(code, there).split() == sorted(QUERIES)
     (there / "corpus_pipeline.py").unlink(missing_ok=True)
     assert run(code, there).split() == sorted(QUERIES)
+
+
+def test_the_rest_stands_without_what_the_training_data_operators_need():
+    """A missing library takes away those operators alone, with a warning."""
+    from quantrail.queries import QUERIES
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; e.oracle_sql(); print(*sorted(e.queries()))"
+    assert run(code, ROOT).split() == sorted(QUERIES)
