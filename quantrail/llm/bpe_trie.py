@@ -35,8 +35,10 @@ assert sys.byteorder == "little" and array("I").itemsize == 4
 MARK = "\n"
 #: Below this character, lower-casing and normal forms are those of single characters.
 PLAIN = "ƀ"
-#: Bounds a worker's memory of words, in entries of each of two generations.
-WORDS_KEPT = {"digest": 400_000, "bytes": 800_000}
+#: Bounds a worker's memory of words, in bytes of each of two generations, and of pieces of words.
+BYTES_KEPT = {"digest": 170 << 20, "bytes": 160 << 20}
+#: What a remembered word takes beside its characters: the objects and its place in the dictionary.
+WORD_BYTES = {"digest": 400, "bytes": 180}
 #: Text whose distinct words go into one trie, in characters; a longer text is one slice by itself.
 SLICE_CHARS = 2_000_000
 
@@ -56,8 +58,8 @@ def byte_symbols() -> list[str]:
 class TrieEncoder:
     """A tokenizer file with word-end BPE, its merges as a table of splits, and a bounded memory of encoded words."""
 
-    def __init__(self, path: str, form: str = "digest", most: int | None = None):
-        """form: what is remembered of a word, its parts of the digests or its ids as bytes (4 each, little-endian); most: of how many words, WORDS_KEPT unless given."""
+    def __init__(self, path: str, form: str = "digest", kept: int | None = None):
+        """form: what is remembered of a word, its parts of the digests or its ids as bytes (4 each, little-endian); kept: bytes of a generation, BYTES_KEPT unless given."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -97,7 +99,8 @@ class TrieEncoder:
         else:
             self.form = lambda ids: (" ".join([number[i] for i in ids]), len(ids), " ".join([token[i] for i in ids]))
             self.joined = lambda parts: (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts]))
-        self.most = most or WORDS_KEPT[form]
+        self.most, self.word_bytes = kept or BYTES_KEPT[form], WORD_BYTES[form]
+        self.size = self.pieces_size = 0
         self.none = self.form([])
         self.blank = False  # whether some word had no tokens
         self.known: dict[bytes, tuple[str, int, str] | bytes] = {}
@@ -170,19 +173,22 @@ class TrieEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         """Makes all these words (runs without ASCII white space) known. Of other words a bounded number stays known, the latest."""
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        if len(self.pieces_known) > self.most:
-            self.pieces_known = {}
+        if self.size > self.most:
+            self.known, self.older, self.size = {}, self.known, 0
+        if self.pieces_size > self.most:
+            self.pieces_known, self.pieces_size = {}, 0
         known, older, pieces, form, joined = self.known, self.older.get, self.pieces_known, self.form, self.joined
         raws: list[bytes] = []
-        for raw in words.difference(known):
+        new = words.difference(known)
+        for raw in new:
             if (got := older(raw)) is not None:
                 known[raw] = got
             else:
                 raws.append(raw)
         odd: list[tuple[bytes, list]] = []
-        text = b"\n".join(raws).decode()
+        joint = b"\n".join(raws)
+        self.size += self.word_bytes * len(new) + 3 * len(joint)
+        text = joint.decode()
         if "<|" in text or not text.isascii() and max(text) >= PLAIN:
             plain = []
             for raw in raws:
@@ -213,6 +219,7 @@ class TrieEncoder:
         fresh = {p for _, p in one}
         fresh.update([p for _, p, _ in two], tails, [w for _, found in odd for w in found if w.__class__ is str])
         distinct = sorted(fresh.difference(pieces))
+        self.pieces_size += self.word_bytes * len(distinct) + sum(map(len, distinct))
         pieces.update(zip(distinct, map(form, self.encode_sorted(distinct)), strict=True))
         known.update([(raw, pieces[p]) for raw, p in one])
         for raw, p, t in two:
@@ -253,10 +260,10 @@ _encoder = functools.lru_cache(maxsize=2)(TrieEncoder)
 remembers("bpe", _encoder.cache_clear)
 
 
-def encoder(path: str, form: str = "digest", most: int | None = None) -> TrieEncoder:
+def encoder(path: str, form: str = "digest", kept: int | None = None) -> TrieEncoder:
     """One encoder for each worker process."""
     works("bpe")
-    return _encoder(path, form, most)
+    return _encoder(path, form, kept)
 
 
 def bpe_digests(text: Column | str, path: str) -> Column:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_hot as join_hot  # for the operators here
+from ..sources import folders
+from ..sources.folders import delete as delete
+from ..sources.folders import discard as discard
+from ..sources.folders import own_folder as own_folder
 
 #: Longest input a Python worker holds at a time, in rows of an Arrow batch.
 BATCH_ROWS = 1024
@@ -54,34 +56,20 @@ def works(operator: str) -> None:
             if other != operator:
                 clear()
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not every platform has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
         _working = operator
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one named in spark.checkpoint.dir. Where that is unset, a session on one machine gets a temporary one, and a cluster an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not checkpoints.isDefined():
-        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quantrail-"))
-        checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return (named or checkpoints.get()).rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so that a lost executor costs no recomputation.
 
     Columns are compressed, and Spark knows the size of what it reads. A table stays until discard(), the end of within() or
-    forget() deletes it.
+    the end of the driver's program deletes it.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quantrail-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    out = folders.cut(df, "zstd")
     for paths in _scopes:
-        paths.append(path)
+        paths.append(out._cut_path)
     return out
 
 
@@ -94,17 +82,6 @@ def repeatable(df: DataFrame) -> DataFrame:
 _scopes: list[list[str]] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes cut tables whose last reader is written."""
-    for df in tables:
-        _delete(df.sparkSession, df._cut_path)
-
-
 @contextlib.contextmanager
 def within(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the tables cut meanwhile: for a job whose result is written by then."""
@@ -113,12 +90,7 @@ def within(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            _delete(spark, path)
-
-
-def forget(spark: SparkSession) -> None:
-    """Deletes the tables that this application has cut; for the end of a job, when its results are written."""
-    _delete(spark, f"{shared_folder(spark)}/quantrail-{spark.sparkContext.applicationId}")
+            delete(spark, path)
 
 
 #: Bits of a sieve: a thousand rows of 4 KB, whatever it holds.

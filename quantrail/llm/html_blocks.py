@@ -16,6 +16,7 @@ import functools
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,9 +45,11 @@ ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 CONTAINERS = frozenset("ul ol dl table div section article aside nav main header footer form body blockquote".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"'<]++|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:(?<=svg)[^>]*/>|[^>]*>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"'<]++|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: What goes on to the page's end if no > follows.
+OPEN_END = re.compile(r"<[!?/]")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -65,10 +68,21 @@ def _parts(tag: str, rest: str) -> tuple[int, ...]:
     return tuple(_bucket(p, PATHS) for p in dict.fromkeys(found))
 
 
+class Node:
+    """An open element: its parent, its own path parts, how many parts the path to it has, and the nearest block element's name."""
+
+    __slots__ = ("block", "name", "parent", "parts", "size")
+
+    def __init__(self, name: str, parts: tuple[int, ...], parent: Node | None):
+        self.name, self.parts, self.parent = name, parts, parent
+        self.size = len(parts) + (parent.size if parent else 0)
+        self.block = name if name in BLOCKS else parent.block if parent else ""
+
+
 @dataclass
 class Block:
     text: str
-    path: list[int]
+    path: Node | None  # the innermost open element; paths share their beginnings, so a block costs the same at any depth
     link: int  # characters inside links
     tag: str
 
@@ -76,9 +90,10 @@ class Block:
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page with text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[Node] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    path: list[int] = []
+    path: Node | None = None
     tag, link, links = "", 0, 0
     at, page = 0, page or ""
 
@@ -96,19 +111,23 @@ def blocks_of(page: str | None) -> list[Block]:
         if not held:
             if not part.strip():
                 return
-            path = [p for _, parts in stack for p in parts]
-            tag = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
+            path = stack[-1] if stack else None
+            tag = path.block if path else ""
         part = html.unescape(part) if "&" in part else part
         held.append(part)
         if links:
             link += len(part)
 
-    for m in TOKEN.finditer(page):
+    # Behind the last > no tag ends, so none is looked for there.
+    last = page.rfind(">") + 1
+    for m in TOKEN.finditer(page, 0, last):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
         name = m["tag"]
         if name is None:
+            if at == last and (m["raw"] and not (page.endswith("/>", 0, at) and m["raw"].lower() == "svg") and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I) or page.startswith("<!--", m.start()) and not re.search(r"--!?>\Z", m[0])):
+                last = at = len(page)  # it goes on to the page's end
             # A raw element stands in a line of text, so the block goes on behind it.
             if m["raw"] and held and m["raw"].lower() not in UNSEEN:
                 held.append(" ")
@@ -121,30 +140,35 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in VOID:
             continue
         if m["close"]:
-            if any(t == name for t, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if opened[name]:
+                while True:
+                    opened[(gone := stack.pop().name)] -= 1
+                    if gone == name:
+                        break
         else:
-            if ends := ENDS.get(name):
+            if (ends := ENDS.get(name)) and any(opened[e] for e in ends):
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
+                    if stack[i].name in ends:
+                        opened.subtract(x.name for x in stack[i:])
                         del stack[i:]
                         break
-                    if stack[i][0] in CONTAINERS:
+                    if stack[i].name in CONTAINERS:
                         break
-            stack.append((name, _parts(name, m["rest"])))  # a slash at the end of a tag means nothing in HTML
+            stack.append(Node(name, _parts(name, m["rest"]), stack[-1] if stack else None))
+            opened[name] += 1  # a slash at the end of a tag means nothing in HTML
         if name == "a":
             links = 0 if m["close"] else 1
     if at < len(page):
-        text(page[at:])
+        rest = page[at:]
+        text(rest[: m.start()] if (m := OPEN_END.search(rest)) else rest)
     flush()
     return out
 
 
-def features(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Hashed path parts and words of each block, and its numbers."""
+def features(blocks: list[Block]) -> tuple[list[Node | None], list[np.ndarray], np.ndarray]:
+    """Path and hashed words of each block, and its numbers."""
     n = len(blocks)
-    paths = [np.array(b.path, np.int64) for b in blocks]
+    paths = [b.path for b in blocks]
     words, numbers = [], np.zeros((n, NUMBERS))
     for i, b in enumerate(blocks):
         found = b.text.lower().split()
@@ -163,6 +187,40 @@ def features(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], n
     return paths, words, numbers
 
 
+def parts_of(path: Node | None) -> np.ndarray:
+    """All parts of a path; for training, on pages of small depth."""
+    out: list[int] = []
+    while path is not None:
+        out += path.parts
+        path = path.parent
+    return np.array(out, np.int64)
+
+
+def path_means(paths: list[Node | None], table: np.ndarray) -> np.ndarray:
+    """The mean vector of each path. Sums run along the tree of open elements, each added once."""
+    order: list[Node] = []
+    place: dict[int, int] = {}
+    for path in paths:
+        new = []
+        while path is not None and id(path) not in place:
+            place[id(path)] = -1
+            new.append(path)
+            path = path.parent
+        for node in reversed(new):
+            place[id(node)] = len(order)
+            order.append(node)
+    sums = averaged([np.array(x.parts, np.int64) for x in order], table) if order else np.zeros((0, table.shape[1]))
+    for i, x in enumerate(order):
+        sums[i] *= len(x.parts)
+        if x.parent is not None:
+            sums[i] += sums[place[id(x.parent)]]
+    out = np.zeros((len(paths), table.shape[1]))
+    there = [k for k, p in enumerate(paths) if p is not None and p.size]
+    if there:
+        out[there] = sums[[place[id(paths[k])] for k in there]] / np.array([paths[k].size for k in there])[:, None]
+    return out
+
+
 def averaged(tokens: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     """The mean vector of each list of tokens."""
     counts = np.array([len(t) for t in tokens])
@@ -209,7 +267,7 @@ def turned(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def padded(pages: list[tuple], model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(p[2]) for p in pages])
-    flat = np.hstack([averaged([a for p in pages for a in p[0]], model["path"]), averaged([a for p in pages for a in p[1]], model["word"]), np.concatenate([p[2] for p in pages])])
+    flat = np.hstack([path_means([a for p in pages for a in p[0]], model["path"]), averaged([a for p in pages for a in p[1]], model["word"]), np.concatenate([p[2] for p in pages])])
     x = np.zeros((len(pages), lengths.max(), flat.shape[1]))
     x[np.arange(x.shape[1])[None, :] < lengths[:, None]] = flat
     return x, lengths
@@ -285,7 +343,7 @@ def fit(pages: list[tuple], labels: list[np.ndarray], epochs: int = 3, rate: flo
             dx1, grads["w1"], grads["u1"], grads["b1"] = lstm_back(xr, model["w1"], model["u1"], kept1, turned(ds[:, :, UNITS:], lengths))
             dx = (dx0 + turned(dx1, lengths))[there]
             for name, k, lo, hi in (("path", 0, 0, PATH_SIZE), ("word", 1, PATH_SIZE, PATH_SIZE + WORD_SIZE)):
-                tokens = [a for q in mine for a in q[k]]
+                tokens = [parts_of(a) if k == 0 else a for q in mine for a in q[k]]
                 counts = np.array([len(a) for a in tokens])
                 grads[name] = np.zeros_like(model[name])
                 np.add.at(grads[name], np.concatenate(tokens), np.repeat(dx[:, lo:hi] / np.maximum(counts, 1)[:, None], counts, axis=0))

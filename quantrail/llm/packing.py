@@ -31,15 +31,15 @@ PIECES = T.ArrayType(
 PLACE = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
 
-def token_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
-    """One row for each piece: key, piece, start, length, ids_crc32. Only documents over the capacity are cut. most: words that a worker remembers."""
+def token_pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", kept: int | None = None) -> DataFrame:
+    """One row for each piece: key, piece, start, length, ids_crc32. Only documents over the capacity are cut. kept: bytes of words that a worker remembers."""
     small_batches(df.sparkSession)
     tail = end_id.to_bytes(4, "little")
 
     @F.pandas_udf(PIECES)
     def run(texts: pd.Series) -> pd.Series:
         rows = []
-        for ids in encoder(path, "bytes", most).packed(texts.tolist()):
+        for ids in encoder(path, "bytes", kept).packed(texts.tolist()):
             ids += tail
             rows.append([(k, k * capacity, min(capacity, len(ids) // 4 - k * capacity), zlib.crc32(ids[4 * k * capacity : 4 * (k + 1) * capacity])) for k in range(-(-len(ids) // 4 // capacity))])
         return pd.Series(rows, dtype=object)

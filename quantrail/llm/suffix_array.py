@@ -45,11 +45,15 @@ GROUP = 20_000
 #: Runs that a worker compares at a time, about.
 COMPARED = 2_000_000
 
-PASSAGE = T.ArrayType(T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("start_word", "end_word")), T.StructField("first", T.BooleanType()), T.StructField("source_id", T.LongType())]))
-SPAN = T.ArrayType(T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("start_word", "end_word", "start", "end")), T.StructField("first", T.BooleanType()), T.StructField("source_id", T.LongType())]))
+PASSAGE, SPAN = ("start_word", "end_word"), ("start_word", "end_word", "start", "end")
 WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
+def _spans_type(places: tuple[str, ...], key: T.DataType) -> T.ArrayType:
+    """An array of (places, first, source_id), the last of the key's own type."""
+    return T.ArrayType(T.StructType([*(T.StructField(c, T.IntegerType()) for c in places), T.StructField("first", T.BooleanType()), T.StructField("source_id", key)]))
+
+
 def minimisers(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(positions, names, first window, windows) of the kept suffixes: in each window the last of its least runs.
 
@@ -209,10 +213,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _segments(held.combine_chunks())
 
 
-def _united(least: int):
+def _united(least: int, key: T.DataType):
     """Unites stretches of runs into passages: overlapping ones of equal standing."""
 
-    @F.pandas_udf(PASSAGE)
+    @F.pandas_udf(_spans_type(PASSAGE, key))
     def run(found: pd.Series) -> pd.Series:
         out = []
         for rows in found:
@@ -275,10 +279,10 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", k:
     segments = cut(near.union(far))
     discard(extended, best)
 
-    found = segments.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b", "first", F.col("source").cast("long").alias("source"))).alias("found"))
-    found = cut(found.select("doc", "th", _united(least)("found").alias("passages")))
+    found = segments.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b", "first", "source")).alias("found"))
+    found = cut(found.select("doc", "th", _united(least, kind)("found").alias("passages")))
     # A later copy of a whole text is one passage of all its words, which the first copy's passages end with.
-    later = copies.filter(~F.col("doc").eqNullSafe(F.col("rep"))).select("doc", "th", F.col("rep").cast("long").alias("source"))
+    later = copies.filter(~F.col("doc").eqNullSafe(F.col("rep"))).select("doc", "th", F.col("rep").alias("source"))
     words = found.select("th", F.array_max(F.transform("passages", lambda p: p["end_word"])).alias("n_words")).groupBy("th").agg(F.max("n_words").alias("n_words"))
     words = cut(words.join(equal.select("th", "n"), "th"))
     whole = join_hot(later, words, ["th"], "n").select("doc", "th", F.array(F.struct(F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), F.lit(False).alias("first"), F.col("source").alias("source_id"))).alias("passages"))
@@ -291,7 +295,6 @@ def _spans(passages, text: str) -> list[tuple]:
     return [(p["start_word"], p["end_word"], words[p["start_word"]][0], words[p["end_word"] - 1][1], p["first"], p["source_id"]) for p in passages]
 
 
-@F.pandas_udf(SPAN)
 def _placed(texts: pd.Series, passages: pd.Series) -> pd.Series:
     return pd.Series([_spans(p, t) for t, p in zip(texts, passages, strict=True)], dtype=object)
 
@@ -310,7 +313,7 @@ def _with_passages(df: DataFrame, key: str, text: str, k: int, window: int, how:
 def passage_rows(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = RUN, window: int = WINDOW) -> DataFrame:
     """One row for each passage: key, start_word, end_word, start, end (code points), first, source_id."""
     found = _with_passages(renamed(df, **{key: key, text: text}), key, text, k, window, "inner")
-    return found.select(F.col(f"`{key}`"), F.explode(_placed(F.col(f"`{text}`"), "__qt_passages")).alias("p")).select(F.col(f"`{key}`"), "p.*").distinct()
+    return found.select(F.col(f"`{key}`"), F.explode(F.pandas_udf(_placed, _spans_type(SPAN, df.schema[key].dataType))(F.col(f"`{text}`"), "__qt_passages")).alias("p")).select(F.col(f"`{key}`"), "p.*").distinct()
 
 
 def without_repeats(text: str, passages: list) -> str:
