@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantrail.llm import ngram_join, packing, pii, quality, suffix_array
-from quantrail.llm.common import shared_folder, table, within
+from quantrail.llm.common import delete, own_folder, table, within
 
 CAPACITY = 4096
-#: Words that a worker of the last stage remembers: fewer than in the query alone, for workers come here with the memory of earlier stages.
-WORDS = 300_000
+#: Bytes of words that a worker of the last stage remembers: fewer than in the query alone, for executors come here with the memory of earlier stages.
+KEPT = 40 << 20
 
 
 def _with_text(docs: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences: one row for each piece of a document."""
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, most=WORDS))
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, kept=KEPT))
 
 
 STAGES = [
@@ -65,11 +65,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder and read again."""
+    """Applies the stages to documents, each written to the shared folder and read again; a stage's folder is deleted when the next one is written.
+
+    The result is a table too; it goes with the driver's program.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
+    folder = f"{own_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
+    for name, stage in STAGES:
         with within(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
+    return docs
