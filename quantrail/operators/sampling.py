@@ -6,6 +6,8 @@ the same.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import secrets
 
 import numpy as np
@@ -19,18 +21,81 @@ from ..sources.folders import cut
 from .ranking import places
 
 
-def uniforms(spark: SparkSession, trials: int, names: list[str], seed: int = 12345, method: str = "mc", mixed: dict[str, Column] | None = None) -> DataFrame:
-    """trial and one uniform column for each name.
+def uniforms(spark: SparkSession, trials: int, names: list[str], seed: int = 12345, method: str = "mc", mixed: dict[str, Column] | None = None, between: tuple[int, int] | None = None) -> DataFrame:
+    """trial and one uniform column for each name, for all trials or those of a range.
 
-    With "lhs" each column has one draw in each of `trials` strata. Its permutation is the order of a hash, or of the given
-    number between 0 and 1 (mixed), found by ranges: the range of the number gives the block, and a window within a block the place.
+    With "lhs" each column has one draw in each of `trials` strata. A keyed permutation of the strata gives each trial its own, in
+    expressions alone; for the names of mixed (a number between 0 and 1) it is the order of that number, found by ranges.
     """
-    base = spark.range(trials).withColumnRenamed("id", "trial")
+    base = spark.range(*(between or (0, trials))).withColumnRenamed("id", "trial")
     if method == "mc":
         return base.select("trial", *[uniform(seed, n, "trial").alias(n) for n in names])
-    orders = {n: (mixed or {}).get(n, uniform(seed, f"{n}#o", "trial")) for n in names}
-    long = base.select("trial", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), o.alias("h")) for n, o in orders.items()])).alias("o")).select("trial", "o.*")
-    return lhs(long, trials, seed).groupBy("trial").agg(*[F.max(F.when(F.col("name") == n, F.col("u"))).alias(n) for n in names])
+    orders = {n: o for n, o in (mixed or {}).items() if n in names}
+    out = with_strata(base, "trial", trials, [n for n in names if n not in orders], seed)
+    if orders:
+        ranked = spark.range(trials).withColumnRenamed("id", "trial")
+        long = ranked.select("trial", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), o.alias("h")) for n, o in orders.items()])).alias("o")).select("trial", "o.*")
+        out = out.join(lhs(long, trials, seed).groupBy("trial").agg(*[F.max(F.when(F.col("name") == n, F.col("u"))).alias(n) for n in orders]), "trial")
+    return out.select("trial", *names)
+
+
+#: A prime below 2^31, so that products of residues fit a long.
+PRIME = 2147483647
+#: Double rounds of the permutation; numbers below SMALL are permuted by swaps alone.
+ROUNDS, SMALL = 3, 16
+
+
+def halves(n: int) -> tuple[int, int]:
+    """a and b near the root of n, with the greatest product of at most n."""
+    root = max(1, math.isqrt(n))
+    a = min(range(root, root // 2, -1), key=lambda x: n % x)
+    return a, n // a
+
+
+def permuted(df: DataFrame, trial: str, n: int, names: list[str], seed: int) -> DataFrame:
+    """df with a column s_name for each name: a permutation of 0 .. n - 1, keyed by seed and name, of the trial number in that range.
+
+    A number is two digits to the bases of halves(n); rounds add a keyed hash of one digit to the other (a Feistel network, of which
+    every round can be undone). The few numbers from the bases' product on come in by swaps, each with a keyed smaller number or itself,
+    as in a shuffle.
+    """
+    a, b = halves(n) if n >= SMALL else (1, 1)
+
+    def key(name: str, *of: object) -> int:
+        return int.from_bytes(hashlib.md5("|".join(map(str, (seed, name, *of))).encode()).digest()[:8], "big")
+
+    def mixed(x: Column, name: str, k: int) -> Column:
+        k1, k2, k3 = (key(name, k, j) % (PRIME - 1) + 1 for j in range(3))
+        t = (x + k1) % PRIME
+        return (t * t % PRIME) * ((x * k2 + k3) % PRIME) % PRIME
+
+    x = F.col(trial).cast("long")
+    out = df.withColumns({c: v for m in names for c, v in ((f"__l_{m}", F.expr(f"cast(`{trial}` as long) div {b}")), (f"__r_{m}", x % b))})
+    for k in range(ROUNDS):
+        out = out.withColumns({f"__l_{m}": (F.col(f"__l_{m}") + mixed(F.col(f"__r_{m}"), m, 2 * k)) % a for m in names})
+        out = out.withColumns({f"__r_{m}": (F.col(f"__r_{m}") + mixed(F.col(f"__l_{m}"), m, 2 * k + 1)) % b for m in names})
+    out = out.withColumns({f"s_{m}": F.when(x < a * b, F.col(f"__l_{m}") * b + F.col(f"__r_{m}")).otherwise(x) for m in names})
+    for i in range(a * b, n):
+        swap = {m: key(m, "swap", i) % (i + 1) for m in names}
+        out = out.withColumns({f"s_{m}": F.when(F.col(f"s_{m}") == i, j).when(F.col(f"s_{m}") == j, i).otherwise(F.col(f"s_{m}")) for m, j in swap.items()})
+    return out.drop(*[f"__{side}_{m}" for m in names for side in "lr"])
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with trial, its place from 0 in the order of a key: sorted by ranges, each with the rows of earlier ranges added."""
+    dealt = cut(df.repartitionByRange(key).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place")))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__m"), F.min("__place").alias("__first"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shift = counts.select("__part", (F.coalesce(F.sum("__m").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return dealt.join(F.broadcast(shift), "__part").withColumn("trial", F.col("__place") + F.col("__shift")).drop("__part", "__place", "__shift")
+
+
+def with_strata(df: DataFrame, trial: str, trials: int, names: list[str], seed: int = 12345) -> DataFrame:
+    """df with a Latin hypercube column for each name: over trial numbers 0 .. trials - 1, one draw in each of as many strata."""
+    if not names or trials <= 0:
+        return df.withColumns({m: F.lit(None).cast("double") for m in names})
+    out = permuted(df, trial, trials, names, seed)
+    return out.withColumns({m: (F.col(f"s_{m}") + uniform(seed, f"{m}#j", F.col(f"s_{m}") + 1)) / trials for m in names}).drop(*[f"s_{m}" for m in names])
 
 
 def lhs(long: DataFrame, trials: int, seed: int) -> DataFrame:

@@ -62,17 +62,6 @@ def uniforms_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(sampling.uniforms(spark, TRIALS, ["a", "b"]), 12)
 
 
-def _lhs_sql() -> str:
-    place = lambda n: f"row_number() OVER (ORDER BY {uniform_sql(12345, n + '#o', 'id')}, id) AS p{n}"
-    of = lambda n: f"(p{n} - 1 + {uniform_sql(12345, n + '#j', f'p{n}')}) / {TRIALS}"
-    return f"SELECT trial, {r(of('a'), 9)} AS a, {r(of('b'), 9)} AS b FROM (SELECT id AS trial, {place('a')}, {place('b')} FROM range({TRIALS}) t(id))"
-
-
-@query(_lhs_sql())
-def uniforms_lhs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_all(sampling.uniforms(spark, TRIALS, ["a", "b"], method="lhs"), 9)
-
-
 def _family_rows(f: d.Family) -> tuple[str, str, str]:
     return f.quantile_sql("u"), f.cdf("x"), f.pdf("x")
 
