@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as d
 from ..functions import numeric
 from ..functions.random import uniform, uniform_sql
-from ..operators import optimise, processes, sampling, whatif
+from ..operators import processes, sampling, whatif
 from ..operators import statistics as st
 from ..plans.models import MODELS, Model, discounted_sum
 from .common import QUERIES, SQL, query, r, round_all, rounded, table
@@ -223,26 +223,6 @@ def efficient_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whatif.frontier(c, "mean", "risk").drop("risk")
 
 
-def _search(name: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        samples = sampling.uniforms(spark, 1000, ["u"]).select("trial", DEMAND.sample("u").alias("demand"))
-        variables = [optimise.Variable("ordered", 60, 140, 1)]
-        score = optimise.expected(INVENTORY, samples, variables, "avg(profit)")
-        if name == "genetic":
-            x, value = optimise.genetic(score, variables, generations=6, size=16)
-        elif name == "annealing":
-            x, value = optimise.annealing(score, variables, chains=8, steps=12)
-        else:
-            x, value = optimise.simplex(score, variables, np.array([80.0]), steps=12)
-        return spark.createDataFrame([(float(x[0]), value)], "ordered double, mean double")
-
-    QUERIES[f"search_{name}"] = run
-
-
-for _name in ("genetic", "annealing", "simplex"):
-    _search(_name)
-
-
 def _gbm_sql(paths: int = 50, steps: int = 12) -> str:
     z = d.normal(0, 1).quantile_sql("u")
     move = f"{(0.08 - 0.2**2 / 2) / 12!r}::DOUBLE + {0.2 * (1 / 12) ** 0.5!r}::DOUBLE * z"
