@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import student_t_quantile, student_t_tail
 from ..sources.folders import cut
-from .joins import join_hot
+from .joins import join_groups, join_hot
 from .ranking import average_rank, cumulative
 from .ranking import percentiles as shares_of
 
@@ -54,10 +54,7 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None, percentiles
     )
     if not accuracy:
         exact = shares_of(df.select(*by, x.cast("double").alias("__x")), "__x", percentiles, by).withColumnRenamed("p", "__p")
-        for b in by:
-            exact = exact.withColumnRenamed(b, f"__{b}")
-        same = functools.reduce(lambda s, t: s & t, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]) if by else F.lit(True)
-        out = out.join(exact, same, "left").drop(*[f"__{b}" for b in by])  # a row for each group
+        out = join_groups(out, exact, by, "left") if by else out.join(F.broadcast(exact), how="left")  # a row for each group
     out = out.withColumns({"var": F.col("sd") * F.col("sd"), "cv": ratio(F.col("sd"), F.abs("mean")), "range": F.col("max") - F.col("min")})
     return out.withColumns({f"p{round(p * 100):02d}": F.col("__p")[i] for i, p in enumerate(percentiles)}).drop("__p")
 
@@ -71,6 +68,23 @@ def mean_interval(df: DataFrame, value: str, by: list[str] | None = None, level:
 
 
 def mode(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """mode and times: for whole numbers the most frequent value, the least of equals; for others the middle of the fullest bin of the histogram, the first of equals.
+
+    Values are counted before one is chosen. A group of one value has that value.
+    """
+    by = by or []
+    rows = df.select(*by, valid(F.col(value).cast("double")).alias("__x")).filter("__x IS NOT NULL")
+    kinds = rows.groupBy(*by).agg(((F.min((F.col("__x") == F.floor("__x")).cast("int")) == 1) | (F.min("__x") == F.max("__x"))).alias("__plain"), F.count("*").alias("__rows"))
+    kinds = cut(kinds)
+    plain, smooth = (join_hot(rows, kinds.filter(c).drop("__plain"), by, "__rows", nulls=True) if by else rows.join(F.broadcast(kinds.filter(c).select("__plain"))).drop("__plain") for c in ("__plain", "NOT __plain"))
+    counts = plain.groupBy(*by, "__x").count()
+    most = counts.groupBy(*by).agg(F.max_by("__x", F.struct("count", -F.col("__x"))).alias("mode"), F.max("count").alias("times"))
+    bins = histogram(smooth, "__x", by)
+    full = bins.groupBy(*by).agg(F.max_by((F.col("from") + F.col("to")) / 2, F.struct("count", -F.col("bin"))).alias("mode"), F.max("count").alias("times"))
+    return most.unionByName(full).filter("times > 0")
+
+
+def most_frequent(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """The most frequent value, the least of equals; counted before it is chosen."""
     by = by or []
     counts = df.select(*by, valid(value).alias("__x")).filter("__x IS NOT NULL").groupBy(*by, "__x").count()
@@ -89,7 +103,7 @@ def histogram(df: DataFrame, value: str, by: list[str] | None = None, bins: int
     s = rows.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.min((F.col("__x") == F.floor("__x")).cast("int")).alias("__whole"))
     if bins is None:
         quarters = shares_of(rows, "__x", (0.25, 0.75), by).withColumnRenamed("p", "__q")
-        s = s.join(quarters, by) if by else s.crossJoin(quarters)  # a row for each group
+        s = join_groups(s, quarters, by)  # a row for each group
     n, span = F.col("__n").cast("double"), F.col("__hi") - F.col("__lo")
     if bins is None:
         iqr = F.col("__q")[1] - F.col("__q")[0]
@@ -106,10 +120,10 @@ def histogram(df: DataFrame, value: str, by: list[str] | None = None, bins: int
     s = s.withColumn("__w", F.when(span == 0, 2 * side).when(F.col("__unit"), 1.0).otherwise(span / F.col("__k")))
     s = cut(s.select(*by, "__n", "__k", "__from", "__w", F.col("__n").alias("__rows")))
     place = F.least(F.floor((F.col("__x") - F.col("__from")) / F.col("__w")), F.col("__k") - 1).cast("int")
-    joined = join_hot(rows, s, by, "__rows") if by else rows.crossJoin(F.broadcast(s))  # without groups, one row
+    joined = join_hot(rows, s, by, "__rows", nulls=True) if by else rows.crossJoin(F.broadcast(s))  # without groups, one row
     counts = joined.groupBy(*by, place.alias("bin")).agg(F.count("*").alias("count"))
     every = s.drop("__rows").withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    out = every.join(counts, [*by, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    out = join_groups(every, counts, [*by, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     up = Window.partitionBy(*by).orderBy("bin")
     return out.select(
         *by,
@@ -140,6 +154,34 @@ def ecdf(df: DataFrame, value: str, points: int = 200) -> DataFrame:
     return out.select("i", "x", "share")
 
 
+def tail_certainty(df: DataFrame, value: str, mode: str, low: float = float("-inf"), high: float = float("inf"), by: list[str] | None = None) -> DataFrame:
+    """by, certainty: the share of valid values up to high ("left"), from low on ("right"), or in the closed interval ("two"; 0 if low is above high)."""
+    x = valid(value)
+    inside = {"left": x <= high, "right": x >= low, "two": x.between(low, high)}[mode]
+    return df.groupBy(*(by or [])).agg(F.avg(F.when(x.isNotNull(), F.when(inside, 1.0).otherwise(0.0))).alias("certainty"))
+
+
+def certainty_bounds(df: DataFrame, value: str, mode: str, certainty: float = 0.9, by: list[str] | None = None) -> DataFrame:
+    """by, low, high: bounds that hold a share of the values; of two tails each has half of the rest, and an open side is infinite."""
+    c = min(1.0, max(0.0, certainty))
+    shares = {"left": [0.0, c], "right": [1 - c, 1.0], "two": [(1 - c) / 2, 1 - (1 - c) / 2]}[mode]
+    found = shares_of(df.select(*(by or []), valid(F.col(value).cast("double")).alias("__x")), "__x", shares, by)
+    low = F.lit(float("-inf")) if mode == "left" else F.col("p")[0]
+    high = F.lit(float("inf")) if mode == "right" else F.col("p")[1]
+    return found.select(*(by or []), low.alias("low"), high.alias("high"))
+
+
+def forecast_statistics(df: DataFrame, value: str, by: list[str] | None = None, threshold: float = 0.0) -> DataFrame:
+    """by, statistic, result: the ten statistics of a forecast by name. probAbove and probBelow (which has the threshold itself) sum to 1; one value has stdDev 0."""
+    x, found = valid(value), describe(df, value, by, (0.05, 0.1, 0.5, 0.9, 0.95))
+    above = df.groupBy(*(by or [])).agg(F.avg(F.when(x.isNotNull(), F.when(x > threshold, 1.0).otherwise(0.0))).alias("__above"))
+    found = join_groups(found, above, by or [])
+    of = {"mean": "mean", "median": "p50", "stdDev": "sd", "cv": "cv", "p5": "p05", "p10": "p10", "p90": "p90", "p95": "p95"}
+    named = [F.struct(F.lit(k).alias("statistic"), F.col(c).cast("double").alias("result")) for k, c in of.items()]
+    named += [F.struct(F.lit(k).alias("statistic"), c.cast("double").alias("result")) for k, c in (("probAbove", F.col("__above")), ("probBelow", 1 - F.col("__above")))]
+    return found.select(*(by or []), F.explode(F.array(*named)).alias("s")).select(*(by or []), "s.*")
+
+
 def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Correlation of complete pairs; NULL if one side is constant."""
     pairs = df.filter(valid(a).isNotNull() & valid(b).isNotNull())
@@ -155,11 +197,9 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Data
     """
     by = by or []
     pairs = df.filter(valid(a).isNotNull() & valid(b).isNotNull())
-    for c in by:
-        pairs = pairs.filter(F.col(c).isNotNull())
     pairs = cut(pairs.groupBy(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__o")).agg(F.count("*").alias("__c")))
     ranks = cut(cumulative(pairs, "__o", by, weight="__c").select(*by, "__o", average_rank().alias("__rb"), "count"))
-    ranked = join_hot(pairs, ranks, [*by, "__o"], "count")
+    ranked = join_hot(pairs, ranks, [*by, "__o"], "count", nulls=bool(by))
     return _rank_correlation(ranked, by)
 
 
@@ -169,7 +209,7 @@ def _rank_correlation(ranked: DataFrame, by: list[str]) -> DataFrame:
     sums = cut(ranked.groupBy(*by, "__a").agg(F.sum("__c").alias("__c"), F.sum(c * rb).alias("__s"), F.sum(c * rb * rb).alias("__q")))
     ranks = cumulative(sums, "__a", by, weight="__c").select(*by, "__a", average_rank().alias("__ra"))
     ra = F.col("__ra")
-    t = sums.join(ranks, [*by, "__a"]).groupBy(*by).agg(F.sum(c).alias("n"), F.sum(c * ra).alias("x"), F.sum(c * ra * ra).alias("xx"), F.sum("__s").alias("y"), F.sum("__q").alias("yy"), F.sum(ra * F.col("__s")).alias("xy"))
+    t = join_groups(sums, ranks, [*by, "__a"]).groupBy(*by).agg(F.sum(c).alias("n"), F.sum(c * ra).alias("x"), F.sum(c * ra * ra).alias("xx"), F.sum("__s").alias("y"), F.sum("__q").alias("yy"), F.sum(ra * F.col("__s")).alias("xy"))
     n = F.col("n").cast("double")
     vx, vy = n * F.col("xx") - F.col("x") * F.col("x"), n * F.col("yy") - F.col("y") * F.col("y")
     r = (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(vx * vy)

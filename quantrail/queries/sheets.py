@@ -40,15 +40,15 @@ def sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH v AS (SELECT l_orderkey, list(l_extendedprice ORDER BY l_linenumber, l_partkey) AS y, list(l_quantity ORDER BY l_linenumber, l_partkey) AS x FROM lineitem GROUP BY l_orderkey HAVING count(*) > 2)
-SELECT l_orderkey, {r("list_aggregate(y, 'var_samp')", 2)} AS variance, {r("list_aggregate(y, 'median')", 4)} AS median, list_reverse_sort(y)[2] AS second,
+WITH v AS (SELECT l_orderkey, list(l_extendedprice ORDER BY l_linenumber, l_partkey) AS y, list(l_quantity ORDER BY l_linenumber, l_partkey) AS x FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, {r("CASE WHEN len(y) > 1 THEN list_sum(list_transform(y, lambda v: (v - list_sum(y) / len(y)) * (v - list_sum(y) / len(y)))) / (len(y) - 1) END", 1)} AS variance, {r("list_aggregate(y, 'median')", 4)} AS median, list_reverse_sort(y)[2] AS second,
   {r("list_sum(list_transform(y, lambda v: abs(v - list_avg(y)))) / len(y)", 4)} AS spread, {r("exp(list_avg(list_transform(y, lambda v: ln(v))))", 3)} AS geometric FROM v""")
 def sheet_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of the lines of an order as a range."""
+    """Statistics of the lines of an order as a range; what one line leaves undefined is null."""
     v = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice"))), lambda s: s["l_extendedprice"]).alias("y"))
     y = F.col("y")
-    out = v.filter(F.size("y") > 2).select("l_orderkey", sheet.variance(y).alias("variance"), sheet.median(y).alias("median"), sheet.largest_of(y, 2).alias("second"), sheet.mean_deviation(y).alias("spread"), sheet.geometric_mean(y).alias("geometric"))
-    digits = {"variance": 2, "median": 4, "spread": 4, "geometric": 3}
+    out = v.select("l_orderkey", sheet.variance(y).alias("variance"), sheet.median(y).alias("median"), sheet.largest_of(y, 2).alias("second"), sheet.mean_deviation(y).alias("spread"), sheet.geometric_mean(y).alias("geometric"))
+    digits = {"variance": 1, "median": 4, "spread": 4, "geometric": 3}
     return out.select("l_orderkey", "second", *[rounded(c, d).alias(c) for c, d in digits.items()])
 
 

@@ -240,3 +240,42 @@ def conditional_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag, large = F.col("l_returnflag") == "R", F.col("l_quantity") >= 40
     t = lookup.conditional_totals(table(spark, sf_dir, "lineitem"), "l_extendedprice", {"returned": flag, "large": large, "large returned": flag & large})
     return t.select("name", rounded("total", 1).alias("total"), "n", rounded("mean", 3).alias("mean"), "least", "most")
+
+
+@query(f"""
+WITH s AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem)
+SELECT i, {r("(i + 0.5) / n", 9)} AS p, x FROM s WHERE i % greatest(1, n // 400) = 0""")
+def plot_points_of_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order statistics of a Q-Q plot of all prices."""
+    return ranking.plot_points(table(spark, sf_dir, "lineitem"), "l_extendedprice").select("i", rounded("p", 9).alias("p"), "x")
+
+
+@query(f"""
+WITH e AS (SELECT *, event_type AS t FROM events), q AS (SELECT t, {_percentile('value', 0.05)} AS lo, {_percentile('value', 0.95)} AS hi FROM e GROUP BY t)
+SELECT t AS event_type, {r('lo', 4)} AS low, {r('hi', 4)} AS high, {r('(SELECT avg((value BETWEEN lo AND hi)::INTEGER) FROM e WHERE e.t = q.t)')} AS within, {r('(SELECT avg((value <= 50)::INTEGER) FROM e WHERE e.t = q.t)')} AS upto, {r('(SELECT avg((value >= 50)::INTEGER) FROM e WHERE e.t = q.t)')} AS beyond FROM q""")
+def certainty_of_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of nine tenths of the values, and the shares within them, up to 50 and from 50 on."""
+    events = table(spark, sf_dir, "events")
+    bounds = st.certainty_bounds(events, "value", "two", 0.9, ["event_type"])
+    inside = events.join(F.broadcast(bounds), "event_type").groupBy("event_type").agg(F.avg(F.when(F.col("value").between(F.col("low"), F.col("high")), 1.0).otherwise(0.0)).alias("within"))  # a row for each type
+    sides = [st.tail_certainty(events, "value", m, 50, 50, ["event_type"]).withColumnRenamed("certainty", n) for m, n in (("left", "upto"), ("right", "beyond"))]
+    out = bounds.join(inside, "event_type").join(sides[0], "event_type").join(sides[1], "event_type")
+    return out.select("event_type", *[rounded(c, d).alias(c) for c, d in (("low", 4), ("high", 4), ("within", 6), ("upto", 6), ("beyond", 6))])
+
+
+@query(f"""
+WITH s AS (SELECT o_orderpriority AS g, avg(x) AS mean, {_percentile('x', 0.5)} AS median, stddev_samp(x) AS sd, {_percentile('x', 0.05)} AS p5, {_percentile('x', 0.1)} AS p10, {_percentile('x', 0.9)} AS p90, {_percentile('x', 0.95)} AS p95, avg((x > 150000)::INTEGER) AS above FROM (SELECT *, o_totalprice AS x FROM orders) GROUP BY ALL)
+SELECT g AS o_orderpriority, statistic, {r('result', 3)} AS result FROM (SELECT g, mean, median, sd AS "stdDev", sd / abs(mean) AS cv, p5, p10, p90, p95, above AS "probAbove", 1 - above AS "probBelow" FROM s) UNPIVOT (result FOR statistic IN (mean, median, "stdDev", cv, p5, p10, p90, p95, "probAbove", "probBelow"))""")
+def forecast_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = st.forecast_statistics(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"], 150_000)
+    return out.withColumn("result", rounded("result", 3))
+
+
+@query("""
+WITH s AS (SELECT o_orderpriority AS g, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr FROM orders GROUP BY 1),
+k AS (SELECT *, greatest(10, least(100, ceil((hi - lo) / (2 * iqr / power(n, 1 / 3.0::DOUBLE)) - 1e-9)))::INTEGER AS k FROM s),
+c AS (SELECT g, least(floor((o_totalprice - lo) / ((hi - lo) / k)), k - 1)::INTEGER AS bin, lo, (hi - lo) / k AS w, count(*) AS times FROM k JOIN orders ON o_orderpriority = g GROUP BY ALL)
+SELECT g AS o_orderpriority, round(arg_max(lo + (bin + 0.5) * w, times * 1000 - bin), 4) AS mode, max(times) AS times FROM c GROUP BY g""")
+def mode_of_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices are not whole numbers, so the mode is the middle of the fullest bin."""
+    return st.mode(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"]).withColumn("mode", F.round("mode", 4))
