@@ -23,7 +23,8 @@ from ..functions.distributions import Family
 from ..functions.numeric import NumericFamily
 from ..functions.special import chi_square_pq, digamma, lgamma, log_choose, normal_cdf, trigamma
 from ..sources.folders import cut
-from .ranking import cumulative
+from .joins import join_groups
+from .ranking import _passed, cumulative
 
 Any = Family | NumericFamily
 #: Families for whole numbers from 0 on; the others are continuous.
@@ -449,6 +450,51 @@ def fit(df: DataFrame, value: str, rank_by: str = "aic", only: tuple[str, ...] |
     return spark.createDataFrame(out, "family string, k int, log_likelihood double, aic double, bic double, ks double, ks_p double, ad double, ad_p double, n long")
 
 
+#: Whole numbers whose shares are asked for at a time; where none of them ends a bin, the quantile tells where the next one ends.
+AHEAD = 2048
+
+
+def _united_values(counts: DataFrame, n: int, family: Any) -> tuple[int, float]:
+    """(bins, statistic) over the whole numbers of the sample's range, neighbours united until 5 are expected.
+
+    Bins end where the distribution says, so no row is needed for a number that no value has: shares are taken ahead of the last end,
+    and a quantile leaps over what they don't reach. There are at most n / 5 bins. Values are counted by bin in one aggregation.
+    """
+    spark = counts.sparkSession
+    least, most = (int(v) for v in counts.agg(F.min("x"), F.max("x")).first())
+
+    def shares(x: list[int]) -> list[float]:
+        df = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", family.cdf_column("x").alias("s"))
+        found = {r.x: r.s for r in df.collect()}  # at most AHEAD numbers
+        return [found[float(v)] for v in x]
+
+    ends: list[int] = []
+    upto: list[float] = []
+    at, before = least, 0.0
+    while at <= most:
+        ahead = [*range(at, min(most, at + AHEAD - 1) + 1)]
+        for x, share in zip(ahead, shares(ahead), strict=True):
+            share = 1.0 if x == most else share
+            if n * (share - before) >= 5:
+                ends.append(x)
+                upto.append(share)
+                before = share
+        at = ahead[-1] + 1
+        if at <= most and (not ends or ends[-1] < ahead[0]):
+            u = before + 5 / n
+            leap = spark.createDataFrame([(min(u, 1.0 - 1e-16),)], "u double").select(family.sample("u").alias("x")).first().x if u < 1 else most
+            at = max(at, min(most, int(leap)) - AHEAD // 2)
+    if not ends:
+        return 0, 0.0
+    if upto[-1] < 1.0:
+        ends[-1], upto[-1] = most, 1.0
+    expected = [n * (b - a) for a, b in zip([0.0, *upto], upto, strict=False)]
+    rows = spark.createDataFrame([([float(e) for e in ends],)], "__ends array<double>")
+    placed = join_groups(counts, rows, []).groupBy(F.least(_passed(F.col("__ends"), F.col("x"), len(ends), False), F.lit(len(ends) - 1)).alias("bin")).agg(F.sum("c").alias("c"))
+    observed = {r.bin: r.c for r in placed.collect()}  # a row for each bin
+    return len(ends), sum((observed.get(i, 0) - e) ** 2 / e for i, e in enumerate(expected))
+
+
 def chi_square(df: DataFrame, value: str, family: Any, bins: int | None = None, k: int = 0) -> DataFrame:
     """statistic, bins, n, df, p.
 
@@ -459,20 +505,7 @@ def chi_square(df: DataFrame, value: str, family: Any, bins: int | None = None,
     counts = df.filter(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("c"))
     n = counts.agg(F.sum("c")).first()[0] or 0
     if family.discrete:
-        least, most = counts.agg(F.min("x"), F.max("x")).first()
-        grid = df.sparkSession.range(int(least), int(most) + 1).select(F.col("id").cast("double").alias("x"))
-        rows = grid.join(counts, "x", "left").withColumn("s", family.cdf_column("x")).orderBy("x").select("s", F.coalesce("c", F.lit(0))).collect()  # a row for each whole number of the range
-        sums, got, before = [], 0, 0.0
-        for i, (share, c) in enumerate(rows):
-            got += c
-            share = 1.0 if i + 1 == len(rows) else share
-            if n * (share - before) >= 5:
-                sums.append([got, n * (share - before)])
-                got, before = 0, share
-        if before < 1.0 and sums:
-            sums[-1][0] += got
-            sums[-1][1] += n * (1.0 - before)
-        bins, statistic = len(sums), sum((o - e) ** 2 / e for o, e in sums)
+        bins, statistic = _united_values(counts, n, family) if n else (0, None)
     else:
         bins = bins or max(1, min(math.ceil(2 * n**0.4), n // 5))
         share = F.least(F.floor(family.cdf_column("x") * bins), F.lit(bins - 1)).cast("int")

@@ -1,14 +1,22 @@
-"""Linear regression: the normal equations are one aggregation, whatever the number of rows; the rest is small algebra."""
+"""Linear regression: the normal equations are one aggregation, whatever the number of rows; the rest is small algebra.
+
+Squaring the columns' condition costs half of the digits, so near-dependent columns are fitted from a QR factor instead: each task
+reduces its rows to a small triangle by Householder reflections, and triangles are merged like rows (a tall-skinny QR).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import f_pq, student_pq, student_quantile
+from ..sources.folders import cut
+from .joins import join_groups
 
 
 @dataclass(frozen=True)
@@ -83,8 +91,81 @@ def solve(n: int, full: np.ndarray, names: list[str], chosen: list[int], interce
     )
 
 
+#: Tasks that merge the triangles of others; condition of the scaled normal equations from which a QR factor is used.
+MERGERS, ILL = 16, 1e8
+#: A column whose part beyond the earlier ones is below this, in parts of its length, depends on them.
+DEPENDENT = 1e-11
+
+
+def qr_factor(df: DataFrame, columns: list[str], intercept: bool = True) -> tuple[int, np.ndarray]:
+    """Rows that are complete, and the triangle R of (1, columns...) over them, of fixed size whatever the rows."""
+    k = len(columns) + intercept
+    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).dropna()
+
+    def merged(parts: Iterator[np.ndarray]) -> np.ndarray:
+        r = np.zeros((0, k))
+        for part in parts:
+            r = np.linalg.qr(np.vstack([r, part]), mode="r")
+        return r
+
+    def out(n: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.ascontiguousarray(r).tobytes()], pa.binary())], ["n", "r"])
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+
+        def parts() -> Iterator[np.ndarray]:
+            nonlocal n
+            for b in batches:
+                n += len(b)
+                yield np.stack([*([np.ones(len(b))] if intercept else []), *[c.to_numpy(zero_copy_only=False) for c in b.columns]], axis=1)
+
+        r = merged(parts())
+        yield out(n, r)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for b in batches for x in b.to_pylist()]  # small triangles
+        yield out(sum(x["n"] for x in found), merged(np.frombuffer(x["r"]).reshape(-1, k) for x in found))
+
+    done = rows.mapInArrow(reduced, "n long, r binary").repartition(MERGERS).mapInArrow(again, "n long, r binary").collect()
+    return sum(x.n for x in done), merged(np.frombuffer(x.r).reshape(-1, k) for x in done)
+
+
+def qr_fit(df: DataFrame, y: str, x: list[str], intercept: bool = True, level: float = 0.95) -> Fit:
+    """Least squares from the triangle of (1, x..., y). Raises an error where there are fewer rows than columns or a column depends on the others."""
+    n, r = qr_factor(df, [*x, y], intercept)
+    p = len(x) + intercept
+    if n < p or len(r) < p:
+        raise ValueError("there are fewer rows than coefficients")
+    r = np.vstack([r, np.zeros((p + 1 - len(r), p + 1))]) if len(r) <= p else r
+    lengths = np.linalg.norm(r[:p, :p], axis=0)
+    if (np.abs(np.diag(r)[:p]) <= DEPENDENT * np.maximum(lengths, 1e-300)).any():
+        raise ValueError("the regressors are linearly dependent")
+    inner = np.linalg.inv(r[:p, :p] / lengths) / lengths[:, None]
+    beta = np.linalg.solve(r[:p, :p] / lengths, r[:p, p]) / lengths
+    inverse = inner @ inner.T
+    sse, sst = float(r[p, p] ** 2), float((r[int(intercept) :, p] ** 2).sum())
+    dof, k = n - p, len(x)
+    sigma = np.sqrt(sse / dof) if dof else np.nan
+    errors = sigma * np.sqrt(np.diag(inverse))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = beta / errors
+        f = (sst - sse) / max(k, 1) / (sse / dof) if k and dof and sse else np.nan
+    half = student_quantile(np.array([(1 + level) / 2]), np.array([float(dof)]))[0] * errors if dof else np.full(p, np.nan)
+    spread = (r[int(intercept) : p, int(intercept) : p] ** 2).sum(axis=0)
+    return Fit(
+        (["(intercept)"] if intercept else []) + x, beta, errors, t, 2 * student_pq(np.abs(t), float(dof))[1] if dof else t, beta - half, beta + half, n, 1 - sse / sst if sst else np.nan, 1 - (sse / dof) / (sst / (n - intercept)) if dof and sst else np.nan, float(sigma), float(f), float(f_pq(f, float(k), float(dof))[1]) if np.isfinite(f) else float("nan"), spread * np.diag(inverse)[int(intercept) :], inverse,
+    )
+
+
 def ols(df: DataFrame, y: str, x: list[str], intercept: bool = True, level: float = 0.95) -> Fit:
+    """From the normal equations, or from a QR factor where their columns nearly depend on each other."""
     n, full = moments(df, y, x)
+    at = [*range(0 if intercept else 1, len(x) + 1)]
+    scale = np.sqrt(np.diag(full)[at])
+    a = full[np.ix_(at, at)] / np.outer(scale, scale) if (scale > 0).all() else None
+    if a is None or np.linalg.cond(a) > ILL:
+        return qr_fit(df, y, x, intercept, level)
     return solve(n, full, x, [*range(len(x))], intercept, level)
 
 
@@ -111,11 +192,18 @@ def stepwise(df: DataFrame, y: str, x: list[str], enter: float = 0.05, remove: f
 
 
 def durbin_watson(df: DataFrame, residual: str, t: str, by: list[str]) -> DataFrame:
-    """dw of each group's ordered residuals."""
-    from pyspark.sql import Window
+    """dw of each group's residuals in the order of t: rows are sorted by ranges of (by, t), and the last residual of a range goes before the next one's first.
 
-    step = F.col(residual) - F.lag(residual).over(Window.partitionBy(*by).orderBy(t))
-    return df.withColumn("__d", step).groupBy(*by).agg((F.sum(F.col("__d") * F.col("__d")) / F.sum(F.col(residual) * F.col(residual))).alias("dw"))
+    So one group of all rows is spread over the ranges. Rows without a residual are left out; a null group is a group.
+    """
+    rows = df.filter(F.col(residual).isNotNull()).select(*by, F.col(t).alias("__t"), F.col(residual).cast("double").alias("__e"))
+    dealt = cut(rows.repartitionByRange(*by, "__t").withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy(*by, "__part").orderBy("__t")
+    ends = dealt.groupBy(*by, "__part").agg(F.max_by("__e", "__t").alias("__last"))
+    before = ends.select(*by, "__part", F.lag("__last").over(Window.partitionBy(*by).orderBy("__part")).alias("__before"))  # a row for each range
+    step = F.col("__e") - F.coalesce(F.lag("__e").over(inside), F.col("__before"))
+    stepped = join_groups(dealt, before, [*by, "__part"]).withColumn("__d", step)
+    return stepped.groupBy(*by).agg((F.sum(F.col("__d") * F.col("__d")) / F.sum(F.col("__e") * F.col("__e"))).alias("dw"))
 
 
 def table(spark, fit: Fit) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import uniform
 from ..sources.folders import cut
+from .joins import join_groups, join_hot
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
@@ -51,3 +56,77 @@ def interval(replicates: DataFrame, level: float = 0.95) -> DataFrame:
     """estimate (mean of the replicates), low, high by percentiles."""
     tail = (1 - level) / 2
     return replicates.agg(F.avg("estimate").alias("estimate"), F.percentile("estimate", F.array(F.lit(tail), F.lit(1 - tail))).alias("p")).select("estimate", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+
+
+def _weighted_quantile(x: np.ndarray, w: np.ndarray, p: float) -> float:
+    """PERCENTILE.INC of sorted values of which each stands for so many."""
+    upto = np.cumsum(w)
+    h = (upto[-1] - 1) * p
+    low, high = (x[np.searchsorted(upto, np.floor(h) + k, side="right").clip(max=len(x) - 1)] for k in (0, 1))
+    return float(low + (high - low) * (h - np.floor(h)))
+
+
+def _moment(x: np.ndarray, w: np.ndarray, k: int) -> tuple[float, float, float, float]:
+    """n, mean, sd of the sample and the k-th power sum of standardised values."""
+    n = float(w.sum())
+    mean = float(w @ x / n)
+    sd = float(np.sqrt(w @ (x - mean) ** 2 / (n - 1))) if n > 1 else 0.0
+    return n, mean, sd, float(w @ ((x - mean) / sd) ** k) if sd > 0 else float("nan")
+
+
+def _skewness(x: np.ndarray, w: np.ndarray) -> float:
+    n, _, _, s = _moment(x, w, 3)
+    return n / ((n - 1) * (n - 2)) * s if n > 2 else float("nan")
+
+
+def _kurtosis(x: np.ndarray, w: np.ndarray) -> float:
+    n, _, _, s = _moment(x, w, 4)
+    return n * (n + 1) / ((n - 1) * (n - 2) * (n - 3)) * s - 3 * (n - 1) ** 2 / ((n - 2) * (n - 3)) if n > 3 else float("nan")
+
+
+#: Statistics by name: functions of sorted values and of how many rows each stands for.
+STATISTICS: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {
+    "mean": lambda x, w: float(w @ x / w.sum()),
+    "median": lambda x, w: _weighted_quantile(x, w, 0.5),
+    "stdDev": lambda x, w: _moment(x, w, 2)[2],
+    "cv": lambda x, w: _moment(x, w, 2)[2] / abs(m) if (m := _moment(x, w, 2)[1]) else float("nan"),
+    "p5": lambda x, w: _weighted_quantile(x, w, 0.05),
+    "p10": lambda x, w: _weighted_quantile(x, w, 0.1),
+    "p90": lambda x, w: _weighted_quantile(x, w, 0.9),
+    "p95": lambda x, w: _weighted_quantile(x, w, 0.95),
+    "skewness": _skewness,
+    "kurtosis": _kurtosis,
+}
+
+
+def little_bootstraps(df: DataFrame, value: str, key: str, statistic: str | Callable[[np.ndarray, np.ndarray], float], by: list[str] | None = None, replicates: int = 100, subsets: int = 10, power: float = 0.6, level: float = 0.95, seed: int = 1) -> DataFrame:
+    """by, estimate, low, high: percentile intervals by the bag of little bootstraps (Kleiner et al., 2014).
+
+    From each group's n rows, hashes of the key draw `subsets` disjoint samples of about n ** power rows each. Within one, a replicate is a
+    draw of n rows with replacement, held as how often each row was drawn; the ends of the subsets' intervals are averaged. So about subsets *
+    n ** power rows are shuffled, in place of replicates * n, and a worker holds n ** power of them. A group of few rows is one subset of all of them.
+    statistic: a name of STATISTICS, or a function of sorted values and counts. Rows without a value are left out; a null group is a group.
+    """
+    by = by or []
+    of = STATISTICS[statistic] if isinstance(statistic, str) else statistic
+    rows = df.select(*by, F.col(value).cast("double").alias("__x"), uniform(seed, "little", F.col(key)).alias("__u")).filter("__x IS NOT NULL AND NOT isnan(__x)")
+    sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("__n")))
+    n = F.col("__n").cast("double")
+    share = F.greatest(F.pow(n, F.lit(power)), F.lit(50.0)) / n  # of a subset
+    picked = join_hot(rows, sizes.withColumn("__rows", F.col("__n")), by, "__rows", nulls=True) if by else join_groups(rows, sizes, [])
+    picked = picked.withColumn("__s", F.when(share * subsets >= 1, 0).otherwise(F.floor(F.col("__u") / share)).cast("int")).filter(F.col("__s") < subsets)
+    tail = (1 - level) / 2
+
+    def interval_of(table: pa.Table) -> pa.Table:
+        x = np.sort(table.column("__x").to_numpy())
+        size, subset = table.column("__n")[0].as_py(), table.column("__s")[0].as_py()
+        rng = np.random.default_rng([seed, subset, size])
+        found = [of(x, rng.multinomial(size, np.full(len(x), 1 / len(x)))) for _ in range(replicates)]
+        low, high = np.nanpercentile(found, [100 * tail, 100 * (1 - tail)]) if np.isfinite(found).any() else (np.nan, np.nan)
+        mean = float(np.nanmean(found)) if np.isfinite(found).any() else np.nan
+        keys = [table.column(b)[:1] for b in by]
+        return pa.table([*keys, *[pa.array([v], from_pandas=True) for v in (mean, float(low), float(high))]], names=[*by, "estimate", "low", "high"])
+
+    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema], "estimate double, low double, high double"]) if by else "estimate double, low double, high double"
+    each = picked.select(*by, "__x", "__n", "__s").groupBy(*by, "__s").applyInArrow(interval_of, kinds)
+    return each.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("estimate", "low", "high")]).filter("estimate IS NOT NULL")

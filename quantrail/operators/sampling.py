@@ -195,8 +195,8 @@ def rank_correlate(df: DataFrame, names: list[str], target: np.ndarray, trials:
     return df.select("trial", *[c for c in df.columns if c not in names and c != "trial"]).join(new, "trial")
 
 
-def simulate(spark: SparkSession, model: Model, trials: int, seed: int | None = 12345, method: str = "mc", correlate: bool = True) -> DataFrame:
-    """trial, the sampled inputs and every cell of the model. Without a seed one is drawn; it is the column seed of every row.
+def simulate(spark: SparkSession, model: Model, trials: int, seed: int | None = 12345, method: str = "mc", correlate: bool = True, given: DataFrame | None = None) -> DataFrame:
+    """trial, the sampled inputs and every cell of the model. Without a seed one is drawn; it is the column seed of every row. given: one row of base values.
 
     With Latin hypercube sampling, correlated inputs take their strata in the order of mixed scores, so no values are moved afterwards.
     """
@@ -213,20 +213,5 @@ def simulate(spark: SparkSession, model: Model, trials: int, seed: int | None =
             df = rank_correlate(cut(df), [f"u_{n}" for n in involved], target, trials, drawn)
     # Inputs are written once: their quantiles and the model's cells in one projection would be more code than a compiled stage takes.
     df = cut(df.select("trial", *[f.sample(f"u_{n}").alias(n) for n, f in model.assumptions.items()]))
-    done = model.evaluate(df)
+    done = model.evaluate(df if given is None else df.crossJoin(F.broadcast(given)))
     return done if seed is not None else done.withColumn("seed", F.lit(drawn))
-
-
-def stop_trial(df: DataFrame, output: str, relative: float, z: float = 1.959964, every: int = 250, least: int = 500) -> DataFrame:
-    """trials: the first multiple of `every`, from `least` on, at which the mean's interval is tight enough; else all.
-
-    Blocks are summed first, so the running window has a row for each block.
-    """
-    x = F.col(output)
-    blocks = df.groupBy(F.floor(F.col("trial") / every).alias("b")).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
-    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    run = blocks.select(((F.col("b") + 1) * every).alias("trials"), F.sum("n").over(upto).alias("n"), F.sum("s").over(upto).alias("s"), F.sum("ss").over(upto).alias("ss"))
-    mean = F.col("s") / F.col("n")
-    half = z * F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - F.col("n") * mean * mean) / (F.col("n") - 1)) / F.col("n"))
-    good = F.when((F.col("trials") >= least) & (F.col("n") > 1) & (half <= relative * F.abs(mean)), F.col("trials"))
-    return run.agg(F.coalesce(F.min(good), F.max("trials")).alias("trials"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.models import Model
+from .ranking import percentiles
 
 
 def _scenarios(spark: SparkSession, model: Model, rows: list[tuple[str, str, str, float]]) -> DataFrame:
@@ -47,10 +48,36 @@ def two_way(spark: SparkSession, model: Model, output: str, a: str, values_a: li
     return model.evaluate(grid).select(a, b, F.col(output).alias("value"))
 
 
+def moved_rows(base: DataFrame, model: Model, names: list[str], shares: list[float]) -> DataFrame:
+    """base and the model's cells, with input and position: each row's own inputs, each moved by itself by every share of its base value. An input that base lacks is the model's."""
+    own = base.withColumns({n: F.lit(float(v)) for n, v in model.inputs.items() if n not in base.columns})
+    moves = F.explode(F.array(*[F.struct(F.lit(n).alias("input"), F.lit(float(s)).alias("position")) for n in names for s in shares]))
+    rows = own.withColumn("__m", moves).select("*", "__m.*").drop("__m")
+    return model.evaluate(rows.withColumns({n: F.when(F.col("input") == n, F.col(n) * (1 + F.col("position"))).otherwise(F.col(n)) for n in names}))
+
+
+def tornado_rows(base: DataFrame, model: Model, output: str, names: list[str], key: str, by: float = 0.1) -> DataFrame:
+    """key, input, low, high, swing, share of squared swings: the tornado of every row around its own base values, without a shuffle but that by key."""
+    done = moved_rows(base, model, names, [-by, by])
+    out = done.groupBy(key, "input").agg(*[F.max(F.when(F.col("position") == p, F.col(output))).alias(n) for n, p in (("low", -by), ("high", by))])
+    swing = F.col("high") - F.col("low")
+    total = F.sum(swing * swing).over(Window.partitionBy(key))  # a row for each input
+    return out.withColumn("swing", F.abs(swing)).withColumn("share", F.when(total > 0, swing * swing / total))
+
+
+def two_way_rows(base: DataFrame, model: Model, a: str, values_a: list[float], b: str, values_b: list[float]) -> DataFrame:
+    """base and the model's cells, for every row over the grid of two inputs."""
+    own = base.drop(a, b).withColumn("__g", F.explode(F.array(*[F.struct(F.lit(float(x)).alias(a), F.lit(float(y)).alias(b)) for x in values_a for y in values_b])))
+    return model.evaluate(own.select("*", "__g.*").drop("__g"))
+
+
 def optimise_grid(spark: SparkSession, model: Model, samples: DataFrame, output: str, decision: str, candidates: list[float]) -> DataFrame:
-    """candidate, mean of the output: every candidate sees the same trials."""
+    """candidate, mean and fifth percentile of the output: every candidate sees the same trials."""
     grid = F.explode(F.array(*[F.lit(float(c)) for c in candidates]))
-    return model.evaluate(samples.withColumn(decision, grid)).groupBy(decision).agg(F.avg(output).alias("mean"), F.expr(f"percentile({output}, 0.05)").alias("p05"))
+    done = model.evaluate(samples.withColumn(decision, grid))
+    means = done.groupBy(decision).agg(F.avg(output).alias("mean"))
+    low = percentiles(done.select(decision, output), output, (0.05,), [decision])
+    return means.join(low, decision).select(decision, "mean", F.col("p")[0].alias("p05"))  # a row for each candidate
 
 
 def frontier(candidates: DataFrame, value: str, risk: str) -> DataFrame:

@@ -111,10 +111,3 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forecast_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.best_forecast(ts.forecast(monthly(spark, sf_dir), "y", "t", "p", 6, 12), "p").select("p", "model", rounded("rmse", 9).alias("rmse"), "step", "value")
-
-
-# Earlier names of the same queries.
-for _name in [k for k, f in QUERIES.items() if f.__module__ == __name__]:
-    QUERIES[f"{_name}_whole"] = QUERIES[_name]
-    if _name in SQL:
-        SQL[f"{_name}_whole"] = SQL[_name]

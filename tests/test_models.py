@@ -264,3 +264,26 @@ def test_processes(spark):
     assert spread == pytest.approx(0.01 + 60 * 0.0025, rel=0.1)  # 60 jumps a step
     got = processes.ou_parameters(processes.ornstein_uhlenbeck(spark, 5, 5, 2, 1, 0.1, 4000, 1), "value", "step", ["path"], 0.1).first()
     assert (got["mean"], got["speed"], got["volatility"]) == (pytest.approx(5, abs=0.2), pytest.approx(2, rel=0.2), pytest.approx(1, rel=0.05))
+
+
+def test_chi_square_of_distant_whole_numbers(spark):
+    """A value far from the others costs no row for each number between; bins are those of the greedy walk over all numbers."""
+    rng = np.random.default_rng(3)
+    few = rng.geometric(0.02, 2000) - 1
+    df = spark.createDataFrame([(float(v),) for v in few], "x double")
+    family = d.geometric(0.02)
+    got = fitting.chi_square(df, "x", family).first()
+    sums, seen, before, n = [], 0, 0.0, len(few)
+    for x in range(few.min(), few.max() + 1):
+        seen += (few == x).sum()
+        share = 1.0 if x == few.max() else 1 - 0.98 ** (x + 1)
+        if n * (share - before) >= 5:
+            sums.append([seen, n * (share - before)])
+            seen, before = 0, share
+    if before < 1:
+        sums[-1] = [sums[-1][0] + seen, sums[-1][1] + n * (1 - before)]
+    assert got.bins == len(sums) and got.statistic == pytest.approx(sum((o - e) ** 2 / e for o, e in sums))
+    far = fitting.chi_square(spark.createDataFrame([(float(v),) for v in [*few, 10**10]], "x double"), "x", family).first()
+    assert far.n == 2001 and far.statistic > 0
+    wide = fitting.chi_square(spark.createDataFrame([(float(v),) for v in rng.geometric(1e-6, 300) - 1], "x double"), "x", d.geometric(1e-6)).first()
+    assert 20 < wide.bins <= 60 and wide.p > 1e-4
