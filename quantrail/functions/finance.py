@@ -147,11 +147,13 @@ def _has_both_signs(cf: Column) -> Column:
     return F.exists(cf, lambda v: v > 0) & F.exists(cf, lambda v: v < 0)
 
 
+#: Rates are looked for from -0.99 to 10, by 0.0005 up to 1 and by 0.005 beyond.
 def _roots(value: Callable[[Column], Column]) -> Column:
     """Every rate from -0.99 to 10 at which value(rate) changes its sign, rising: a grid (steps of 0.0005, from 1 on 0.005) finds them, bisection refines them."""
     grid = F.concat(F.transform(F.sequence(F.lit(0), F.lit(3979)), lambda i: i * 0.0005 - 0.99), F.transform(F.sequence(F.lit(0), F.lit(1800)), lambda i: 1 + i * 0.005))
     points = F.transform(grid, lambda x: F.struct(x.alias("x"), value(x).alias("f")))
-    pairs = F.zip_with(F.slice(points, 1, 5780), F.slice(points, 2, 5780), lambda a, b: F.struct(a["x"].alias("lo"), a["f"].alias("f"), b["x"].alias("hi"), b["f"].alias("g")))
+    # Points are bound first, for they stand twice in the pairs.
+    pairs = F.get(F.transform(F.array(points), lambda p: F.zip_with(F.slice(p, 1, 5780), F.slice(p, 2, 5780), lambda a, b: F.struct(a["x"].alias("lo"), a["f"].alias("f"), b["x"].alias("hi"), b["f"].alias("g")))), F.lit(0))
     held = F.filter(pairs, lambda p: (p["f"] == 0) | (F.signum(p["f"]) * F.signum(p["g"]) < 0) | ((p["g"] == 0) & (p["hi"] >= 10)))
 
     def halve(s: Column, _: Column) -> Column:

@@ -198,3 +198,28 @@ def sheet_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         sheet.branch(quotient > 100, 1, 2).alias("branch"), sheet.count_numbers(root, quotient).alias("numbers"),
     )
     return round_all(df, 5)
+
+
+@query(f"""
+WITH p AS (SELECT c_custkey, 1.02 + (c_custkey % 30) / 100.0::DOUBLE AS x, 1.5 + c_nationkey / 100.0::DOUBLE AS y FROM customer)
+SELECT c_custkey, 2 AS n, {r('x - 1', 5)} AS first, {r('y - 1', 5)} AS last FROM p""")
+def all_internal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rates of flows that change sign twice, made for every customer from the two rates that they have."""
+    p = table(spark, sf_dir, "customer").select("c_custkey", (F.abs("c_acctbal") + 1).alias("a"), (1.02 + F.col("c_custkey") % 30 / 100).alias("x"), (1.5 + F.col("c_nationkey") / 100).alias("y"))
+    flows = F.array(-F.col("a"), F.col("a") * (F.col("x") + F.col("y")), -F.col("a") * F.col("x") * F.col("y"))
+    found = p.select("c_custkey", fin.all_irrs(flows).alias("r"))
+    return found.select("c_custkey", F.size("r").alias("n"), rounded(F.element_at("r", 1), 5).alias("first"), rounded(F.element_at("r", -1), 5).alias("last"))
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_size::DOUBLE AS units, p_retailprice AS price, p_retailprice * 10 AS investment FROM part),
+y AS (SELECT *, t, units * price - units * price * 0.4 - 100 - investment / 4 AS ebt FROM p, range(1, 5) x(t)),
+c AS (SELECT *, sum(ebt) OVER w AS total, min(0) OVER w AS zero FROM y WINDOW w AS (PARTITION BY p_partkey ORDER BY t)),
+l AS (SELECT *, greatest(0, total) - greatest(0, total - ebt) AS taxed FROM c)
+SELECT p_partkey, {r('sum(ebt)', 3)} AS ebt, {r('-0.3 * sum(taxed)', 3)} AS taxes, {r('sum(ebt) - 0.3 * sum(taxed)', 3)} AS net FROM l GROUP BY p_partkey""")
+def project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project that every part would be: four even years, whose losses are carried forward."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size").cast("double")).alias("units"), F.array("p_retailprice").alias("price"), F.array(F.col("p_retailprice") * 0.4).alias("variable_cost"), F.array(F.lit(100.0)).alias("fixed_costs"), (F.col("p_retailprice") * 10).alias("investment"), F.lit(0.0).alias("working_capital"), F.lit(0.0).alias("salvage"), F.lit(0.3).alias("tax"))
+    done = fin.project_cash_flow(p, 4, 4)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return done.select("p_partkey", *[rounded(total(c), 3).alias(n) for c, n in (("ebt", "ebt"), ("taxes", "taxes"), ("net_income", "net"))])

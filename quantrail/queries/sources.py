@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import delimited, workbooks
+from ..sources import delimited, workbooks, xlsx
 from ..sources.folders import own_folder
 from ..streaming import running
 from .common import query, r, round_all, rounded, table
 
 #: Customers of a workbook; a sheet of the format holds 1,048,576 rows.
 BOOK_ROWS = 500
+#: The same of orders.
+BOOK_ORDERS = 5000
+
 
 @query(f"SELECT p_partkey, {r('p_retailprice * CASE p_partkey % 4 WHEN 1 THEN -1 WHEN 2 THEN 0.01::DOUBLE ELSE 1 END', 5)} AS number FROM part")
 def locale_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,3 +66,21 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = running.precision(running.read_table_stream(spark, sf_dir, "events"), "value", "event_type")
     return round_all(running.drained(out, own_folder(spark)), 4)
+
+
+@query(f"""
+WITH k AS (SELECT *, floor(o_orderkey / {BOOK_ORDERS}) AS book FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY book, o_orderpriority ORDER BY o_orderkey) AS row FROM k)
+SELECT o_orderkey, row::INTEGER AS row, o_totalprice AS price, o_orderdate AS date, 'B' || row || '*0.1+D$1' AS formula, o_orderpriority AS sheet FROM n""")
+def workbook_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written by the format xlsx, a sheet for each priority, with dates and a formula that its column shares, and read again sheet by sheet."""
+    xlsx.register(spark)
+    path = f"{own_folder(spark)}/books-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders").withColumn("book", F.floor(F.col("o_orderkey") / BOOK_ORDERS))
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("book", "o_orderpriority").orderBy("o_orderkey")))  # BOOK_ORDERS at most
+    cell = lambda col, **v: F.struct(F.lit(col).alias("col"), *[v.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("number", "double"), ("text", "string"), ("truth", "boolean"), ("error", "string"), ("formula", "string"), ("date", "timestamp_ntz"))])
+    each = F.array(cell(1, number=F.col("o_orderkey")), cell(2, number=F.col("o_totalprice")), cell(3, date=F.col("o_orderdate")), cell(4, formula=F.concat(F.lit("B"), F.col("row"), F.lit("*0.1+D$1"))))
+    cells = rows.select(F.concat(F.lit("book-"), F.col("book").cast("string")).alias("path"), F.col("o_orderpriority").alias("sheet"), "row", F.explode(each).alias("c")).select("path", "sheet", "row", "c.*")
+    cells.repartition("path").sortWithinPartitions("path", "sheet", "row", "col").write.format("xlsx").mode("append").save(path)
+    read = spark.read.format("xlsx").load(path)
+    at = lambda col, name: F.max(F.when(F.col("col") == col, F.col(name)))
+    return read.groupBy("path", "sheet", "row").agg(at(1, "number").cast("long").alias("o_orderkey"), at(2, "number").alias("price"), at(3, "date").alias("date"), at(4, "formula").alias("formula")).drop("path")

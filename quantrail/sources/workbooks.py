@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -39,26 +40,137 @@ def address(row: int, col: int) -> str:
     return f"{out}{row}"
 
 
+#: The least and the greatest row and column of a sheet.
+ROWS, COLUMNS = 1_048_576, 16_384
+#: In a formula: a text or quoted sheet name, which stays; a reference to cells, columns or rows; other names and numbers, which stay.
+REFERENCE = re.compile(
+    r"""("(?:[^"]|"")*"|'(?:[^']|'')*'!?)|(?<![A-Za-z0-9_.$])(?:(\$?)([A-Za-z]{1,3})(\$?)(\d{1,7})(?![A-Za-z0-9_.(!])|(\$?)([A-Za-z]{1,3}):(\$?)([A-Za-z]{1,3})(?![A-Za-z0-9_.(!:])|(\$?)(\d{1,7}):(\$?)(\d{1,7})(?![A-Za-z0-9_.]))|[A-Za-z_\\][\w.\\]*[(!]?|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"""
+)
+
+
+def _letters(col: int) -> str:
+    out = ""
+    while col:
+        col, r = divmod(col - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def _column(letters: str) -> int:
+    col = 0
+    for c in letters.upper():
+        col = col * 26 + ord(c) - 64
+    return col
+
+
+def translated(formula: str, down: int, right: int) -> str:
+    """The formula as it reads so many rows further down and columns to the right: references without a $ move, and those that leave the sheet are #REF!."""
+
+    def col(fixed: str, letters: str) -> str | None:
+        at = _column(letters) + (0 if fixed else right)
+        return f"{fixed}{_letters(at)}" if 1 <= at <= COLUMNS else None
+
+    def row(fixed: str, digits: str) -> str | None:
+        at = int(digits) + (0 if fixed else down)
+        return f"{fixed}{at}" if 1 <= at <= ROWS else None
+
+    def moved(m: re.Match) -> str:
+        if m[3]:
+            if _column(m[3]) > COLUMNS or not 1 <= int(m[5]) <= ROWS:
+                return m[0]
+            a, b = col(m[2], m[3]), row(m[4], m[5])
+            return "#REF!" if a is None or b is None else a + b
+        if m[7]:
+            a, b = col(m[6], m[7]), col(m[8], m[9])
+            return "#REF!" if a is None or b is None else f"{a}:{b}"
+        if m[11]:
+            a, b = row(m[10], m[11]), row(m[12], m[13])
+            return "#REF!" if a is None or b is None else f"{a}:{b}"
+        return m[0]
+
+    return REFERENCE.sub(moved, formula)
+
+
+#: Number formats of dates and times by number; in others, what is neither quoted nor in brackets tells.
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+LITERAL = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.')
+
+
+def date_styles(styles: bytes) -> list[bool]:
+    """For each style of cells, whether its numbers are dates."""
+    root = ElementTree.fromstring(styles)
+    own = {int(f.get("numFmtId")): bool(re.search("[dmyhs]", LITERAL.sub("", f.get("formatCode") or "").lower())) for f in root.iter(f"{MAIN}numFmt")}
+    cells = root.find(f"{MAIN}cellXfs")
+    return [own.get(k := int(x.get("numFmtId", "0")), k in DATE_FORMATS) for x in (cells if cells is not None else [])]
+
+
+def date_of(serial: float, late: bool = False) -> datetime.datetime | None:
+    """The moment of a date serial; late: counted from 1904. Serials before March 1900 count from a day later, for the format has a 29 February 1900."""
+    if not 0 <= serial < 2_958_466:
+        return None
+    first = datetime.datetime(1904, 1, 1) if late else datetime.datetime(1899, 12, 31) if serial < 60 else datetime.datetime(1899, 12, 30)
+    return first + datetime.timedelta(days=int(serial), milliseconds=round((serial % 1) * 86_400_000))
+
+
+def serial_of(moment: datetime.datetime) -> float:
+    gap = moment - datetime.datetime(1899, 12, 30)
+    out = gap.days + (gap.seconds + gap.microseconds / 1e6) / 86_400
+    return out - 1 if out < 61 else out
+
+
+def sheets_of(z: zipfile.ZipFile) -> list[tuple[str, str, bool]]:
+    """(name, part of the file, hidden) of each sheet, in order."""
+    targets = {r.get("Id"): r.get("Target").lstrip("/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    part = lambda t: t if t.startswith("xl/") else f"xl/{t}"
+    return [(s.get("name"), part(targets[s.get(f"{REL}id")]), s.get("state", "visible") != "visible") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
+
+
+def names_of(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, range) of the defined names that stand for one range."""
+    found = [(d.get("name"), (d.text or "").strip()) for d in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}definedName")]
+    one = re.compile(r"(?:'(?:[^']|'')*'|[\w.]+)!\$?[A-Z]+\$?\d+(?::\$?[A-Z]+\$?\d+)?", re.I)
+    return [(n, t) for n, t in found if not n.startswith("_xlnm") and one.fullmatch(t)]
+
+
 def cells_of(content: bytes) -> Iterator[tuple]:
     """sheet, row, col, number, text, truth, error, formula of each cell that holds something."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
-            target = targets[sheet.get(f"{REL}id")].lstrip("/")
-            for _, c in ElementTree.iterparse(z.open(target if target.startswith("xl/") else f"xl/{target}")):
-                if c.tag != f"{MAIN}c":
-                    continue
-                value, formula, kind = c.findtext(f"{MAIN}v"), c.findtext(f"{MAIN}f"), c.get("t", "n")
-                text = "".join(t.text or "" for t in c.iter(f"{MAIN}t")) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value if kind == "str" else None
-                number = float(value) if kind == "n" and value else None
-                if value is not None or text or formula:
-                    formula = None if formula is None else PREFIX.sub(r"\1", formula)
-                    yield (sheet.get("name"), *place(c.get("r")), number, text, value == "1" if kind == "b" else None, value if kind == "e" else None, formula)
-                c.clear()
+        for name, part, _ in sheets_of(z):
+            for c in sheet_cells(z, part):
+                yield (name, *c[:7])
+
+
+def sheet_cells(z: zipfile.ZipFile, part: str) -> Iterator[tuple]:
+    """row, col, number, text, truth, error, formula, date of each cell of a sheet that holds something. Shared formulas are written out for every cell."""
+    names = set(z.namelist())
+    shared: list[str] = []
+    if "xl/sharedStrings.xml" in names:
+        shared = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")]
+    dated = date_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else []
+    late = any(p.get("date1904") in ("1", "true") for p in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}workbookPr"))
+    masters: dict[str, tuple[int, int, str]] = {}
+    for _, c in ElementTree.iterparse(z.open(part)):
+        if c.tag == f"{MAIN}row":
+            c.clear()
+        if c.tag != f"{MAIN}c":
+            continue
+        value, f, kind = c.findtext(f"{MAIN}v"), c.find(f"{MAIN}f"), c.get("t", "n")
+        row, col = place(c.get("r"))
+        formula = None if f is None else f.text or ""
+        if f is not None and f.get("t") == "shared":
+            if formula:
+                masters[f.get("si")] = (row, col, formula)
+            elif f.get("si") in masters:
+                r0, c0, first = masters[f.get("si")]
+                formula = translated(first, row - r0, col - c0)
+        text = "".join(t.text or "" for t in c.iter(f"{MAIN}t")) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value if kind == "str" else None
+        number = float(value) if kind == "n" and value else None
+        if value is not None or text or formula:
+            style = int(c.get("s", "0"))
+            date = date_of(number, late) if number is not None and style < len(dated) and dated[style] else None
+            formula = None if formula is None else PREFIX.sub(r"\1", formula)
+            yield (row, col, number, text, value == "1" if kind == "b" else None, value if kind == "e" else None, formula, date)
+        c.clear()
 
 
 def cells_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,23 +188,30 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells_in, CELLS)
 
 
-def workbook(sheets: dict[str, list[tuple[int, int, object, str | None]]]) -> bytes:
-    """An xlsx file of sheets of (row, col, value, formula)."""
+STYLES = f'<styleSheet xmlns="{MAIN[1:-1]}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>'
+
+
+def workbook(sheets: dict[str, list[tuple[int, int, object, str | None]]], names: dict[str, str] | None = None, share: bool = False) -> bytes:
+    """An xlsx file of sheets of (row, col, value, formula); a datetime becomes a date serial. share: formulas that a column repeats row by row are written once. names: ranges by defined name."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         put = lambda name, body: z.writestr(name, f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{body}')
         kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-        put("[Content_Types].xml", f'<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
+        put("[Content_Types].xml", f'<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>')
         put("_rels/.rels", f'<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="rId1" Type="{REL[1:-1]}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        put("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{PACKAGE}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{REL[1:-1]}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
-        put("xl/workbook.xml", f'<workbook xmlns="{MAIN[1:-1]}" xmlns:r="{REL[1:-1]}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        put("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{PACKAGE}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{REL[1:-1]}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + f'<Relationship Id="rId{len(sheets) + 1}" Type="{REL[1:-1]}/styles" Target="styles.xml"/></Relationships>')
+        put("xl/styles.xml", STYLES)
+        put("xl/workbook.xml", f'<workbook xmlns="{MAIN[1:-1]}" xmlns:r="{REL[1:-1]}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets>" + (f"<definedNames>{''.join(f'<definedName name={chr(34)}{escape(n)}{chr(34)}>{escape(t)}</definedName>' for n, t in names.items())}</definedNames>" if names else "") + "</workbook>")
         for i, cells in enumerate(sheets.values(), 1):
             rows: dict[int, list[str]] = {}
+            runs = _shared_runs(cells) if share else {}
             for row, col, value, formula in sorted(cells, key=lambda c: c[:2]):
-                f = f"<f>{escape(formula)}</f>" if formula else ""
                 at = address(row, col)
-                if isinstance(value, bool):
+                f = runs.get((row, col)) or (f"<f>{escape(formula)}</f>" if formula else "")
+                if isinstance(value, datetime.datetime):
+                    cell = f'<c r="{at}" s="1">{f}<v>{serial_of(value)!r}</v></c>'
+                elif isinstance(value, bool):
                     cell = f'<c r="{at}" t="b">{f}<v>{int(value)}</v></c>'
                 elif isinstance(value, int | float):
                     cell = f'<c r="{at}">{f}<v>{value!r}</v></c>'
@@ -105,6 +224,24 @@ def workbook(sheets: dict[str, list[tuple[int, int, object, str | None]]]) -> by
     return out.getvalue()
 
 
+def _shared_runs(cells: list[tuple[int, int, object, str | None]]) -> dict[tuple[int, int], str]:
+    """How formulas are written that a column repeats from row to row, translated: the first with its range, the others by number."""
+    out: dict[tuple[int, int], str] = {}
+    found = sorted((col, row, f) for row, col, _, f in cells if f)
+    at = count = 0
+    while at < len(found):
+        col, row, first = found[at]
+        end = at + 1
+        while end < len(found) and found[end][0] == col and found[end][1] == row + end - at and found[end][2] == translated(first, end - at, 0):
+            end += 1
+        if end - at > 1:
+            out[row, col] = f'<f t="shared" ref="{address(row, col)}:{address(row + end - at - 1, col)}" si="{count}">{escape(first)}</f>'
+            out |= {(row + k, col): f'<f t="shared" si="{count}"/>' for k in range(1, end - at)}
+            count += 1
+        at = end
+    return out
+
+
 def to_workbooks(cells: DataFrame) -> DataFrame:
     """path, content: an xlsx file for each path of cell rows. A file is a group; the format bounds a sheet to 1,048,576 rows."""
 
