@@ -205,7 +205,8 @@ WITH p AS (SELECT c_custkey, 1.02 + (c_custkey % 30) / 100.0::DOUBLE AS x, 1.5 +
 SELECT c_custkey, 2 AS n, {r('x - 1', 5)} AS first, {r('y - 1', 5)} AS last FROM p""")
 def all_internal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both rates of flows that change sign twice, made for every customer from the two rates that they have."""
-    p = table(spark, sf_dir, "customer").select("c_custkey", (F.abs("c_acctbal") + 1).alias("a"), (1.02 + F.col("c_custkey") % 30 / 100).alias("x"), (1.5 + F.col("c_nationkey") / 100).alias("y"))
+    rows = table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism)  # little data, much arithmetic
+    p = rows.select("c_custkey", (F.abs("c_acctbal") + 1).alias("a"), (1.02 + F.col("c_custkey") % 30 / 100).alias("x"), (1.5 + F.col("c_nationkey") / 100).alias("y"))
     flows = F.array(-F.col("a"), F.col("a") * (F.col("x") + F.col("y")), -F.col("a") * F.col("x") * F.col("y"))
     found = p.select("c_custkey", fin.all_irrs(flows).alias("r"))
     return found.select("c_custkey", F.size("r").alias("n"), rounded(F.element_at("r", 1), 5).alias("first"), rounded(F.element_at("r", -1), 5).alias("last"))
