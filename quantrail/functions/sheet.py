@@ -250,3 +250,40 @@ def switch(x: Column, *cases: tuple[object, Number], other: Number | None = None
     for known, then in reversed(cases):
         out = F.when(x == F.lit(known), _c(then)).otherwise(out)
     return F.when(x.isNotNull(), out)
+
+
+def _steps(y: Column) -> Column:
+    """(a, b) of the least-squares line through the places 0, 1, ... of an array."""
+    n = F.size(y).cast("double")
+    mean, mid = average(y), (n - 1) / 2
+    sums = F.aggregate(F.transform(y, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), F.lit(0.0), lambda s, x: s + (x["i"] - mid) * (x["v"] - mean))
+    b = F.coalesce(F.try_divide(sums, (n * n - 1) * n / 12), F.lit(0.0))
+    return F.struct((mean - b * mid).alias("a"), b.alias("b"))
+
+
+def fill_numbers(source: Column, count: int, backward: bool = False) -> Column:
+    """The next (or earlier) values of a filled series: two numbers or more go on as a line, with 15 digits; fewer, or numbers with gaps, are repeated."""
+    n = F.size(source)
+    places = F.sequence(F.lit(1), F.lit(count))
+    at = F.transform(places, (lambda k: -k) if backward else (lambda k: n - 1 + k))
+
+    def value(i: Column) -> Column:
+        line = F.get(F.transform(F.array(_steps(source)), lambda s: s["a"] + s["b"] * i), F.lit(0))
+        digits = F.when(line == 0, 0).otherwise(14 - F.floor(F.log10(F.abs(line)))).cast("int")
+        return F.when(digits >= 0, F.round(line * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)).otherwise(line)
+
+    plain = F.transform(at, lambda i: F.get(source, F.pmod(i, n)))
+    return F.when(n == 0, F.slice(source, 1, 0)).when((n >= 2) & ~F.exists(source, F.isnull), F.transform(at, value)).otherwise(plain)
+
+
+def fill_texts(source: Column, count: int, backward: bool = False) -> Column:
+    """The same of texts: those of one beginning and a number behind it count on (one by one, or as a line); others are repeated."""
+    n = F.size(source)
+    at = F.transform(F.sequence(F.lit(1), F.lit(count)), (lambda k: -k) if backward else (lambda k: n - 1 + k))
+    pattern = r"^(.*?)(\d+)$"
+    heads = F.transform(source, lambda v: F.regexp_extract(v, pattern, 1))
+    numbers = F.transform(source, lambda v: F.regexp_extract(v, pattern, 2).try_cast("double"))
+    alike = (F.size(F.array_distinct(heads)) == 1) & (F.get(heads, F.lit(0)) != "") & ~F.exists(numbers, F.isnull) & ~F.exists(source, lambda v: F.isnull(v) | v.startswith("="))
+    line = F.when(n == 1, F.struct(F.get(numbers, F.lit(0)).alias("a"), F.lit(1.0).alias("b"))).otherwise(_steps(numbers))
+    counted = F.transform(at, lambda i: F.concat(F.get(heads, F.lit(0)), F.abs(F.round(F.get(F.transform(F.array(line), lambda s: s["a"] + s["b"] * i), F.lit(0)))).cast("long").cast("string")))
+    return F.when(n == 0, F.slice(source, 1, 0)).when(alike, counted).otherwise(F.transform(at, lambda i: F.get(source, F.pmod(i, n))))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_score
-from ..functions.special import chi_square_tail, normal_cdf
+from ..functions.special import chi_square_tail, normal_cdf, student_t_quantile
 
 
 def _order(by: list[str], t: str) -> Window:
@@ -111,6 +111,28 @@ def trend(df: DataFrame, y: str, t: str, by: list[str], kind: str = "linear") ->
     return out.select(*by, (F.exp("a") if kind in ("exponential", "power") else F.col("a")).alias("a"), "b", (F.col("__r") * F.col("__r")).alias("r2"))
 
 
+def trend_forecast(df: DataFrame, y: str, t: str, by: list[str], steps: int, kind: str = "linear", level: float = 0.95) -> DataFrame:
+    """by, step, forecast, error, low, high: the curve of trend() beyond the last period, with Student t intervals for a new value.
+
+    error is that of the fitted scale, which is of logarithms for exponential and power curves. One aggregation for each series.
+    """
+    logs = kind in ("exponential", "power")
+    rows = df.withColumn("__t", F.row_number().over(_order(by, t)).cast("double"))
+    u = F.ln("__t") if kind in ("logarithmic", "power") else F.col("__t")
+    v = F.ln(F.when(F.col(y) > 0, F.col(y))) if logs else F.col(y)
+    rows = rows.withColumns({"__u": u, "__v": v})
+    s = rows.filter("__v IS NOT NULL").groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.max("__t").alias("m"), F.avg("__u").alias("u"), F.avg("__v").alias("v"), F.regr_sxx("__v", "__u").alias("uu"), F.regr_sxy("__v", "__u").alias("uv"), F.regr_syy("__v", "__u").alias("vv"))
+    b = F.col("uv") / F.col("uu")
+    s = s.filter("n > 2 AND uu > 0").withColumns({"b": b, "a": F.col("v") - b * F.col("u"), "s2": F.greatest(F.lit(0.0), F.col("vv") - b * F.col("uv")) / (F.col("n") - 2)})
+    at = F.col("m") + F.col("step")
+    x = F.ln(at) if kind in ("logarithmic", "power") else at
+    out = s.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("x", x)
+    out = out.withColumns({"mu": F.col("a") + F.col("b") * F.col("x"), "error": F.sqrt(F.col("s2") * (1 + 1 / F.col("n") + (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) / F.col("uu")))})
+    half = student_t_quantile(F.lit((1 + level) / 2), F.col("n") - 2) * F.col("error")
+    back = F.exp if logs else (lambda c: c)
+    return out.select(*by, "step", back(F.col("mu")).alias("forecast"), "error", back(F.col("mu") - half).alias("low"), back(F.col("mu") + half).alias("high"))
+
+
 def ses(df: DataFrame, y: str, t: str, by: list[str], alpha: float) -> DataFrame:
     """level: the exponentially smoothed value after the last period, as a fold over the series' array."""
     series = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(y).alias("y")))).alias("s"))

@@ -48,17 +48,34 @@ def two_way(spark: SparkSession, model: Model, output: str, a: str, values_a: li
     return model.evaluate(grid).select(a, b, F.col(output).alias("value"))
 
 
-def moved_rows(base: DataFrame, model: Model, names: list[str], shares: list[float]) -> DataFrame:
-    """base and the model's cells, with input and position: each row's own inputs, each moved by itself by every share of its base value. An input that base lacks is the model's."""
+def variables_of(names: list[str], groups: list[list[str]] | None = None) -> dict[str, list[str]]:
+    """Inputs folded into variables: those of a group move together, where the first of them stands; an input of several groups is of the first. Names are joined by +."""
+    group = {}
+    for g in groups or []:
+        for n in g:
+            if n in names:
+                group.setdefault(n, id(g))
+    out: dict[object, list[str]] = {}
+    for n in names:
+        out.setdefault(group.get(n, n), []).append(n)
+    return {"+".join(v): v for v in out.values()}
+
+
+def moved_rows(base: DataFrame, model: Model, names: list[str], shares: list[float], groups: list[list[str]] | None = None) -> DataFrame:
+    """base and the model's cells, with input and position: each row's own inputs, each moved by itself, or with its group, by every share of its base value.
+
+    An input that base lacks is the model's.
+    """
+    variables = variables_of(names, groups)
     own = base.withColumns({n: F.lit(float(v)) for n, v in model.inputs.items() if n not in base.columns})
-    moves = F.explode(F.array(*[F.struct(F.lit(n).alias("input"), F.lit(float(s)).alias("position")) for n in names for s in shares]))
+    moves = F.explode(F.array(*[F.struct(F.lit(n).alias("input"), F.lit(float(s)).alias("position")) for n in variables for s in shares]))
     rows = own.withColumn("__m", moves).select("*", "__m.*").drop("__m")
-    return model.evaluate(rows.withColumns({n: F.when(F.col("input") == n, F.col(n) * (1 + F.col("position"))).otherwise(F.col(n)) for n in names}))
+    return model.evaluate(rows.withColumns({n: F.when(F.col("input") == v, F.col(n) * (1 + F.col("position"))).otherwise(F.col(n)) for v, inputs in variables.items() for n in inputs}))
 
 
-def tornado_rows(base: DataFrame, model: Model, output: str, names: list[str], key: str, by: float = 0.1) -> DataFrame:
+def tornado_rows(base: DataFrame, model: Model, output: str, names: list[str], key: str, by: float = 0.1, groups: list[list[str]] | None = None) -> DataFrame:
     """key, input, low, high, swing, share of squared swings: the tornado of every row around its own base values, without a shuffle but that by key."""
-    done = moved_rows(base, model, names, [-by, by])
+    done = moved_rows(base, model, names, [-by, by], groups)
     out = done.groupBy(key, "input").agg(*[F.max(F.when(F.col("position") == p, F.col(output))).alias(n) for n, p in (("low", -by), ("high", by))])
     swing = F.col("high") - F.col("low")
     total = F.sum(swing * swing).over(Window.partitionBy(key))  # a row for each input

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as d
 from ..operators import runner, sampling
+from ..plans import report as reports
 from ..plans.models import Model
 from .common import query, r, rounded, table
 
@@ -88,3 +89,22 @@ def uniforms_lhs(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = sampling.with_strata(sampling.numbered(events.select("event_id"), "event_id"), "trial", n, ["a", "b"])
     long = drawn.select(F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.floor(F.col(m) * n).alias("s")) for m in "ab"])).alias("x")).select("x.*")
     return long.groupBy("name", F.expr(f"s * 64 div {n}").alias("band")).agg(F.count("*").alias("draws"), F.sum("s").alias("strata"))
+
+
+@query(f"""
+WITH b AS (SELECT sum(l_extendedprice * (1 - l_discount)) / count(DISTINCT year(l_shipdate)) AS base FROM lineitem), t AS (
+  SELECT id AS trial, 0.7::DOUBLE + 0.5::DOUBLE * {_draw("volume")} AS volume, 0.9::DOUBLE + 0.25::DOUBLE * {_draw("price")} AS price FROM range(2000) x(id)
+), m AS (SELECT volume, price, base * volume * price - base * 0.6::DOUBLE AS profit, CASE WHEN volume * price > 0.75 THEN ln(volume * price) END AS growth FROM t, b)
+SELECT 'Forecasts' AS sheet, 4 AS row, 2 AS col, {r("avg(profit)", 1)} AS number FROM m UNION ALL SELECT 'Forecasts', 4, 3, {r("avg(growth)", 1)} FROM m
+UNION ALL SELECT 'Forecasts', 3, 3, (count(*) - count(growth))::DOUBLE FROM m UNION ALL SELECT 'Forecasts', 3, 2, (count(*) - count(profit))::DOUBLE FROM m
+UNION ALL SELECT 'Assumptions', 1, 2, {r("avg(volume)", 1)} FROM m UNION ALL SELECT 'Assumptions', 2, 2, {r("avg(price)", 1)} FROM m
+UNION ALL SELECT 'Forecasts', 37, 2, {r("avg((profit < 0)::INTEGER)", 1)} FROM m UNION ALL SELECT 'Forecasts', 27, 2, {r("quantile_cont(profit, 0.5)", 1)} FROM m
+UNION ALL SELECT 'Summary', 1, 2, count(*) FROM m""")
+def report_of_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some cells of the report of a run over a base value of all lineitems; the whole report is a workbook's sheets."""
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    base = table(spark, sf_dir, "lineitem").agg((F.sum(net) / F.count_distinct(F.year("l_shipdate"))).alias("base"))  # one row
+    model = margin_model()
+    cells = reports.report(model, runner.run(spark, model, 2000, given=base))
+    wanted = "sheet = 'Forecasts' AND (row IN (3, 4) AND col > 1 OR row IN (27, 37) AND col = 2) OR sheet = 'Assumptions' AND col = 2 OR sheet = 'Summary' AND row = 1 AND col = 2"
+    return cells.filter(wanted).select("sheet", "row", "col", rounded("number", 1).alias("number"))

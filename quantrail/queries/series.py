@@ -111,3 +111,14 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forecast_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.best_forecast(ts.forecast(monthly(spark, sf_dir), "y", "t", "p", 6, 12), "p").select("p", "model", rounded("rmse", 9).alias("rmse"), "step", "value")
+
+
+@query(f"""
+WITH m AS (SELECT o_orderpriority AS g, date_trunc('month', o_orderdate) AS d, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY ALL), n AS (SELECT g, y, row_number() OVER (PARTITION BY g ORDER BY d)::DOUBLE AS t FROM m),
+s AS (SELECT g, count(*) AS n, max(t) AS m, avg(t) AS u, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, regr_sxx(y, t) AS uu, greatest(0, regr_syy(y, t) - regr_slope(y, t) * regr_sxy(y, t)) / (count(*) - 2) AS s2 FROM n GROUP BY g)
+SELECT g, h::INTEGER AS step, {r('a + b * (m + h)', 5)} AS forecast, {r('sqrt(s2 * (1 + 1.0::DOUBLE / n + (m + h - u) * (m + h - u) / uu))', 5)} AS error FROM s, range(1, 7) x(h)""")
+def trend_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a year beyond the last month of each priority, with the error of a new value."""
+    months = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("g"), F.trunc("o_orderdate", "month").alias("d")).agg((F.sum("o_totalprice") / 1e6).alias("y"))
+    out = ts.trend_forecast(months, "y", "d", ["g"], 6)
+    return out.select("g", "step", rounded("forecast", 5).alias("forecast"), rounded("error", 5).alias("error"))

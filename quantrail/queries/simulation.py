@@ -371,3 +371,13 @@ def process_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fan of paths with jumps, started and moved as the months of urgent orders."""
     start, drift, volatility = _urgent(spark, sf_dir)
     return processes.fan(processes.jump_diffusion(spark, start, drift, volatility, 0.5, -0.1, 0.15, 1 / 12, 24, 200))
+
+
+@query(f"""
+WITH c AS ({_CREDIT_SQL}), v AS (SELECT c_custkey, line, used, margin, loss, unnest(['line+loss', 'used', 'margin']) AS input FROM c),
+s AS (SELECT c_custkey, input, p, line * (CASE WHEN input = 'line+loss' THEN 1 + p ELSE 1 END) AS a, loss * (CASE WHEN input = 'line+loss' THEN 1 + p ELSE 1 END) AS b, used * (CASE WHEN input = 'used' THEN 1 + p ELSE 1 END) AS u, margin * (CASE WHEN input = 'margin' THEN 1 + p ELSE 1 END) AS m FROM v, (SELECT unnest([-0.1, 0.1]::DOUBLE[]) AS p))
+SELECT c_custkey, input, {r('max(a * u * m - a * b * u * (1 + u)) FILTER (p < 0)', 4)} AS low, {r('max(a * u * m - a * b * u * (1 + u)) FILTER (p > 0)', 4)} AS high FROM s GROUP BY ALL""")
+def tornado_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tornado of every customer's credit line, where the line and its losses move together."""
+    t = whatif.tornado_rows(_credit(spark, sf_dir), CREDIT, "gain", CREDIT_INPUTS, "c_custkey", groups=[["line", "loss"]])
+    return t.select("c_custkey", "input", *[rounded(c, 4).alias(c) for c in ("low", "high")])
