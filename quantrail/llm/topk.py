@@ -34,11 +34,18 @@ NONE = -(1 << 62)
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
-    """row, id, v = floor(scale * component) as longs, for the rows that take part."""
+    """row, id, v = floor(scale * component) as longs, for the rows that take part. A key of whole numbers becomes a long, another one stays."""
     df = renamed(df, id=key, v=vector)
+    whole = dict(df.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     df = df.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(~bad)
-    return df.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long"), F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"))
+    return df.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long") if whole else F.col("id"), F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"))
+
+
+def asks(rows: DataFrame, every: int) -> DataFrame:
+    """The queries among rows: those whose id is divisible, or, of an id that is no whole number, whose checksum is."""
+    id_ = F.col("id") if dict(rows.dtypes)["id"] == "bigint" else F.crc32(F.col("id").cast("string").cast("binary"))
+    return rows.filter(id_ % every == 0)
 
 
 def distinct_vectors(rows: DataFrame, k: int, every: int) -> DataFrame:
@@ -46,7 +53,7 @@ def distinct_vectors(rows: DataFrame, k: int, every: int) -> DataFrame:
     order = Window.partitionBy("v").orderBy("id", "row")  # of a frequent vector, every task sends its k + 1 first rows alone
     first = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     members = first.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("members"))
-    asked = rows.filter(F.col("id") % every == 0).groupBy("v").agg(F.count("*").alias("asked"))
+    asked = asks(rows, every).groupBy("v").agg(F.count("*").alias("asked"))
     return members.join(asked, "v", "left").select("v", F.col("members")[0]["row"].alias("row"), "members", F.coalesce("asked", F.lit(0)).alias("asked"))
 
 
@@ -180,7 +187,7 @@ def search(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vect
 
 
 def top_k(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, parts: int = PARTS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by `every`."""
+    """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by `every` (of other than whole numbers: whose checksum is)."""
     rows, vectors, found = search(df, k, every, key, vector, scale, parts)
     # The rows of the best k + 1 vectors, a query's own among them, hold its k best rows.
     own = vectors.filter("asked > 0").select("row", F.col("row").alias("other"), inner_product(F.col("v"), F.col("v")).alias("score"))
@@ -191,7 +198,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vecto
     best = ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
     lists = best.groupBy("row").agg(F.collect_list(F.struct("score", "members")).alias("best"))  # k + 1 entries at most
     lists = cut(vectors.filter("asked > 0").select("row", "v", "asked").join(lists, "row").select("v", "best", "asked"))
-    asked = rows.filter(F.col("id") % every == 0)
+    asked = asks(rows, every)
     pairs = join_hot(asked, lists, ["v"], "asked").select("row", F.col("id").alias("query_id"), F.explode("best").alias("b"))
     pairs = pairs.select("row", "query_id", "b.score", F.explode("b.members").alias("m")).filter(F.col("m.row") != F.col("row"))
     order = Window.partitionBy("row").orderBy(F.desc("score"), "m.id", "m.row")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantrail.llm import bpe_trie, common, fingerprints, html_blocks, merkle_manifest, queries, suffix_array, whitening
+from quantrail.llm import bpe_trie, common, fingerprints, html_blocks, merkle_manifest, queries, suffix_array, topk, whitening
 
 
 def sha(s: str) -> str:
@@ -247,3 +247,15 @@ def test_words_remembered_by_bytes():
     for t in texts:
         [*small.packed([t])]
     assert len(small.known) * 180 < 150_000
+
+
+def test_search_by_text_keys(spark):
+    """Keys that are no numbers: every row may ask, ties go to the smaller key."""
+    rng = np.random.default_rng(2)
+    rows = [(f"k{i:02d}", rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(40)]
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), 3, every=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for k, v in rows:
+        all_ = sorted((-int(256 * 256 * np.dot(v, w)), j) for j, w in rows if j != k)
+        assert got[k] == [(j, -s) for s, j in all_[:3]]
