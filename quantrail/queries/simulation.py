@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as d
-from ..functions import numeric
+from ..functions import catalogue, numeric
 from ..functions.random import uniform, uniform_sql
 from ..operators import processes, runner, sampling, whatif
 from ..operators import statistics as st
@@ -381,3 +381,17 @@ def tornado_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tornado of every customer's credit line, where the line and its losses move together."""
     t = whatif.tornado_rows(_credit(spark, sf_dir), CREDIT, "gain", CREDIT_INPUTS, "c_custkey", groups=[["line", "loss"]])
     return t.select("c_custkey", "input", *[rounded(c, 4).alias(c) for c in ("low", "high")])
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size, p_retailprice AS price, p_retailprice + (p_size % 7 - 3) * 60 AS mode FROM part)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CASE WHEN mode < price * 0.9 OR mode > price * 1.1 THEN 'mode' ELSE '' END WHEN 1 THEN CASE WHEN p_size % 5 = 0 THEN 'stdDev' ELSE '' END
+  WHEN 2 THEN concat_ws(',', CASE WHEN p_size % 2 = 1 THEN 'n' END, CASE WHEN p_size > 40 THEN 'p' END) ELSE 'id' END AS wrong FROM p""")
+def specification_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's distribution, with the keys of all that is wrong with it."""
+    k, size, price = F.col("p_partkey") % 4, F.col("p_size"), F.col("p_retailprice")
+    family = F.when(k == 0, "triangular").when(k == 1, "normal").when(k == 2, "binomial").otherwise("other")
+    pairs = lambda **v: F.create_map(*[x for n, c in v.items() for x in (F.lit(n), c.cast("double"))])
+    values = F.when(k == 0, pairs(min=price * 0.9, mode=price + (size % 7 - 3) * 60, max=price * 1.1)).when(k == 1, pairs(mean=price, stdDev=size % 5)).otherwise(pairs(n=size / 2, p=size / 40))
+    found = table(spark, sf_dir, "part").select("p_partkey", catalogue.errors_column(family, values).alias("e"))
+    return found.select("p_partkey", F.array_join(F.transform("e", lambda x: x["key"]), ",").alias("wrong"))
