@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.random import uniform
 from ..sources.folders import cut
 from .joins import join_groups, join_hot
+from .ranking import percentiles
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
@@ -97,36 +98,57 @@ STATISTICS: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {
     "skewness": _skewness,
     "kurtosis": _kurtosis,
 }
+#: Those of them that are order statistics.
+SHARES = {"median": 0.5, "p5": 0.05, "p10": 0.1, "p90": 0.9, "p95": 0.95}
+
+
+def _whole(rows: DataFrame, value: str, statistic: str, by: list[str]) -> DataFrame:
+    """by, __whole: a statistic of STATISTICS over all rows of a group, by aggregates and selection."""
+    if statistic in SHARES:
+        return percentiles(rows, value, [SHARES[statistic]], by).select(*by, F.col("p")[0].alias("__whole"))
+    n, mean, sd = F.count(value).cast("double"), F.avg(value), F.stddev_samp(value)
+    skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(value))
+    heavy = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value) + 6))
+    of = {"mean": mean, "stdDev": F.coalesce(sd, F.lit(0.0)), "cv": F.when(mean != 0, F.coalesce(sd, F.lit(0.0)) / F.abs(mean)), "skewness": skew, "kurtosis": heavy}
+    return rows.groupBy(*by).agg(of[statistic].alias("__whole"))
 
 
 def little_bootstraps(df: DataFrame, value: str, key: str, statistic: str | Callable[[np.ndarray, np.ndarray], float], by: list[str] | None = None, replicates: int = 100, subsets: int = 10, power: float = 0.6, level: float = 0.95, seed: int = 1) -> DataFrame:
     """by, estimate, low, high: percentile intervals by the bag of little bootstraps (Kleiner et al., 2014).
 
     From each group's n rows, hashes of the key draw `subsets` disjoint samples of about n ** power rows each. Within one, a replicate is a
-    draw of n rows with replacement, held as how often each row was drawn; the ends of the subsets' intervals are averaged. So about subsets *
-    n ** power rows are shuffled, in place of replicates * n, and a worker holds n ** power of them. A group of few rows is one subset of all of them.
-    statistic: a name of STATISTICS, or a function of sorted values and counts. Rows without a value are left out; a null group is a group.
+    draw of n rows with replacement, held as how often each row was drawn. A sample tells how far replicates lie from its own statistic; these
+    distances are averaged and put around the statistic of all rows, for the samples' own ones are known no better than their few rows allow.
+    So about subsets * n ** power rows are shuffled, in place of replicates * n, and a worker holds n ** power of them. A group of few rows is one subset of all of them.
+    statistic: a name of STATISTICS, or a function of sorted values and counts, which Spark can't evaluate over all rows: it is averaged over disjoint
+    samples that hold every row between them, so these are shuffled once. Rows without a value are left out; a null group is a group.
     """
     by = by or []
     of = STATISTICS[statistic] if isinstance(statistic, str) else statistic
     rows = df.select(*by, F.col(value).cast("double").alias("__x"), uniform(seed, "little", F.col(key)).alias("__u")).filter("__x IS NOT NULL AND NOT isnan(__x)")
     sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("__n")))
     n = F.col("__n").cast("double")
-    share = F.greatest(F.pow(n, F.lit(power)), F.lit(50.0)) / n  # of a subset
+    samples = F.floor(n / F.greatest(F.pow(n, F.lit(power)), F.lit(50.0)))  # that hold all rows
     picked = join_hot(rows, sizes.withColumn("__rows", F.col("__n")), by, "__rows", nulls=True) if by else join_groups(rows, sizes, [])
-    picked = picked.withColumn("__s", F.when(share * subsets >= 1, 0).otherwise(F.floor(F.col("__u") / share)).cast("int")).filter(F.col("__s") < subsets)
+    picked = picked.withColumn("__s", F.when(samples <= subsets, 0).otherwise(F.floor(F.col("__u") * samples)).cast("int"))
+    if isinstance(statistic, str):
+        picked = picked.filter(F.col("__s") < subsets)
     tail = (1 - level) / 2
 
-    def interval_of(table: pa.Table) -> pa.Table:
+    def distances_of(table: pa.Table) -> pa.Table:
         x = np.sort(table.column("__x").to_numpy())
         size, subset = table.column("__n")[0].as_py(), table.column("__s")[0].as_py()
         rng = np.random.default_rng([seed, subset, size])
-        found = [of(x, rng.multinomial(size, np.full(len(x), 1 / len(x)))) for _ in range(replicates)]
+        own = of(x, np.ones(len(x), dtype=np.int64))
+        found = np.array([of(x, rng.multinomial(size, np.full(len(x), 1 / len(x)))) for _ in range(replicates)] if subset < subsets else []) - own
         low, high = np.nanpercentile(found, [100 * tail, 100 * (1 - tail)]) if np.isfinite(found).any() else (np.nan, np.nan)
         mean = float(np.nanmean(found)) if np.isfinite(found).any() else np.nan
         keys = [table.column(b)[:1] for b in by]
-        return pa.table([*keys, *[pa.array([v], from_pandas=True) for v in (mean, float(low), float(high))]], names=[*by, "estimate", "low", "high"])
-
-    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema], "estimate double, low double, high double"]) if by else "estimate double, low double, high double"
-    each = picked.select(*by, "__x", "__n", "__s").groupBy(*by, "__s").applyInArrow(interval_of, kinds)
-    return each.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("estimate", "low", "high")]).filter("estimate IS NOT NULL")
+        return pa.table([*keys, *[pa.array([float(v)], pa.float64(), from_pandas=True) for v in (own, mean, low, high)]], names=[*by, "__own", "estimate", "low", "high"])
+
+    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in (df.select(*by).schema if by else [])], "__own double, estimate double, low double, high double"])
+    each = picked.select(*by, "__x", "__n", "__s").groupBy(*by, "__s").applyInArrow(distances_of, kinds)
+    found = each.groupBy(*by).agg(F.avg("__own").alias("__whole"), *[F.avg(c).alias(c) for c in ("estimate", "low", "high")])
+    if isinstance(statistic, str):
+        found = join_groups(found.drop("__whole"), _whole(rows, "__x", statistic, by), by)
+    return found.select(*by, *[(F.col("__whole") + F.col(c)).alias(c) for c in ("estimate", "low", "high")]).filter("estimate IS NOT NULL")

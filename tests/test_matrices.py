@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantrail.operators import matrices, regression, resampling, subtotals
+from quantrail.queries import QUERIES
 
 ENTRY = "i long, j long, v double"
 
@@ -104,6 +105,24 @@ def test_little_bootstraps(spark):
     assert resampling.little_bootstraps(df.filter("g = 'gone'"), "x", "k", "mean").count() == 0
 
 
+def test_little_bootstraps_lie_around_the_statistic_of_all_rows(spark):
+    """Ten samples hold a few rows in a hundred; the interval is as wide as all rows allow, and must not lie where those few do."""
+    df = spark.range(200_000).selectExpr("id AS k", "id % 4 AS g", "pow(conv(substring(md5(string(id)), 1, 8), 16, 10) / 4294967296D, 3) AS x")
+    exact = {r.g: r for r in df.groupBy("g").agg(F.percentile("x", 0.5).alias("median"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stdDev"), F.percentile("x", 0.9).alias("p90"), F.skewness("x").alias("skewness")).collect()}
+    for name in ("median", "mean", "stdDev", "p90", "skewness"):
+        for r in resampling.little_bootstraps(df, "x", "k", name, ["g"]).collect():
+            assert r.low < exact[r.g][name] < r.high, (name, r)
+    own = resampling.little_bootstraps(df, "x", "k", lambda v, w: float(v @ w / w.sum()), ["g"]).collect()  # of all rows too
+    assert [r.low < exact[r.g]["mean"] < r.high for r in own] == [True] * 4
+
+
+def test_medians_of_types_of_few_events(spark, tmp_path):
+    """As in SQL: types of over a hundred events, the null one too."""
+    spark.range(650).selectExpr("id AS event_id", "CASE WHEN id >= 600 THEN 'rare' WHEN id % 2 = 0 THEN 'a' END AS event_type", "ln(id + 1D) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["median_by_little_bootstraps"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows} == {("a", True, True), (None, True, True)}
+
+
 def test_weighted_statistics_are_those_of_repeated_rows():
     rng = np.random.default_rng(1)
     x, w = np.sort(rng.normal(size=12)), rng.integers(0, 4, 12)
