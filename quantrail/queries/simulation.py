@@ -186,16 +186,28 @@ def model_launch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MODELS["launch"]().evaluate(given).select("p_partkey", rounded("npv", 3).alias("npv"), "success")
 
 
+#: Inputs of the loan that are spread by a fifth around their base values, by a hash of the customer.
+LOAN_SPREAD = {"investment": 500000.0, "debt_share": 0.6, "spread": 0.03, "growth": 0.03, "tax": 0.25, "equity_rate": 0.15}
+
+
+def _spread_sql(name: str) -> str:
+    return f"{LOAN_SPREAD[name]!r}::DOUBLE * (0.8::DOUBLE + 0.4::DOUBLE * {uniform_sql(12345, f'u_{name}', 'c_custkey')}) AS {name}"
+
+
 @query(f"""
-WITH c AS (SELECT c_custkey, 160000 + c_acctbal AS ebitda, 0.09 + c_nationkey / 1000.0::DOUBLE AS i FROM customer),
-l AS (SELECT *, 300000 * i / (1 - pow(1 + i, -5)) AS pay FROM c),
-y AS (SELECT *, t, ebitda * pow(1.03::DOUBLE, t - 1) AS e, i * (300000 * pow(1 + i, t - 1) - pay * (pow(1 + i, t - 1) - 1) / i) AS interest FROM l, range(1, 6) x(t)),
-f AS (SELECT c_custkey, t, e - 0.25 * greatest(0, e - 100000 - interest) - pay AS flow, e / pay AS cover FROM y)
-SELECT c_custkey, {r("-200000 + sum(flow / pow(1.15::DOUBLE, t))", 3)} AS npv, {r("min(cover)", 6)} AS least_cover FROM f GROUP BY c_custkey""")
+WITH c AS (SELECT c_custkey, 160000 + c_acctbal AS ebitda, 0.06 + c_nationkey / 1000.0::DOUBLE AS base, {", ".join(map(_spread_sql, LOAN_SPREAD))} FROM customer),
+i AS (SELECT *, base + spread AS i, investment * debt_share AS debt FROM c), l AS (SELECT *, debt * i / (1 - pow(1 + i, -5)) AS pay FROM i),
+y AS (SELECT *, t, ebitda * pow(1 + growth, t - 1) AS e, i * (debt * pow(1 + i, t - 1) - pay * (pow(1 + i, t - 1) - 1) / i) AS interest FROM l, range(1, 6) x(t)),
+f AS (SELECT *, e - tax * greatest(0, e - investment / 5 - interest) - pay AS flow, e / pay AS cover FROM y),
+g AS (SELECT c_custkey, sum(flow / pow(1 + equity_rate, t)) AS later, min(cover) AS least_cover, max(investment - debt) AS f0, {", ".join(f"max(flow) FILTER (t = {t}) AS f{t}" for t in range(1, 6))} FROM f GROUP BY c_custkey),
+n AS (SELECT *, list_reduce(list_resize([1.0::DOUBLE], 40, 0.0::DOUBLE), lambda x, _: x - (x * (f1 + x * (f2 + x * (f3 + x * (f4 + x * f5)))) - f0) / (f1 + x * (2 * f2 + x * (3 * f3 + x * (4 * f4 + x * 5 * f5))))) AS factor FROM g)
+SELECT c_custkey, {r("later - f0", 3)} AS npv, {r("1 / factor - 1", 6)} AS irr, {r("least_cover", 6)} AS least_cover FROM n""")
 def model_loan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A purchase for every customer, with earnings by balance and a rate by nation."""
-    given = table(spark, sf_dir, "customer").select("c_custkey", (160000 + F.col("c_acctbal")).alias("ebitda"), (0.06 + F.col("c_nationkey") / 1000).alias("base_rate"))
-    return MODELS["loan"]().evaluate(given).select("c_custkey", rounded("npv", 3).alias("npv"), rounded("least_cover").alias("least_cover"))
+    """A purchase for every customer, with earnings by balance, a rate by nation and all other inputs spread: value, internal rate and least cover."""
+    spread = [(base * (0.8 + 0.4 * uniform(12345, f"u_{n}", "c_custkey"))).alias(n) for n, base in LOAN_SPREAD.items()]
+    given = table(spark, sf_dir, "customer").select("c_custkey", (160000 + F.col("c_acctbal")).alias("ebitda"), (0.06 + F.col("c_nationkey") / 1000).alias("base_rate"), *spread)
+    done = MODELS["loan"]().evaluate(sampling.cut(given))  # hashes stand in many cells
+    return done.select("c_custkey", rounded("npv", 3).alias("npv"), rounded("irr").alias("irr"), rounded("least_cover").alias("least_cover"))
 
 
 #: Base values of the simulated models, each one row of a table's totals.
