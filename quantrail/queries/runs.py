@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as d
+from ..functions.random import uniform, uniform_sql
 from ..operators import runner, sampling
 from ..plans import report as reports
 from ..plans.models import Model
@@ -79,16 +80,23 @@ def black_box_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", rounded("value", 4).alias("value"), rounded("size").alias("size"), "failed")
 
 
-@query("""
-WITH n AS (SELECT count(*) AS n FROM events)
-SELECT name, s.s * 64 // n AS band, count(*) AS draws, sum(s.s) AS strata FROM n, (SELECT unnest(['a', 'b']) AS name), range((SELECT count(*) FROM events)) s(s) GROUP BY ALL""")
+def _place(name: str) -> str:
+    return f"row_number() OVER (ORDER BY {uniform_sql(12345, name + '#o', 'trial')}, trial) AS p{name}"
+
+
+def _stratified(name: str) -> str:
+    return r(f"((p{name} - 1 + {uniform_sql(12345, name + '#j', f'p{name}')}) / n)", 12)
+
+
+@query(f"""
+WITH t AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS trial, count(*) OVER () AS n FROM events), p AS (SELECT *, {_place("a")}, {_place("b")} FROM t)
+SELECT event_id, {_stratified("a")} AS a, {_stratified("b")} AS b FROM p""")
 def uniforms_lhs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latin hypercube draws for every event: each of as many strata as there are events has one, so every band has its share."""
-    events = table(spark, sf_dir, "events")
+    """Latin hypercube draws for every event, in the order of two hashes: each of as many strata as there are events has one."""
+    events = sampling.numbered(table(spark, sf_dir, "events").select("event_id"), "event_id")
     n = events.count()
-    drawn = sampling.with_strata(sampling.numbered(events.select("event_id"), "event_id"), "trial", n, ["a", "b"])
-    long = drawn.select(F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.floor(F.col(m) * n).alias("s")) for m in "ab"])).alias("x")).select("x.*")
-    return long.groupBy("name", F.expr(f"s * 64 div {n}").alias("band")).agg(F.count("*").alias("draws"), F.sum("s").alias("strata"))
+    drawn = sampling.uniforms(spark, n, ["a", "b"], method="lhs", mixed={m: uniform(12345, f"{m}#o", "trial") for m in "ab"})
+    return events.join(drawn, "trial").select("event_id", rounded("a", 12).alias("a"), rounded("b", 12).alias("b"))
 
 
 @query(f"""

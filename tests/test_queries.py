@@ -78,3 +78,13 @@ def test_series_of_every_order(spark, duck, sf_dir):
     rows = QUERIES["moving_average"](spark, sf_dir).collect()
     assert late > 0 and max(r.t for r in rows) > 72
     assert sum(r.y for r in rows) == pytest.approx(total / 1e6, rel=1e-6)
+
+
+def test_draws_and_rates_of_every_row(spark, duck, sf_dir):
+    """A draw for each event, one in each stratum; the loan's internal rate, over inputs that all differ."""
+    rows = QUERIES["uniforms_lhs"](spark, sf_dir).collect()
+    n = duck.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert len({r.event_id for r in rows}) == len(rows) == n
+    assert all(sorted(int(r[c] * n) for r in rows) == list(range(n)) for c in "ab")
+    loans = QUERIES["model_loan"](spark, sf_dir).collect()
+    assert all(r.irr is not None and (r.irr > 0.15) == (r.npv > 0) for r in loans if abs(r.irr - 0.15) > 0.031) and len({r.irr for r in loans}) > len(loans) * 0.9
