@@ -35,6 +35,21 @@ def test_products_of_odd_entries(spark):
     assert matrices.multiply(a, b.filter("false")).count() == 0
 
 
+def test_products_of_scattered_entries_stay_small(spark, monkeypatch):
+    """A worker is never given more cells than it may hold: entries one to a block, slices of several rows, wide blocks."""
+    monkeypatch.setattr(matrices, "HELD", 2000)
+    monkeypatch.setattr(matrices, "COLUMNS", 50)
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(-3, 4, s) * (rng.random(s) < 0.05) for s in ((700, 400), (400, 130)))
+    df = matrices.multiply(spark.createDataFrame(entries(a), ENTRY), spark.createDataFrame(entries(b), ENTRY))
+    made = np.zeros((700, 130))
+    for r in df.collect():
+        made[r.i, r.j] += r.v
+    assert (made == a @ b).all()
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "binary" not in tree and "collect_list" not in tree  # no filled block is a row
+
+
 def test_qr_fits(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(1e6, 1, (500, 3))  # far from zero: the normal equations are hopeless
