@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,82 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     return dealt.join(F.broadcast(before), "__part").withColumn("i", F.col("__row") - F.col("__first") + F.col("__before")).drop("__part", "__row", "__first", "__before")
 
 
+#: Draws that a worker sorts at a time.
+PACK = 2**20
+#: Rows of a stretch: 2 ** STRETCH.
+STRETCH = 16
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Draws (replicate, i) as rows (stretch, side 1, replicate, null, gaps): the sorted places of a replicate's draws in a stretch as differences, in one byte each or two."""
+
+    def rows_of(replicate: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        keys = np.sort(replicate.astype(np.int64) << 40 | i)
+        group, place = keys >> STRETCH, keys & (2**STRETCH - 1)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        gaps = np.diff(place, prepend=0)
+        gaps[first] = place[first]
+        ends = [*first[1:].tolist(), len(keys)]
+        wide = np.maximum.reduceat(gaps, first) > 255
+        small, large = gaps.astype(np.uint8), gaps.astype(np.uint16)
+        drawn = [(b"2" + large[k:e].tobytes()) if w else (b"1" + small[k:e].tobytes()) for k, e, w in zip(first.tolist(), ends, wide.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(group[first] & (2 ** (40 - STRETCH) - 1)), pa.array(np.ones(len(first), np.int32)), pa.array(group[first] >> (40 - STRETCH)), pa.array(drawn, pa.binary())], ["stretch", "side", "at", "drawn"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= PACK:
+            yield rows_of(*map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield rows_of(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (replicate, x) of each stretch's values and the draws that follow them."""
+    at, met, x = None, [], None
+    made, size = [], 0
+    for batch in batches:
+        stretch, side = (batch.column(c).to_numpy() for c in ("stretch", "side"))
+        changes = np.flatnonzero((stretch[1:] != stretch[:-1]) | (side[1:] != side[:-1])) + 1
+        for low, high in pairwise([0, *changes.tolist(), batch.num_rows]):
+            if low == high:
+                continue
+            if stretch[low] != at:
+                at, met, x = stretch[low], [], None
+            if side[low] == 0:
+                met.append(batch.column("x").slice(low, high - low))
+                continue
+            if x is None:
+                x = pa.concat_arrays(met)
+            for replicate, gaps in zip(batch.column("at").slice(low, high - low).to_pylist(), batch.column("drawn").slice(low, high - low), strict=True):
+                gaps = gaps.as_buffer()
+                places = np.cumsum(np.frombuffer(gaps, np.uint8 if gaps[0:1].to_pybytes() == b"1" else np.uint16, offset=1), dtype=np.int64)
+                made.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(places), replicate, np.int32)), x.take(pa.array(places))], ["replicate", "x"]))
+                size += len(places)
+                if size >= 2**STRETCH:
+                    yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+                    made, size = [], 0
+    yield from made
+
+
 def bootstrap(df: DataFrame, value: str, key: str, statistic: Column, replicates: int = 200, seed: int = 1) -> DataFrame:
     """replicate, estimate: resamples of the full size with replacement. statistic aggregates the column x.
 
-    Rows are numbered by ranges of the key, so no task holds the table; replicates times its rows are shuffled, which
-    poisson_weights needs not.
+    Rows are numbered by ranges of the key, so no task holds the table. Draws are sorted where they are made, a bounded number at a time, and
+    go to the stretches of rows that they hit as differences of places: about a byte for each of replicates times the rows, where
+    poisson_weights shuffles none. Drawn values are aggregated where their stretch is.
     """
     rows = numbered(df.select(F.col(value).alias("x"), F.col(key).alias("k")).filter("x IS NOT NULL"), "k")
     n = rows.count()
     spark = df.sparkSession
     draws = spark.range(replicates * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), F.floor(uniform(seed, "boot", "id") * n).cast("long").alias("i"))
-    return draws.join(rows, "i").groupBy("replicate").agg(statistic.alias("estimate"))
+    kind = rows.schema["x"].dataType.simpleString()
+    packed = draws.mapInArrow(_packed, "stretch long, side int, at long, drawn binary").withColumn("x", F.lit(None).cast(kind))
+    values = rows.select(F.shiftright("i", STRETCH).alias("stretch"), F.lit(0).alias("side"), F.col("i").alias("at"), F.lit(None).cast("binary").alias("drawn"), "x")
+    dealt = values.union(packed).repartition("stretch").sortWithinPartitions("stretch", "side", "at")
+    return dealt.mapInArrow(_drawn, f"replicate int, x {kind}").groupBy("replicate").agg(statistic.alias("estimate"))
 
 
 def poisson_weights(df: DataFrame, key: str, replicates: int, seed: int = 1) -> DataFrame:

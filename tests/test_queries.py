@@ -72,6 +72,17 @@ def test_bootstrap_numbers_ranges_of_rows(spark):
     assert got == pytest.approx(resampled([r.v for r in rows], 3))
 
 
+def test_bootstrap_over_stretches(spark, monkeypatch):
+    """Places in several stretches, near and far apart; draws are not shuffled one by one."""
+    df = spark.range(70_000).selectExpr("id AS k", "cos(id) AS v")
+    out = resampling.bootstrap(df, "v", "k", F.avg("x"), 4)
+    want = resampled([r.v for r in df.orderBy("k").collect()], 4)
+    assert {r.replicate: r.estimate for r in out.collect()} == pytest.approx(want)
+    monkeypatch.setattr(resampling, "PACK", 100)
+    assert {r.replicate: r.estimate for r in resampling.bootstrap(df, "v", "k", F.avg("x"), 4).collect()} == pytest.approx(want)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+
+
 def test_series_of_every_order(spark, duck, sf_dir):
     """Months after 2000 are in the series, and their totals are those of the table."""
     total, late = duck.execute("SELECT sum(o_totalprice), count(*) FILTER (o_orderdate >= '2001-01-01') FROM orders").fetchone()
