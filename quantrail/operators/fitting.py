@@ -24,7 +24,7 @@ from ..functions.numeric import NumericFamily
 from ..functions.special import chi_square_pq, digamma, lgamma, log_choose, normal_cdf, trigamma
 from ..sources.folders import cut
 from .joins import join_groups
-from .ranking import _passed, cumulative
+from .ranking import passed, cumulative
 
 Any = Family | NumericFamily
 #: Families for whole numbers from 0 on; the others are continuous.
@@ -490,7 +490,7 @@ def _united_values(counts: DataFrame, n: int, family: Any) -> tuple[int, float]:
         ends[-1], upto[-1] = most, 1.0
     expected = [n * (b - a) for a, b in zip([0.0, *upto], upto, strict=False)]
     rows = spark.createDataFrame([([float(e) for e in ends],)], "__ends array<double>")
-    placed = join_groups(counts, rows, []).groupBy(F.least(_passed(F.col("__ends"), F.col("x"), len(ends), False), F.lit(len(ends) - 1)).alias("bin")).agg(F.sum("c").alias("c"))
+    placed = join_groups(counts, rows, []).groupBy(F.least(passed(F.col("__ends"), F.col("x"), len(ends), False), F.lit(len(ends) - 1)).alias("bin")).agg(F.sum("c").alias("c"))
     observed = {r.bin: r.c for r in placed.collect()}  # a row for each bin
     return len(ends), sum((observed.get(i, 0) - e) ** 2 / e for i, e in enumerate(expected))
 

@@ -27,7 +27,7 @@ def cumulative(df: DataFrame, value: str, by: list[str] | None = None, parts: in
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("count"))
     bounds = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 20 * parts).alias("__b"))
     placed = join_groups(counts, bounds, by)
-    placed = placed.withColumn("__bucket", F.size(F.filter("__b", lambda b: b < F.col(value)))).drop("__b")
+    placed = placed.withColumn("__bucket", passed(F.col("__b"), F.col(value), parts - 1, False)).drop("__b")
     sums = placed.groupBy(*by, "__bucket").agg(F.sum("count").alias("__n"))
     group = Window.partitionBy(*by)  # at most `parts` rows of a group
     earlier = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,7 +41,7 @@ def cumulative(df: DataFrame, value: str, by: list[str] | None = None, parts: in
 ACCURACY = 2000
 
 
-def _passed(bounds: Column, x: Column, n: int, equal: bool) -> Column:
+def passed(bounds: Column, x: Column, n: int, equal: bool) -> Column:
     """How many of n rising bounds x has passed: those below it, and those equal to it if they count. By halving."""
     steps = [2**k for k in range(max(n, 1).bit_length() - 1, -1, -1)]
 
@@ -68,7 +68,7 @@ def selected(df: DataFrame, value: str, shares: list[float], ranks: Callable[[Co
     sides = [F.when(every, F.array_repeat(F.lit(end), m)).otherwise(F.slice("__q", 1 + i * m, m)).alias(c) for i, (c, end) in enumerate((("__lo", float("-inf")), ("__hi", float("inf"))))]
     state = cut(found.select(*by, F.col("__n").alias("__rows"), *sides))
     joined = join_hot(rows, state, by, "__rows", nulls=True) if by else join_groups(rows, state.drop("__rows"), [])
-    joined = joined.withColumns({"__in": _passed(F.col("__lo"), F.col("__x"), m, True), "__out": _passed(F.col("__hi"), F.col("__x"), m, False)})
+    joined = joined.withColumns({"__in": passed(F.col("__lo"), F.col("__x"), m, True), "__out": passed(F.col("__hi"), F.col("__x"), m, False)})
     stretch = (F.col("__in") + F.col("__out")).alias("__s")  # rises with the value; within a bracket more have been entered than left
     counted = cut(joined.groupBy(*by, stretch, F.when(F.col("__in") > F.col("__out"), F.col("__x")).alias("__x")).agg(F.count("*").alias("__c")))
     group = Window.partitionBy(*by)  # at most 2 * m + 1 rows of a group

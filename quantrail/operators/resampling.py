@@ -107,7 +107,8 @@ def bootstrap(df: DataFrame, value: str, key: str, statistic: Column, replicates
 def poisson_weights(df: DataFrame, key: str, replicates: int, seed: int = 1) -> DataFrame:
     """df with replicate and weight, a Poisson(1) count from a hash: the bootstrap of large tables, summed before any shuffle."""
     out = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = uniform(seed, F.concat(F.lit("pois"), F.col("replicate").cast("string")), F.col(key))
+    hashed = uniform(seed, F.concat(F.lit("pois"), F.col("replicate").cast("string")), F.col(key))
+    out, u = out.withColumn("__u", F.explode(F.array(hashed))), F.col("__u")  # else the weight's every step and the filter make the hash again
     share, total, steps = 0.36787944117144233, 0.0, []
     while share > 1e-17:  # u has 52 bits: no draw lies beyond
         total += share
@@ -116,7 +117,7 @@ def poisson_weights(df: DataFrame, key: str, replicates: int, seed: int = 1) ->
     weight = F.lit(len(steps))
     for k in range(len(steps) - 1, -1, -1):
         weight = F.when(u <= steps[k], k).otherwise(weight)
-    return out.withColumn("weight", weight).filter("weight > 0")
+    return out.filter(u > steps[0]).withColumn("weight", weight).drop("__u")
 
 
 def interval(replicates: DataFrame, level: float = 0.95) -> DataFrame:

@@ -18,7 +18,7 @@ from ..functions.distributions import CENTRE, SHOULDER, TAIL, normal
 from ..functions.random import uniform
 from ..plans.models import Model
 from ..sources.folders import cut
-from .ranking import places
+from .ranking import passed, places
 
 
 def uniforms(spark: SparkSession, trials: int, names: list[str], seed: int = 12345, method: str = "mc", mixed: dict[str, Column] | None = None, between: tuple[int, int] | None = None) -> DataFrame:
@@ -188,7 +188,7 @@ def rank_correlate(df: DataFrame, names: list[str], target: np.ndarray, trials:
     values = long(df, [F.col(n).cast("double") for n in names])
     shares = [j / blocks for j in range(1, blocks)]
     bounds = df.agg(*[F.percentile_approx(n, F.array(*map(F.lit, shares)), 20 * blocks) for n in names]).first() if shares else [[]] * k
-    bucket = F.coalesce(*[F.when(F.col("i") == i, F.size(F.filter(F.array(*map(F.lit, b)), lambda x: x < F.col("__v")))) for i, b in enumerate(bounds)]) if shares else F.lit(0)
+    bucket = F.coalesce(*[F.when(F.col("i") == i, passed(F.array(*map(F.lit, b)), F.col("__v"), len(b), False)) for i, b in enumerate(bounds)]) if shares else F.lit(0)
     sorted_ = places(values, F.col("v"), bucket, ["i"], "trial").withColumnRenamed("trial", "from")
     sorted_ = sorted_.join(values.withColumnRenamed("trial", "from"), ["i", "from"])
     new = to.join(sorted_.select("i", "place", "v"), ["i", "place"]).groupBy("trial").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])

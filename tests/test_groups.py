@@ -120,3 +120,14 @@ def test_short_orders_stay_in_sheet_ranges(spark, sf_dir):
     assert got.count() == lines.count()
     one = got.join(lines.filter("count = 1"), "l_orderkey")
     assert one.count() > 0 and one.filter("variance IS NOT NULL OR second IS NOT NULL OR median IS NULL").count() == 0
+
+
+def test_ranges_are_found_by_halving_and_draws_hashed_once(spark):
+    """Work for each row doesn't grow with the number of ranges, nor with the steps of a weight."""
+    from quantrail.operators import ranking, resampling
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 7 > 0 THEN cos(id) END AS x")
+    counts = ranking.cumulative(rows, "x")
+    assert "filter(__b" not in plan(counts) and counts.agg({"upto": "max"}).first()[0] == rows.filter("x IS NOT NULL").count()
+    assert plan(resampling.poisson_weights(rows, "id", 3)).count("md5(") == 1
