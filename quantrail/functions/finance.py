@@ -8,8 +8,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Number = Column | float | int
 
@@ -89,19 +92,29 @@ def ppmt(rate: Number, period: Number, n: Number, present: Number, future: Numbe
 
 
 def rate(n: Number, payment: Number, present: Number, future: Number = 0, due: Number = 0, guess: float = 0.1, steps: int = 60) -> Column:
-    """The rate of an annuity, by secant steps; NULL where they don't settle."""
-    n, payment, present, future, due = map(_c, (n, payment, present, future, due))
-    value = lambda r: fv(r, n, payment, present, due) - future
-    start = F.struct(F.lit(guess * 0.9 + 1e-6).alias("a"), F.lit(guess).alias("b"), F.lit(1.0).alias("d"))
+    """The rate of an annuity, by secant steps, those of many rows at a time; NULL where they don't settle."""
 
-    def step(s: Column, _: Column) -> Column:
-        fa, fb = value(s["a"]), value(s["b"])
-        move = F.coalesce(F.try_divide(fb * (s["b"] - s["a"]), fb - fa), F.lit(0.0))
-        return F.struct(s["b"].alias("a"), F.greatest(s["b"] - move, (s["b"] - 1) / 2).alias("b"), F.abs(move).alias("d"))
+    def found(*args: pa.Array) -> pa.Array:
+        n, payment, present, future, due = (np.array(x.to_numpy(zero_copy_only=False), dtype=float) for x in args)
 
-    found = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, step)
-    scale = F.abs(present) + F.abs(future) + F.abs(payment * n)
-    return F.when((found["d"] < 1e-9) & (F.abs(value(found["b"])) <= 1e-6 * scale), found["b"])
+        def value(r: np.ndarray) -> np.ndarray:
+            grown = np.power(1 + r, n)
+            return -(present * grown + payment * np.where(r == 0, n, (grown - 1) / r * (1 + r * due))) - future
+
+        with np.errstate(all="ignore"):
+            a, b = np.full(len(n), guess * 0.9 + 1e-6), np.full(len(n), guess)
+            fa, fb, move = value(a), value(b), np.ones(len(n))
+            for _ in range(steps):
+                move = np.where(fb == fa, 0.0, fb * (b - a) / (fb - fa))
+                a, fa, b = b, fb, np.maximum(b - move, (b - 1) / 2)
+                fb = value(b)
+                if not (np.abs(move) > 0).any():  # all stay where they are
+                    break
+            scale = np.abs(present) + np.abs(future) + np.abs(payment * n)
+            settled = (np.abs(move) < 1e-9) & (np.abs(fb) <= 1e-6 * scale)
+        return pa.array(b, pa.float64(), mask=~settled)
+
+    return F.arrow_udf(found, T.DoubleType())(*[_c(x).cast("double") for x in (n, payment, present, future, due)])
 
 
 def cumulative_interest(rate_: Number, n: int, present: Number, first: int, last: int, due: int = 0) -> Column:
@@ -168,11 +181,57 @@ def _roots(value: Callable[[Column], Column]) -> Column:
     return F.transform(held, root)
 
 
-def all_irrs(cf: Column) -> Column:
-    """Every internal rate from -0.99 to 10, rising; none without a change of sign."""
+def _irrs(cf: Column) -> Column:
+    """all_irrs as an expression, for the few rows of a branch."""
     return F.when(_has_both_signs(cf), _roots(lambda r: npv(r, cf))).otherwise(F.array().cast("array<double>"))
 
 
+#: The grid of _roots, and numbers that a worker holds at a time.
+GRID, HELD = np.concatenate([np.arange(3980) * 0.0005 - 0.99, 1 + np.arange(1801) * 0.005]), 2**20
+
+
+def _roots_of(flows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and rate of every internal rate of rows of equally many flows, as _roots finds them."""
+
+    def value(at: np.ndarray, r: np.ndarray) -> np.ndarray:
+        out = np.zeros(1)
+        for v in at.T[::-1]:
+            out = out / (1 + r) + (v[:, None] if r is GRID else v)
+        return out
+
+    f = value(flows, GRID)
+    sign = np.sign(f)
+    held = (f[:, :-1] == 0) | (sign[:, :-1] * sign[:, 1:] < 0)
+    held[:, -1] |= f[:, -1] == 0
+    row, k = np.nonzero(held)
+    low, high, mine, side = GRID[k], GRID[k + 1], flows[row], sign[row, k]
+    for _ in range(50):
+        mid = (low + high) / 2
+        below = np.sign(value(mine, mid)) == side
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return row, np.where(side == 0, GRID[k], (low + high) / 2)
+
+
+def all_irrs(cf: Column) -> Column:
+    """Every internal rate from -0.99 to 10, rising; none without a change of sign. Many rows are looked at together."""
+
+    def found(cells: pa.Array) -> pa.Array:
+        out: list[list[float]] = [[] for _ in range(len(cells))]
+        rows = cells.to_pylist()
+        known = [i for i, x in enumerate(rows) if x and None not in x and min(x) < 0 < max(x)]
+        for size in {len(rows[i]) for i in known}:
+            same = [i for i in known if len(rows[i]) == size]
+            for k in range(0, len(same), HELD // len(GRID)):
+                part = same[k : k + HELD // len(GRID)]
+                with np.errstate(all="ignore"):
+                    at, rates = _roots_of(np.array([rows[i] for i in part], dtype=float))
+                for i, r in zip(at.tolist(), rates.tolist(), strict=True):
+                    out[part[i]].append(r)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return F.arrow_udf(found, T.ArrayType(T.DoubleType()))(cf.cast("array<double>"))
+
+
 def _nearest(roots: Column, guess: float) -> Column:
     return F.array_min(F.transform(roots, lambda r: F.struct(F.abs(r - guess).alias("d"), r.alias("r"))))["r"]
 
@@ -194,7 +253,7 @@ def irr(cf: Column, guess: float = 0.1, steps: int = 60) -> Column:
     found = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, step)
     scale = F.array_max(F.transform(cf, F.abs))
     settled = (found["d"] < 1e-9) & ~F.isnan(found["r"]) & (F.abs(npv(found["r"], cf)) <= scale * 1e-6)
-    return F.when(_has_both_signs(cf), F.when(settled, found["r"]).otherwise(_nearest(all_irrs(cf), guess)))
+    return F.when(_has_both_signs(cf), F.when(settled, found["r"]).otherwise(_nearest(_irrs(cf), guess)))
 
 
 def mirr(cf: Column, finance: Number, reinvest: Number) -> Column:

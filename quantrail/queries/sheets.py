@@ -59,5 +59,6 @@ SELECT c_custkey, {r('-owed * 0.01', 4)} AS interest, {r('-(level - owed * 0.01)
 def sheet_annuities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sixth of 24 payments, and the rate found again from the payment."""
     p = F.abs("c_acctbal") + 100
-    out = table(spark, sf_dir, "customer").select("c_custkey", fin.ipmt(0.01, 6, 24, p).alias("interest"), fin.ppmt(0.01, 6, 24, p).alias("principal"), fin.rate(24, fin.pmt(0.01, 24, p), p).alias("rate"), fin.duration(0.01, p, 2 * p).alias("doubling"))
+    rows = table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism)  # little data, much arithmetic
+    out = rows.select("c_custkey", fin.ipmt(0.01, 6, 24, p).alias("interest"), fin.ppmt(0.01, 6, 24, p).alias("principal"), fin.rate(24, fin.pmt(0.01, 24, p), p).alias("rate"), fin.duration(0.01, p, 2 * p).alias("doubling"))
     return round_all(out, 4)
