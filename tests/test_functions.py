@@ -101,3 +101,14 @@ def test_assumptions_in_cells(spark):
     rows = [("p", "s", 1, 1, "RISK.NORMAL(10, 2)"), ("p", "s", 2, 1, "RISK.NORMAL(10)"), ("p", "s", 3, 1, "1+RISK.NORMAL(10,2)"), ("p", "s", 4, 1, None)]
     got = workbooks.assumptions_of(spark.createDataFrame(rows, "path string, sheet string, row int, col int, formula string")).collect()
     assert [(r.row, r.family, r.parameters) for r in got] == [(1, "NORMAL", [10.0, 2.0])]
+
+
+def test_rates_of_many_rows_together(spark):
+    """Flows of several lengths, nulls and no change of sign; annuities that have a rate and one that has none. By Arrow batches, not by an interpreted grid for each row."""
+    rows = [([-100.0, 230.0, -132.0],), ([-100.0, 110.0],), ([-100.0, None, 200.0],), (None,), ([1.0, 2.0],), ([],), ([-100.0, 0.0, 121.0],)]
+    df = spark.createDataFrame(rows, "cf array<double>").coalesce(1).select(finance.all_irrs(F.col("cf")).alias("r"))
+    got = [r.r for r in df.collect()]
+    assert [[round(x, 9) for x in r] for r in got] == [[0.1, 0.2], [0.1], [], [], [], [], [0.1]]
+    rates = spark.createDataFrame([(0.01, 24.0), (0.05, 12.0), (None, 5.0)], "r double, n double").select(finance.rate(F.col("n"), finance.pmt(F.col("r"), F.col("n"), 100.0), 100.0).alias("r"))
+    assert [r.r if r.r is None else round(r.r, 9) for r in rates.collect()] == [0.01, 0.05, None]
+    assert all("ArrowEvalPython" in x._jdf.queryExecution().executedPlan().toString() for x in (df, rates))
