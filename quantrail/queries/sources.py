@@ -75,12 +75,12 @@ def workbook_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written by the format xlsx, a sheet for each priority, with dates and a formula that its column shares, and read again sheet by sheet."""
     xlsx.register(spark)
     path = f"{own_folder(spark)}/books-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "orders").withColumn("book", F.floor(F.col("o_orderkey") / BOOK_ORDERS))
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("book", "o_orderpriority").orderBy("o_orderkey")))  # BOOK_ORDERS at most
+    rows = table(spark, sf_dir, "orders").withColumn("path", F.concat(F.lit("book-"), F.floor(F.col("o_orderkey") / BOOK_ORDERS).cast("string"))).withColumnRenamed("o_orderpriority", "sheet")
+    rows = rows.repartition("path").withColumn("row", F.row_number().over(Window.partitionBy("path", "sheet").orderBy("o_orderkey")))  # BOOK_ORDERS at most
     cell = lambda col, **v: F.struct(F.lit(col).alias("col"), *[v.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("number", "double"), ("text", "string"), ("truth", "boolean"), ("error", "string"), ("formula", "string"), ("date", "timestamp_ntz"))])
     each = F.array(cell(1, number=F.col("o_orderkey")), cell(2, number=F.col("o_totalprice")), cell(3, date=F.col("o_orderdate")), cell(4, formula=F.concat(F.lit("B"), F.col("row"), F.lit("*0.1+D$1"))))
-    cells = rows.select(F.concat(F.lit("book-"), F.col("book").cast("string")).alias("path"), F.col("o_orderpriority").alias("sheet"), "row", F.explode(each).alias("c")).select("path", "sheet", "row", "c.*")
-    cells.repartition("path").sortWithinPartitions("path", "sheet", "row", "col").write.format("xlsx").mode("append").save(path)
+    cells = rows.sortWithinPartitions("path", "sheet", "row").select("path", "sheet", "row", F.explode(each).alias("c")).select("path", "sheet", "row", "c.*")
+    cells.write.format("xlsx").mode("append").save(path)
     read = spark.read.format("xlsx").load(path)
     at = lambda col, name: F.max(F.when(F.col("col") == col, F.col(name)))
     return read.groupBy("path", "sheet", "row").agg(at(1, "number").cast("long").alias("o_orderkey"), at(2, "number").alias("price"), at(3, "date").alias("date"), at(4, "formula").alias("formula")).drop("path")

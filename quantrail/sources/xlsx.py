@@ -1,11 +1,12 @@
-"""The format "xlsx" of spark.read and df.write: a partition for each sheet of each file, and a file for each path of cell rows.
+"""The format "xlsx" of spark.read and df.write: partitions of a sheet or of many small ones, and a file for each path of cell rows.
 
     register(spark)
     spark.read.format("xlsx").load(folder)
     cells.repartition("path").sortWithinPartitions("path", "sheet", "row", "col").write.format("xlsx").mode("append").save(folder)
 
 Files are found through pyarrow's file systems, so a path may be local or a URI that these know. A sheet's shared formulas are written out,
-date serials become moments, and a hidden sheet is marked. A writing task holds one file; it is put in place under its own name when the job commits.
+date serials become moments, and a hidden sheet is marked. Cells pass to and from the workers in Arrow batches. A writing task holds one file; it is put in
+place under its own name when the job commits.
 """
 
 from __future__ import annotations
@@ -16,14 +17,22 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .workbooks import names_of, sheet_cells, sheets_of, workbook
+from .workbooks import book_of, names_of, sheet_cells, sheets_of, workbook
 
 SCHEMA = "path string, sheet string, hidden boolean, row int, col int, number double, text string, truth boolean, error string, formula string, date timestamp_ntz"
+TYPES = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64(), "timestamp_ntz": pa.timestamp("us")}
+ARROW = pa.schema([(c.split()[0], TYPES[c.split()[1]]) for c in SCHEMA.split(", ")])
+#: Small sheets are read together up to so many bytes of their files, or this part of all bytes if that is less.
+MOST, LEAST = 4_000_000, 64
+#: Cells of a batch; the format bounds a cell's text to 32,767 characters.
+BATCH = 2000
 WRITTEN = {"path", "sheet", "row", "col", "number", "text", "truth", "error", "formula", "date"}
 
 
@@ -31,40 +40,86 @@ def _system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
-def _files(path: str) -> list[str]:
+def _files(path: str) -> list[tuple[str, int]]:
+    """Path and bytes of each file."""
     system, at = _system(path)
     info = system.get_file_info(at)
-    if info.type == fs.FileType.File:
-        return [at]
-    return sorted(f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.path.lower().endswith(".xlsx"))
+    found = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.path.lower().endswith(".xlsx")]
+    return sorted((f.path, f.size or 0) for f in found)
 
 
 @dataclass
-class Sheet(InputPartition):
-    file: str
-    name: str
-    part: str
-    hidden: bool
+class Sheets(InputPartition):
+    """Files to read, each with its sheets (name, part of the file, hidden), or None for all of them."""
+
+    files: list[tuple[str, list[tuple[str, str, bool]] | None]]
 
 
 class Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def partitions(self) -> list[Sheet]:
-        """Lists the sheets: of each file only its table of contents is read."""
+    def partitions(self) -> list[Sheets]:
+        """Lists the files. Small ones are read whole, many in a partition; only of a file over the share of a partition is the table of contents read here, to part its sheets."""
         system, _ = _system(self.path)
-        out = []
-        for file in _files(self.path):
-            with system.open_input_file(file) as f, zipfile.ZipFile(f) as z:
-                out += [Sheet(file, *s) for s in sheets_of(z)]
-        return out
-
-    def read(self, partition: Sheet) -> Iterator[tuple]:
+        files = _files(self.path)
+        share = min(MOST, sum(size for _, size in files) / LEAST)
+        out: list[Sheets] = []
+        together: list[tuple[str, None]] = []
+        held = 0
+        for file, size in files:
+            if size > share:
+                with system.open_input_file(file) as f, zipfile.ZipFile(f) as z:
+                    out += [Sheets([(file, part)]) for part in _parted([(s, z.getinfo(s[1]).compress_size) for s in sheets_of(z)], share)]
+                continue
+            if together and held + size > share:
+                out.append(Sheets(together))
+                together, held = [], 0
+            together.append((file, None))
+            held += size
+        return [*out, Sheets(together)] if together else out
+
+    def read(self, partition: Sheets) -> Iterator[pa.RecordBatch]:
         system, _ = _system(self.path)
-        with system.open_input_file(partition.file) as f, zipfile.ZipFile(f) as z:
-            for cell in sheet_cells(z, partition.part):
-                yield (partition.file, partition.name, partition.hidden, *cell)
+        rows: list[tuple] = []
+        for file, sheets in partition.files:
+            with system.open_input_file(file) as f, zipfile.ZipFile(f) as z:
+                book = book_of(z)
+                for name, part, hidden in sheets_of(z) if sheets is None else sheets:
+                    for cell in sheet_cells(z, part, book):
+                        rows.append((file, name, hidden, *cell))
+                        if len(rows) == BATCH:
+                            yield _batch(rows)
+                            rows = []
+        if rows:
+            yield _batch(rows)
+
+
+def _parted(sheets: list[tuple[tuple[str, str, bool], int]], share: float) -> Iterator[list[tuple[str, str, bool]]]:
+    """Neighbouring sheets together, up to the share in bytes; a larger one alone."""
+    held, size = [], 0
+    for sheet, n in sheets:
+        if held and size + n > share:
+            yield held
+            held, size = [], 0
+        held.append(sheet)
+        size += n
+    if held:
+        yield held
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
+def _values(b: pa.RecordBatch) -> list:
+    """What each cell holds: its date, or else its number, text, truth or error."""
+    out = np.full(b.num_rows, None, dtype=object)
+    for name in ("error", "truth", "text", "number", "date"):
+        column = b.column(name)
+        if column.null_count < len(column):
+            out[column.is_valid().to_numpy(zero_copy_only=False)] = column.drop_null().to_numpy(zero_copy_only=False).astype(object)
+    return out.tolist()
 
 
 @dataclass
@@ -72,11 +127,11 @@ class Done(WriterCommitMessage):
     moves: list[tuple[str, str]]
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
 
-    def write(self, rows: Iterator[Row]) -> Done:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Done:
         """Files are written aside; rows of a path come together."""
         system, at = _system(self.path)
         system.create_dir(at, recursive=True)
@@ -90,13 +145,14 @@ class Writer(DataSourceWriter):
             moves.append((aside, f"{at}/{name.rsplit('/', 1)[-1].removesuffix('.xlsx')}.xlsx"))
 
         before = None
-        for r in rows:
-            if before is not None and r.path != before:
-                put(before)
-                sheets = {}
-            before = r.path
-            known = [v for v in (r.date, r.number, r.text, r.truth, r.error) if v is not None]
-            sheets.setdefault(r.sheet, []).append((r.row, r.col, known[0] if known else None, r.formula))
+        for b in batches:
+            path, sheet, formula = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("path", "sheet", "formula"))
+            for name, title, *cell in zip(path, sheet, b.column("row").to_numpy().tolist(), b.column("col").to_numpy().tolist(), _values(b), formula, strict=True):
+                if name != before:
+                    if before is not None:
+                        put(before)
+                    before, sheets = name, {}
+                sheets.setdefault(title, []).append(cell)
         if before is not None:
             put(before)
         if len({m[1] for m in moves}) < len(moves):
@@ -110,7 +166,7 @@ class Writer(DataSourceWriter):
             self.abort(messages)
             raise ValueError("rows of a path must be in one partition: repartition by it")
         if self.overwrite:
-            for old in _files(self.path):
+            for old, _ in _files(self.path):
                 system.delete_file(old)
         for aside, name in moves:
             system.move(aside, name)
@@ -146,8 +202,6 @@ def defined_names(spark: SparkSession, path: str) -> DataFrame:
     """path, name, range of the defined names that stand for one range."""
 
     def found(batches):
-        import pyarrow as pa
-
         for b in batches:
             rows = []
             for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):

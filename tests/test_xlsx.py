@@ -91,3 +91,21 @@ def test_hidden_sheets_and_names(spark, tmp_path):
     assert {r.sheet for r in cells.filter(F.col("hidden")).collect()} == {"H 1", "H2", "H3"}
     assert {r.sheet for r in xlsx.shown(cells).collect()} == {"A", "H 1"}
     assert [(r.name, r.range) for r in xlsx.defined_names(spark, str(tmp_path)).collect()] == [("n", "A!$A$1")]
+
+
+def test_small_files_are_read_together(spark, tmp_path):
+    """Partitions grow with bytes, not with sheets; only a file over the share of a partition is parted by sheet."""
+    for i in range(200):
+        (tmp_path / f"b{i:03}.xlsx").write_bytes(w.workbook({"one": [(1, 1, float(i), None)], "two": [(1, 1, f"t{i}", None), (2, 1, None, "A1&1")]}))
+    big = {s: [(r, 1, r * 1.1 + k, None) for r in range(1, 3001)] for k, s in enumerate("xyz")}
+    (tmp_path / "c.xlsx").write_bytes(w.workbook(big))
+    xlsx.register(spark)
+    read = spark.read.format("xlsx").load(str(tmp_path))
+    assert read.rdd.getNumPartitions() <= 2 * xlsx.LEAST
+    rows = [(r.path.rsplit("/", 1)[1][:-5], r.sheet, r.row, r.number, r.text, r.formula) for r in read.collect()]
+    want = [x for i in range(200) for x in ((f"b{i:03}", "one", 1, float(i), None, None), (f"b{i:03}", "two", 1, None, f"t{i}", None), (f"b{i:03}", "two", 2, None, None, "A1&1"))]
+    want += [("c", s, r, v, None, None) for s, cells in big.items() for r, _, v, _ in cells]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    parts = xlsx.Reader(str(tmp_path)).partitions()
+    assert sum(len(s) for p in parts for f, s in p.files if f.endswith("/c.xlsx")) == 3
+    assert [s for p in parts for f, s in p.files if not f.endswith("/c.xlsx")] == [None] * 200
