@@ -127,7 +127,7 @@ def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None
 
 def places(rows: DataFrame, value: Column, bucket: Column, by: list[str], key: str) -> DataFrame:
     """by, key, place: each row's place from 1 in the order of (value, key). bucket must rise with value and deal the rows evenly."""
-    dealt = rows.select(*by, key, value.alias("__v")).withColumn("__bucket", bucket)
+    dealt = cut(rows.select(*by, key, value.alias("__v")).withColumn("__bucket", bucket))
     counts = dealt.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*by, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))

@@ -18,7 +18,7 @@ from ..functions.distributions import CENTRE, SHOULDER, TAIL, normal
 from ..functions.random import uniform
 from ..plans.models import Model
 from ..sources.folders import cut
-from .ranking import passed, places
+from .ranking import places
 
 
 def uniforms(spark: SparkSession, trials: int, names: list[str], seed: int = 12345, method: str = "mc", mixed: dict[str, Column] | None = None, between: tuple[int, int] | None = None) -> DataFrame:
@@ -81,13 +81,13 @@ def permuted(df: DataFrame, trial: str, n: int, names: list[str], seed: int) ->
     return out.drop(*[f"__{side}_{m}" for m in names for side in "lr"])
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """df with trial, its place from 0 in the order of a key: sorted by ranges, each with the rows of earlier ranges added."""
-    dealt = cut(df.repartitionByRange(key).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place")))
+def numbered(df: DataFrame, key: str, *more: str, name: str = "trial") -> DataFrame:
+    """df with trial (or another name), its place from 0 in the order of a key and those that part its ties: sorted by ranges, each with the rows of earlier ranges added."""
+    dealt = cut(df.repartitionByRange(key, *more).sortWithinPartitions(key, *more).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place")))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__m"), F.min("__place").alias("__first"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     shift = counts.select("__part", (F.coalesce(F.sum("__m").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
-    return dealt.join(F.broadcast(shift), "__part").withColumn("trial", F.col("__place") + F.col("__shift")).drop("__part", "__place", "__shift")
+    return dealt.join(F.broadcast(shift), "__part").withColumn(name, F.col("__place") + F.col("__shift")).drop("__part", "__place", "__shift")
 
 
 def with_strata(df: DataFrame, trial: str, trials: int, names: list[str], seed: int = 12345) -> DataFrame:
@@ -134,23 +134,31 @@ def nearest_correlation(m: np.ndarray, least: float = 1e-6, steps: int = 200) ->
     return y / np.outer(s, s)
 
 
-def mixed_scores(spark: SparkSession, k: int, target: np.ndarray, trials: int, seed: int) -> list[Column]:
-    """For each of k columns a normal score of the column trial; over 0 .. trials - 1 they have the correlations of the target.
+def scored(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """The column trial of df and k independent normal scores of it, s0 and on."""
+    hashed = df.select("trial", *[uniform(seed, f"#s{i}", "trial").alias(f"__u{i}") for i in range(k)])
+    return hashed.select("trial", *[F.expr(normal(0, 1).quantile(f"__u{i}")).alias(f"s{i}") for i in range(k)])
 
-    Independent scores are hashed; their sample correlation, one small aggregation, is taken out before the target's is put in.
-    """
+
+def mixing(scores: DataFrame, k: int, target: np.ndarray) -> np.ndarray:
+    """The lower triangle that gives k scores the correlations of the target: their sample correlation, one small aggregation, is taken out before the target's is put in."""
     goal = nearest_correlation(2 * np.sin(np.pi / 6 * target))
-    scores = [F.expr(normal(0, 1).quantile(f"__u{i}")) for i in range(k)]
-    hashed = [uniform(seed, f"#s{i}", "trial").alias(f"__u{i}") for i in range(k)]
-    rows = spark.range(trials).withColumnRenamed("id", "trial").select(*hashed).select(*[s.alias(f"s{i}") for i, s in enumerate(scores)])
-    got = rows.agg(*[F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i)]).first()
+    got = scores.agg(*[F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(k) for j in range(i)]).first()
     sample = np.eye(k)
     for i in range(k):
         for j in range(i):
             sample[i, j] = sample[j, i] = got[f"c{i}_{j}"]
-    mix = np.linalg.cholesky(goal) @ np.linalg.inv(np.linalg.cholesky(nearest_correlation(sample)))
-    plain = [F.transform(F.array(uniform(seed, f"#s{i}", "trial")), lambda u: _normal_of(u))[0] for i in range(k)]
-    return [sum((plain[j] * float(mix[i, j]) for j in range(1, k)), plain[0] * float(mix[i, 0])) for i in range(k)]
+    return np.linalg.cholesky(goal) @ np.linalg.inv(np.linalg.cholesky(nearest_correlation(sample)))
+
+
+def _mixed(plain: list[Column], mix: np.ndarray) -> list[Column]:
+    return [sum((plain[j] * float(mix[i, j]) for j in range(1, len(plain))), plain[0] * float(mix[i, 0])) for i in range(len(plain))]
+
+
+def mixed_scores(spark: SparkSession, k: int, target: np.ndarray, trials: int, seed: int) -> list[Column]:
+    """For each of k columns a normal score of the column trial, in expressions; over 0 .. trials - 1 they have the correlations of the target."""
+    mix = mixing(scored(spark.range(trials).withColumnRenamed("id", "trial"), k, seed), k, target)
+    return _mixed([F.transform(F.array(uniform(seed, f"#s{i}", "trial")), lambda u: _normal_of(u))[0] for i in range(k)], mix)
 
 
 def _normal_of(u: Column) -> Column:
@@ -176,23 +184,19 @@ def _unit(score: Column) -> Column:
 def rank_correlate(df: DataFrame, names: list[str], target: np.ndarray, trials: int, seed: int = 12345) -> DataFrame:
     """Reorders columns so that their rank correlations are near the target (Iman and Conover, 1982); marginals stay.
 
-    Values and mixed scores meet by a join on (column, place). Buckets of places are ranges of a score's near-uniform map, and of
-    approximate quantiles of a column.
+    Normal scores are hashed once and written. Values and mixed scores are numbered in the order of (column, value), so a frequent value is
+    many ranges, and meet by a join on the number.
     """
     if len(names) < 2 or trials < 3:
         return df
-    k, blocks = len(names), max(1, min(4096, trials // 100_000))
+    k = len(names)
     long = lambda rows, columns: rows.select("trial", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("v")) for i, c in enumerate(columns)])).alias("x")).select("trial", "x.*")
-    mixed = long(df.select("trial"), mixed_scores(df.sparkSession, k, target, trials, seed))
-    to = places(mixed, F.col("v"), F.least(F.floor(blocks * _unit(F.col("__v"))), F.lit(blocks - 1)), ["i"], "trial")
-    values = long(df, [F.col(n).cast("double") for n in names])
-    shares = [j / blocks for j in range(1, blocks)]
-    bounds = df.agg(*[F.percentile_approx(n, F.array(*map(F.lit, shares)), 20 * blocks) for n in names]).first() if shares else [[]] * k
-    bucket = F.coalesce(*[F.when(F.col("i") == i, passed(F.array(*map(F.lit, b)), F.col("__v"), len(b), False)) for i, b in enumerate(bounds)]) if shares else F.lit(0)
-    sorted_ = places(values, F.col("v"), bucket, ["i"], "trial").withColumnRenamed("trial", "from")
-    sorted_ = sorted_.join(values.withColumnRenamed("trial", "from"), ["i", "from"])
-    new = to.join(sorted_.select("i", "place", "v"), ["i", "place"]).groupBy("trial").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
-    return df.select("trial", *[c for c in df.columns if c not in names and c != "trial"]).join(new, "trial")
+    scores = cut(scored(df, k, seed))
+    mixed = _mixed([F.col(f"s{i}") for i in range(k)], mixing(scores, k, target))
+    to, values = (numbered(x, "i", "v", "trial", name="place") for x in (long(scores, mixed), long(df, [F.col(n).cast("double") for n in names])))
+    new = to.select("place", "trial").join(values.select("place", "i", "v"), "place").groupBy("trial").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
+    rest = [c for c in df.columns if c not in names and c != "trial"]
+    return df.select("trial", *rest).join(new, "trial") if rest else new
 
 
 def simulate(spark: SparkSession, model: Model, trials: int, seed: int | None = 12345, method: str = "mc", correlate: bool = True, given: DataFrame | None = None) -> DataFrame:

@@ -287,3 +287,25 @@ def test_chi_square_of_distant_whole_numbers(spark):
     assert far.n == 2001 and far.statistic > 0
     wide = fitting.chi_square(spark.createDataFrame([(float(v),) for v in rng.geometric(1e-6, 300) - 1], "x double"), "x", d.geometric(1e-6)).first()
     assert 20 < wide.bins <= 60 and wide.p > 1e-4
+
+
+def test_rank_correlation_reorders_values_by_numbers(spark):
+    """Scores are hashed once, not in every shuffle of the result; ties and nulls stay; equal values are dealt to several ranges, numbered in the order of the trials."""
+    from quantrail.operators import sampling
+
+    df = spark.range(6000).selectExpr("id AS trial", "round(cos(id) * 50) AS a", "CASE WHEN id % 50 > 0 THEN sin(id * 7) END AS b", "concat('t', id) AS note").repartition(3)
+    out = sampling.rank_correlate(df, ["a", "b"], np.array([[1, -0.5], [-0.5, 1]]), 6000)
+    assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString()
+    before, after = df.collect(), out.collect()
+    assert {r.trial: r.note for r in after} == {r.trial: r.note for r in before} and len(after) == 6000
+    for c in "ab":
+        assert sorted((r[c] is None, r[c] or 0) for r in after) == sorted((r[c] is None, r[c] or 0) for r in before)
+    assert statistics.spearman(out, "a", "b").first().r == pytest.approx(-0.5, abs=0.05)
+    flat = spark.range(20_000, -1, -1).selectExpr("id AS trial", "1.0D AS v")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        placed = sampling.numbered(flat, "v", "trial", name="place")
+    finally:
+        spark.conf.unset(setting)
+    assert all(r.place == r.trial for r in placed.collect()) and len({*placed.inputFiles()}) == 4
